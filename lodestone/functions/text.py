@@ -8,8 +8,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
-from collections.abc import Iterable, Mapping, Sequence
-from functools import reduce
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,18 +19,15 @@ from lodestone import fixed_values as fixed
 
 ColumnLike = Column | str
 
-# Characters that compatibility folding leaves alone and whose case folding is plain lower case
-# (sharp s apart): ASCII, Latin-1 letters, common punctuation, kana, ideographs, Hangul syllables.
-STABLE_TEXT = (
-    r"^[\x00-\x7F¡-§©«¬®°±¶·»¿-ÿ"
-    r"–—‘’“”•ぁ-ゖァ-ヺ一-鿿가-힣]*$"
-)
+# Characters outside these ranges may change under compatibility folding; inside them case folding
+# is plain lower case, the sharp s apart (ASCII, Latin-1 letters, usual punctuation, kana,
+# ideographs, Hangul syllables).
+UNSTABLE_CHARACTER = r"[^\x00-\x7F¡-§©«¬®°±¶·»¿-ÿ–—‘’“”•ぁ-ゖァ-ヺ一-鿿가-힣]"
 # Every character Unicode calls white space, listed because the class is much faster than (?U)\s.
 _ODD_BLANKS = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 BLANKS = f"[ {_ODD_BLANKS}]+"
 # Runs that are not already one plain space, so that ordinary text has nothing to replace.
 UNEVEN_BLANKS = f"[ {_ODD_BLANKS}]{{2,}}|[{_ODD_BLANKS}]"
-UNEVEN_ASCII_BLANKS = r"[ \t-\r\x1c-\x1f]{2,}|[\t-\r\x1c-\x1f]"
 TAGS = "<[^>]+>"
 
 
@@ -53,23 +49,14 @@ def word_array(words: Iterable[str]) -> Column:
     return F.array(*[F.lit(word) for word in items]) if items else F.array().cast("array<string>")
 
 
-def is_ascii(text: ColumnLike) -> Column:
-    value = as_column(text)
-    return F.octet_length(value) == F.char_length(value)
-
-
-def is_stable(text: ColumnLike) -> Column:
-    """True when compatibility folding would not change the text."""
-    return is_ascii(text) | as_column(text).rlike(STABLE_TEXT)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``."""
+    return F.transform(F.array(value), body)[0]
 
 
 def collapse(text: ColumnLike) -> Column:
     """Runs of whitespace become one space; ends are trimmed."""
-    value = as_column(text)
-    return F.trim(
-        F.when(is_ascii(value), F.regexp_replace(value, UNEVEN_ASCII_BLANKS, " "))
-        .otherwise(F.regexp_replace(value, UNEVEN_BLANKS, " "))
-    )
+    return F.trim(F.regexp_replace(as_column(text), UNEVEN_BLANKS, " "))
 
 
 @F.pandas_udf(StringType())
@@ -95,26 +82,26 @@ def fold_case(text: ColumnLike) -> Column:
 def fold(text: ColumnLike) -> Column:
     """TXT-01: compatibility normalization, whitespace collapse, case folding."""
     value = as_column(text)
-    stable = is_stable(value)
-    return collapse(F.when(stable, fold_case(value)).otherwise(_fold_unstable(F.when(~stable, value))))
+    unstable = F.when(value.rlike(UNSTABLE_CHARACTER), value)
+    return collapse(F.coalesce(_fold_unstable(unstable), fold_case(value)))
 
 
 def compose(text: ColumnLike) -> Column:
     """Compatibility normalization and whitespace collapse, case kept."""
     value = as_column(text)
-    stable = is_stable(value)
-    return collapse(F.when(stable, value).otherwise(_compose_unstable(F.when(~stable, value))))
+    unstable = F.when(value.rlike(UNSTABLE_CHARACTER), value)
+    return collapse(F.coalesce(_compose_unstable(unstable), value))
 
 
 def unescape_html(text: ColumnLike) -> Column:
     value = as_column(text)
-    rare = value.rlike("&(?!(?:amp|lt|gt|quot|#39|nbsp);)")
+    rare = F.when(value.rlike("&(?!(?:amp|lt|gt|quot|#39|nbsp);)"), value)
     common = value
     for entity, char in (
-        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"),
+        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"),
     ):
         common = F.replace(common, F.lit(entity), F.lit(char))
-    return F.when(~rare, common).otherwise(_unescape_rare(F.when(rare, value)))
+    return F.coalesce(_unescape_rare(rare), common)
 
 
 def clean_tags_first(text: ColumnLike) -> Column:
@@ -128,15 +115,16 @@ def clean_entities_first(text: ColumnLike) -> Column:
 
 
 def contains_any(text: ColumnLike, phrases: Sequence[str]) -> Column:
-    value = as_column(text)
+    """One scan for all phrases; the text expression is referenced once."""
     if not phrases:
         return F.lit(False)
-    return reduce(lambda left, right: left | right, [value.contains(phrase) for phrase in phrases])
+    value = as_column(text)
+    return value.contains(phrases[0]) if len(phrases) == 1 else value.rlike(alternation(phrases))
 
 
 def count_contained(text: ColumnLike, phrases: Sequence[str]) -> Column:
-    value = as_column(text)
-    return reduce(lambda a, b: a + b, [value.contains(p).cast("int") for p in phrases], F.lit(0))
+    """How many of the phrases occur."""
+    return let(as_column(text), lambda value: F.size(F.filter(word_array(phrases), lambda phrase: F.contains(value, phrase))))
 
 
 def bounded_contains(text: ColumnLike, phrase: str) -> Column:
@@ -147,22 +135,17 @@ def bounded_contains(text: ColumnLike, phrase: str) -> Column:
 
 def first_offset(text: ColumnLike, phrases: Sequence[str]) -> Column:
     """Smallest 0-based offset of any phrase, null when none occurs."""
-    value = as_column(text)
-    offsets = [F.nullif(F.instr(value, phrase), F.lit(0)) - F.lit(1) for phrase in phrases]
-    return offsets[0] if len(offsets) == 1 else F.least(*offsets)
+    return F.nullif(F.regexp_instr(as_column(text), F.lit(alternation(phrases))), F.lit(0)) - F.lit(1)
 
 
 def strip_suffix_once(folded: Column, suffixes: Sequence[str]) -> Column:
     """Remove one listed suffix (the longest that fits) from every Hangul word, keeping a stem of two."""
-    stripped = F.regexp_replace(folded, f"(?<![가-힣])([가-힣]{{2,}}?)(?:{alternation(suffixes)})(?![가-힣])", "$1")
-    return F.when(folded.rlike("[가-힣]{3}"), stripped).otherwise(folded)
+    return F.regexp_replace(folded, f"(?<![가-힣])([가-힣]{{2,}}?)(?:{alternation(suffixes)})(?![가-힣])", "$1")
 
 
 def retrieval_tokens_of(folded: Column) -> Column:
     """TXT-03/04 on already folded text: words and numbers, endings and particles removed."""
-    marked = F.when(
-        folded.contains("hbm"), F.regexp_replace(folded, "(?<![a-z0-9])(hbm[0-9][a-z0-9]*)", "$1 hbm")
-    ).otherwise(folded)
+    marked = F.regexp_replace(folded, "(?<![a-z0-9])(hbm[0-9][a-z0-9]*)", "$1 hbm")
     stems = strip_suffix_once(strip_suffix_once(marked, fixed.REQUEST_ENDINGS), fixed.RETRIEVAL_PARTICLES)
     return F.regexp_extract_all(stems, F.lit(fixed.RETRIEVAL_TOKEN), F.lit(0))
 
@@ -228,20 +211,27 @@ def title_terms(
     """TXT-07: set of title words plus canonical phrases found anywhere in the title."""
     phrases = fixed.EVENT_PHRASES if phrases is None else phrases
     stop_words = fixed.EVENT_STOP_WORDS if stop_words is None else stop_words
-    folded = fold_case(clean_tags_first(title))
-    words = F.filter(
-        F.regexp_extract_all(folded, F.lit(token_pattern), F.lit(0)), lambda word: F.length(word) >= 2
-    )
-    found = phrase_topics(folded, phrases)
-    return F.array_sort(F.array_union(F.array_except(words, word_array(stop_words)), found))
+
+    def terms(folded: Column) -> Column:
+        words = F.filter(
+            F.regexp_extract_all(folded, F.lit(token_pattern), F.lit(0)), lambda word: F.length(word) >= 2
+        )
+        return F.array_sort(F.array_union(F.array_except(words, word_array(stop_words)), phrase_topics(folded, phrases)))
+
+    return let(fold_case(clean_tags_first(title)), terms)
 
 
 def phrase_topics(folded: Column, phrases: Mapping[str, str]) -> Column:
     """Canonical values of the phrases contained in the text."""
     if not phrases:
         return F.array().cast("array<string>")
-    hits = [F.when(folded.contains(phrase), F.lit(name)) for phrase, name in phrases.items()]
-    return F.array_distinct(F.array_compact(F.array(*hits)))
+    pairs = F.array(*[F.struct(F.lit(phrase).alias("phrase"), F.lit(name).alias("name")) for phrase, name in phrases.items()])
+    return let(
+        folded,
+        lambda value: F.array_distinct(
+            F.transform(F.filter(pairs, lambda pair: F.contains(value, pair["phrase"])), lambda pair: pair["name"])
+        ),
+    )
 
 
 def sentences(text: ColumnLike) -> Column:

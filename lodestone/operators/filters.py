@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lodestone import fixed_values as fixed
 from lodestone.functions import times
 from lodestone.functions.text import ColumnLike, as_column, contains_any, fold
-from lodestone.operators.skew import spread_join
+from lodestone.operators.skew import hinted_join, is_small
 
 FILTER_COLUMNS = ["security_id", "source_types", "start_day", "end_day", "as_of", "document_types"]
 
@@ -78,7 +78,7 @@ def filter_documents(documents: DataFrame, requests: DataFrame) -> DataFrame:
     linked = documents.withColumn(
         "security_id", F.explode(F.concat("primary_security_ids", "mentioned_security_ids"))
     )
-    joined = spread_join(linked, filter_sets(requests), ["security_id"])
+    joined = hinted_join(linked, filter_sets(requests), ["security_id"], is_small(requests))
     return joined.where(
         F.array_contains("source_types", F.col("source_type"))
         & type_match(["document_type", "report_type", "content_level"], "document_types")
@@ -104,7 +104,7 @@ def orphans(evidence: DataFrame, documents: DataFrame) -> DataFrame:
     return evidence.join(documents.select("document_id"), "document_id", "left_anti")
 
 
-def filter_linked(linked: DataFrame, requests: DataFrame) -> DataFrame:
+def filter_linked(linked: DataFrame, requests: DataFrame, small: bool | None = None) -> DataFrame:
     """FLT-02 on evidence already linked to its documents."""
     ids = F.concat("subject_security_ids", "mentioned_security_ids")
     sound = linked.where(
@@ -112,7 +112,8 @@ def filter_linked(linked: DataFrame, requests: DataFrame) -> DataFrame:
         & (F.size(F.array_except(ids, F.col("document_ids"))) == 0)
     ).withColumn("effective_at", effective_time("published_at", "document_time"))
     reachable = sound.withColumn("security_id", F.explode(F.array_distinct("document_ids")))
-    joined = spread_join(reachable, filter_sets(requests), ["security_id"])
+    small = is_small(requests) if small is None else small
+    joined = hinted_join(reachable, filter_sets(requests), ["security_id"], small)
     return joined.where(
         F.array_contains("source_types", F.col("source_type"))
         & scope_match("security_id", "document_primary", F.lit(True))
@@ -122,9 +123,9 @@ def filter_linked(linked: DataFrame, requests: DataFrame) -> DataFrame:
     ).select("filter_set", "effective_at", *[c for c in linked.columns if not c.startswith("document_") or c == "document_id"])
 
 
-def filter_evidence(evidence: DataFrame, requests: DataFrame, documents: DataFrame) -> DataFrame:
+def filter_evidence(evidence: DataFrame, requests: DataFrame, documents: DataFrame, small: bool | None = None) -> DataFrame:
     """FLT-02: evidence of each filter set, with link integrity, scope, type and date checks."""
-    return filter_linked(link_documents(evidence, documents), requests)
+    return filter_linked(link_documents(evidence, documents), requests, small)
 
 
 def disclosure_text_match(wanted: ColumnLike, *fields: ColumnLike) -> Column:
@@ -154,12 +155,13 @@ def requested_sources(question: ColumnLike, markers: dict[str, list[str]] | None
 
 def keep_requested(evidence: DataFrame, questions: DataFrame, markers: dict[str, list[str]] | None = None) -> DataFrame:
     """FLT-10: rows of the named sources, or all rows of a request when none of them match."""
+    small = is_small(questions)
     named = questions.select("request_id", requested_sources("question", markers).alias("__named"))
-    marked = spread_join(evidence, named, ["request_id"]).withColumn(
+    marked = hinted_join(evidence, named, ["request_id"], small).withColumn(
         "__match", F.array_contains("__named", F.col("source_type"))
     )
     any_match = marked.groupBy("request_id").agg(F.max("__match").alias("__any"))
-    return spread_join(marked, any_match, ["request_id"]).where(F.col("__match") | ~F.col("__any")).drop(
+    return hinted_join(marked, any_match, ["request_id"], small).where(F.col("__match") | ~F.col("__any")).drop(
         "__named", "__match", "__any"
     )
 

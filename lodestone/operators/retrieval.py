@@ -14,7 +14,7 @@ from lodestone import fixed_values as fixed
 from lodestone.functions.text import ColumnLike, as_column, query_tokens, retrieval_tokens
 from lodestone.operators.filters import filter_linked, link_documents, with_filter_sets
 from lodestone.operators.selection import leading_rows, source_place
-from lodestone.operators.skew import salted_join, spread_join, within_rows
+from lodestone.operators.skew import hinted_join, is_small
 
 MARKER = ""
 
@@ -58,7 +58,7 @@ def postings(evidence: DataFrame, vocabulary: DataFrame, small: bool) -> DataFra
     rows = evidence_tokens(evidence).select(
         "evidence_id", "source_type", "length", F.explode(F.concat(F.array(F.lit(MARKER)), "tokens")).alias("token")
     )
-    kept = rows.join(F.broadcast(vocabulary), "token", "left_semi") if small else salted_join(rows, vocabulary, ["token"], "left_semi")
+    kept = hinted_join(rows, vocabulary, ["token"], small, "left_semi")
     # Partitioned by evidence for the count here and for the join with the candidates next.
     return kept.repartition("evidence_id").groupBy("evidence_id", "source_type", "length", "token").agg(
         F.count(F.lit(1)).alias("tf")
@@ -81,11 +81,12 @@ def term_statistics(rows: DataFrame) -> DataFrame:
 
 
 def bm25_scores(
-    evidence: DataFrame, candidates: DataFrame, asked: DataFrame, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B
+    evidence: DataFrame, candidates: DataFrame, asked: DataFrame, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B,
+    small: bool | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Scores of the (request, evidence) pairs sharing a token, the query tokens and the statistics."""
     tokens = request_tokens(asked)
-    small = within_rows(tokens)
+    small = is_small(asked, "query") if small is None else small
     markers = asked.select("filter_set", F.lit(MARKER).alias("token")).distinct()
     wanted = tokens.select("filter_set", "token").union(markers).distinct()
     per_evidence = postings(evidence, wanted.select("token").distinct(), small)
@@ -95,7 +96,7 @@ def bm25_scores(
     # A frequent token may sit in a third of all evidence: beyond the broadcast bound the join
     # spreads it over salts.
     keys = ["filter_set", "token"]
-    pairs = rows.join(F.broadcast(weighted), keys) if small else salted_join(rows, weighted, keys)
+    pairs = hinted_join(rows, weighted, keys, small)
     term = bm25_term("tf", "df", "total", "length", "mean_length", "query_tf", k1, b)
     scored = pairs.groupBy("request_id", "evidence_id", "source_type").agg(F.sum(term).alias("raw"))
     scores = scored.select(
@@ -115,14 +116,16 @@ def bm25_retrieve(
     example after the freshness stage. Ties keep the input order, fixed here by evidence id.
     """
     asked = with_filter_sets(requests).withColumn("effective_k", F.least("top_k", F.lit(max_k)))
+    small = is_small(requests, "query")
     if candidates is None:
-        candidates = filter_linked(link_documents(evidence, documents), requests)
-    scores, tokens, statistics = bm25_scores(evidence, candidates, asked, k1, b)
+        # The filters need no text; narrow rows travel through the joins.
+        candidates = filter_linked(link_documents(evidence.drop("title", "snippet"), documents), requests, small)
+    scores, tokens, statistics = bm25_scores(evidence, candidates, asked, k1, b, small)
     eligible = scores.where(F.col("score") >= floor)
     order = [F.col("score").desc(), F.col("evidence_id")]
     pool = leading_rows(eligible, order, max_k)
     required = F.when(F.size("source_types") > 1, F.col("source_types")).alias("required_sources")
-    ranked = spread_join(pool, asked.select("request_id", required, "effective_k"), ["request_id"])
+    ranked = hinted_join(pool, asked.select("request_id", required, "effective_k"), ["request_id"], small)
     final = Window.partitionBy("request_id").orderBy(
         source_place("required_sources", "source_type", F.col("source_rank") == 1), *order
     )

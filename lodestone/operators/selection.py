@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone import fixed_values as fixed
 from lodestone.functions.text import ColumnLike, as_column, contains_any, fold
-from lodestone.operators.skew import keep_first, spread_join, top_rows
+from lodestone.operators.skew import hinted_join, is_small, keep_first, top_rows
 
 LAST = 1_000_000
 
@@ -122,7 +122,7 @@ def budget_context(
     capped = cap_per_source(unique, order, per_source)
     required = requests.select("request_id", F.coalesce("required_sources", F.array().cast("array<string>")).alias("__required"))
     by_source = Window.partitionBy("request_id", "source_type").orderBy(*order)
-    placed = spread_join(capped, required, ["request_id"]).withColumn(
+    placed = hinted_join(capped, required, ["request_id"], is_small(requests)).withColumn(
         "__place", source_place("__required", "source_type", F.row_number().over(by_source) == 1)
     )
     final = [F.col("__place"), *order]

@@ -36,6 +36,21 @@ def within_rows(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def is_small(df: DataFrame, text: str | None = None, max_rows: int = BROADCAST_ROWS, max_chars: int = 32_000_000) -> bool:
+    """Size check of a whole input table in one cheap aggregate: rows and, when named, text volume.
+
+    Tables derived row by row from it (its filters, its tokens) are then bounded as well.
+    """
+    chars = F.sum(F.length(text)) if text else F.lit(0)
+    rows, volume = df.agg(F.count(F.lit(1)), chars).first()
+    return rows <= max_rows and (volume or 0) <= max_chars
+
+
+def hinted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], small: bool, how: str = "inner") -> DataFrame:
+    """Broadcast when the caller has checked the size, else the salted join."""
+    return left.join(F.broadcast(right), list(keys), how) if small else salted_join(left, right, keys, how)
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint behind a checked row bound; beyond it the planner shuffles as usual."""
     return F.broadcast(df) if within_rows(df, max_rows) else df

@@ -43,8 +43,472 @@ def _retrieve(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query(
     "cmp_01_retrieve_evidence",
-    RETRIEVAL_CTES + "SELECT request_id, CAST(position AS INTEGER) AS position, evidence_id, round(score, 4) AS score FROM hits",
+    RETRIEVAL_CTES + "SELECT request_id, CAST(position AS INTEGER) AS position, evidence_id, round(score, 3) AS score FROM hits",
 )
 def retrieve_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits, _ = _retrieve(spark, sf_dir)
-    return hits.select("request_id", "position", "evidence_id", F.round("score", 4).alias("score"))
+    return hits.select("request_id", "position", "evidence_id", F.round("score", 3).alias("score"))
+
+
+@query(
+    "cmp_01_retrieval_diagnostics",
+    RETRIEVAL_CTES + """
+SELECT r.request_id, CASE WHEN coalesce(s.total, 0) = 0 THEN 'empty' WHEN coalesce(e.n, 0) = 0 THEN 'low_relevance' ELSE 'ok' END AS status,
+  (SELECT count(*) FROM ev) AS input_count, CAST(coalesce(s.total, 0) AS BIGINT) AS filtered_count,
+  CAST(coalesce(e.n, 0) AS BIGINT) AS eligible_count, CAST(coalesce(h.n, 0) AS BIGINT) AS returned_count,
+  CAST(CASE WHEN coalesce(s.total, 0) = 0 THEN 0 ELSE coalesce(q.n, 0) END AS BIGINT) AS query_token_count
+FROM req r LEFT JOIN stats s USING (request_id)
+LEFT JOIN (SELECT request_id, sum(query_tf) AS n FROM qt GROUP BY 1) q USING (request_id)
+LEFT JOIN (SELECT request_id, count(*) AS n FROM elig GROUP BY 1) e USING (request_id)
+LEFT JOIN (SELECT request_id, count(*) AS n FROM hits GROUP BY 1) h USING (request_id)""",
+)
+def retrieval_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, diagnostics = _retrieve(spark, sf_dir)
+    return diagnostics.select(
+        "request_id", "status", "input_count", "filtered_count", "eligible_count", "returned_count", "query_token_count"
+    )
+
+
+@query(
+    "agg_01_document_frequency",
+    RETRIEVAL_CTES + """
+SELECT request_id, token, CAST(df AS BIGINT) AS df, CAST(total AS BIGINT) AS total, round(mean_length, 4) AS mean_length
+FROM df JOIN stats USING (request_id)""",
+)
+def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = filters.with_filter_sets(b.requests(spark, sf_dir)).withColumn("effective_k", F.col("top_k"))
+    evidence = b.evidence(spark, sf_dir)
+    candidates = filters.filter_evidence(evidence, asked, b.documents(spark, sf_dir))
+    _, tokens, statistics = retrieval.bm25_scores(evidence, candidates, asked)
+    return tokens.join(statistics, ["filter_set", "token"]).select(
+        "request_id", "token", "df", "total", F.round("mean_length", 4).alias("mean_length")
+    )
+
+
+@query(
+    "agg_02_bm25_sum",
+    RETRIEVAL_CTES + "SELECT request_id, evidence_id, round(score, 3) AS score FROM score",
+)
+def bm25_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = filters.with_filter_sets(b.requests(spark, sf_dir))
+    evidence = b.evidence(spark, sf_dir)
+    candidates = filters.filter_evidence(evidence, asked, b.documents(spark, sf_dir))
+    scores, _, _ = retrieval.bm25_scores(evidence, candidates, asked)
+    return scores.select("request_id", "evidence_id", F.round("score", 3).alias("score"))
+
+
+@query(
+    "txt_06_bm25_term",
+    """SELECT doc_id, round(ln(1 + (1000 - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * n_chars / 2400.0)) * 2, 4) AS term
+FROM (SELECT doc_id, n_chars, 1 + doc_id % 7 AS tf, 1 + doc_id % 900 AS df FROM documents)""",
+)
+def bm25_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = b.table(spark, sf_dir, "documents").select(
+        "doc_id", "n_chars", F.expr("1 + doc_id % 7").alias("tf"), F.expr("1 + doc_id % 900").alias("df")
+    )
+    term = retrieval.bm25_term("tf", "df", F.lit(1000), "n_chars", F.lit(2400.0), F.lit(2))
+    return df.select("doc_id", F.round(term, 4).alias("term"))
+
+
+@query(
+    "top_01_rank_by_score",
+    RETRIEVAL_CTES + """
+SELECT request_id, evidence_id, CAST(rank AS INTEGER) AS rank FROM ranked JOIN req USING (request_id) WHERE rank <= least(top_k, 10)""",
+)
+def rank_by_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = filters.with_filter_sets(b.requests(spark, sf_dir))
+    evidence = b.evidence(spark, sf_dir)
+    candidates = filters.filter_evidence(evidence, asked, b.documents(spark, sf_dir))
+    scores, _, _ = retrieval.bm25_scores(evidence, candidates, asked)
+    ranked = top_rows(
+        scores.where("score >= 0.5"), ["request_id"], [F.col("score").desc(), F.col("evidence_id")], 10, "rank"
+    )
+    return ranked.join(asked.select("request_id", "top_k"), "request_id").where("rank <= top_k").select(
+        "request_id", "evidence_id", "rank"
+    )
+
+
+@query(
+    "top_08_news_first",
+    b.ctes(
+        b.EVIDENCE_SQL,
+        b.REQUESTS_SQL.replace("req AS (", "base AS (") + """,
+news_req AS (SELECT * REPLACE (['news'] AS source_types, 6 AS top_k) FROM base WHERE item_id % 2 = 0)""",
+        BM25_SQL.replace("req ", "news_req ").replace("FROM req", "FROM news_req"),
+    ).replace("hits AS (", "news_hits AS (") + ",\n" + "req AS (SELECT * FROM base WHERE request_id NOT IN (SELECT request_id FROM news_hits)),\n"
+    + BM25_SQL.replace("cand AS", "cand2 AS").replace("FROM cand)", "FROM cand2)").replace("tok AS", "tok2 AS").replace("FROM tok ", "FROM tok2 ")
+    .replace("FROM tok)", "FROM tok2)").replace("stats AS", "stats2 AS").replace("JOIN stats ", "JOIN stats2 ").replace("qt AS (", "qt2 AS (")
+    .replace("JOIN qt ", "JOIN qt2 ").replace("tf AS (SELECT t.", "tf2 AS (SELECT t.").replace("FROM tf GROUP", "FROM tf2 GROUP").replace("df AS (SELECT", "df2 AS (SELECT")
+    .replace("FROM tf JOIN df ", "FROM tf2 tf JOIN df2 df ").replace("score AS (SELECT", "score2 AS (SELECT").replace("FROM score WHERE", "FROM score2 WHERE")
+    .replace("elig AS", "elig2 AS").replace("FROM elig)", "FROM elig2)").replace("ranked AS", "ranked2 AS").replace("FROM ranked k", "FROM ranked2 k")
+    .replace("placed AS", "placed2 AS").replace("FROM placed WHERE", "FROM placed2 WHERE")
+    + """SELECT request_id, CAST(position AS INTEGER) AS position, evidence_id FROM news_hits
+UNION ALL SELECT request_id, CAST(position AS INTEGER) AS position, evidence_id FROM hits""",
+)
+def news_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = b.requests(spark, sf_dir).withColumn("intent", F.expr("CASE WHEN item_id % 2 = 0 THEN 'price_move' ELSE 'recent_issue' END"))
+    hits = retrieval.news_first(b.evidence(spark, sf_dir), asked, b.documents(spark, sf_dir))
+    return hits.select("request_id", "position", "evidence_id")
+
+
+DOC_REQ = b.ctes(b.DOCUMENTS_SQL, b.REQUESTS_SQL)
+
+
+def _set_key(requests: DataFrame) -> DataFrame:
+    """Filter sets by readable key, for comparing with SQL."""
+    return filters.filter_sets(requests).select(
+        "filter_set",
+        F.concat_ws("/", "security_id", F.array_join("source_types", ","), F.coalesce(F.col("start_day").cast("string"), F.lit("-")),
+                    F.coalesce(F.date_format("as_of", "yyyy-MM-dd"), F.lit("-")), F.coalesce(F.array_join("document_types", ","), F.lit("-"))).alias("filter_key"),
+    )
+
+
+FILTER_KEY_SQL = """concat_ws('/', security_id, array_to_string(source_types, ','), coalesce(CAST(start_day AS VARCHAR), '-'),
+  coalesce(strftime(as_of, '%Y-%m-%d'), '-'), coalesce(array_to_string(document_types, ','), '-'))"""
+
+
+@query(
+    "flt_01_filter_documents",
+    DOC_REQ + f""", sets AS (SELECT DISTINCT {FILTER_KEY_SQL} AS filter_key, security_id, source_types, start_day, end_day, as_of, document_types FROM req)
+SELECT DISTINCT filter_key, document_id FROM sets r JOIN docs d ON list_contains(r.source_types, d.source_type)
+WHERE (list_contains(d.primary_security_ids, r.security_id) OR list_contains(d.mentioned_security_ids, r.security_id))
+  AND (r.document_types IS NULL OR list_has_any(r.document_types, list_filter([d.document_type, d.report_type, d.content_level], lambda x: x IS NOT NULL AND trim(x) <> '')))
+  AND (r.as_of IS NULL OR coalesce(d.published_at <= r.as_of, false))
+  AND (r.start_day IS NULL OR coalesce(CAST(d.published_at + INTERVAL 9 HOUR AS DATE) BETWEEN r.start_day AND r.end_day, false))""",
+)
+def filter_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = b.requests(spark, sf_dir)
+    kept = filters.filter_documents(b.documents(spark, sf_dir), asked)
+    return kept.join(F.broadcast(_set_key(asked)), "filter_set").select("filter_key", "document_id")
+
+
+@query(
+    "flt_02_filter_evidence",
+    b.ctes(b.EVIDENCE_SQL, b.REQUESTS_SQL, b.FILTER_SQL) + f"""
+SELECT DISTINCT {FILTER_KEY_SQL} AS filter_key, evidence_id FROM cand JOIN req USING (request_id)""",
+)
+def filter_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = b.requests(spark, sf_dir)
+    kept = filters.filter_evidence(b.evidence(spark, sf_dir), asked, b.documents(spark, sf_dir))
+    return kept.join(F.broadcast(_set_key(asked)), "filter_set").select("filter_key", "evidence_id")
+
+
+@query(
+    "flt_03_scope_match",
+    b.ctes(b.EVIDENCE_SQL) + """
+SELECT evidence_id, CASE scope WHEN 'company_specific' THEN subject_security_ids = ['en'] WHEN 'multi_company' THEN list_contains(subject_security_ids, 'en')
+  ELSE list_contains(mentioned_security_ids, 'en') END AS fits FROM ev""",
+)
+def scope_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.evidence(spark, sf_dir).select("evidence_id", filters.scope_match(F.lit("en")).alias("fits"))
+
+
+@query(
+    "flt_04_as_of_cutoff",
+    b.ctes(b.DOCUMENTS_SQL) + "SELECT document_id FROM docs WHERE published_at <= TIMESTAMP '2024-06-01 12:00:00'",
+)
+def as_of_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cutoff = F.lit("2024-06-01 12:00:00").cast("timestamp")
+    return b.documents(spark, sf_dir).where(filters.as_of_match("published_at", cutoff)).select("document_id")
+
+
+@query(
+    "flt_05_local_day_range",
+    b.ctes(b.DOCUMENTS_SQL) + """
+SELECT document_id FROM docs WHERE CAST(published_at + INTERVAL 9 HOUR AS DATE) BETWEEN DATE '2024-03-01' AND DATE '2024-05-31'""",
+)
+def local_day_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    in_range = filters.day_range_match("published_at", F.lit("2024-03-01").cast("date"), F.lit("2024-05-31").cast("date"))
+    return b.documents(spark, sf_dir).where(in_range).select("document_id")
+
+
+@query(
+    "flt_06_document_type",
+    b.ctes(b.DOCUMENTS_SQL) + """
+SELECT document_id FROM docs WHERE list_has_any(['type1', 'annual'], list_filter([document_type, report_type, content_level], lambda x: x IS NOT NULL AND trim(x) <> ''))""",
+)
+def document_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = F.array(F.lit("type1"), F.lit("annual"))
+    match = filters.type_match(["document_type", "report_type", "content_level"], wanted)
+    return b.documents(spark, sf_dir).where(match).select("document_id")
+
+
+@query(
+    "flt_07_effective_time",
+    b.ctes(b.EVIDENCE_SQL) + """
+SELECT e.evidence_id, strftime(coalesce(e.published_at, d.published_at), '%Y-%m-%d %H:%M:%S') AS effective_at FROM ev e JOIN docs d USING (document_id)""",
+)
+def effective_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = filters.link_documents(b.evidence(spark, sf_dir), b.documents(spark, sf_dir))
+    time = filters.effective_time("published_at", "document_time")
+    return linked.select("evidence_id", F.date_format(time, "yyyy-MM-dd HH:mm:ss").alias("effective_at"))
+
+
+@query(
+    "flt_09_external_permission",
+    b.ctes(b.EVIDENCE_SQL) + """
+SELECT evidence_id FROM ev JOIN docs USING (document_id) WHERE ev.source_type <> 'research_report' OR external_allowed""",
+)
+def external_permission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.allow_external(b.evidence(spark, sf_dir), b.documents(spark, sf_dir)).select("evidence_id")
+
+
+DEMO_MARKERS = {"news": ["then", "ouon"], "disclosure": ["thly"], "research_report": ["ered", "ation"]}
+
+
+def _marker_sql(column: str) -> str:
+    folded = b.FOLD_SQL.format(column)
+    parts = [f"CASE WHEN {' OR '.join(f'contains({folded}, {chr(39)}{w}{chr(39)})' for w in words)} THEN '{source}' END" for source, words in DEMO_MARKERS.items()]
+    return f"list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL)"
+
+
+@query(
+    "flt_10_requested_sources",
+    b.ctes(b.EVIDENCE_SQL) + f""", marked AS (SELECT d.publisher, evidence_id, list_contains({_marker_sql("'then ' || publisher")}, ev.source_type) AS hit
+  FROM ev JOIN docs d USING (document_id))
+SELECT publisher AS request_id, evidence_id FROM (SELECT *, bool_or(hit) OVER (PARTITION BY publisher) AS any_hit FROM marked) WHERE hit OR NOT any_hit""",
+)
+def requested_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    publishers = b.documents(spark, sf_dir).select("document_id", F.col("publisher").alias("request_id"))
+    rows = b.evidence(spark, sf_dir).join(publishers, "document_id")
+    questions = publishers.select("request_id").distinct().withColumn("question", F.concat(F.lit("Then "), "request_id"))
+    return filters.keep_requested(rows, questions, DEMO_MARKERS).select("request_id", "evidence_id")
+
+
+@query(
+    "flt_14_risk_focus",
+    b.ctes(b.EVIDENCE_SQL) + f"""
+SELECT evidence_id FROM ev WHERE doc_id % 2 = 1 OR (NOT contains({b.FOLD_SQL.format('snippet')}, ' ti ') AND
+  (contains({b.FOLD_SQL.format('snippet')}, 'tion') OR contains({b.FOLD_SQL.format('snippet')}, 'ung')))""",
+)
+def risk_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    focus = F.when(F.col("doc_id") % 2 == 0, F.lit("risk")).otherwise(F.lit("general"))
+    match = filters.focus_match("snippet", focus, calm=[" ti "], risky=["tion", "ung"])
+    return b.evidence(spark, sf_dir).where(match).select("evidence_id")
+
+
+EVENT_TERMS_SQL = "list_filter(list_transform(regexp_extract_all({0}, '[A-Za-z][A-Za-z0-9.+-]{{2,}}|[0-9]{{2,}}'), lambda w: lower(w)), lambda w: w NOT IN ('the', 'and', 'that') AND NOT regexp_full_match(w, '[0-9]+'))"
+
+
+@query(
+    "flt_15_query_event_relevance",
+    b.ctes(b.EVIDENCE_SQL) + f"""
+SELECT evidence_id, list_has_any({EVENT_TERMS_SQL.format("right(snippet, 100)")}, {EVENT_TERMS_SQL.format('title')}) AS relevant FROM ev""",
+)
+def query_event_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relevant = filters.relevant_to_event(F.right("snippet", F.lit(100)), "title", ["the", "and", "that"])
+    return b.evidence(spark, sf_dir).select("evidence_id", relevant.alias("relevant"))
+
+
+@query("joi_01_evidence_document_lookup", b.ctes(b.EVIDENCE_SQL) + "SELECT evidence_id, d.title AS document_title, d.publisher FROM ev JOIN docs d USING (document_id)")
+def evidence_document_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = b.documents(spark, sf_dir).select("document_id", F.col("title").alias("document_title"), "publisher")
+    return b.evidence(spark, sf_dir).select("evidence_id", "document_id").join(docs, "document_id").drop("document_id")
+
+
+@query(
+    "joi_02_set_containment",
+    b.ctes(b.DOCUMENTS_SQL, b.REQUESTS_SQL) + """
+SELECT r.request_id, count(*) AS connected FROM req r JOIN docs d
+  ON list_contains(d.primary_security_ids, r.security_id) OR list_contains(d.mentioned_security_ids, r.security_id) GROUP BY 1""",
+)
+def set_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = b.documents(spark, sf_dir)
+    ids = docs.select(F.explode(F.concat("primary_security_ids", "mentioned_security_ids")).alias("security_id"))
+    counts = ids.groupBy("security_id").agg(F.count(F.lit(1)).alias("connected"))
+    return b.requests(spark, sf_dir).join(counts, "security_id").select("request_id", "connected")
+
+
+# Windows over ranked rows: every publisher plays a request whose rows are all its evidence.
+HIT_ROWS_SQL = b.ctes(b.EVIDENCE_SQL) + """,
+rows_ AS (SELECT d.publisher AS request_id, e.doc_id AS position, e.*, ['research_report', 'news', 'disclosure'] AS required_sources
+  FROM ev e JOIN docs d USING (document_id)),
+dup AS (SELECT * FROM rows_ UNION ALL
+  SELECT * REPLACE (position + 1000000000000 AS position, evidence_id || ':copy' AS evidence_id) FROM rows_ WHERE doc_id % 3 = 0)
+"""
+
+
+def _hit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All evidence by publisher in document order, with content copies of a third of the rows."""
+    publishers = b.documents(spark, sf_dir).select("document_id", F.col("publisher").alias("request_id"))
+    rows = b.evidence(spark, sf_dir).join(publishers, "document_id").withColumn("position", F.col("doc_id"))
+    copies = rows.where("doc_id % 3 = 0").withColumn("position", F.col("position") + 1_000_000_000_000).withColumn(
+        "evidence_id", F.concat("evidence_id", F.lit(":copy"))
+    )
+    return rows.unionByName(copies)
+
+
+def _required(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = F.array(F.lit("research_report"), F.lit("news"), F.lit("disclosure"))
+    return b.table(spark, sf_dir, "documents").select(F.col("source").alias("request_id")).distinct().withColumn("required_sources", sources)
+
+
+def _position() -> list:
+    return [F.col("position"), F.col("evidence_id")]
+
+
+@query(
+    "win_01_keep_first",
+    HIT_ROWS_SQL + "SELECT request_id, document_id, min(position) AS position FROM dup GROUP BY 1, 2",
+)
+def keep_first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keep_first(_hit_rows(spark, sf_dir), ["request_id", "document_id"], _position()).select("request_id", "document_id", "position")
+
+
+@query(
+    "win_03_per_source_cap",
+    HIT_ROWS_SQL + """SELECT request_id, evidence_id FROM (SELECT *, row_number() OVER (PARTITION BY request_id, source_type ORDER BY position, evidence_id) AS rn FROM dup) WHERE rn <= 4""",
+)
+def per_source_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.cap_per_source(_hit_rows(spark, sf_dir), _position()).select("request_id", "evidence_id")
+
+
+@query(
+    "win_04_total_cap",
+    HIT_ROWS_SQL + """SELECT request_id, evidence_id FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY position, evidence_id) AS rn FROM dup) WHERE rn <= 10""",
+)
+def total_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.cap_total(_hit_rows(spark, sf_dir), _position()).select("request_id", "evidence_id")
+
+
+@query(
+    "win_06_source_diverse_order",
+    HIT_ROWS_SQL + """, x AS (SELECT *, row_number() OVER (PARTITION BY request_id, source_type ORDER BY position, evidence_id) AS sr FROM dup)
+SELECT request_id, evidence_id, place::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY
+  CASE WHEN sr = 1 AND list_position(required_sources, source_type) > 0 THEN list_position(required_sources, source_type) ELSE 1000000 END, position, evidence_id) AS place FROM x) WHERE place <= 10""",
+)
+def source_diverse_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _hit_rows(spark, sf_dir).join(_required(spark, sf_dir), "request_id")
+    return selection.diversify(rows, _position(), 10).select("request_id", "evidence_id", "place")
+
+
+PROJECTION_JSON_SQL = """to_json({evidence_id: evidence_id, source_type: source_type, title: title,
+  published_at: strftime(published_at, '%Y-%m-%dT%H:%M:%S') || '+00:00', subject_security_ids: subject_security_ids,
+  mentioned_security_ids: mentioned_security_ids, scope: scope, snippet: snippet})"""
+
+
+@query(
+    "win_05_context_budget",
+    HIT_ROWS_SQL + f""", sized AS (SELECT request_id, evidence_id, position, {PROJECTION_JSON_SQL} AS j FROM dup),
+run AS (SELECT request_id, evidence_id, sum(length(j)) OVER w + count(*) OVER w + 1 AS chars, sum(strlen(j)) OVER w + count(*) OVER w + 1 AS bytes
+  FROM sized WINDOW w AS (PARTITION BY request_id ORDER BY position, evidence_id ROWS UNBOUNDED PRECEDING))
+SELECT request_id, evidence_id, chars::BIGINT AS prefix_chars FROM run WHERE chars <= 4000 AND 100 + floor((bytes + 2) / 3) <= 6000""",
+)
+def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = selection.fitting_prefix(_hit_rows(spark, sf_dir), _position(), selection.projection_json(), 4000, 6000, reserved=100)
+    return kept.select("request_id", "evidence_id", "prefix_chars")
+
+
+@query(
+    "win_08_conflicting_ids",
+    "SELECT doc_id % 500 AS group_id FROM documents GROUP BY 1 HAVING count(DISTINCT lang || source) > 1",
+)
+def conflicting_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = b.table(spark, sf_dir, "documents").withColumn("group_id", F.expr("doc_id % 500"))
+    return selection.conflicting_ids(df, "group_id", F.concat("lang", "source"))
+
+
+BUDGET_SQL = HIT_ROWS_SQL + f""", uniq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, document_id ORDER BY position, evidence_id) AS rn FROM dup) WHERE rn = 1),
+capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, source_type ORDER BY position, evidence_id) AS sr FROM uniq) WHERE sr <= 4),
+placed2 AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY
+  CASE WHEN sr = 1 AND list_position(required_sources, source_type) > 0 THEN list_position(required_sources, source_type) ELSE 1000000 END, position, evidence_id) AS place FROM capped),
+sized AS (SELECT *, {PROJECTION_JSON_SQL} AS j FROM placed2 WHERE place <= 10),
+run AS (SELECT *, sum(length(j)) OVER w + count(*) OVER w + 1 AS chars, sum(strlen(j)) OVER w + count(*) OVER w + 1 AS bytes
+  FROM sized WINDOW w AS (PARTITION BY request_id ORDER BY place ROWS UNBOUNDED PRECEDING)),
+chosen AS (SELECT * FROM run WHERE chars <= 5000 AND floor((bytes + 2) / 3) <= 6000)
+"""
+
+
+@query("cmp_04_select_context", BUDGET_SQL + "SELECT request_id, evidence_id, place::INTEGER AS place FROM chosen")
+def select_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    selected, _ = selection.budget_context(_hit_rows(spark, sf_dir), _required(spark, sf_dir), max_chars=5000)
+    return selected.select("request_id", "evidence_id", "place")
+
+
+@query(
+    "cmp_04_context_diagnostics",
+    BUDGET_SQL + """SELECT d.request_id, d.n AS input_count, u.n AS unique_count, d.n - u.n AS duplicate_drop_count, u.n - c.n AS source_cap_drop_count,
+  c.n - least(c.n, 10) AS count_cap_drop_count, least(c.n, 10) - coalesce(s.n, 0) AS context_drop_count, coalesce(s.n, 0) AS selected_count,
+  CAST(coalesce(s.chars, 0) AS BIGINT) AS estimated_evidence_chars, true AS reconciled
+FROM (SELECT request_id, count(*) AS n FROM dup GROUP BY 1) d JOIN (SELECT request_id, count(*) AS n FROM uniq GROUP BY 1) u USING (request_id)
+JOIN (SELECT request_id, count(*) AS n FROM capped GROUP BY 1) c USING (request_id)
+LEFT JOIN (SELECT request_id, count(*) AS n, max(chars) AS chars FROM chosen GROUP BY 1) s USING (request_id)""",
+)
+def context_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, diagnostics = selection.budget_context(_hit_rows(spark, sf_dir), _required(spark, sf_dir), max_chars=5000)
+    return diagnostics.select(
+        "request_id", "input_count", "unique_count", "duplicate_drop_count", "source_cap_drop_count", "count_cap_drop_count",
+        "context_drop_count", "selected_count", "estimated_evidence_chars", selection.is_reconciled().alias("reconciled"),
+    )
+
+
+@query(
+    "prj_01_prompt_projection",
+    b.ctes(b.EVIDENCE_SQL) + f"SELECT evidence_id, strlen({PROJECTION_JSON_SQL}) AS bytes, CAST(floor((strlen({PROJECTION_JSON_SQL}) + 2) / 3) AS BIGINT) AS tokens FROM ev",
+)
+def prompt_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-01 with the MTH-01 estimate of its JSON."""
+    from lodestone.operators.evidence import prompt_projection as project
+
+    sized = project(b.evidence(spark, sf_dir)).withColumn("bytes", F.octet_length(selection.projection_json()).cast("bigint"))
+    return sized.select("evidence_id", "bytes", selection.token_estimate("bytes").alias("tokens"))
+
+
+@query("mth_01_token_estimate", "SELECT doc_id, CAST(floor((strlen(text) + 2) / 3) AS BIGINT) AS tokens FROM documents")
+def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.table(spark, sf_dir, "documents").select("doc_id", selection.token_estimate(F.octet_length("text")).alias("tokens"))
+
+
+@query(
+    "prj_02_document_to_evidence",
+    b.ctes(b.EVIDENCE_SQL) + "SELECT evidence_id, scope, snippet, array_to_string(subject_security_ids, ',') AS subjects FROM ev",
+)
+def document_to_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.evidence(spark, sf_dir).select("evidence_id", "scope", "snippet", F.array_join("subject_security_ids", ",").alias("subjects"))
+
+
+@query(
+    "prj_07_stage_counts",
+    BUDGET_SQL + """SELECT p.request_id, p.n AS document_count, coalesce(e.n, 0) AS evidence_count, coalesce(u.n, 0) AS unique_count, coalesce(s.n, 0) AS selected_count
+FROM (SELECT publisher AS request_id, count(*) AS n FROM docs GROUP BY 1) p LEFT JOIN (SELECT request_id, count(*) AS n FROM dup GROUP BY 1) e USING (request_id)
+LEFT JOIN (SELECT request_id, count(*) AS n FROM uniq GROUP BY 1) u USING (request_id) LEFT JOIN (SELECT request_id, count(*) AS n FROM chosen GROUP BY 1) s USING (request_id)""",
+)
+def stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, budget = selection.budget_context(_hit_rows(spark, sf_dir), _required(spark, sf_dir), max_chars=5000)
+    totals = b.documents(spark, sf_dir).groupBy(F.col("publisher").alias("request_id")).agg(F.count(F.lit(1)).alias("document_count"))
+    zero = F.lit(0).cast("bigint")
+    return totals.join(budget, "request_id", "left").select(
+        "request_id", "document_count", F.coalesce("input_count", zero).alias("evidence_count"),
+        F.coalesce("unique_count", zero).alias("unique_count"), F.coalesce("selected_count", zero).alias("selected_count"),
+    )
+
+
+@query(
+    "set_07_ordered_subsequence",
+    BUDGET_SQL + """SELECT request_id, bool_and(ok) AS ordered FROM (SELECT request_id, coalesce(place > lag(place) OVER (PARTITION BY request_id ORDER BY place), true) AS ok FROM chosen) GROUP BY 1""",
+)
+def ordered_subsequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.operators.validation import ordered_subsequence as check
+
+    rows = _hit_rows(spark, sf_dir)
+    selected, _ = selection.budget_context(rows, _required(spark, sf_dir), max_chars=5000)
+    inputs = selection.diversify(
+        rows.join(_required(spark, sf_dir), "request_id"), _position(), 1_000
+    ).select("request_id", "evidence_id", F.col("place").alias("input_position"))
+    return check(selected.select("request_id", "evidence_id", F.col("place").alias("output_position")), inputs, "request_id", "evidence_id")
+
+
+@query(
+    "set_06_rows_contained",
+    "SELECT CAST(0 AS BIGINT) AS foreign_rows",
+)
+def rows_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET-06: the retrieved rows without their score are rows of the filtered input."""
+    from lodestone.operators.validation import foreign_rows
+
+    evidence, documents, asked = b.evidence(spark, sf_dir), b.documents(spark, sf_dir), b.requests(spark, sf_dir)
+    keys = filters.with_filter_sets(asked).select("request_id", "filter_set")
+    hits, _ = retrieval.bm25_retrieve(evidence, asked, documents)
+    inputs = filters.filter_evidence(evidence, asked, documents).select("filter_set", "evidence_id", "source_type")
+    outputs = hits.join(keys, "request_id").select("filter_set", "evidence_id", "source_type").distinct()
+    return foreign_rows(outputs, inputs)
