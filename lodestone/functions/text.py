@@ -95,10 +95,12 @@ def compose(text: ColumnLike) -> Column:
 
 def unescape_html(text: ColumnLike) -> Column:
     value = as_column(text)
-    rare = F.when(value.rlike("&(?!(?:amp|lt|gt|quot|#39|nbsp);)"), value)
+    # The ampersand comes last, so decoded text is never decoded again.
+    rare = F.when(value.rlike("&(?!(?:amp|lt|gt|quot|#39|nbsp|middot|copy|hellip|ndash|mdash);)"), value)
     common = value
     for entity, char in (
-        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"),
+        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&middot;", "·"), ("&copy;", "©"),
+        ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&amp;", "&"),
     ):
         common = F.replace(common, F.lit(entity), F.lit(char))
     return F.coalesce(_unescape_rare(rare), common)

@@ -13,7 +13,7 @@ from lodestone.plans.registry import query
 
 COLLAPSED = f"trim(regexp_replace({{0}}, '{b.BLANK_SQL}', ' ', 'g'))"
 FOLDED = COLLAPSED.format(b.FOLD_SQL)
-DECODED_SQL = "replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
+DECODED_SQL = "replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
 
 
 @query("txt_01_fold", f"SELECT doc_id, md5({FOLDED.format('text')}) AS folded FROM documents")
@@ -73,7 +73,7 @@ DEMO_STOP = ["the", "and", "that"]
 
 
 def title_terms_sql(column: str) -> str:
-    folded = b.FOLD_SQL.format(column)
+    folded = COLLAPSED.format(b.FOLD_SQL.format(column))
     phrases = ", ".join(f"CASE WHEN contains({folded}, '{phrase}') THEN '{name}' END" for phrase, name in DEMO_PHRASES.items())
     return (
         f"list_sort(list_distinct(list_concat(list_filter(regexp_extract_all({folded}, '[A-Za-z][A-Za-z0-9.+-]*'), "
@@ -104,7 +104,7 @@ def numeric_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers read back from a sentence about each order."""
     sentence = F.concat(
         F.lit("On "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" the order a1 came to "), F.format_string("%.2f", "o_totalprice"),
-        F.lit(" 원, up "), F.expr("o_orderkey % 13"), F.lit(" %."),
+        F.lit(" 원, up "), F.expr("o_orderkey % 13"), F.lit(" % now"),
     )
     orders = b.table(spark, sf_dir, "orders").select("o_orderkey", sentence.alias("sentence"))
     return orders.select("o_orderkey", F.array_join(F.array_sort(text.numeric_tokens("sentence")), " ").alias("tokens"))
