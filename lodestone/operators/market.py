@@ -128,7 +128,7 @@ def previous_closes(closes: DataFrame, trading_days: Sequence[str], security: st
     table = F.array(*[
         F.struct(F.lit(day).cast("date").alias("day"), F.lit(nxt).cast("date").alias("next_day")) for day, nxt in zip(days, days[1:], strict=False)
     ])
-    return closes.withColumn("step", F.filter(table, lambda s: s["day"] == F.col("day"))[0]).where(F.col("step").isNotNull()).select(
+    return closes.withColumn("step", F.get(F.filter(table, lambda s: s["day"] == F.col("day")), F.lit(0))).where(F.col("step").isNotNull()).select(
         security, F.col("step.next_day").alias("trading_date"), F.col("close").alias("previous_close")
     )
 

@@ -42,10 +42,10 @@ def _has_any(column: str, words: list[str]) -> str:
 
 
 BASIS_SQL = " OR ".join(f"(security_id = '{s}' AND {_has_any('folded_title', words)})" for s, words in ALIASES.items())
-FEED_CTES = f"""WITH base AS (SELECT page_id, {PAGE_LANG_SQL} AS security_id, {PAGE_TITLE_SQL} AS raw_title, {PAGE_TIME_SQL} AS at, url, ['q1'] AS provenance, page_id * 10 AS ord FROM pages),
+FEED_CTES = f"""WITH base AS (SELECT page_id, {PAGE_LANG_SQL} AS security_id, {PAGE_TITLE_SQL} AS raw_title, {PAGE_TIME_SQL} AS posted, url, ['q1'] AS provenance, page_id * 10 AS ord FROM pages),
 raw AS (SELECT * FROM base UNION ALL SELECT * REPLACE (split_part(url, '#', 1) || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'utm_medium=x' AS url, ['q2'] AS provenance, ord + 1 AS ord) FROM base WHERE page_id % 3 = 0),
 clean AS (SELECT *, trim(regexp_replace(replace(replace(replace(replace(replace(replace(raw_title, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '{b.BLANK_SQL}', ' ', 'g')) AS title,
-  {canonical_sql('url')} AS canonical_url, CASE WHEN page_id % 11 = 5 THEN NULL ELSE at END AS published_at FROM raw),
+  {canonical_sql('url')} AS canonical_url, CASE WHEN page_id % 11 = 5 THEN NULL ELSE posted END AS published_at FROM raw),
 judged AS (SELECT *, replace(lower(title), 'ß', 'ss') AS folded_title, CASE WHEN title = '' OR published_at IS NULL THEN 'invalid_metadata'
   WHEN published_at NOT BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}' THEN 'outside_window' WHEN NOT ({BASIS_SQL}) THEN 'security_not_established' END AS reason FROM clean),
 good AS (SELECT *, row_number() OVER (PARTITION BY security_id, canonical_url ORDER BY ord) AS rn FROM judged WHERE reason IS NULL),
@@ -253,7 +253,7 @@ def day_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("cmp_20_feed_curation", None)
 def feed_curation(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = b.documents(spark, sf_dir).where("published_at IS NOT NULL").select(
-        F.element_at("primary_security_ids", 1).alias("security_id"), "title", "published_at", F.expr("concat('https://x.example.com/', doc_id % 53)").alias("source_url"), F.col("doc_id").alias("ord"),
+        F.try_element_at("primary_security_ids", F.lit(1)).alias("security_id"), "title", "published_at", F.expr("concat('https://x.example.com/', doc_id % 53)").alias("source_url"), F.col("doc_id").alias("ord"),
     ).where("security_id IS NOT NULL")
     curated = inventory.curate_feed(docs, ALIASES, event_terms=CURATE_TERMS, reject=["zu"], broad=["qq"])
     return curated.select("security_id", "ord", "score", "period_rank")
