@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone import fixed_values as fixed
+from lodestone.functions import times
 from lodestone.functions.text import ColumnLike, alternation, as_column, bounded_contains, clean_entities_first, contains_any, fold
+from lodestone.operators.policy import intent_table
+from lodestone.operators.skew import hinted_join, is_small
 
 Lexicon = Mapping[str, Sequence[str]]
 OUT_OF_SCOPE = "out_of_scope"
@@ -108,3 +111,68 @@ def feed_query(query: ColumnLike, name: ColumnLike, aliases: Sequence[str]) -> C
     cleaned = clean_entities_first(query)
     known = fold(cleaned).rlike(alternation(aliases)) if aliases else F.lit(False)
     return F.when(as_column(query).isNull(), as_column(name)).when(known, cleaned).otherwise(F.concat_ws(" ", as_column(name), cleaned))
+
+
+def question_features(
+    questions: DataFrame, extraction: DataFrame, securities: DataFrame, lexicon: Lexicon | None = None, content: str = "[가-힣]",
+    bounded: Sequence[str] | None = None, today: Sequence[str] | None = None, recent: Sequence[str] | None = None,
+) -> DataFrame:
+    """What a question says on its own: intent, period, security, follow-up and switch marks.
+
+    ``questions``: request_id, question, basis_day. ``securities``: security_id, ticker, security_name, corp_name.
+    """
+    words = fixed.PHRASES if lexicon is None else lexicon
+    named = securities.select("security_id", F.array_distinct(F.array(
+        fold("security_name"), fold("corp_name"), fold("ticker"), fold("security_id")
+    )).alias("names"))
+    joined = questions.join(extraction, "request_id").withColumn("folded", fold("question"))
+    joined = hinted_join(joined, named, ["security_id"], is_small(securities), "left")
+    remainder = F.aggregate(
+        F.coalesce("names", F.array().cast("array<string>")), F.col("folded"), lambda text, name: F.replace(text, name, F.lit(" "))
+    )
+    period = times.parse_period("folded", "basis_day", words["today"] if today is None else today, words["recent"] if recent is None else recent)
+    speaks_of_period = contains_any("folded", words["same_period"]) & F.col("folded").rlike(r"(?<!\d)\d{4}-\d{2}-\d{2}(?!\d)|(?<!\d)\d{4}\s*년\s*\d+\s*월")
+    rows = joined.withColumn("remainder", remainder).withColumn("period", period)
+    intent = classify_intent("folded", words)
+    return rows.select(
+        "request_id", "question", "basis_day", "folded", "security_id", "multi_security", "unclear_security", intent.alias("rule_intent"),
+        F.col("period.start").alias("period_start"), F.col("period.end").alias("period_end"), F.col("period.explicit").alias("period_explicit"),
+        is_prohibited("folded", words["prohibited"], bounded).alias("prohibited"),
+        contains_any("folded", words["unsupported_market"]).alias("unsupported"),
+        (F.col("security_id").isNotNull() & F.col("remainder").rlike(content)).alias("has_content"),
+        (contains_any("folded", words["follow_up"]) | speaks_of_period).alias("follow_up"),
+        F.regexp_replace("remainder", r"[\s?!.,~]+", "").isin(fixed.SWITCH_REMAINDERS).alias("switch"),
+    )
+
+
+def plan_requests(features: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
+    """CMP-23: plan of each question without dialogue state."""
+    needs = [name for name, (_, _, security) in fixed.INTENT_MATRIX.items() if security]
+    security = F.col("security_id")
+    oos = F.col("rule_intent") == OUT_OF_SCOPE
+    intent = (
+        F.when(F.col("folded") == "", F.lit(OUT_OF_SCOPE)).when(F.col("prohibited"), F.lit("prohibited_advice"))
+        .when(F.col("multi_security"), F.lit(OUT_OF_SCOPE)).when(F.col("unclear_security"), F.col("rule_intent"))
+        .when(oos & ~F.col("unsupported") & F.col("has_content"), F.lit("multi_source_summary")).otherwise(F.col("rule_intent"))
+    )
+    clarify = (
+        (F.col("folded") == "") | F.col("prohibited") | F.col("multi_security") | F.col("unclear_security")
+        | (intent == OUT_OF_SCOPE) | (intent.isin(needs) & security.isNull())
+    )
+    # A plain out-of-scope question carries no period, nor does a refused one.
+    bare = (F.col("folded") == "") | F.col("prohibited") | (
+        ~F.col("multi_security") & ~F.col("unclear_security") & (intent == OUT_OF_SCOPE) & ~F.col("unsupported")
+    )
+    planned = features.withColumn("intent", intent).withColumn("requires_clarification", clarify)
+    move = ~clarify & (F.col("intent") == "price_move") & F.col("period_start").isNull()
+    empty = F.array().cast("array<string>")
+    sources, evidence = intent_table()
+    return planned.select(
+        "request_id", F.when(~clarify, security).alias("security_id"), "intent",
+        F.when(~clarify, classify_focus("folded", "intent", lexicon)).alias("answer_focus"),
+        F.when(~bare, F.when(move, F.col("basis_day")).otherwise(F.col("period_start"))).alias("start_day"),
+        F.when(~bare, F.when(move, F.col("basis_day")).otherwise(F.col("period_end"))).alias("end_day"),
+        F.when(clarify, empty).otherwise(F.coalesce(F.try_element_at(sources, F.col("intent")), empty)).alias("required_sources"),
+        F.when(clarify, empty).otherwise(F.coalesce(F.try_element_at(evidence, F.col("intent")), empty)).alias("required_evidence"),
+        "requires_clarification",
+    )

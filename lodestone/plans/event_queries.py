@@ -231,14 +231,14 @@ def title_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.assign_by_title(needles, reports)
 
 
-FACT_SQL = "facts AS (SELECT l_orderkey AS document_id, l_linenumber AS fact_index, (['consolidated_revenue', 'capex', 'risk_or_uncertainty', 'unknown'])[1 + l_partkey % 4] AS category, l_suppkey % 5 <> 0 AS verified, CASE WHEN l_quantity > 10 THEN CAST(l_quantity AS INTEGER) END AS page FROM lineitem)"
+FACT_SQL = "facts AS (SELECT l_orderkey AS document_id, l_linenumber::BIGINT * 10000000000 + l_partkey * 10000 + l_suppkey AS fact_index, (['consolidated_revenue', 'capex', 'risk_or_uncertainty', 'unknown'])[1 + l_partkey % 4] AS category, l_suppkey % 5 <> 0 AS verified, CASE WHEN l_quantity > 10 THEN CAST(l_quantity AS INTEGER) END AS page FROM lineitem)"
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as disclosure facts."""
     categories = F.array(*[F.lit(c) for c in ("consolidated_revenue", "capex", "risk_or_uncertainty", "unknown")])
     return b.table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("fact_index"), F.element_at(categories, F.expr("cast(1 + l_partkey % 4 as int)")).alias("category"),
+        F.col("l_orderkey").alias("document_id"), F.expr("l_linenumber * 10000000000 + l_partkey * 10000 + l_suppkey").alias("fact_index"), F.element_at(categories, F.expr("cast(1 + l_partkey % 4 as int)")).alias("category"),
         F.concat(F.lit("claim "), F.col("l_returnflag")).alias("claim"), F.expr("CASE WHEN l_suppkey % 5 <> 0 THEN 'verified_against_source' ELSE 'pending' END").alias("verification_status"),
         F.expr("CASE WHEN l_quantity > 10 THEN cast(l_quantity as int) END").alias("page"), F.array(F.lit("II"), F.col("l_linestatus")).alias("section_path"), "l_suppkey",
     )
