@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone import fixed_values as fixed
 from lodestone.functions.text import contains_any
+from lodestone.operators.skew import spread_join
 
 
 def confusion(predictions: DataFrame, predicted: str = "predicted", expected: str = "expected") -> DataFrame:
@@ -32,14 +33,15 @@ def fixed_threshold(scores: DataFrame, by: str, threshold: Column) -> DataFrame:
     )
 
 
-def calibrate(scores: DataFrame, by: str, buckets: int = 512) -> DataFrame:
-    """AGG-21: threshold with the most agreement, then fewest false passes and fails, then the highest.
+def counts_below(scores: DataFrame, by: str, buckets: int = 512) -> tuple[DataFrame, DataFrame]:
+    """Per distinct score: good and bad labels at it and below it, the next lower score; and the totals.
 
-    Candidates are 0, 1.000001, every score and every midpoint. Scores shrink to a histogram first;
-    counts below a threshold are running sums over value ranges: totals per range, then inside it,
-    so one metric with very many distinct scores still spreads over its ranges.
+    Scores shrink to a histogram first. Running sums go over value ranges: totals per range, then
+    inside it, so a metric with very many distinct scores still spreads over its ranges.
     """
-    histogram = scores.groupBy(by, "score").agg(F.count_if("label").alias("good"), F.count_if(~F.col("label")).alias("bad"))
+    histogram = scores.where(F.col("score").isNotNull()).groupBy(by, "score").agg(
+        F.count_if("label").alias("good"), F.count_if(~F.col("label")).alias("bad")
+    )
     low, high = histogram.agg(F.min("score"), F.max("score")).first()
     width = (high - low) / buckets if low is not None and high > low else 1.0
     placed = histogram.withColumn("range", F.floor((F.col("score") - F.lit(low or 0.0)) / F.lit(width)).cast("int"))
@@ -56,16 +58,24 @@ def calibrate(scores: DataFrame, by: str, buckets: int = 512) -> DataFrame:
     inside = Window.partitionBy(by, "range").orderBy("score")
     upto = inside.rowsBetween(Window.unboundedPreceding, -1)
     rows = placed.join(starts, [by, "range"]).select(
-        by, "score", "all_good", "all_bad",
+        by, "score", "good", "bad", "all_good", "all_bad",
         (F.col("good_before") + F.coalesce(F.sum("good").over(upto), F.lit(0))).alias("good_below"),
         (F.col("bad_before") + F.coalesce(F.sum("bad").over(upto), F.lit(0))).alias("bad_below"),
         F.coalesce(F.lag("score").over(inside), F.col("previous_top")).alias("lower"),
     )
+    return rows, starts.select(by, "all_good", "all_bad").distinct()
+
+
+def calibrate(scores: DataFrame, by: str, buckets: int = 512) -> DataFrame:
+    """AGG-21: threshold with the most agreement, then fewest false passes and fails, then the highest.
+
+    Candidates are 0, 1.000001, every score and every midpoint between neighbouring scores.
+    """
+    rows, totals = counts_below(scores, by, buckets)
     # At a score and at the midpoint below it the same rows stay below.
     at_scores = rows.select(by, "all_good", "all_bad", "good_below", "bad_below", F.explode(F.array_compact(F.array(
         F.col("score"), F.when(F.col("lower").isNotNull(), (F.col("lower") + F.col("score")) / 2)
     ))).alias("threshold"))
-    totals = starts.select(by, "all_good", "all_bad").distinct()
     top = totals.select(by, "all_good", "all_bad", F.col("all_good").alias("good_below"), F.col("all_bad").alias("bad_below"), F.lit(fixed.NO_PASS_THRESHOLD).alias("threshold"))
     bottom = totals.select(by, "all_good", "all_bad", F.lit(0).cast("bigint").alias("good_below"), F.lit(0).cast("bigint").alias("bad_below"), F.lit(0.0).alias("threshold"))
     candidates = at_scores.unionByName(top).unionByName(bottom).withColumn("false_fail", F.col("good_below")).withColumn(
@@ -80,17 +90,26 @@ def calibrate(scores: DataFrame, by: str, buckets: int = 512) -> DataFrame:
     )
 
 
-def metric_summary(scores: DataFrame, thresholds: DataFrame, by: str, pass_rate: float = fixed.HELD_OUT_PASS_RATE) -> DataFrame:
-    """AGG-20: mean, median, minimum and pass rate per metric, and its verdict.
+def exact_median(scores: DataFrame, by: str) -> DataFrame:
+    """Median per metric: the mean of the two middle scores, found by their ranks in the histogram."""
+    rows, _ = counts_below(scores.withColumn("label", F.lit(True)), by)
+    n, below, upto = F.col("all_good"), F.col("good_below"), F.col("good_below") + F.col("good")
+    middle = F.array(F.floor((n + 1) / 2), F.floor((n + 2) / 2))
+    hits = F.size(F.filter(middle, lambda rank: (rank > below) & (rank <= upto)))
+    return rows.select(by, "score", hits.alias("hits")).where("hits > 0").groupBy(by).agg(
+        (F.sum(F.col("score") * F.col("hits")) / F.sum("hits")).alias("median")
+    )
 
-    The median is read from the distinct scores of a metric with their counts.
-    """
-    joined = scores.join(F.broadcast(thresholds.select(by, "threshold", F.col("status").alias("calibration"))), by)
+
+def metric_summary(scores: DataFrame, thresholds: DataFrame, by: str, pass_rate: float = fixed.HELD_OUT_PASS_RATE) -> DataFrame:
+    """AGG-20: mean, median, minimum and pass rate per metric, and its verdict."""
+    # One threshold row per metric.
+    joined = spread_join(scores, thresholds.select(by, "threshold", F.col("status").alias("calibration")), [by])
     score = F.col("score")
     rows = joined.groupBy(by, "threshold", "calibration").agg(
-        F.count(F.lit(1)).alias("total"), F.count("score").alias("scored"), F.avg("score").alias("mean"), F.median("score").alias("median"),
+        F.count(F.lit(1)).alias("total"), F.count("score").alias("scored"), F.avg("score").alias("mean"),
         F.min("score").alias("minimum"), F.count_if(score >= F.col("threshold")).alias("pass_count"),
-    )
+    ).join(exact_median(scores, by), by, "left")
     rate = F.coalesce(F.try_divide(F.col("pass_count"), F.col("total")), F.lit(0.0))
     good = (F.col("scored") == F.col("total")) & (rate >= pass_rate) & (F.col("mean") >= F.col("threshold"))
     verdict = F.when(F.col("calibration") != "REQUIRED", F.col("calibration")).when(F.coalesce(good, F.lit(False)), F.lit("PASS")).otherwise(F.lit("FAIL"))

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from lodestone import fixed_values as fixed
 from lodestone.functions import hashing
 from lodestone.functions.text import ColumnLike, as_column, title_terms, word_array
+from lodestone.operators.market import asof_join
 from lodestone.operators.scan import ordered_scan, text_result
 from lodestone.operators.skew import hinted_join, is_small, keep_first, top_rows
+from lodestone.session import cut_lineage
 
 
 def same_event(
@@ -108,8 +110,10 @@ def select_events(requests: DataFrame, clusters: DataFrame, members: DataFrame)
 
     ``requests``: request_id, security_id, as_of, query_terms (array), has_marker. Requests that name
     terms of other securities' events only, or neither a term nor an event marker, get none.
+
+    A request meets only events it shares a term with; one that names no term takes the event of the
+    latest article before its cutoff by an as-of join. Requests are never paired with all articles.
     """
-    small = is_small(requests)
     asked = requests.select("request_id", "security_id", "as_of", "has_marker", F.explode_outer(F.array_distinct("query_terms")).alias("term"))
     vocabulary = clusters.select("security_id", "event_id", F.explode("event_terms").alias("term"))
     anywhere = vocabulary.select("term").distinct().withColumn("__known", F.lit(True))
@@ -118,21 +122,30 @@ def select_events(requests: DataFrame, clusters: DataFrame, members: DataFrame)
         "request_id", "security_id", "as_of", "has_marker"
     ).agg(F.coalesce(F.bool_or("__known"), F.lit(False)).alias("known"), F.coalesce(F.bool_or("__own"), F.lit(False)).alias("own"))
     active = judged.where((F.col("own") | ~F.col("known")) & (F.col("own") | F.col("has_marker")))
-    overlap = asked.join(vocabulary, ["security_id", "term"]).groupBy("request_id", "event_id").agg(F.countDistinct("term").alias("overlap"))
-    at_cutoff = hinted_join(members.select("security_id", "event_id", "published_at"), active, ["security_id"], small).where(
-        F.col("published_at") <= F.col("as_of")
-    ).groupBy("request_id", "security_id", "event_id", "as_of", "own").agg(
-        F.count(F.lit(1)).alias("eligible"), F.max("published_at").alias("latest")
-    )
-    scored = at_cutoff.where(F.col("eligible") >= 2).join(overlap, ["request_id", "event_id"], "left").withColumn(
-        "overlap", F.coalesce("overlap", F.lit(0))
-    ).where(~F.col("own") | (F.col("overlap") > 0))
-    order = [F.col("overlap").desc(), F.col("latest").desc(), F.col("event_id")]
-    return keep_first(scored, ["request_id"], order).select("request_id", "security_id", "as_of", "event_id", "eligible", "overlap", "latest")
+    keys = ["request_id", "security_id", "as_of"]
+
+    overlap = asked.join(vocabulary, ["security_id", "term"]).groupBy(*keys, "event_id").agg(F.countDistinct("term").alias("overlap"))
+    by_term = overlap.join(active.where("own").select("request_id"), "request_id", "left_semi")
+    # The second and later articles of an event are those that make it eligible.
+    order = F.struct("published_at", "news_id")
+    first = members.groupBy("event_id").agg(F.min(order).alias("first")).select("event_id", "first.*")
+    later = members.select("security_id", "event_id", "published_at", "news_id").join(first, ["event_id", "published_at", "news_id"], "left_anti")
+    arrivals = later.groupBy("security_id", "published_at").agg(F.min("event_id").alias("event_id"))
+    latest = asof_join(active.where("NOT own").select(*keys), arrivals, ["security_id"], "as_of", "published_at", ["event_id"], 86_400)
+    by_time = latest.where(F.col("event_id").isNotNull()).select(*keys, "event_id").withColumn("overlap", F.lit(0).cast("bigint"))
+
+    pairs = by_term.unionByName(by_time)
+    cutoffs = pairs.select("event_id", "as_of").distinct()
+    at_cutoff = members.select("event_id", "published_at").join(cutoffs, "event_id").where(F.col("published_at") <= F.col("as_of")).groupBy(
+        "event_id", "as_of"
+    ).agg(F.count(F.lit(1)).alias("eligible"), F.max("published_at").alias("latest"))
+    scored = pairs.join(at_cutoff.where(F.col("eligible") >= 2), ["event_id", "as_of"])
+    best = keep_first(scored, ["request_id"], [F.col("overlap").desc(), F.col("latest").desc(), F.col("event_id")])
+    return best.select("request_id", "security_id", "as_of", "event_id", "eligible", "overlap", "latest")
 
 
 def topic_links(
-    focus: DataFrame, backgrounds: DataFrame, kind: str, limit: int, generic: Sequence[str] | None = None
+    focus: DataFrame, backgrounds: DataFrame, kind: str, limit: int, generic: Sequence[str] | None = None, small: bool | None = None,
 ) -> DataFrame:
     """JOI-15 / TOP-03 / TOP-04: best backgrounds per request by shared topics.
 
@@ -143,7 +156,8 @@ def topic_links(
     rows = backgrounds.select(
         "security_id", "source_id", "published_at", "publisher", "link_basis", F.explode(F.array_distinct("topics")).alias("term")
     )
-    hits = hinted_join(rows, focus.distinct(), ["security_id", "term"], is_small(focus)).where(F.col("published_at") <= F.col("as_of"))
+    small = is_small(focus) if small is None else small
+    hits = hinted_join(rows, focus.distinct(), ["security_id", "term"], small).where(F.col("published_at") <= F.col("as_of"))
     counted = hits.groupBy("request_id", "source_id", "published_at", "publisher", "link_basis").agg(
         F.count_if(~F.col("term").isin(list(generic))).alias("specific"), F.count(F.lit(1)).alias("shared")
     ).where(F.col("specific") > 0)
@@ -189,7 +203,8 @@ def compare_evidence(
     claims: DataFrame | None = None, generic: Sequence[str] | None = None,
 ) -> DataFrame:
     """CMP-16: one comparison per request with an event: article counts, links, claims and status."""
-    selected = select_events(requests, clusters, members)
+    # One row per request: kept, because every part below starts from it.
+    selected = cut_lineage(select_events(requests, clusters, members))
     event_terms = selected.join(clusters.select("event_id", "event_terms"), "event_id").select(
         "request_id", "security_id", "as_of", F.explode("event_terms").alias("term")
     )
@@ -197,8 +212,9 @@ def compare_evidence(
         "request_id", "security_id", "as_of", F.explode("query_terms").alias("term")
     )
     focus = event_terms.unionByName(asked).distinct()
-    reports = topic_links(focus, perspectives, "report", fixed.PERSPECTIVE_LIMIT, generic)
-    filings = topic_links(focus, backgrounds, "disclosure", fixed.DISCLOSURE_LINK_LIMIT, generic)
+    small = is_small(focus)
+    reports = topic_links(focus, perspectives, "report", fixed.PERSPECTIVE_LIMIT, generic, small)
+    filings = topic_links(focus, backgrounds, "disclosure", fixed.DISCLOSURE_LINK_LIMIT, generic, small)
     counts = [
         reports.groupBy("request_id").agg(F.count(F.lit(1)).alias("perspectives")),
         filings.groupBy("request_id").agg(F.count(F.lit(1)).alias("disclosure_links")),

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from lodestone import fixed_values as fixed
 from lodestone.functions import times
-from lodestone.operators.skew import hinted_join, is_small, top_rows
 
 PRICE = "decimal(18,6)"
 
@@ -70,16 +69,22 @@ def asof_join(
     return matched.select("__left.*", "__match.*")
 
 
-def latest_in_range(snapshots: DataFrame, requests: DataFrame) -> DataFrame:
+def latest_in_range(snapshots: DataFrame, requests: DataFrame, bucket_days: int = 31) -> DataFrame:
     """JOI-08: newest snapshot of each request's security inside its day range.
 
-    Each request keeps one row, cut before the shuffle.
+    The newest one up to the end day is an as-of match on days, and it counts when it does not lie
+    before the start day; so no request meets more than one snapshot of its security.
     """
-    joined = hinted_join(snapshots, requests, ["security_id"], is_small(requests)).where(
-        (F.col("start_day").isNull() | (F.col("trading_date") >= F.col("start_day")))
-        & (F.col("end_day").isNull() | (F.col("trading_date") <= F.col("end_day")))
+    keys = ["security_id", "trading_date"]
+    values = [name for name in snapshots.columns if name not in keys]
+    newest = snapshots.groupBy(*keys).agg(F.max_by(F.struct(*values), "observed_at").alias("snapshot"))
+    days = newest.withColumn("day_at", F.col("trading_date").cast("timestamp"))
+    last_day = F.coalesce(F.col("end_day"), F.lit("9999-12-30").cast("date")).cast("timestamp")
+    matched = asof_join(
+        requests.withColumn("until", last_day), days, ["security_id"], "until", "day_at", ["trading_date", "snapshot"], bucket_days * 86_400
     )
-    return top_rows(joined, ["request_id"], [F.col("trading_date").desc(), F.col("observed_at").desc()], 1)
+    found = matched.where(F.col("trading_date").isNotNull() & (F.col("start_day").isNull() | (F.col("trading_date") >= F.col("start_day"))))
+    return found.select(*requests.columns, "trading_date", "snapshot.*")
 
 
 def daily_closes(bars: DataFrame, security: str = "security_id") -> DataFrame:
