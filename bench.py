@@ -42,7 +42,7 @@ def main() -> None:
 
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("lodestone-bench")
-        .config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
+        .config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false").config("spark.python.sql.dataFrameDebugging.enabled", "false").config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
