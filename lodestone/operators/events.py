@@ -145,12 +145,12 @@ def select_events(requests: DataFrame, clusters: DataFrame, members: DataFrame)
 
 
 def topic_links(
-    focus: DataFrame, backgrounds: DataFrame, kind: str, limit: int, generic: Sequence[str] | None = None, small: bool | None = None,
+    focus: DataFrame, backgrounds: DataFrame, kind: str, limit: int | None, generic: Sequence[str] | None = None, small: bool | None = None,
 ) -> DataFrame:
     """JOI-15 / TOP-03 / TOP-04: best backgrounds per request by shared topics.
 
     ``focus``: request_id, security_id, as_of, term (one row each). ``backgrounds``: source_id, security_id,
-    topics, published_at, publisher, link_basis. ``kind`` is ``report`` or ``disclosure``.
+    topics, published_at, publisher, link_basis. ``kind`` is ``report`` or ``disclosure``. Without a ``limit`` every link comes, unranked.
     """
     generic = fixed.GENERIC_LINK_TOPICS if generic is None else generic
     rows = backgrounds.select(
@@ -167,7 +167,10 @@ def topic_links(
     else:
         score = F.col("specific") * 100 + F.col("shared") * 10 + (F.col("link_basis") == "official_list_metadata").cast("int")
         order = [F.col("score").desc(), F.col("published_at").desc(), F.col("source_id")]
-    return top_rows(counted.withColumn("score", score), ["request_id"], order, limit, "link_rank").select(
+    scored = counted.withColumn("score", score)
+    if limit is None:
+        return scored.select("request_id", "source_id", "score")
+    return top_rows(scored, ["request_id"], order, limit, "link_rank").select(
         "request_id", "source_id", "score", "link_rank"
     )
 

@@ -197,9 +197,10 @@ def prioritize(rows: DataFrame, limit: ColumnLike = "answer_limit") -> DataFrame
 def prefix_text(rows: DataFrame, key: str, order: list[Column], piece: str, max_chars: int = fixed.MEMORY_CHARS) -> DataFrame:
     """WIN-15: pieces joined by newlines up to ``max_chars``, the crossing piece cut.
 
-    Each piece costs at least two characters with its newline, so only the first ``max_chars`` pieces matter.
+    Every piece but the first costs at least two characters with its newline, so the pieces that can
+    fit are few and are cut out before the shuffle.
     """
-    head = top_rows(rows.where(F.length(piece) > 0), [key], order, max_chars // 2 + 1, "__rank")
+    head = top_rows(rows.where(F.length(piece) > 0), [key], order, (max_chars + 1) // 2, "__rank")
     running = Window.partitionBy(key).orderBy("__rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     used = F.sum(F.length(piece) + F.when(F.col("__rank") == 1, F.lit(0)).otherwise(F.lit(1))).over(running)
     sized = head.withColumn("__used", used).withColumn(

@@ -135,9 +135,9 @@ def _focus(spark: SparkSession, sf_dir: str) -> DataFrame:
 GENERIC = ["the", "of", "and"]
 
 
-@query("joi_15_topic_links", f"WITH {BACK_SQL}, {FOCUS_SQL}, {link_sql('report', 1000000)} SELECT request_id, source_id, score FROM links")
+@query("joi_15_topic_links", f"WITH {BACK_SQL}, {FOCUS_SQL}, {link_sql('report', 3)} SELECT request_id, source_id, CAST(s * 100 + n AS BIGINT) AS score FROM hit WHERE s > 0")
 def topic_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.topic_links(_focus(spark, sf_dir), _backgrounds(spark, sf_dir), "report", 1_000_000, GENERIC).select("request_id", "source_id", "score")
+    return events.topic_links(_focus(spark, sf_dir), _backgrounds(spark, sf_dir), "report", None, GENERIC)
 
 
 @query("top_03_report_perspectives", f"WITH {BACK_SQL}, {FOCUS_SQL}, {link_sql('report', 3)} SELECT request_id, source_id, score, CAST(link_rank AS INTEGER) AS link_rank FROM links")

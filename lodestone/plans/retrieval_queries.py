@@ -492,9 +492,13 @@ def ordered_subsequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = _hit_rows(spark, sf_dir)
     selected, _ = selection.budget_context(rows, _required(spark, sf_dir), max_chars=5000)
-    inputs = selection.diversify(
-        rows.join(_required(spark, sf_dir), "request_id"), _position(), 1_000
-    ).select("request_id", "evidence_id", F.col("place").alias("input_position"))
+    firsts = keep_first(rows, ["request_id", "source_type"], _position()).select("request_id", "evidence_id", F.lit(True).alias("is_first"))
+    place = F.nullif(F.array_position("required_sources", F.col("source_type")), F.lit(0))
+    lead = F.when(F.coalesce("is_first", F.lit(False)), F.coalesce(place, F.lit(100))).otherwise(F.lit(100))
+    # Priority order as one number: place of the source for its first row, then the input position.
+    inputs = rows.join(firsts, ["request_id", "evidence_id"], "left").join(_required(spark, sf_dir), "request_id").select(
+        "request_id", "evidence_id", (lead.cast("bigint") * 1_000_000_000_000_000 + F.col("position")).alias("input_position")
+    )
     return check(selected.select("request_id", "evidence_id", F.col("place").alias("output_position")), inputs, "request_id", "evidence_id")
 
 

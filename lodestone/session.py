@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import lodestone
+
+# Functions sent to Python workers travel by value, so the package need not be installed on them.
+cloudpickle.register_pickle_by_value(lodestone)
+
 # Runtime SQL settings; all of them can be changed on a live session.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
