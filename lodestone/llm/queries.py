@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.common import table
+from lodestone.llm.packing import pack_documents
 from lodestone.llm.registry import ORACLES, QUERIES, query
 from lodestone.llm.sharding import shard_documents
 
@@ -14,3 +15,15 @@ __all__ = ["ORACLES", "QUERIES"]
 @query("op6_sampled_splitters")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public tokenizer's file, the same on all machines."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op9_linear_grouping_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
