@@ -51,7 +51,7 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list
     return [(basis[:, j].astype(int), level[j]) for j in range(kinds) if level[j] > 1e-9]
 
 
-def plan(counts: dict[int, int], capacity: int, groups: int = 32, small: float = 1 / 6) -> list[Place]:
+def plan(counts: dict[int, int], capacity: int, groups: int = 256, small: float = 1 / 3) -> list[Place]:
     """Places for ``counts`` pieces of each length; sequence numbers are gapless from 0."""
     places: list[Place] = []
     taken: dict[int, int] = {}
@@ -166,7 +166,7 @@ def token_pieces(documents: DataFrame, path: str, capacity: int = 2048, end_id:
     return documents.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, groups: int = 32, rows_a_part: int = 5_000_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, groups: int = 256, rows_a_part: int = 5_000_000) -> DataFrame:
     """``pieces`` with sequence_id and offset: no sequence holds more than ``capacity``, and offsets in one are gapless.
 
     ``length`` must be 1 to ``capacity``. Ranks within one length are counted in parts, so a length
@@ -206,7 +206,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, groups: int = 32, rows_a_part:
     return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
 
 
-def pack_documents(documents: DataFrame, path: str, capacity: int = 2048, groups: int = 32) -> DataFrame:
+def pack_documents(documents: DataFrame, path: str, capacity: int = 2048, groups: int = 256) -> DataFrame:
     """Tokenize, cut and pack ``documents`` (doc_id, text); other columns are not read."""
     packed = pack(token_pieces(documents, path, capacity), capacity, groups)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
