@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.common import table
+from lodestone.llm.language import predict_languages
 from lodestone.llm.packing import pack_documents
 from lodestone.llm.registry import ORACLES, QUERIES, query
 from lodestone.llm.sharding import shard_documents
@@ -27,3 +28,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 @query("op9_linear_grouping_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op7_mixture_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(table(spark, sf_dir, "documents"))

@@ -9,6 +9,8 @@ import numpy as np
 # Text that the tokenizer cuts apart anyway: white space separates tokens and is dropped.
 SIMPLE = re.compile(r"[a-zà-öø-ÿ]+")
 ENDED = re.compile(r"([a-zà-öø-ÿ]+)([.,;:!?]+)")
+# Separators to str.split, but not white space to the tokenizer.
+SEPARATORS = re.compile("[\x1c-\x1f]")
 CACHE_WORDS = 400_000
 
 
@@ -23,7 +25,8 @@ class WordIds:
     """Ids of a text as little-endian 32-bit bytes, equal to ``encode(text, add_special_tokens=False)``.
 
     Words of white-space-separated text are encoded alone and kept in a bounded cache. Texts with a
-    ``<|`` mark, which may be a special token, go through the tokenizer whole.
+    ``<|`` mark, which may be a special token, or with a separator character that only one side
+    takes for white space go through the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -57,7 +60,7 @@ class WordIds:
         return self.cache.get(word) or self._word(word)
 
     def __call__(self, text: str) -> bytes:
-        if "<|" in text:
+        if "<|" in text or SEPARATORS.search(text):
             return self._whole(text)
         found = self.cache.get
         return b"".join([found(word) or self._word(word) for word in text.split()])
