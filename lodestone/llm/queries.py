@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestone.llm.common import table
 from lodestone.llm.language import predict_languages
 from lodestone.llm.packing import pack_documents
+from lodestone.llm.quality import predict_quality
 from lodestone.llm.registry import ORACLES, QUERIES, query
 from lodestone.llm.sharding import shard_documents
 
@@ -33,3 +34,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_mixture_language_id")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(table(spark, sf_dir, "documents"))
+
+
+@query("op8_subword_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
