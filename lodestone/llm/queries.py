@@ -10,6 +10,7 @@ from lodestone.llm.packing import pack_documents
 from lodestone.llm.quality import predict_quality
 from lodestone.llm.registry import ORACLES, QUERIES, query
 from lodestone.llm.sharding import shard_documents
+from lodestone.llm.warc import archive_pages
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -39,3 +40,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_subword_quality")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP3_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
+@query("op3_warc_revisits", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"))
