@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.common import table
+from lodestone.llm.fingerprints import fingerprint_documents
 from lodestone.llm.language import predict_languages
 from lodestone.llm.packing import pack_documents
 from lodestone.llm.quality import predict_quality
@@ -56,3 +57,8 @@ FROM f
 @query("op3_warc_revisits", OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op4_consistent_parsing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
