@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestone.llm.common import table
 from lodestone.llm.fingerprints import fingerprint_documents
 from lodestone.llm.language import predict_languages
+from lodestone.llm.mixing import mix, quality_domains
 from lodestone.llm.packing import pack_documents
 from lodestone.llm.quality import predict_quality
 from lodestone.llm.registry import ORACLES, QUERIES, query
@@ -62,3 +63,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_consistent_parsing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op5_soft_mixing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), quality_domains(table(spark, sf_dir, "labels")))
