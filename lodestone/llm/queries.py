@@ -12,6 +12,7 @@ from lodestone.llm.packing import pack_documents
 from lodestone.llm.quality import predict_quality
 from lodestone.llm.registry import ORACLES, QUERIES, query
 from lodestone.llm.sharding import shard_documents
+from lodestone.llm.topk import nearest
 from lodestone.llm.warc import archive_pages
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -68,3 +69,22 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_soft_mixing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), quality_domains(table(spark, sf_dir, "labels")))
+
+
+OP2_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum(list_transform(list_zip(q.vec, c.vec), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query("op2_impact_ordered_topk", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
