@@ -12,6 +12,7 @@ from lodestone.llm.packing import pack_documents
 from lodestone.llm.quality import predict_quality
 from lodestone.llm.registry import ORACLES, QUERIES, query
 from lodestone.llm.sharding import shard_documents
+from lodestone.llm.suffixes import remove_repeats
 from lodestone.llm.topk import nearest
 from lodestone.llm.warc import archive_pages
 
@@ -88,3 +89,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 @query("op2_impact_ordered_topk", OP2_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op1_suffix_array_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
