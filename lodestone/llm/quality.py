@@ -21,8 +21,8 @@ from lodestone.llm.language import held_out
 
 BITS = 16
 WIDTH = 8
-LABELLED_ROWS = 6_000
-EPOCHS = 12
+LABELLED_ROWS = 10_000
+EPOCHS = 10
 RATE = 0.5
 
 
@@ -121,7 +121,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> t
             yield pd.DataFrame({"folded": [folded.astype("<f4").tobytes()], "bias": [bias]})
 
     counted = texts.mapInArrow(count, "doc string, quality int, buckets binary, counts binary")
-    model = counted.coalesce(1).mapInPandas(learn, "folded binary, bias double").first()
+    model = counted.repartition(1).mapInPandas(learn, "folded binary, bias double").first()
     if model is None:
         return np.zeros(2 << BITS, np.float32), 0.0
     return np.frombuffer(bytes(model[0]), "<f4"), model[1]
