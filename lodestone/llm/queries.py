@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.common import table
 from lodestone.llm.fingerprints import fingerprint_documents
+from lodestone.llm.jaccard import link_documents
 from lodestone.llm.language import predict_languages
 from lodestone.llm.mixing import mix, quality_domains
 from lodestone.llm.packing import pack_documents
@@ -94,3 +95,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_suffix_array_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op10_size_aware_jaccard")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_documents(table(spark, sf_dir, "documents"))
