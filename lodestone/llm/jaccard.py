@@ -227,11 +227,11 @@ def candidate_edges(sets: DataFrame, light: int) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(ranges + 1, dtype=np.uint64))
             kept = [(r, order[cuts[r] : cuts[r + 1]]) for r in range(ranges) if cuts[r] < cuts[r + 1]]
-            rows = len(kept) + bool(len(a))
+            ready = [int(bucket[0])] if len(a) else []
             yield pa.RecordBatch.from_arrays([
-                pa.array([r for r, _ in kept] + [int(key[0] % np.uint64(ranges))] * (rows - len(kept)), pa.int32()),
-                pa.array([_planes(key[at]) for _, at in kept] + [None] * (rows - len(kept)), pa.binary()),
-                pa.array([_planes(node[at]) for _, at in kept] + [_planes(np.concatenate([a, b]))] * (rows - len(kept)), pa.binary()),
+                pa.array([r for r, _ in kept] + ready, pa.int32()),
+                pa.array([_planes(key[at]) for _, at in kept] + [None] * len(ready), pa.binary()),
+                pa.array([_planes(node[at]) for _, at in kept] + [_planes(np.concatenate([a, b]))] * len(ready), pa.binary()),
             ], names=["r", "keys", "docs"])
 
     def meet(table: pa.Table) -> pa.Table:

@@ -140,15 +140,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def resolve_revisits(headers: DataFrame) -> DataFrame:
     """``headers`` with ``refers_to``: the page of the response that a revisit names, null for responses and broken references.
 
-    Headers meet by payload digest; responses are reduced to one row per digest and record before the join.
+    Headers meet by payload digest and record; the responses that revisits name are one row each before the join.
     """
-    named = headers.groupBy("payload_digest").agg(
-        F.min(F.when(F.col("record_type") == "response", F.struct("page_id", "record_id"))).alias("__first"),
-        F.count(F.when(F.col("record_type") == "revisit", 1)).alias("__revisits"),
-    ).where("__revisits > 0").select("payload_digest", F.col("__first.page_id").alias("__page"), F.col("__first.record_id").alias("__record"))
-    joined = spread_join(headers, cut_lineage(named), ["payload_digest"], "left", max_rows=50_000)
-    found = (F.col("record_type") == "revisit") & (F.col("refers_to_id") == F.col("__record"))
-    return joined.withColumn("refers_to", F.when(found, F.col("__page"))).drop("__page", "__record")
+    keys = ["payload_digest", "refers_to_id"]
+    wanted = headers.where("record_type = 'revisit'").select(*keys).distinct()
+    named = headers.where("record_type = 'response'").select("payload_digest", F.col("record_id").alias("refers_to_id"), "page_id")
+    found = cut_lineage(named.join(wanted, keys, "left_semi").groupBy(*keys).agg(F.min("page_id").alias("__page")))
+    joined = spread_join(headers, found, keys, "left", max_rows=50_000)
+    return joined.withColumn("refers_to", F.when(F.col("record_type") == "revisit", F.col("__page"))).drop("__page")
 
 
 def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
