@@ -208,7 +208,9 @@ def _unplaned(data: bytes) -> np.ndarray:
 
 def candidate_edges(sets: DataFrame, light: int) -> DataFrame:
     """Edges (a, b) that join all documents with a common key; ``sets`` has doc_id and shingles (binary)."""
-    ranges = int(min(4_096, max(8, sets.count() // 4_000)))
+    # A document is named once in each range that holds one of its keys, so ranges are few: at 40,000 documents
+    # one holds some five million entries.
+    ranges = int(min(4_096, max(8, sets.count() // 40_000)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "shingles", 8_000_000):
