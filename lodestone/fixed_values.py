@@ -430,3 +430,12 @@ AGREEMENT_MINIMUM = 5
 NO_PASS_THRESHOLD = 1.000001
 REPORT_STALE_DAYS = 180
 COVERAGE_READY = {"total": 5, "pre_market": 1, "intraday": 2}
+
+# What marks a path of a local machine in a text: drive, network share, slashed host, file URL, absolute path.
+LOCAL_PATH_PATTERNS = [
+    r"(?<![A-Za-z0-9_])[A-Za-z]:[\\/]",
+    r"\\\\[^\\/\s]+[\\/][^\\/\s]+",
+    r"(?<![A-Za-z0-9_:])//[^/\s]+/[^/\s]+",
+    r"(?i:file://)",
+    r"(?:^|[\s\"'()=\[\]{},;])/(?![/\s])",
+]

@@ -175,33 +175,42 @@ def numeric_tokens(text: ColumnLike) -> Column:
     return F.array_distinct(F.transform(found, lambda token: F.regexp_replace(token, BLANKS, "")))
 
 
-@F.pandas_udf(StringType())
-def _humanize(values: pd.Series) -> pd.Series:
-    import re
-
-    pattern = re.compile(fixed.AMOUNT_PATTERN)
-
-    def one(text: str | None) -> str | None:
-        if text is None:
-            return None
-        parts, end = [], 0
-        for found in pattern.finditer(text):
-            figure, unit = found.groups()
-            trillions = int(figure.replace(",", "")) / fixed.AMOUNT_UNITS[unit]
-            quoted = fixed.AMOUNT_ORIGINAL_MARK in text[max(0, found.start() - 8) : found.start()]
-            shown = found.group(0) if quoted or trillions < 1 else f"약 {trillions:,.1f}조원(공시 원문 {figure}{unit})"
-            parts += [text[end : found.start()], shown]
-            end = found.end()
-        return "".join(parts) + text[end:]
-
-    return values.map(one)
-
-
 def humanize_amounts(text: ColumnLike) -> Column:
-    """TXT-10: large Korean amounts in trillions, the printed figure kept in brackets."""
+    """TXT-10: large Korean amounts in trillions, the printed figure kept in brackets.
+
+    The text is cut at its amounts; each amount is spelled anew from its own figure and unit, unless
+    it is small or the eight characters before it call it the original. Figures are rounded as the
+    binary doubles they are.
+    """
     value = as_column(text)
-    needed = value.rlike(fixed.AMOUNT_PATTERN)
-    return F.when(needed, _humanize(F.when(needed, value))).otherwise(value)
+    figure_of = lambda amount: F.regexp_extract(amount, r"^[\d,]+", 0)
+    units = F.create_map(*[F.lit(part) for pair in fixed.AMOUNT_UNITS.items() for part in pair])
+
+    def spelled(amount: Column, before: Column) -> Column:
+        figure = figure_of(amount)
+        unit = F.substring(amount, F.length(figure) + 1, F.length(amount))
+        trillions = F.replace(figure, F.lit(","), F.lit("")).cast("double") / units[unit]
+        long = F.concat(F.lit("약 "), F.format_number(trillions, 1), F.lit("조원(공시 원문 "), amount, F.lit(")"))
+        return F.when(F.contains(before, F.lit(fixed.AMOUNT_ORIGINAL_MARK)) | (trillions < 1), amount).otherwise(long)
+
+    def rebuilt(whole: Column, amounts: Column, pieces: Column) -> Column:
+        # Pieces stand before, between and after the amounts: one more than these.
+        start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
+
+        def step(held: Column, pair: Column) -> Column:
+            at = held["at"] + F.length(pair["piece"])
+            before = F.substr(whole, F.greatest(at - 7, F.lit(1)), F.least(at, F.lit(8)))
+            shown = F.when(pair["amount"].isNull(), F.lit("")).otherwise(spelled(pair["amount"], before))
+            return F.struct(
+                F.concat(held["done"], pair["piece"], shown).alias("done"),
+                (at + F.coalesce(F.length(pair["amount"]), F.lit(0))).alias("at"),
+            )
+
+        return F.aggregate(F.arrays_zip(pieces.alias("piece"), amounts.alias("amount")), start, step)["done"]
+
+    pattern = F.lit(fixed.AMOUNT_PATTERN)
+    parts = F.struct(F.regexp_extract_all(value, pattern, F.lit(0)).alias("amounts"), F.split(value, fixed.AMOUNT_PATTERN, -1).alias("pieces"))
+    return F.when(value.rlike(fixed.AMOUNT_PATTERN), let(parts, lambda p: rebuilt(value, p["amounts"], p["pieces"]))).otherwise(value)
 
 
 def title_terms(

@@ -105,13 +105,7 @@ def has_credential_key(url: ColumnLike) -> Column:
     return F.exists(names, lambda name: name.rlike(f"^(?:{keys})$"))
 
 
-LOCAL_PATH = (
-    r"(?<![A-Za-z0-9_])[A-Za-z]:[\\/]"
-    r"|\\\\[^\\/\s]+[\\/][^\\/\s]+"
-    r"|(?<![A-Za-z0-9_:])//[^/\s]+/[^/\s]+"
-    r"|(?i:file://)"
-    r"|(?:^|[\s\"'()=\[\]{},;])/(?![/\s])"
-)
+LOCAL_PATH = "|".join(fixed.LOCAL_PATH_PATTERNS)
 
 
 def has_local_path(text: ColumnLike) -> Column:

@@ -13,8 +13,8 @@ from lodestone.operators.skew import hinted_join, is_small
 
 
 def claim_links(claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """JOI-17: one row per (claim, evidence id); evidence columns are null when the id is unknown."""
-    rows = claims.select("claim_id", "request_id", "text", F.explode(F.array_distinct("evidence_ids")).alias("evidence_id"))
+    """JOI-17: one row per (claim, evidence id); evidence columns are null when the id is unknown, the id when a claim names none."""
+    rows = claims.select("claim_id", "request_id", "text", F.explode_outer(F.array_distinct("evidence_ids")).alias("evidence_id"))
     return rows.join(evidence, "evidence_id", "left")
 
 
@@ -62,26 +62,25 @@ def claim_grounding(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     """CMP-06: per claim, whether its evidence supports it.
 
     A claim found verbatim in its only evidence is grounded. Otherwise at least two of its tokens and
-    30 % of them must occur in the evidence, and every evidence must share a token. Tokens meet by
-    an equi-join, so no pair of texts is compared in one place.
+    30 % of them must occur in the evidence, and every evidence must share a token. Only cited
+    evidence is read: the texts meet once by id and their tokens are intersected in the row.
     """
-    links = claims.select("claim_id", fold("text").alias("claim_text"), F.explode(F.array_distinct("evidence_ids")).alias("evidence_id"))
-    texts = evidence.select("evidence_id", fold("snippet").alias("snippet_text"))
-    quoted = links.join(texts, "evidence_id").groupBy("claim_id").agg(
-        F.count(F.lit(1)).alias("sources"), F.bool_or(F.contains("snippet_text", "claim_text")).alias("quoted")
+    links = claims.select(
+        "claim_id", fold("text").alias("claim_text"), grounding_tokens("text").alias("asked"), F.explode(F.array_distinct("evidence_ids")).alias("evidence_id")
+    )
+    texts = evidence.select("evidence_id", fold("snippet").alias("snippet_text"), grounding_tokens("snippet").alias("offered"))
+    shared = F.array_intersect("asked", "offered")
+    read = links.join(texts, "evidence_id").select(
+        "claim_id", F.size(F.array_distinct("asked")).alias("wanted"), shared.alias("shared"), F.contains("snippet_text", "claim_text").alias("quoted")
+    )
+    # A claim names a handful of evidences, each with the claim's own tokens at most.
+    rows = read.groupBy("claim_id").agg(
+        F.count(F.lit(1)).alias("sources"), F.bool_or("quoted").alias("quoted"), F.max("wanted").alias("wanted"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("shared")))).alias("overlap"), F.count_if(F.size("shared") > 0).alias("touched"),
     )
-    tokens = claims.select("claim_id", "evidence_ids", F.explode(grounding_tokens("text")).alias("token"))
-    wanted = tokens.groupBy("claim_id").agg(F.count(F.lit(1)).alias("wanted"))
-    asked = tokens.select("claim_id", "token", F.explode(F.array_distinct("evidence_ids")).alias("evidence_id"))
-    offered = evidence.select("evidence_id", F.explode(grounding_tokens("snippet")).alias("token"))
-    shared = asked.join(offered, ["evidence_id", "token"])
-    overlap = shared.groupBy("claim_id").agg(F.countDistinct("token").alias("overlap"), F.countDistinct("evidence_id").alias("touched"))
-    zero = F.lit(0).cast("bigint")
-    rows = quoted.join(wanted, "claim_id", "left").join(overlap, "claim_id", "left")
     enough = (
-        (F.coalesce("overlap", zero) >= fixed.GROUNDING_MIN_SHARED)
-        & (F.coalesce("overlap", zero) / F.coalesce("wanted", F.lit(1)) >= fixed.GROUNDING_MIN_COVERAGE)
-        & (F.coalesce("touched", zero) == F.col("sources"))
+        (F.col("overlap") >= fixed.GROUNDING_MIN_SHARED) & (F.col("overlap") / F.greatest("wanted", F.lit(1)) >= fixed.GROUNDING_MIN_COVERAGE)
+        & (F.col("touched") == F.col("sources"))
     )
     return rows.select("claim_id", (((F.col("sources") == 1) & F.col("quoted")) | enough).alias("grounded"))
 
@@ -91,7 +90,7 @@ def validate_citations(claims: DataFrame, requests: DataFrame, evidence: DataFra
     links = hinted_join(claim_links(claims, evidence), requests.select("request_id", "security_id"), ["request_id"], is_small(requests))
     unknown = F.col("document_id").isNull()
     company = ~F.coalesce(scope_match("security_id"), F.lit(False))
-    row_reason = F.when(unknown, F.lit(1)).when(company, F.lit(2)).when(F.col("locator_issue") == "invalid_locator", F.lit(3)).when(
+    row_reason = F.when(F.col("evidence_id").isNull(), F.lit(5)).when(unknown, F.lit(1)).when(company, F.lit(2)).when(F.col("locator_issue") == "invalid_locator", F.lit(3)).when(
         F.col("locator_issue") == "unsafe_source_url", F.lit(4)
     )
     judged = links.withColumn("locator_issue", locator_reason()).withColumn("row_reason", row_reason)

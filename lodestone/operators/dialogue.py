@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from lodestone import fixed_values as fixed
 from lodestone.functions import times
 from lodestone.operators.scan import ordered_scan, text_result
-from lodestone.operators.skew import top_rows
+from lodestone.operators.skew import spread_join, top_rows
+from lodestone.session import cut_lineage
 
 
 def follow_up_plans(turns: DataFrame, rows_per_chunk: int = 100_000) -> DataFrame:
@@ -89,8 +90,10 @@ def admission(
     """STR-01 over a table: admitted or refused, refusals not counting towards the limits.
 
     ``requests``: the client, ``ts`` and ``request_id``. State is the admitted times of the last
-    window and the count of the local day.
+    window and the count of the local day. Where ``requests`` has a column ``closed``, a request for
+    which it is true is refused whatever its client did, and is not counted.
     """
+    gated = "closed" in requests.columns
     rows = requests.withColumn("at", F.unix_micros("ts")).withColumn("day", times.local_day("ts", zone).cast("string")).withColumn(
         client, F.col(client).cast("string")
     )
@@ -100,12 +103,12 @@ def admission(
         state = state or {"times": [], "day": None, "count": 0}
         recent, day, count = list(state["times"]), state["day"], state["count"]
         found = []
-        for at, today in zip(run["at"], run["day"], strict=True):
+        for at, today, closed in zip(run["at"], run["day"], run["closed"] if gated else [False] * len(run), strict=True):
             at = int(at)
             if today != day:
                 day, count = today, 0
             recent = [t for t in recent if t > at - span]
-            good = len(recent) < limit and count < daily
+            good = len(recent) < limit and count < daily and not closed
             if good:
                 recent.append(at)
                 count += 1
@@ -115,9 +118,30 @@ def admission(
     return ordered_scan(rows, client, ["at", "request_id"], step, text_result("decision"), rows_per_chunk).drop("at")
 
 
-def within_global_day_limit(admitted: DataFrame, limit: int = fixed.ADMISSION_GLOBAL_DAY_LIMIT) -> DataFrame:
-    """STR-01, second pass: the first ``limit`` admitted requests of each local day."""
-    return top_rows(admitted.where(F.col("decision") == "admitted"), ["day"], [F.col("ts"), F.col("request_id")], limit)
+def admission_within_global_limit(
+    requests: DataFrame, limit: int = fixed.ADMISSION_GLOBAL_DAY_LIMIT, zone: str = fixed.LOCAL_ZONE, rows_per_chunk: int = 100_000
+) -> DataFrame:
+    """STR-01 with the limit on all clients' requests of a local day; what it refuses fills no client's window.
+
+    A day is open until its ``limit``-th admission; where that lies depends on the day before only.
+    So the walk is repeated with the closing places found so far until they stay: one more time
+    than days in a row whose closing changes the next one's.
+    """
+    rows = cut_lineage(requests.withColumn("__day", times.local_day("ts", zone).cast("string")))
+    place = F.struct("ts", "request_id")
+    closing = None
+    while True:
+        if closing is None:
+            gated = rows.withColumn("closed", F.lit(False))
+        else:
+            gated = spread_join(rows, closing, ["__day"], "left").withColumn("closed", F.coalesce(place > F.col("__last"), F.lit(False))).drop("__last")
+        decided = cut_lineage(admission(gated, zone=zone, rows_per_chunk=rows_per_chunk))
+        held = decided.where("decision = 'admitted'")
+        found = top_rows(held, ["__day"], [F.col("ts"), F.col("request_id")], limit, "__nth").where(F.col("__nth") == limit)
+        found = cut_lineage(found.select("__day", place.alias("__last")))
+        if closing is not None and found.exceptAll(closing).isEmpty() and closing.exceptAll(found).isEmpty():
+            return decided.drop("closed", "__day")
+        closing = found
 
 
 def suppress_repeats(requests: DataFrame, keys: list[str], ttl: int = fixed.REPEAT_TTL_SECONDS, rows_per_chunk: int = 100_000) -> DataFrame:

@@ -42,9 +42,11 @@ def counts_below(scores: DataFrame, by: str, buckets: int = 512) -> tuple[DataFr
     histogram = scores.where(F.col("score").isNotNull()).groupBy(by, "score").agg(
         F.count_if("label").alias("good"), F.count_if(~F.col("label")).alias("bad")
     )
-    low, high = histogram.agg(F.min("score"), F.max("score")).first()
-    width = (high - low) / buckets if low is not None and high > low else 1.0
-    placed = histogram.withColumn("range", F.floor((F.col("score") - F.lit(low or 0.0)) / F.lit(width)).cast("int"))
+    # Each metric has ranges of its own, so one with small values does not fall into a single range.
+    bounds = histogram.groupBy(by).agg(F.min("score").alias("low"), F.max("score").alias("high"))
+    width = F.when(F.col("high") > F.col("low"), (F.col("high") - F.col("low")) / F.lit(buckets)).otherwise(F.lit(1.0))
+    ranged = F.floor((F.col("score") - F.col("low")) / width).cast("int")
+    placed = spread_join(histogram, bounds, [by]).withColumn("range", ranged).drop("low", "high")
     sums = placed.groupBy(by, "range").agg(
         F.sum("good").alias("range_good"), F.sum("bad").alias("range_bad"), F.max("score").alias("range_top")
     )
@@ -71,14 +73,15 @@ def calibrate(scores: DataFrame, by: str, buckets: int = 512) -> DataFrame:
 
     Candidates are 0, 1.000001, every score and every midpoint between neighbouring scores.
     """
-    rows, totals = counts_below(scores, by, buckets)
+    rows, _ = counts_below(scores, by, buckets)
     # At a score and at the midpoint below it the same rows stay below.
     at_scores = rows.select(by, "all_good", "all_bad", "good_below", "bad_below", F.explode(F.array_compact(F.array(
         F.col("score"), F.when(F.col("lower").isNotNull(), (F.col("lower") + F.col("score")) / 2)
     ))).alias("threshold"))
-    top = totals.select(by, "all_good", "all_bad", F.col("all_good").alias("good_below"), F.col("all_bad").alias("bad_below"), F.lit(fixed.NO_PASS_THRESHOLD).alias("threshold"))
-    bottom = totals.select(by, "all_good", "all_bad", F.lit(0).cast("bigint").alias("good_below"), F.lit(0).cast("bigint").alias("bad_below"), F.lit(0.0).alias("threshold"))
-    candidates = at_scores.unionByName(top).unionByName(bottom).withColumn("false_fail", F.col("good_below")).withColumn(
+    ends = [rows.groupBy(by, "all_good", "all_bad").agg(
+        *[F.coalesce(F.sum(F.when(F.col("score") < F.lit(value), F.col(name))), F.lit(0)).alias(f"{name}_below") for name in ("good", "bad")]
+    ).withColumn("threshold", F.lit(value)) for value in (0.0, fixed.NO_PASS_THRESHOLD)]
+    candidates = at_scores.unionByName(ends[0]).unionByName(ends[1]).withColumn("false_fail", F.col("good_below")).withColumn(
         "false_pass", F.col("all_bad") - F.col("bad_below")
     ).withColumn("agreement", F.col("all_good") - F.col("good_below") + F.col("bad_below"))
     best = candidates.groupBy(by).agg(F.max(F.struct(

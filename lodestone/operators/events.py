@@ -13,6 +13,7 @@ from lodestone import fixed_values as fixed
 from lodestone.functions import hashing
 from lodestone.functions.text import ColumnLike, as_column, title_terms, word_array
 from lodestone.operators.market import asof_join
+from lodestone.operators.mentions import containing
 from lodestone.operators.scan import ordered_scan, text_result
 from lodestone.operators.skew import hinted_join, is_small, keep_first, top_rows
 from lodestone.session import cut_lineage
@@ -269,14 +270,11 @@ def first_facts(facts: DataFrame, topics: Column) -> DataFrame:
 def assign_by_title(perspectives: DataFrame, reports: DataFrame) -> DataFrame:
     """JOI-23: each needle must occur in one report title, each report be hit once; returns every row with its problem.
 
-    Needles are configuration (few), so they are compared as a literal list with each title.
+    Titles and needles meet by the join on character triples of ``mentions.containing``.
     """
-    rows = perspectives.select("needle").distinct().limit(1001).collect()
-    if len(rows) > 1000:
-        raise ValueError("more than 1000 title needles: use find_mentions to assign them")
-    needles = word_array(sorted(row["needle"] for row in rows))
-    hits = F.filter(needles, lambda needle: F.contains(F.lower("title"), F.lower(needle)))
-    per_report = reports.select("report_id", F.explode_outer(hits).alias("needle"))
+    needles = perspectives.select("needle").distinct().withColumn("term", F.lower("needle"))
+    hits = containing(reports.select("report_id", F.lower("title").alias("__title")), "__title", needles).select("report_id", "needle")
+    per_report = reports.select("report_id").join(hits, "report_id", "left")
     per_needle = per_report.groupBy("needle").agg(F.count(F.lit(1)).alias("reports"))
     hit_counts = per_report.groupBy("report_id").agg(F.count("needle").alias("needles"))
     judged = per_report.join(hit_counts, "report_id").join(per_needle, "needle", "left")

@@ -2,49 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import ColumnLike, as_column, clean_entities_first, fold
 from lodestone.operators.skew import salted_join
 
-LITERAL_TERMS = 500
 GRAM = 3
 
+Aliases = DataFrame | Mapping[str, Sequence[str]]
+
 
 def match_text(text: ColumnLike) -> Column:
     """Text as aliases are compared with it: cleaned and folded."""
     return fold(clean_entities_first(text))
 
 
-def find_mentions(texts: DataFrame, row_id: str, folded: str, aliases: DataFrame, literal_terms: int = LITERAL_TERMS) -> DataFrame:
-    """JOI-05: distinct (row, security) pairs; ``aliases`` has ``security_id`` and a folded ``term``.
+def containing(texts: DataFrame, folded: str, terms: DataFrame) -> DataFrame:
+    """Rows of ``texts`` beside each row of ``terms`` whose ``term`` their column ``folded`` contains.
 
-    A dictionary within ``literal_terms`` becomes a literal, scanned with the text in place. A larger
-    one is joined on the first three characters of each term, which the text offers as its distinct
-    character triples, and checked afterwards; no pair without a common triple is formed.
+    They meet on the first three characters of a term, which a text offers as its distinct character
+    triples, and are checked afterwards; no pair without a common triple is formed.
     """
-    terms = aliases.select("security_id", "term").where(F.length("term") > 0).distinct()
-    head = terms.limit(literal_terms + 1).collect()
-    if not head:
-        return texts.select(row_id, F.lit(None).cast("string").alias("security_id")).limit(0)
-    if len(head) <= literal_terms:
-        table = F.array(*[F.struct(F.lit(r["security_id"]).alias("security_id"), F.lit(r["term"]).alias("term")) for r in sorted(head)])
-        hits = F.filter(table, lambda entry: F.contains(F.col(folded), entry["term"]))
-        ids = F.array_distinct(F.transform(hits, lambda entry: entry["security_id"]))
-        return texts.select(row_id, F.explode(ids).alias("security_id"))
-    keyed = terms.withColumn("gram", F.substring("term", 1, GRAM))
+    keyed = terms.where(F.length("term") > 0).withColumn("gram", F.substring("term", 1, GRAM))
     sizes = F.array(*[F.lit(size) for size in range(1, GRAM + 1)])
     grams = F.array_distinct(F.flatten(F.transform(sizes, lambda size: F.transform(
         F.sequence(F.lit(1), F.length(folded)), lambda at: F.substr(F.col(folded), at, size)
     ))))
-    offered = texts.where(F.length(folded) > 0).select(row_id, folded, F.explode(grams).alias("gram"))
+    offered = texts.where(F.length(folded) > 0).withColumn("gram", F.explode(grams))
     wanted = salted_join(offered, keyed.select("gram").distinct(), ["gram"], "left_semi")
-    joined = salted_join(wanted, keyed, ["gram"]).where(F.contains(F.col(folded), F.col("term")))
-    return joined.select(row_id, "security_id").distinct()
+    return salted_join(wanted, keyed, ["gram"]).where(F.contains(F.col(folded), F.col("term"))).drop("gram")
+
+
+def find_mentions(texts: DataFrame, row_id: str, folded: str, aliases: Aliases) -> DataFrame:
+    """JOI-05: distinct (row, security) pairs.
+
+    ``aliases`` as a table has ``security_id`` and a folded ``term`` and is joined. A mapping of
+    securities to terms is configuration: it becomes a literal that is scanned with the text in place.
+    """
+    if isinstance(aliases, DataFrame):
+        terms = aliases.select("security_id", "term").distinct()
+        return containing(texts.select(row_id, folded), folded, terms).select(row_id, "security_id").distinct()
+    pairs = sorted((security, term) for security, terms in aliases.items() for term in terms if term)
+    if not pairs:
+        return texts.select(row_id, F.lit(None).cast("string").alias("security_id")).limit(0)
+    table = F.array(*[F.struct(F.lit(security).alias("security_id"), F.lit(term).alias("term")) for security, term in pairs])
+    hits = F.filter(table, lambda entry: F.contains(F.col(folded), entry["term"]))
+    ids = F.array_distinct(F.transform(hits, lambda entry: entry["security_id"]))
+    return texts.select(row_id, F.explode(ids).alias("security_id"))
 
 
-def attribute(items: DataFrame, row_id: str, aliases: DataFrame, literal_terms: int = LITERAL_TERMS) -> DataFrame:
+def attribute(items: DataFrame, row_id: str, aliases: Aliases) -> DataFrame:
     """JOI-06: primary and mentioned securities of a feed item asked for ``security_id``.
 
     The asked security must occur; when only other securities stand in the title the item is dropped.
@@ -52,7 +62,7 @@ def attribute(items: DataFrame, row_id: str, aliases: DataFrame, literal_terms:
     texts = items.select(row_id, match_text("title").alias("t"), match_text("description").alias("d"))
 
     def ids(column: str, name: str) -> DataFrame:
-        found = find_mentions(texts, row_id, column, aliases, literal_terms)
+        found = find_mentions(texts, row_id, column, aliases)
         return found.groupBy(row_id).agg(F.array_sort(F.collect_set("security_id")).alias(name))
 
     empty = F.array().cast("array<string>")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lodestone import fixed_values as fixed
 from lodestone.functions.text import ColumnLike, alternation, as_column, compose, fold, quote, word_array
-from lodestone.operators.skew import hinted_join, is_small
+from lodestone.operators.mentions import containing
+from lodestone.operators.skew import hinted_join, is_small, spread_join
 
 KINDS = ["security_id", "ticker", "name", "alias"]
 
@@ -146,34 +147,26 @@ def glossary_lookup(queries: DataFrame, entries: DataFrame, text: str = "query")
     )
 
 
-def glossary_phrases(questions: DataFrame, entries: DataFrame, max_terms: int = 5_000) -> DataFrame:
+def glossary_phrases(questions: DataFrame, entries: DataFrame) -> DataFrame:
     """JOI-20: the one glossary entry a question speaks of, with the longest and then earliest of its terms.
 
-    A term must not touch other letters or digits, except for one grammatical particle. The term list
-    is a checked, bounded dictionary that is scanned with each question in place.
+    A term must not touch other letters or digits, except for one grammatical particle. Terms and
+    distinct question texts meet by a join on character triples; borders are checked on the pairs
+    that contain each other. A text that names two entries finds neither.
     """
-    rows = entries.select("entry_id", F.explode(F.concat(F.array("canonical_term"), "aliases")).alias("term")).withColumn("key", fold("term"))
-    terms = rows.where(F.col("key") != "").select("entry_id", "term", "key").distinct().limit(max_terms + 1).collect()
-    if len(terms) > max_terms:
-        raise ValueError("the glossary is larger than a dictionary: look terms up with glossary_lookup")
+    rows = entries.select("entry_id", F.explode(F.concat(F.array("canonical_term"), "aliases")).alias("written")).withColumn("term", fold("written"))
     letter, particles = r"[\p{L}\p{N}]", alternation(fixed.GLOSSARY_PARTICLES)
-    table = F.array(*[
-        F.struct(
-            F.lit(row["entry_id"]).alias("entry_id"), F.lit(row["term"]).alias("term"), F.lit(len(row["key"])).alias("size"),
-            F.lit(rf"(?<!{letter}){quote(row['key'])}(?:(?:{particles})(?!{letter})|(?!{letter}))").alias("pattern"),
-        )
-        for row in sorted(terms, key=lambda r: (str(r["entry_id"]), r["term"]))
-    ])
+    literal = F.concat(F.lit(r"\Q"), F.replace("term", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    pattern = F.concat(F.lit(f"(?<!{letter})"), literal, F.lit(f"(?:(?:{particles})(?!{letter})|(?!{letter}))"))
     asked = questions.withColumn("__folded", fold("question"))
-    hits = asked.withColumn("hits", F.filter(F.transform(table, lambda t: F.struct(
-        (-t["size"]).alias("order_size"), F.regexp_instr(F.col("__folded"), t["pattern"]).alias("position"), t["term"].alias("term"), t["entry_id"].alias("entry_id")
-    )), lambda hit: hit["position"] > 0))
-    owners = F.array_distinct(F.transform("hits", lambda hit: hit["entry_id"]))
-    best = F.array_min("hits")
-    unique = F.size(owners) == 1
-    return hits.select(
-        *questions.columns, F.when(unique, best["entry_id"]).alias("entry_id"), F.when(unique, best["term"]).alias("matched_term"),
-        F.when(unique, F.lit("found")).otherwise(F.lit("not_found")).alias("status"),
+    found = containing(asked.select("__folded").distinct(), "__folded", rows.select("entry_id", "written", "term").distinct())
+    placed = found.withColumn("position", F.regexp_instr(F.col("__folded"), pattern)).where("position > 0")
+    hit = F.struct((-F.length("term")).alias("size"), F.col("position").alias("position"), F.col("written").alias("written"), F.col("entry_id").alias("entry_id"))
+    best = placed.groupBy("__folded").agg(F.min("entry_id").alias("one"), F.max("entry_id").alias("other"), F.min(hit).alias("hit")).where("one = other")
+    joined = spread_join(asked, best.select("__folded", "hit"), ["__folded"], "left")
+    return joined.select(
+        *questions.columns, F.col("hit.entry_id").alias("entry_id"), F.col("hit.written").alias("matched_term"),
+        F.when(F.col("hit").isNotNull(), F.lit("found")).otherwise(F.lit("not_found")).alias("status"),
     )
 
 

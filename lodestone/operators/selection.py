@@ -98,19 +98,27 @@ def fitting_prefix(
     )
 
 
+LOCATOR_FIELDS = [
+    "provider", "locator_url", "locator_time", "raw_index", "receipt_no", "manifest_id", "entry_id", "version", "section", "page_basis", "page",
+    "locator_document_id", "source_asset_id",
+]
+
+
 def budget_context(
     rows: DataFrame, requests: DataFrame, max_rows: int = fixed.BUDGET_MAX_ROWS, per_source: int = fixed.BUDGET_PER_SOURCE,
     max_chars: int = fixed.BUDGET_MAX_CHARS, max_tokens: int = fixed.BUDGET_MAX_TOKENS, reserved: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
     """CMP-04: content dedup, diversify, per-source cap, total cap, budget prefix; plus the drop counts.
 
-    ``rows`` carries ``request_id``, ``position`` and the evidence fields.
+    ``rows`` carries ``request_id``, ``position`` and the evidence fields. Rows are copies when all
+    fields but id and score agree, locator fields among them where ``rows`` has these.
     """
+    locator = [name for name in LOCATOR_FIELDS if name in rows.columns]
     content = F.sha2(
         F.to_json(
             F.struct(
                 "document_id", "source_type", "title", "source_url", "published_at", "subject_security_ids",
-                "mentioned_security_ids", "scope", "snippet",
+                "mentioned_security_ids", "scope", "snippet", *locator,
             ),
             {"ignoreNullFields": "false"},
         ),

@@ -16,12 +16,12 @@ SOURCES = ["news", "disclosure", "research_report", "glossary"]
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the shared tables.
 
-    A table stored in fewer files than there are cores is spread out first; on a table with many
-    files nothing is moved. Filters and column pruning still reach the scan.
+    On a local master a text table of one file is spread over the cores; elsewhere nothing is moved.
+    Filters and column pruning still reach the scan.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_TABLES and len(df.inputFiles()) < cores:
+    if name in TEXT_TABLES and spark.sparkContext.master.startswith("local[") and df.rdd.getNumPartitions() == 1:
         return df.repartition(cores)
     return df
 
@@ -40,9 +40,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(bucket < 7, F.array("lang")).when(bucket < 9, F.array(F.col("lang"), other))
         .otherwise(F.array().cast("array<string>")).alias("primary_security_ids"),
         F.when(bucket == 9, F.array("lang")).otherwise(F.array().cast("array<string>")).alias("mentioned_security_ids"),
-        F.expr("substring(split_part(text, '\n', 1), 1, 80)").alias("title"),
+        F.expr("split_part(text, '\n', 1)").alias("title"),
         F.expr(
-            "CASE WHEN doc_id % 46 <> 0 THEN timestampadd(MINUTE, (doc_id * 37) % 525600, TIMESTAMP '2024-01-01 00:00:00') END"
+            "CASE WHEN doc_id % 46 <> 0 THEN timestampadd(MINUTE, (doc_id * 7919) % 525600, TIMESTAMP '2024-01-01 00:00:00') END"
         ).alias("published_at"),
         F.expr("concat('https://', source, '.example.com/', lang, '/', doc_id)").alias("source_url"),
         "text",
@@ -61,8 +61,8 @@ docs AS (
     CASE WHEN doc_id % 10 < 7 THEN [lang] WHEN doc_id % 10 < 9
       THEN [lang, CASE WHEN lang = 'en' THEN 'de' ELSE 'en' END] ELSE CAST([] AS VARCHAR[]) END AS primary_security_ids,
     CASE WHEN doc_id % 10 = 9 THEN [lang] ELSE CAST([] AS VARCHAR[]) END AS mentioned_security_ids,
-    substr(split_part(text, chr(10), 1), 1, 80) AS title,
-    CASE WHEN doc_id % 46 <> 0 THEN TIMESTAMP '2024-01-01' + to_minutes(CAST((doc_id * 37) % 525600 AS INTEGER)) END AS published_at,
+    split_part(text, chr(10), 1) AS title,
+    CASE WHEN doc_id % 46 <> 0 THEN TIMESTAMP '2024-01-01' + to_minutes(CAST((doc_id * 7919) % 525600 AS INTEGER)) END AS published_at,
     'https://' || source || '.example.com/' || lang || '/' || doc_id AS source_url,
     text, source AS publisher,
     CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'type' || (doc_id % 3) END AS document_type,

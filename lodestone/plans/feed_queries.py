@@ -180,14 +180,10 @@ FOLDED_PAGE_SQL = "replace(lower(trim(regexp_replace(replace(replace(replace(rep
 TERMS_SQL = "(SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{t}')" for s, ts in ALIASES.items() for t in ts) + ") AS v(security_id, term))"
 
 
-def _alias_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(s, t) for s, ts in ALIASES.items() for t in ts], "security_id string, term string")
-
-
 @query("joi_05_mentions", f"SELECT DISTINCT page_id, security_id FROM pages, {TERMS_SQL} v WHERE contains({FOLDED_PAGE_SQL.format(PAGE_TITLE_SQL)}, v.term)")
 def find_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = feed(spark, sf_dir).where("ord % 10 = 0").select("page_id", mentions.match_text("title").alias("t"))
-    return mentions.find_mentions(texts, "page_id", "t", _alias_table(spark))
+    return mentions.find_mentions(texts, "page_id", "t", ALIASES)
 
 
 @query(
@@ -199,19 +195,35 @@ k AS (SELECT *, CASE WHEN list_contains(ti, security_id) THEN ti ELSE [security_
 SELECT page_id, array_to_string(list_sort(pr), ',') AS primary_ids, array_to_string(list_sort(list_filter(di, lambda x: NOT list_contains(pr, x))), ',') AS mentioned_ids FROM k""",
 )
 def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mentions.attribute(feed(spark, sf_dir).where("ord % 10 = 0"), "page_id", _alias_table(spark))
+    rows = mentions.attribute(feed(spark, sf_dir).where("ord % 10 = 0"), "page_id", ALIASES)
     return rows.select(
         "page_id", F.array_join(F.array_sort("primary_security_ids"), ",").alias("primary_ids"), F.array_join(F.array_sort("mentioned_security_ids"), ",").alias("mentioned_ids")
     )
 
 
-@query("win_02_two_key_dedup", None)
+def walk_sql(source: str, scope: str, first: str, second: str, order: str) -> str:
+    """The two-key walk over ``source``, one row of each scope at a time."""
+    return f"""WITH RECURSIVE rows_ AS (SELECT *, row_number() OVER (PARTITION BY {scope} ORDER BY {order}) AS n FROM ({source})),
+walk AS (SELECT *, [{first}] AS firsts, [{second}] AS seconds, true AS kept FROM rows_ WHERE n = 1
+  UNION ALL SELECT * EXCLUDE (firsts, seconds, good), CASE WHEN good THEN list_append(firsts, {first}) ELSE firsts END, CASE WHEN good THEN list_append(seconds, {second}) ELSE seconds END, good
+  FROM (SELECT r.*, w.firsts, w.seconds, NOT list_contains(w.firsts, r.{first}) AND NOT list_contains(w.seconds, r.{second}) AS good FROM walk w JOIN rows_ r ON r.{scope} = w.{scope} AND r.n = w.n + 1))
+"""
+
+
+KEYED_SQL = "SELECT doc_id, lang, 't' || CAST(length(text) % 300 AS VARCHAR) AS title_key, source || '/' || CAST(doc_id % 7 AS VARCHAR) AS url_key FROM documents"
+
+
+@query("win_02_two_key_dedup", walk_sql(KEYED_SQL, "lang", "url_key", "title_key", "doc_id") + "SELECT doc_id, lang FROM walk WHERE kept")
 def two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = b.table(spark, sf_dir, "documents").select("doc_id", "lang", F.substring("text", 1, 4).alias("title_key"), F.expr("concat(source, '/', doc_id % 7)").alias("url_key"))
+    keys = F.expr("concat('t', length(text) % 300)").alias("title_key"), F.expr("concat(source, '/', doc_id % 7)").alias("url_key")
+    docs = b.table(spark, sf_dir, "documents").select("doc_id", "lang", *keys)
     return two_key_dedup(docs, "lang", "url_key", "title_key", "doc_id").select("doc_id", "lang")
 
 
-@query("set_01_merge_runs", None)
+RUNS_SQL = "SELECT lang AS security_id, doc_id % 3 AS run, 'd' || CAST(doc_id % 97 AS VARCHAR) AS document_id, source || '/' || CAST(doc_id % 41 AS VARCHAR) AS source_url, doc_id AS ord FROM documents"
+
+
+@query("set_01_merge_runs", walk_sql(RUNS_SQL, "security_id", "document_id", "source_url", "run, ord") + "SELECT security_id, run, ord, document_id, source_url FROM walk WHERE kept")
 def merge_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = b.table(spark, sf_dir, "documents").select(
         F.col("lang").alias("security_id"), F.expr("doc_id % 3").alias("run"), F.expr("concat('d', doc_id % 97)").alias("document_id"),
@@ -234,7 +246,7 @@ CURATE_TERMS = ["er", "ation", "ou"]
 
 @query("flt_11_news_relevance", f"""SELECT doc_id, CASE WHEN least(CASE WHEN strpos(t, 'th') > 0 THEN strpos(t, 'th') END, CASE WHEN strpos(t, 'on') > 0 THEN strpos(t, 'on') END) - 1 <= 14 AND NOT contains(t, 'zu') AND NOT contains(t, 'ment')
   AND ({' OR '.join(f"contains(t, '{w}')" for w in CURATE_TERMS)}) THEN CAST(4 + 2 * ({' + '.join(f"CAST(contains(t, '{w}') AS INTEGER)" for w in CURATE_TERMS)}) AS INTEGER) END AS score
-FROM (SELECT doc_id, {b.FOLD_SQL.format('substr(split_part(text, chr(10), 1), 1, 80)')} AS t FROM documents)""")
+FROM (SELECT doc_id, {b.FOLD_SQL.format('split_part(text, chr(10), 1)')} AS t FROM documents)""")
 def news_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = b.documents(spark, sf_dir)
     return docs.select("doc_id", inventory.relevance_score(F.col("title"), ["th", "on"], CURATE_TERMS, ["zu"], ["ment"]).alias("score"))

@@ -581,9 +581,14 @@ def request_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_stream(spark: SparkSession, sf_dir: str, files: int = 64) -> DataFrame:
+    """The events as a stream, whether the table is one file or a folder of part files; ``files`` of them a micro-batch."""
+    path = f"{sf_dir}/events.parquet"
     schema = b.table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    inside = spark.read.format("binaryFile").load(path).select("path").limit(1).first()
+    whole = inside is not None and inside["path"].rstrip("/").endswith("/events.parquet")
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
+    return reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir) if whole else reader.parquet(path)
 
 
 def squeezed(df: DataFrame) -> DataFrame:
@@ -593,29 +598,69 @@ def squeezed(df: DataFrame) -> DataFrame:
     return df.withColumn("ts", dense)
 
 
-@query("str_01_admission_batch", None)
+DENSE_SQL = "1704067200000000 + (epoch_us(ts) - 1704067200000000) // 100"
+LOCAL_DAY_SQL = "CAST(make_timestamp({0}) + INTERVAL 9 HOUR AS DATE)"
+
+
+def steps_sql(key: str, at: str, first: str, following: str) -> str:
+    """A walk over the events of each ``key`` in time; ``first`` and ``following`` make the state, the latter from w (before) and e (now)."""
+    return f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY key_ ORDER BY at_, request_id) AS n, {LOCAL_DAY_SQL.format('at_')} AS day_
+  FROM (SELECT event_id AS request_id, CAST(user_id AS VARCHAR) AS client, {key} AS key_, {at} AS at_ FROM events)),
+w AS (SELECT e.*, {first} FROM e WHERE n = 1 UNION ALL SELECT e.*, {following} FROM w JOIN e ON e.key_ = w.key_ AND e.n = w.n + 1)
+"""
+
+
+RECENT_SQL = "list_filter(w.recent, lambda t: t > e.at_ - 300000000)"
+COUNT_SQL = "CASE WHEN w.day_ = e.day_ THEN w.admitted ELSE 0 END"
+GOOD_SQL = f"(len({RECENT_SQL}) < 10 AND {COUNT_SQL} < 50)"
+ADMISSION_SQL = steps_sql(
+    "user_id", DENSE_SQL, "[at_] AS recent, 1 AS admitted, true AS good",
+    f"CASE WHEN {GOOD_SQL} THEN list_append({RECENT_SQL}, e.at_) ELSE {RECENT_SQL} END, {COUNT_SQL} + CAST({GOOD_SQL} AS INTEGER), {GOOD_SQL}",
+) + "SELECT client, request_id, CASE WHEN good THEN 'admitted' ELSE 'refused' END AS decision FROM w"
+FRESH_SQL = "(e.at_ - w.since >= 90000000)"
+REPEATS_SQL = steps_sql(
+    "user_id || '/' || event_type", DENSE_SQL, "at_ AS since, true AS fresh", f"CASE WHEN {FRESH_SQL} THEN e.at_ ELSE w.since END, {FRESH_SQL}"
+) + "SELECT request_id, CASE WHEN fresh THEN 'computed' ELSE 'repeated' END AS served FROM w"
+IDLE_SQL = "(e.at_ - w.at_ >= 1800000000)"
+EXCHANGES_SQL = steps_sql(
+    "user_id", "epoch_us(ts)", "1 AS revision, [request_id] AS held",
+    f"CASE WHEN {IDLE_SQL} THEN 1 ELSE w.revision + 1 END, CASE WHEN {IDLE_SQL} THEN [e.request_id] ELSE list_append(w.held, e.request_id)[-4:] END",
+) + "SELECT client AS session_id, request_id, CAST(revision AS INTEGER) AS revision, array_to_string(held, ',') AS kept FROM w"
+# All clients in one walk: recent and today's admissions as (client, time) pairs.
+OWN_SQL = "len(list_filter({0}, lambda x: x.client = e.client))"
+LATE_SQL = "list_filter(w.recent, lambda x: x.at_ > e.at_ - 300000000)"
+TODAY_SQL = "(CASE WHEN w.day_ = e.day_ THEN w.today ELSE [] END)"
+WITHIN_SQL = f"({OWN_SQL.format(LATE_SQL)} < 10 AND {OWN_SQL.format(TODAY_SQL)} < 50 AND len({TODAY_SQL}) < 100)"
+NOW_SQL = "{'client': e.client, 'at_': e.at_}"
+GLOBAL_SQL = steps_sql(
+    "0", "epoch_us(ts)", "[{'client': client, 'at_': at_}] AS recent, [{'client': client, 'at_': at_}] AS today, true AS good",
+    f"CASE WHEN {WITHIN_SQL} THEN list_append({LATE_SQL}, {NOW_SQL}) ELSE {LATE_SQL} END, CASE WHEN {WITHIN_SQL} THEN list_append({TODAY_SQL}, {NOW_SQL}) ELSE {TODAY_SQL} END, {WITHIN_SQL}",
+) + "SELECT CAST(day_ AS VARCHAR) AS day, request_id FROM w WHERE good"
+
+
+@query("str_01_admission_batch", ADMISSION_SQL)
 def admission_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.admission(squeezed(request_rows(b.table(spark, sf_dir, "events"))).select("client", "request_id", "ts")).select("client", "request_id", "decision")
 
 
-@query("str_01_admission_stream", None)
+@query("str_01_admission_stream", ADMISSION_SQL)
 def admission_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.run_append(state.admission_stream(squeezed(request_rows(event_stream(spark, sf_dir))).select("client", "request_id", "ts")))
 
 
-@query("str_01_global_limit", None)
+@query("str_01_global_limit", GLOBAL_SQL)
 def global_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    admitted = dialogue.admission(request_rows(b.table(spark, sf_dir, "events")).select("client", "request_id", "ts"))
-    return dialogue.within_global_day_limit(admitted).select("day", "request_id")
+    decided = dialogue.admission_within_global_limit(request_rows(b.table(spark, sf_dir, "events")).select("client", "request_id", "ts"))
+    return decided.where("decision = 'admitted'").select("day", "request_id")
 
 
-@query("str_02_repeats_batch", None)
+@query("str_02_repeats_batch", REPEATS_SQL)
 def repeats_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = squeezed(request_rows(b.table(spark, sf_dir, "events")))
     return dialogue.suppress_repeats(rows.select("client", "event_type", "request_id", "ts"), ["client", "event_type"]).select("request_id", "served")
 
 
-@query("str_02_repeats_stream", None)
+@query("str_02_repeats_stream", REPEATS_SQL)
 def repeats_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = squeezed(request_rows(event_stream(spark, sf_dir))).withColumn("repeat_key", F.concat_ws("/", "client", "event_type"))
     return flows.run_append(state.repeat_stream(rows.select("repeat_key", "request_id", "ts"))).select("request_id", "served")
@@ -628,12 +673,12 @@ def session_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("str_03_session_stream", "WITH s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM (SELECT *, CASE WHEN coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) >= 1800000000, true) THEN 1 ELSE 0 END AS b FROM events)) SELECT CAST(user_id AS VARCHAR) AS client, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_at, count(*) AS requests FROM s GROUP BY user_id, n")
 def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same sessions by ``session_window``, on the table read as one batch."""
-    rows = flows.session_windows(request_rows(b.table(spark, sf_dir, "events")), "client")
+    """The same sessions by ``session_window``, drained from the stream with its open sessions."""
+    rows = flows.run_upsert(flows.session_windows(request_rows(event_stream(spark, sf_dir)), "client"), ["client", "first_at"], "complete")
     return rows.select("client", F.date_format("first_at", "yyyy-MM-dd HH:mm:ss").alias("first_at"), "requests")
 
 
-@query("str_04_session_exchanges", None)
+@query("str_04_session_exchanges", EXCHANGES_SQL)
 def session_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = request_rows(event_stream(spark, sf_dir)).withColumnRenamed("client", "session_id")
     return flows.run_append(state.exchange_stream(rows.select("session_id", "request_id", "ts")))

@@ -67,7 +67,7 @@ def query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.table(spark, sf_dir, "benchmark").select("item_id", F.array_join(text.query_tokens("text", ["the", "of", "and"]), " ").alias("tokens"))
 
 
-TITLE_SQL = "substr(split_part(text, chr(10), 1), 1, 80)"
+TITLE_SQL = "split_part(text, chr(10), 1)"
 DEMO_PHRASES = {"of the": "of-the", "tion": "tion", "er ": "er", "ouon": "ouon"}
 DEMO_STOP = ["the", "and", "that"]
 
@@ -113,14 +113,14 @@ def numeric_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "txt_10_humanize_amounts",
     """SELECT o_orderkey, CASE WHEN floor(o_totalprice) * 100 >= 1000000
-  THEN 'sales 약 ' || printf('%.1f', round(floor(o_totalprice) * 100 / 1000000.0, 1)) || '조원(공시 원문 ' || CAST(CAST(floor(o_totalprice) * 100 AS BIGINT) AS VARCHAR) || '백만원)'
+  THEN 'sales 약 ' || printf('%.1f', floor(o_totalprice) * 100 / 1000000.0) || '조원(공시 원문 ' || CAST(CAST(floor(o_totalprice) * 100 AS BIGINT) AS VARCHAR) || '백만원)'
   ELSE 'sales ' || CAST(CAST(floor(o_totalprice) * 100 AS BIGINT) AS VARCHAR) || '백만원' END AS shown
-FROM orders WHERE CAST(floor(o_totalprice) * 100 AS BIGINT) % 100000 <> 50000""",
+FROM orders""",
 )
 def humanize_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order totals as amounts in millions; exact half tenths are left out (float formatting differs there)."""
+    """Order totals as amounts in millions."""
     amount = F.expr("cast(floor(o_totalprice) * 100 as bigint)")
-    orders = b.table(spark, sf_dir, "orders").withColumn("amount", amount).where("amount % 100000 <> 50000")
+    orders = b.table(spark, sf_dir, "orders").withColumn("amount", amount)
     sentence = F.concat(F.lit("sales "), "amount", F.lit("백만원"))
     return orders.select("o_orderkey", text.humanize_amounts(sentence).alias("shown"))
 
@@ -161,34 +161,33 @@ def focus_sql(column: str, intent: str) -> str:
     )
 
 
-FIRST_WORDS_SQL = f"(SELECT doc_id, {FOLDED.format('array_to_string(list_slice(string_split(text, chr(32)), 1, 12), chr(32))')} AS q FROM documents)"
+QUESTION_SQL = f"(SELECT doc_id, {FOLDED.format('text')} AS q FROM documents)"
 
 
-def _first_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A question per document: its first twelve words."""
-    words = F.array_join(F.slice(F.split("text", " "), 1, 12), " ")
-    return b.table(spark, sf_dir, "documents").select("doc_id", words.alias("question"))
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question per document: its whole text."""
+    return b.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("question"))
 
 
-@query("txt_11_intent", f"SELECT doc_id, {intent_sql('q')} AS intent FROM {FIRST_WORDS_SQL}")
+@query("txt_11_intent", f"SELECT doc_id, {intent_sql('q')} AS intent FROM {QUESTION_SQL}")
 def intent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folded = _first_words(spark, sf_dir).withColumn("q", text.fold("question"))
+    folded = _questions(spark, sf_dir).withColumn("q", text.fold("question"))
     return folded.select("doc_id", planning.classify_intent("q", DEMO_LEXICON).alias("intent"))
 
 
-@query("txt_12_answer_focus", f"SELECT doc_id, {focus_sql('q', 'intent')} AS focus FROM (SELECT *, {intent_sql('q')} AS intent FROM {FIRST_WORDS_SQL})")
+@query("txt_12_answer_focus", f"SELECT doc_id, {focus_sql('q', 'intent')} AS focus FROM (SELECT *, {intent_sql('q')} AS intent FROM {QUESTION_SQL})")
 def answer_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folded = _first_words(spark, sf_dir).withColumn("q", text.fold("question"))
+    folded = _questions(spark, sf_dir).withColumn("q", text.fold("question"))
     planned = folded.withColumn("intent", planning.classify_intent("q", DEMO_LEXICON))
     return planned.select("doc_id", planning.classify_focus("q", "intent", DEMO_LEXICON).alias("focus"))
 
 
 @query(
     "txt_13_prohibited_phrase",
-    f"SELECT doc_id, contains(q, 'reti') OR regexp_matches(q, '(^|[^0-9a-z가-힣])the([^0-9a-z가-힣]|$)') AS prohibited FROM {FIRST_WORDS_SQL}",
+    f"SELECT doc_id, contains(q, 'reti') OR regexp_matches(q, '(^|[^0-9a-z가-힣])the([^0-9a-z가-힣]|$)') AS prohibited FROM {QUESTION_SQL}",
 )
 def prohibited_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folded = _first_words(spark, sf_dir).withColumn("q", text.fold("question"))
+    folded = _questions(spark, sf_dir).withColumn("q", text.fold("question"))
     return folded.select("doc_id", planning.is_prohibited("q", ["reti", "the"], bounded=["the"]).alias("prohibited"))
 
 
@@ -299,10 +298,10 @@ def title_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     "txt_19_query_expansion",
     f"""SELECT doc_id, CASE focus WHEN 'risk' THEN question || ' 위험 리스크' WHEN 'balanced' THEN question || ' 실적' ELSE question END AS expanded
 FROM (SELECT doc_id, question, {focus_sql('q', 'intent')} AS focus FROM (SELECT *, {intent_sql('q')} AS intent FROM
-  (SELECT doc_id, array_to_string(list_slice(string_split(text, ' '), 1, 12), ' ') AS question, {FOLDED.format('array_to_string(list_slice(string_split(text, chr(32)), 1, 12), chr(32))')} AS q FROM documents)))""",
+  (SELECT doc_id, text AS question, {FOLDED.format('text')} AS q FROM documents)))""",
 )
 def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folded = _first_words(spark, sf_dir).withColumn("q", text.fold("question")).withColumn("intent", planning.classify_intent("q", DEMO_LEXICON))
+    folded = _questions(spark, sf_dir).withColumn("q", text.fold("question")).withColumn("intent", planning.classify_intent("q", DEMO_LEXICON))
     focused = folded.withColumn("focus", planning.classify_focus("q", "intent", DEMO_LEXICON))
     return focused.select("doc_id", planning.expand_query("question", "focus", {"risk": ["위험", "리스크"], "balanced": ["실적"]}).alias("expanded"))
 
@@ -310,22 +309,23 @@ def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "txt_20_ambiguous_intent",
     f"""SELECT doc_id, {' + '.join(f"CAST({has_sql('q', name)} AS INTEGER)" for name in ('price_move', 'risk', 'price', 'multi_source', 'disclosure', 'research_report', 'recent_issue'))}
-  + CAST({has_sql('q', 'term_cue')} AND {has_sql('q', 'term_marker')} AS INTEGER) >= 2 AS ambiguous FROM {FIRST_WORDS_SQL}""",
+  + CAST({has_sql('q', 'term_cue')} AND {has_sql('q', 'term_marker')} AS INTEGER) >= 2 AS ambiguous FROM {QUESTION_SQL}""",
 )
 def ambiguous_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folded = _first_words(spark, sf_dir).withColumn("q", text.fold("question"))
+    folded = _questions(spark, sf_dir).withColumn("q", text.fold("question"))
     return folded.select("doc_id", (planning.cue_group_count("q", DEMO_LEXICON) >= 2).alias("ambiguous"))
 
 
 @query(
     "txt_21_feed_query_rewrite",
-    f"SELECT doc_id, CASE WHEN contains(q, 'tion') THEN question ELSE 'Acme ' || question END AS rewritten FROM (SELECT doc_id, {COLLAPSED.format('array_to_string(list_slice(string_split(text, chr(32)), 1, 12), chr(32))')} AS question, {FOLDED.format('array_to_string(list_slice(string_split(text, chr(32)), 1, 12), chr(32))')} AS q FROM documents)",
+    f"SELECT doc_id, CASE WHEN contains(q, 'tion') THEN question ELSE 'Acme ' || question END AS rewritten FROM (SELECT doc_id, {COLLAPSED.format('text')} AS question, {FOLDED.format('text')} AS q FROM documents)",
 )
 def feed_query_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _first_words(spark, sf_dir).select("doc_id", planning.feed_query("question", F.lit("Acme"), ["tion"]).alias("rewritten"))
+    return _questions(spark, sf_dir).select("doc_id", planning.feed_query("question", F.lit("Acme"), ["tion"]).alias("rewritten"))
 
 
-@query("txt_22_hedged_sentence", None)
+@query("txt_22_hedged_sentence", """WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[\\t\\n\\x0b\\f\\r ]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS parts FROM documents)
+SELECT doc_id, CAST(len(parts) AS INTEGER) AS sentences, list_filter(parts, lambda x: contains(x, 'tion') OR contains(x, 'ung'))[-1] AS sentence FROM s""")
 def hedged_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = b.table(spark, sf_dir, "documents").withColumn("parts", text.sentences("text"))
     last = text.last_hedged_sentence("text", ["tion", "ung"])
@@ -377,12 +377,20 @@ def safe_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.table(spark, sf_dir, "pages").select("page_id", urls.is_safe_url(spoiled).alias("safe"))
 
 
+BLANK_CLASS = "\\t\\n\\x0b\\f\\r "
+LOCAL_PATH_SQL = "|".join([
+    "(^|[^A-Za-z0-9_])[A-Za-z]:[\\\\/]", f"\\\\\\\\[^\\\\/{BLANK_CLASS}]+[\\\\/][^\\\\/{BLANK_CLASS}]", f"(^|[^A-Za-z0-9_:])//[^/{BLANK_CLASS}]+/[^/{BLANK_CLASS}]",
+    "(?i:file://)", f"(^|[{BLANK_CLASS}\"''()=\\[\\]{{}},;])/([^/{BLANK_CLASS}]|$)",
+])
+
+
 @query(
     "flt_12_public_safety",
-    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'local_path' WHEN 1 THEN 'credential_key' WHEN 2 THEN 'user_info' ELSE NULL END AS reason FROM documents WHERE NOT regexp_matches(text, '[/\\\\]|[\\x00-\\x08]')""",
+    f"""SELECT doc_id, CASE WHEN regexp_matches(t, '{LOCAL_PATH_SQL}') THEN 'local_path' WHEN regexp_matches(t, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]') THEN 'control_character'
+  WHEN doc_id % 4 = 2 THEN 'user_info' WHEN doc_id % 4 = 1 THEN 'credential_key' END AS reason FROM (SELECT doc_id, text || CASE WHEN doc_id % 4 = 0 THEN ' /home/user/x' ELSE '' END AS t FROM documents)""",
 )
 def public_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = b.table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[/\\]|[\x00-\x08]")).select(
+    docs = b.table(spark, sf_dir, "documents").select(
         "doc_id",
         F.when(F.expr("doc_id % 4 = 0"), F.concat("text", F.lit(" /home/user/x"))).otherwise(F.col("text")).alias("text"),
         F.expr("CASE doc_id % 4 WHEN 1 THEN 'https://h.example.com/?api_key=1' WHEN 2 THEN 'https://u@h.example.com/' ELSE 'https://h.example.com/?k=1' END").alias("source_url"),

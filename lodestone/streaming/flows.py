@@ -28,16 +28,22 @@ def run_append(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def run_upsert(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """Drain an update-mode stream; every micro-batch overwrites its own folder, the newest row per key counts."""
+def run_upsert(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
+    """Drain a stream of changing rows; every micro-batch overwrites its own folder, the newest row per key counts.
+
+    In complete mode a micro-batch holds all rows, so only the last one counts.
+    """
     spark, folder = stream.sparkSession, work_dir(stream.sparkSession)
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/epoch={epoch}")
 
-    query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/log").foreachBatch(write).trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/log").foreachBatch(write).trigger(availableNow=True).start()
     query.awaitTermination()
     rows = spark.read.parquet(f"{folder}/out")
+    if mode == "complete":
+        last = rows.agg(F.max("epoch")).first()[0]
+        return rows.where(F.col("epoch") == F.lit(last)).drop("epoch")
     return keep_first(rows, keys, [F.col("epoch").desc()]).drop("epoch")
 
 

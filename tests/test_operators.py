@@ -155,8 +155,9 @@ def test_mentions_by_join_equal_mentions_by_literal(spark):
     words = ["abc", "ab", "a", "xyz", "삼성", "삼성전자", "q"]
     texts = spark.createDataFrame([(n, "".join(rng.choice("abcxyz 삼성전자") for _ in range(rng.randrange(12)))) for n in range(200)], "id int, t string")
     aliases = spark.createDataFrame([(f"s{n % 3}", w) for n, w in enumerate(words)], "security_id string, term string")
-    small = mentions.find_mentions(texts, "id", "t", aliases)
-    large = mentions.find_mentions(texts, "id", "t", aliases, literal_terms=1)
+    literal = {f"s{k}": [w for n, w in enumerate(words) if n % 3 == k] for k in range(3)}
+    small = mentions.find_mentions(texts, "id", "t", literal)
+    large = mentions.find_mentions(texts, "id", "t", aliases)
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
 
 

@@ -30,6 +30,34 @@ def test_two_key_dedup_matches_the_walk(spark):
     assert sorted(got) == sorted(kept)
 
 
+def test_two_key_dedup_with_missing_keys_and_ties(spark):
+    rows = [("s", None, "u", 1), ("s", None, "u", 2), ("s", "a", None, 3), ("s", "a", None, 3), ("s", None, None, 4), ("s", None, None, 4), (None, "a", "v", 5), (None, "a", "w", 5)]
+    rows += [("t", "a", "x", 7), ("t", "b", "x", 7), ("t", "b", "y", 7), ("t", "a", "y", 7)]
+    df = spark.createDataFrame(rows, "scope string, a string, b string, at long")
+    got = sorted((str(r["scope"]), str(r["a"]), str(r["b"]), r["at"]) for r in two_key_dedup(df, "scope", "a", "b", "at").collect())
+    assert got[:1] == [("None", "a", "v", 5)]
+    assert [r for r in got if r[0] == "s"] == [("s", "None", "None", 4), ("s", "None", "None", 4), ("s", "None", "u", 1), ("s", "a", "None", 3)]
+    assert [r for r in got if r[0] == "t"] == [("t", "a", "x", 7), ("t", "b", "y", 7)]
+
+
+def test_global_limit_is_decided_in_the_walk(spark):
+    rng = random.Random(4)
+    rows = [(f"c{rng.randrange(12)}", n, START + dt.timedelta(hours=12, seconds=40 * n)) for n in range(1200)]
+    df = spark.createDataFrame(rows, "client string, request_id long, ts timestamp")
+    got = {r["request_id"] for r in dialogue.admission_within_global_limit(df, limit=70, rows_per_chunk=200).where("decision = 'admitted'").collect()}
+    want, recent, days = set(), {}, {}
+    for client, request, ts in sorted(rows, key=lambda r: (r[2], r[1])):
+        day = (ts + dt.timedelta(hours=9)).date()
+        held = [t for t in recent.get(client, []) if t > ts - dt.timedelta(seconds=300)]
+        today = days.setdefault(day, [])
+        if len(held) < 10 and today.count(client) < 50 and len(today) < 70:
+            held.append(ts)
+            today.append(client)
+            want.add(request)
+        recent[client] = held
+    assert got == want
+
+
 def brute_admission(rows):
     out, state = {}, {}
     for client, request, ts in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
