@@ -33,6 +33,8 @@ BLOCK_SHINGLES = 1_500_000
 # A list entry is sorted and its set verified; a subset is sorted.
 LIST_COST = 4
 MOST_LIGHT = 40
+# Key entries of a task that are dealt out together.
+DEALT_ENTRIES = 1_000_000
 ROUNDS = 3
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -206,54 +208,63 @@ def _unplaned(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
 
 
-def candidate_edges(sets: DataFrame, light: int) -> DataFrame:
-    """Edges (a, b) that join all documents with a common key; ``sets`` has doc_id and shingles (binary)."""
-    # A document is named once in each range that holds one of its keys, so ranges are few: at 40,000 documents
-    # one holds some five million entries.
-    ranges = int(min(4_096, max(8, sets.count() // 40_000)))
+def candidate_edges(texts: DataFrame, light: int, rows: int) -> DataFrame:
+    """Edges (a, b) that join all documents with a common key; ``texts`` has doc_id and data (binary), ``rows`` of them."""
+    # A document is named once in each range that holds one of its keys, so ranges are few; at 20,000
+    # documents one holds some two million entries.
+    ranges = int(min(65_536, max(8, rows // 20_000)))
+
+    def dealt_out(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        fresh = np.ones(len(key), dtype=bool)
+        fresh[1:] = key[1:] != key[:-1]
+        # Of a key's entries here only the smallest is sent to the others'; the rest hang on it.
+        a, b = stars(np.cumsum(fresh), node)
+        key, node = key[fresh], node[fresh]
+        bucket = (key >> np.uint64(33)) % np.uint64(ranges)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(ranges + 1, dtype=np.uint64))
+        kept = [(r, order[cuts[r] : cuts[r + 1]]) for r in range(ranges) if cuts[r] < cuts[r + 1]]
+        ready = [int(bucket[0])] if len(a) else []
+        return pa.RecordBatch.from_arrays([
+            pa.array([r for r, _ in kept] + ready, pa.int32()),
+            pa.array([_planes(key[at]) for _, at in kept] + [None] * len(ready), pa.binary()),
+            pa.array([_planes(node[at]) for _, at in kept] + [_planes(np.concatenate([a, b]))] * len(ready), pa.binary()),
+        ], names=["r", "keys", "docs"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "shingles", 8_000_000):
-            held = batch.column("shingles").to_pylist()
-            docs = batch.column("doc_id").to_numpy()
-            counts = np.array([len(data) // 8 for data in held], dtype=np.int64)
-            key, owner = set_keys(np.frombuffer(b"".join(held), "<u8"), counts, light)
-            order = np.lexsort((docs[owner], key))
-            key, node = key[order], docs[owner[order]]
-            fresh = np.ones(len(key), dtype=bool)
-            fresh[1:] = key[1:] != key[:-1]
-            # Of a key's entries here only the smallest is sent to the others'; the rest hang on it.
-            a, b = stars(np.cumsum(fresh), node)
-            key, node = key[fresh], node[fresh]
-            bucket = (key >> np.uint64(33)) % np.uint64(ranges)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(ranges + 1, dtype=np.uint64))
-            kept = [(r, order[cuts[r] : cuts[r + 1]]) for r in range(ranges) if cuts[r] < cuts[r + 1]]
-            ready = [int(bucket[0])] if len(a) else []
-            yield pa.RecordBatch.from_arrays([
-                pa.array([r for r, _ in kept] + ready, pa.int32()),
-                pa.array([_planes(key[at]) for _, at in kept] + [None] * len(ready), pa.binary()),
-                pa.array([_planes(node[at]) for _, at in kept] + [_planes(np.concatenate([a, b]))] * len(ready), pa.binary()),
-            ], names=["r", "keys", "docs"])
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in chunks(batches, "data", 1_000_000):
+            key, owner = set_keys(*shingle_sets(batch.column("data").to_pylist()), light)
+            held.append((key, batch.column("doc_id").to_numpy()[owner]))
+            if sum(len(part) for part, _ in held) > DEALT_ENTRIES:
+                yield dealt_out(*map(np.concatenate, zip(*held, strict=True)))
+                held = []
+        if held:
+            yield dealt_out(*map(np.concatenate, zip(*held, strict=True)))
 
     def meet(table: pa.Table) -> pa.Table:
-        keys, docs, ready = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
-        for key, doc in zip(table.column("keys").to_pylist(), table.column("docs").to_pylist(), strict=True):
-            node = _unplaned(doc).view(np.int64)
-            if key is None:
-                ready.append(node.reshape(2, -1))
+        columns, ready, size = (table.column("keys"), table.column("docs")), [], 0
+        # Filled in place, block by block, so that a range is held about once.
+        key = np.empty(sum(data.nbytes for data in columns[1].chunks) // 8, np.uint64)
+        node = np.empty(len(key), np.int64)
+        for keys, docs in zip(*columns, strict=True):
+            part = _unplaned(docs.as_py()).view(np.int64)
+            if keys.is_valid:
+                key[size : size + len(part)], node[size : size + len(part)] = _unplaned(keys.as_py()), part
+                size += len(part)
             else:
-                keys.append(_unplaned(key))
-                docs.append(node)
-        key, node = np.concatenate(keys), np.concatenate(docs)
-        order = np.argsort(key, kind="stable")
-        key, node = key[order], node[order]
+                ready.append(part.reshape(2, -1))
+        order = np.argsort(key[:size], kind="stable")
+        key, node = key[:size][order], node[:size][order]
+        del order
         same = key[1:] == key[:-1]
         often = np.flatnonzero(np.append(same, False) | np.insert(same, 0, False)) if len(key) else np.zeros(0, np.int64)
         found = np.concatenate([np.array(stars(key[often], node[often])).reshape(2, -1).astype(np.int64), *ready], axis=1)
         return pa.table({"a": pa.array(found[0]), "b": pa.array(found[1])})
 
-    dealt = sets.select("doc_id", "shingles").mapInArrow(deal, "r int, keys binary, docs binary")
+    dealt = texts.mapInArrow(deal, "r int, keys binary, docs binary")
     return dealt.groupBy("r").applyInArrow(meet, "a long, b long")
 
 
@@ -276,19 +287,11 @@ def link_documents(documents: DataFrame) -> DataFrame:
                     marks.append(pa.array((sums[ends] - sums[ends - counts]).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), *marks], names=["doc_id", "n_shingles", "mark", "check"])
 
-    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "data"):
-            tokens, counts = shingle_sets(batch.column("data").to_pylist())
-            parts = np.split(tokens, np.cumsum(counts)[:-1])
-            columns = [*batch.columns[:-1], pa.array([part.astype("<u8").tobytes() for part in parts], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "shingles"])
-
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("data"))
     sizes = cut_lineage(texts.mapInArrow(describe, "doc_id long, n_shingles long, mark long, check long"))
     few = dict(sizes.where(f"n_shingles BETWEEN 1 AND {MOST_LIGHT}").groupBy("n_shingles").count().collect())
     light = choose_boundary(few)
-    keyed = texts.where("doc_id IS NOT NULL").mapInArrow(shingle, "doc_id long, shingles binary")
-    groups = connected_components(candidate_edges(keyed, light))
+    groups = connected_components(candidate_edges(texts.where("doc_id IS NOT NULL"), light, sizes.count()))
 
     # Equal sets are one: their smallest document stands for them.
     same = ["mark", "check", "n_shingles"]
