@@ -104,16 +104,20 @@ def orphans(evidence: DataFrame, documents: DataFrame) -> DataFrame:
     return evidence.join(documents.select("document_id"), "document_id", "left_anti")
 
 
-def filter_linked(linked: DataFrame, requests: DataFrame, small: bool | None = None) -> DataFrame:
-    """FLT-02 on evidence already linked to its documents."""
+def reachable(linked: DataFrame) -> DataFrame:
+    """Linked evidence that some request could get: one row per security that it is sound for, with its effective time."""
     ids = F.concat("subject_security_ids", "mentioned_security_ids")
     sound = linked.where(
         (F.col("source_type") == F.col("document_source"))
         & (F.size(F.array_except(ids, F.col("document_ids"))) == 0)
     ).withColumn("effective_at", effective_time("published_at", "document_time"))
-    reachable = sound.withColumn("security_id", F.explode(F.array_distinct("document_ids")))
+    return sound.withColumn("security_id", F.explode(F.array_distinct("document_ids")))
+
+
+def filter_linked(linked: DataFrame, requests: DataFrame, small: bool | None = None) -> DataFrame:
+    """FLT-02 on evidence already linked to its documents."""
     small = is_small(requests) if small is None else small
-    joined = hinted_join(reachable, filter_sets(requests), ["security_id"], small)
+    joined = hinted_join(reachable(linked), filter_sets(requests), ["security_id"], small)
     return joined.where(
         F.array_contains("source_types", F.col("source_type"))
         & scope_match("security_id", "document_primary", F.lit(True))

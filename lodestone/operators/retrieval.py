@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 
 from lodestone import fixed_values as fixed
 from lodestone.functions.text import ColumnLike, as_column, query_tokens, retrieval_tokens
-from lodestone.operators.filters import filter_linked, link_documents, with_filter_sets
+from lodestone.operators.filters import (
+    FILTER_COLUMNS, as_of_match, day_range_match, link_documents, reachable, scope_match, with_filter_sets,
+)
+from lodestone.operators.market import asof_join
 from lodestone.operators.selection import leading_rows, source_place
 from lodestone.operators.skew import hinted_join, is_small
+from lodestone.session import cut_lineage
 
 MARKER = ""
 
@@ -105,6 +109,81 @@ def bm25_scores(
     return scores, tokens, statistics
 
 
+def candidate_totals(cells: DataFrame, sets: DataFrame) -> DataFrame:
+    """Number and mean length of the candidates of each filter set, without a pair of the two.
+
+    ``cells`` has security_id, source_type, shown types, effective_at and length of the candidates.
+    Counts and lengths are summed up along time for each (security, source, types); a filter set
+    looks them up at its two time bounds, and takes candidates without a time if it has no bound.
+    """
+    group = ["security_id", "source_type", "shown"]
+    counted = cells.groupBy(*group, "effective_at").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("lengths"))
+    timeless = counted.where("effective_at IS NULL").select(*group, F.col("n").alias("loose_n"), F.col("lengths").alias("loose_lengths"))
+    upto = Window.partitionBy(*group).orderBy("effective_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = counted.where("effective_at IS NOT NULL").select(
+        *group, F.col("effective_at").alias("at"), F.sum("n").over(upto).alias("n"), F.sum("lengths").over(upto).alias("lengths")
+    )
+    kinds = counted.select(*group).distinct()
+    per_source = sets.withColumn("source_type", F.explode(F.array_distinct("source_types")))
+    wanted = F.col("document_types").isNull() | F.coalesce(F.arrays_overlap("shown", "document_types"), F.lit(False))
+    asks = per_source.join(kinds, ["security_id", "source_type"]).where(wanted)
+    # Local days as instants; bounds are kept a microsecond inside, so that "at or before" serves both.
+    instant = lambda day, days: F.to_utc_timestamp(F.date_add(day, days).cast("timestamp"), fixed.LOCAL_ZONE)
+    just_before = lambda at: F.timestamp_micros(F.unix_micros(at) - 1)
+    latest = F.least(F.col("as_of"), just_before(instant("end_day", 1)), F.lit("9999-01-01 00:00:00").cast("timestamp"))
+    bounds = F.array_compact(F.array(
+        F.struct(latest.alias("bound"), F.lit(1).alias("sign")),
+        F.when(F.col("start_day").isNotNull(), F.struct(just_before(instant("start_day", 0)).alias("bound"), F.lit(-1).alias("sign"))),
+    ))
+    points = asks.select("filter_set", *group, F.explode(bounds).alias("b")).select("filter_set", *group, "b.bound", "b.sign")
+    found = asof_join(points, running, group, "bound", "at", ["n", "lengths"], 86_400)
+    bounded = found.groupBy("filter_set").agg(F.sum(F.col("sign") * F.col("n")).alias("n"), F.sum(F.col("sign") * F.col("lengths")).alias("lengths"))
+    loose = asks.where("as_of IS NULL AND start_day IS NULL AND end_day IS NULL").join(timeless, group).groupBy("filter_set").agg(
+        F.sum("loose_n").alias("n"), F.sum("loose_lengths").alias("lengths")
+    )
+    return bounded.unionByName(loose).groupBy("filter_set").agg(F.sum("n").alias("total"), F.sum("lengths").alias("lengths")).where("total > 0").select(
+        "filter_set", "total", (F.col("lengths") / F.col("total")).alias("mean_length")
+    )
+
+
+def bm25_by_token(
+    evidence: DataFrame, documents: DataFrame, asked: DataFrame, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B, small: bool | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``bm25_scores`` over all evidence of ``documents``: evidence and filter sets meet only where they share a token.
+
+    Hard filters are checked on the shared tokens, which gives document frequencies and scores;
+    the number and mean length of all candidates come from sums along time.
+    """
+    tokens = request_tokens(asked)
+    small = is_small(asked, "query") if small is None else small
+    sets = asked.select("filter_set", *FILTER_COLUMNS).dropDuplicates(["filter_set"])
+    marker = asked.select(F.lit(MARKER).alias("token")).distinct()
+    # The filters need no text; narrow rows travel through the joins.
+    linked = link_documents(evidence.drop("title", "snippet"), documents)
+    shown = F.filter(F.array("document_type", "report_type", "content_level"), lambda v: v.isNotNull() & (F.trim(v) != ""))
+    sound = reachable(linked).where(scope_match("security_id", "document_primary", F.lit(True))).select(
+        "evidence_id", "security_id", F.array_sort(F.array_distinct(shown)).alias("shown"), "effective_at"
+    )
+    rows = cut_lineage(postings(evidence, tokens.select("token").union(marker).distinct(), small).join(sound, "evidence_id"))
+    totals = candidate_totals(rows.where(F.col("token") == MARKER), sets)
+    asked_tokens = tokens.select("filter_set", "token").distinct().join(sets, "filter_set")
+    shared = hinted_join(rows.where(F.col("token") != MARKER), asked_tokens, ["security_id", "token"], small).where(
+        F.array_contains("source_types", F.col("source_type"))
+        & (F.col("document_types").isNull() | F.coalesce(F.arrays_overlap("shown", "document_types"), F.lit(False)))
+        & as_of_match("effective_at", "as_of") & day_range_match("effective_at", "start_day", "end_day")
+    ).select("filter_set", "token", "evidence_id", "source_type", "length", "tf")
+    keys = ["filter_set", "token"]
+    statistics = cut_lineage(
+        shared.groupBy(*keys).agg(F.count(F.lit(1)).alias("df")).join(totals, "filter_set")
+        .unionByName(totals.select("filter_set", F.lit(MARKER).alias("token"), F.col("total").alias("df"), "total", "mean_length"))
+    )
+    weighted = tokens.join(statistics, keys)
+    term = bm25_term("tf", "df", "total", "length", "mean_length", "query_tf", k1, b)
+    scored = hinted_join(shared, weighted, keys, small).groupBy("request_id", "evidence_id", "source_type").agg(F.sum(term).alias("raw"))
+    scores = scored.select("request_id", "evidence_id", "source_type", F.bround("raw", fixed.SCORE_DIGITS).alias("score"))
+    return scores, tokens, statistics
+
+
 def bm25_retrieve(
     evidence: DataFrame, requests: DataFrame, documents: DataFrame | None = None,
     k1: float = fixed.BM25_K1, b: float = fixed.BM25_B, floor: float = fixed.RELEVANCE_FLOOR, max_k: int = fixed.MAX_TOP_K,
@@ -118,9 +197,9 @@ def bm25_retrieve(
     asked = with_filter_sets(requests).withColumn("effective_k", F.least("top_k", F.lit(max_k)))
     small = is_small(requests, "query")
     if candidates is None:
-        # The filters need no text; narrow rows travel through the joins.
-        candidates = filter_linked(link_documents(evidence.drop("title", "snippet"), documents), requests, small)
-    scores, tokens, statistics = bm25_scores(evidence, candidates, asked, k1, b, small)
+        scores, tokens, statistics = bm25_by_token(evidence, documents, asked, k1, b, small)
+    else:
+        scores, tokens, statistics = bm25_scores(evidence, candidates, asked, k1, b, small)
     eligible = scores.where(F.col("score") >= floor)
     order = [F.col("score").desc(), F.col("evidence_id")]
     pool = leading_rows(eligible, order, max_k)

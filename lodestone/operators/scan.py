@@ -52,9 +52,11 @@ def ordered_scan(
 ) -> DataFrame:
     """Run ``step`` along every key in order; returns the rows with the ``result`` columns added."""
     session = df.sparkSession
-    chunks = max(1, -(-df.count() // rows_per_chunk))
+    # Computed once; counting and range sampling read the checkpoint.
+    held = cut_lineage(df)
+    chunks = max(1, -(-held.count() // rows_per_chunk))
     placed = cut_lineage(
-        df.repartitionByRange(chunks, key, *order).withColumn("chunk", F.spark_partition_id())
+        held.repartitionByRange(chunks, key, *order).withColumn("chunk", F.spark_partition_id())
     )
 
     def run_states(frame: pd.DataFrame, assumed: pd.DataFrame) -> pd.DataFrame:
@@ -62,7 +64,8 @@ def ordered_scan(
             return pd.DataFrame(columns=["chunk", "first_key", "last_key", "incoming", "outgoing"])
         incoming = assumed["incoming"].iloc[0] if len(assumed) else None
         _, first, last, state = _play(frame, key, order, step, incoming)
-        return pd.DataFrame([[int(frame["chunk"].iloc[0]), first, last, incoming, json.dumps(state)]],
+        outgoing = None if state is None else json.dumps(state)
+        return pd.DataFrame([[int(frame["chunk"].iloc[0]), first, last, incoming, outgoing]],
                             columns=["chunk", "first_key", "last_key", "incoming", "outgoing"])
 
     nothing = session.createDataFrame([], "chunk int, incoming string")

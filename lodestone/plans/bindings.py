@@ -116,7 +116,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("CASE WHEN item_id % 4 = 1 THEN DATE '2024-02-01' END").alias("start_day"),
         F.expr("CASE WHEN item_id % 4 = 1 THEN DATE '2024-11-30' END").alias("end_day"),
         F.expr(
-            "CASE WHEN item_id % 2 = 0 THEN timestampadd(DAY, 30 * (item_id % 3), TIMESTAMP '2024-10-01 00:00:00') END"
+            "CASE WHEN item_id % 2 = 0 THEN timestampadd(MINUTE, (item_id * 6007) % 400000, TIMESTAMP '2024-03-01 00:00:00') END"
         ).alias("as_of"),
         F.expr(
             "CASE WHEN item_id % 7 = 3 THEN array('type1', 'annual') WHEN item_id % 7 = 5 THEN cast(array() AS array<string>) END"
@@ -134,7 +134,7 @@ req AS (
       ELSE ['news', 'disclosure', 'research_report', 'glossary'] END AS source_types,
     CASE WHEN item_id % 4 = 1 THEN DATE '2024-02-01' END AS start_day,
     CASE WHEN item_id % 4 = 1 THEN DATE '2024-11-30' END AS end_day,
-    CASE WHEN item_id % 2 = 0 THEN TIMESTAMP '2024-10-01' + to_days(CAST(30 * (item_id % 3) AS INTEGER)) END AS as_of,
+    CASE WHEN item_id % 2 = 0 THEN TIMESTAMP '2024-03-01' + to_minutes(CAST((item_id * 6007) % 400000 AS INTEGER)) END AS as_of,
     CASE WHEN item_id % 7 = 3 THEN ['type1', 'annual'] WHEN item_id % 7 = 5 THEN CAST([] AS VARCHAR[]) END AS document_types,
     CAST(4 + item_id % 9 AS INTEGER) AS top_k,
     TIMESTAMP '2024-10-01' + to_days(CAST(30 * (item_id % 3) AS INTEGER)) AS basis_at

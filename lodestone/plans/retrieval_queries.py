@@ -78,8 +78,7 @@ FROM df JOIN stats USING (request_id)""",
 def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = filters.with_filter_sets(b.requests(spark, sf_dir)).withColumn("effective_k", F.col("top_k"))
     evidence = b.evidence(spark, sf_dir)
-    candidates = filters.filter_evidence(evidence, asked, b.documents(spark, sf_dir))
-    _, tokens, statistics = retrieval.bm25_scores(evidence, candidates, asked)
+    _, tokens, statistics = retrieval.bm25_by_token(evidence, b.documents(spark, sf_dir), asked)
     return tokens.join(statistics, ["filter_set", "token"]).select(
         "request_id", "token", "df", "total", F.round("mean_length", 4).alias("mean_length")
     )
@@ -92,8 +91,7 @@ def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = filters.with_filter_sets(b.requests(spark, sf_dir))
     evidence = b.evidence(spark, sf_dir)
-    candidates = filters.filter_evidence(evidence, asked, b.documents(spark, sf_dir))
-    scores, _, _ = retrieval.bm25_scores(evidence, candidates, asked)
+    scores, _, _ = retrieval.bm25_by_token(evidence, b.documents(spark, sf_dir), asked)
     return scores.select("request_id", "evidence_id", F.round("score", 3).alias("score"))
 
 
@@ -118,8 +116,7 @@ SELECT request_id, evidence_id, CAST(rank AS INTEGER) AS rank FROM ranked JOIN r
 def rank_by_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = filters.with_filter_sets(b.requests(spark, sf_dir))
     evidence = b.evidence(spark, sf_dir)
-    candidates = filters.filter_evidence(evidence, asked, b.documents(spark, sf_dir))
-    scores, _, _ = retrieval.bm25_scores(evidence, candidates, asked)
+    scores, _, _ = retrieval.bm25_by_token(evidence, b.documents(spark, sf_dir), asked)
     ranked = top_rows(
         scores.where("score >= 0.5"), ["request_id"], [F.col("score").desc(), F.col("evidence_id")], 10, "rank"
     )
