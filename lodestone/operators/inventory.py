@@ -9,27 +9,46 @@ from pyspark.sql import functions as F
 
 from lodestone import fixed_values as fixed
 from lodestone.functions import hashing, times, urls
-from lodestone.functions.text import as_column, clean_tags_first, contains_any, count_contained, first_offset, fold_case
+from lodestone.functions.text import as_column, clean_tags_first, contains_any, count_contained, first_offset, fold_case, let
 from lodestone.operators import topics
 from lodestone.operators.dedup import two_key_dedup
-from lodestone.operators.skew import keep_first, top_rows
+from lodestone.operators.skew import keep_first, spread_join, top_rows
+
+
+Names = Mapping[str, Sequence[str]]
+
+
+def _with_names(rows: DataFrame, **columns: Names | None) -> DataFrame:
+    """``rows`` with an array column of case-folded names for their security, one per mapping; joined, so their number does not grow the plan."""
+    for column, names in columns.items():
+        listed = [(security, [name.casefold() for name in some]) for security, some in (names or {}).items()]
+        table = rows.sparkSession.createDataFrame(listed, f"security_id string, `{column}` array<string>")
+        rows = spread_join(rows, table, ["security_id"], "left")
+    return rows
+
+
+def _has_name(folded: Column, names: str) -> Column:
+    return let(folded, lambda text: F.coalesce(F.exists(F.col(names), lambda name: F.contains(text, name)), F.lit(False)))
+
+
+def _name_offset(folded: Column, names: str) -> Column:
+    """Smallest 0-based offset of any of the names, null when none occurs."""
+    return let(folded, lambda text: F.array_min(F.filter(F.transform(F.col(names), lambda name: F.position(name, text) - 1), lambda at: at >= 0)))
 
 
 def match_basis(
-    title: Column, description: Column, security_id: Column, title_aliases: Mapping[str, Sequence[str]],
-    description_aliases: Mapping[str, Sequence[str]] | None = None, topical: Mapping[str, Sequence[str]] | None = None,
+    rows: DataFrame, title_aliases: Names, description_aliases: Names | None = None, topical: Names | None = None,
     max_offset: int = fixed.DESCRIPTION_ALIAS_MAX_OFFSET,
-) -> Column:
-    """CMP-12: title alias; else an early description alias with a topical title, where a security allows it."""
-    folded_title = fold_case(title)
-    in_title, in_description = F.lit(False), F.lit(False)
-    for security, aliases in title_aliases.items():
-        in_title = in_title | ((security_id == security) & contains_any(folded_title, [a.casefold() for a in aliases]))
-    for security, aliases in (description_aliases or {}).items():
-        offset = first_offset(fold_case(clean_tags_first(description)), [a.casefold() for a in aliases])
-        topic = contains_any(folded_title, [t.casefold() for t in (topical or {}).get(security, [])])
-        in_description = in_description | ((security_id == security) & F.coalesce(offset <= max_offset, F.lit(False)) & topic)
-    return F.when(in_title, F.lit("title_alias")).when(in_description, F.lit("provider_description_alias"))
+) -> DataFrame:
+    """CMP-12: ``match_basis`` of rows with security_id, title and description.
+
+    A title alias; else an early description alias with a topical title, where a security allows it.
+    """
+    named = _with_names(rows, __aliases=title_aliases, __early=description_aliases, __topics=topical)
+    title, description = fold_case(F.col("title")), fold_case(clean_tags_first("description"))
+    early = F.coalesce(_name_offset(description, "__early") <= max_offset, F.lit(False)) & _has_name(title, "__topics")
+    basis = F.when(_has_name(title, "__aliases"), F.lit("title_alias")).when(early, F.lit("provider_description_alias"))
+    return named.withColumn("match_basis", basis).drop("__aliases", "__early", "__topics")
 
 
 def merge_duplicates(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -60,13 +79,12 @@ def news_inventory(
     parsed = raw.withColumn("title", clean_tags_first("title")).withColumn("published_at", times.parse_feed_time("pub_date")).withColumn(
         "canonical_url", urls.canonical_url("originallink", "link")
     )
-    basis = match_basis(F.col("title"), F.col("description"), F.col("security_id"), title_aliases, description_aliases, topical)
     in_window = F.col("published_at").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))
     reason = (
         F.when((F.coalesce("title", F.lit("")) == "") | F.col("published_at").isNull() | F.col("canonical_url").isNull(), F.lit("invalid_metadata"))
         .when(~in_window, F.lit("outside_window")).when(F.col("match_basis").isNull(), F.lit("security_not_established"))
     )
-    judged = parsed.withColumn("match_basis", basis).withColumn("reason", reason)
+    judged = match_basis(parsed, title_aliases, description_aliases, topical).withColumn("reason", reason)
     sound = judged.where(F.col("reason").isNull()).drop("reason")
     merged = merge_duplicates(sound, ["security_id", "canonical_url"], "ord")
     items = merged.select(
@@ -153,15 +171,15 @@ def page_checksums(reports: DataFrame, key: str) -> DataFrame:
 
 
 def relevance_score(
-    title: Column, aliases: Sequence[str], event_terms: Sequence[str] | None = None, reject: Sequence[str] | None = None,
+    title: Column, aliases: Sequence[str] | str, event_terms: Sequence[str] | None = None, reject: Sequence[str] | None = None,
     broad: Sequence[str] | None = None, max_offset: int = fixed.CURATION_ALIAS_MAX_OFFSET,
 ) -> Column:
-    """FLT-11 / CMP-20: 4 plus 2 per event term for a relevant title, null otherwise."""
+    """FLT-11 / CMP-20: 4 plus 2 per event term for a relevant title, null otherwise; ``aliases`` may name an array column."""
     events = [t.casefold() for t in (fixed.CURATION_EVENT_TERMS if event_terms is None else event_terms)]
     unwanted = [t.casefold() for t in (fixed.REJECT_TERMS if reject is None else reject)]
     unwanted += [t.casefold() for t in (fixed.BROAD_MARKET_TERMS if broad is None else broad)]
     folded = fold_case(title)
-    offset = first_offset(folded, [alias.casefold() for alias in aliases])
+    offset = _name_offset(folded, aliases) if isinstance(aliases, str) else first_offset(folded, [alias.casefold() for alias in aliases])
     hits = count_contained(folded, events)
     relevant = F.coalesce(offset <= max_offset, F.lit(False)) & ~contains_any(folded, unwanted) & (hits > 0)
     return F.when(relevant, 4 + 2 * hits)
@@ -181,10 +199,8 @@ def curate_feed(
 
     ``items``: security_id, title, published_at, source_url, ord.
     """
-    score = F.lit(None).cast("int")
-    for security, names in aliases.items():
-        score = F.when(F.col("security_id") == security, relevance_score(F.col("title"), names, event_terms, reject, broad)).otherwise(score)
-    relevant = items.withColumn("score", score).where(F.col("score").isNotNull())
+    score = relevance_score(F.col("title"), "__aliases", event_terms, reject, broad)
+    relevant = _with_names(items, __aliases=aliases).withColumn("score", score).drop("__aliases").where(F.col("score").isNotNull())
     unique = two_key_dedup(
         relevant.withColumn("title_key", fold_case("title")), "security_id", "source_url", "title_key", "ord"
     ).withColumn("document_id", hashing.stable_id("feed", "source_url")).withColumn("local_day", times.local_day("published_at"))

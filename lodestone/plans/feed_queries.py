@@ -92,9 +92,9 @@ def duplicate_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def match_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.functions.text import clean_tags_first
 
-    rows = feed(spark, sf_dir).withColumn("title", clean_tags_first("title"))
-    basis = inventory.match_basis(F.col("title"), F.lit("and then some"), F.col("security_id"), ALIASES, {"en": ["and"]}, {"en": ["er"]})
-    return rows.select("page_id", "ord", basis.alias("basis"))
+    rows = feed(spark, sf_dir).withColumn("title", clean_tags_first("title")).withColumn("description", F.lit("and then some"))
+    judged = inventory.match_basis(rows, ALIASES, {"en": ["and"]}, {"en": ["er"]})
+    return judged.select("page_id", "ord", F.col("match_basis").alias("basis"))
 
 
 def _long_coverage_sql(source: str, key: str, dimensions: dict[str, str]) -> str:
