@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 LENGTH = 50
 SEED = 20
 WINDOW = LENGTH - SEED + 1
-GROUP_BYTES = 12_000_000
+GROUP_BYTES = 6_000_000
 MOST_GROUPS = 32_768
 CHUNK_BYTES = 1_000_000
 LAST = 2**63 - 1
@@ -313,11 +313,14 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
                     opens.append(hits)
                     closes.append(hits + LENGTH)
         total = int((sizes + 1).sum())
-        change = np.bincount(np.concatenate(opens), minlength=total + 1) - np.bincount(np.concatenate(closes), minlength=total + 1)
-        removed = np.cumsum(change)[:total] > 0
-        edges = np.flatnonzero(removed & ~np.insert(removed, 0, False)[:-1])
-        lost = np.concatenate([np.zeros(1, np.int64), np.cumsum(removed)])
-        n_removed = lost[bases + sizes] - lost[bases]
+        change = np.zeros(total + 1, dtype=np.int32)
+        np.add.at(change, np.concatenate(opens), np.int32(1))
+        np.subtract.at(change, np.concatenate(closes), np.int32(1))
+        removed = np.cumsum(change, dtype=np.int32, out=change)[:total] > 0
+        edges = np.flatnonzero(removed[1:] > removed[:-1]) + 1 if total else np.zeros(0, np.int64)
+        edges = np.append(0, edges) if total and removed[0] else edges
+        lost = np.cumsum(removed, dtype=np.int64)
+        n_removed = lost[bases + sizes] - lost[bases] + removed[bases]
         n_spans = np.searchsorted(edges, bases + sizes) - np.searchsorted(edges, bases)
         left = [
             np.frombuffer(data, np.uint8)[~removed[base : base + len(data)]].tobytes() if n else data
