@@ -427,7 +427,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("val_07_snapshot_rows", b.ctes(b.DOCUMENTS_SQL) + "SELECT doc_id, CASE WHEN len(primary_security_ids) <> 1 OR len(mentioned_security_ids) <> 0 THEN 'attribution' WHEN source_type = 'glossary' THEN 'source_type' WHEN published_at IS NULL THEN 'missing_time' WHEN published_at > TIMESTAMP '2024-09-01' THEN 'after_basis' WHEN trim(title) = '' THEN 'title' WHEN source_type = 'news' AND document_type IS NULL THEN 'news_type' WHEN source_type = 'research_report' AND external_allowed THEN 'report_permission' END AS reason FROM docs")
+@query("val_07_snapshot_rows", b.ctes(b.DOCUMENTS_SQL) + "SELECT doc_id, CASE WHEN len(primary_security_ids) <> 1 OR len(mentioned_security_ids) <> 0 THEN 'attribution' WHEN source_type = 'glossary' THEN 'source_type' WHEN published_at IS NULL THEN 'missing_time' WHEN published_at > TIMESTAMP '2024-09-01' THEN 'after_basis' WHEN trim(title) = '' OR length(title) > 300 THEN 'title' WHEN source_type = 'news' AND document_type IS NULL THEN 'news_type' WHEN source_type = 'research_report' AND external_allowed THEN 'report_permission' END AS reason FROM docs")
 def snapshot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     basis = F.lit("2024-09-01 00:00:00").cast("timestamp")
     return b.documents(spark, sf_dir).select("doc_id", validation.snapshot_reason(basis).alias("reason"))
