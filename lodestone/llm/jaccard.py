@@ -1,10 +1,11 @@
 """N-gram Jaccard join by size: subsets for light sets, inverted lists for heavy ones.
 
-Two documents link when 100 x common shingles >= 90 x shingles of either. A light set enumerates its
-subsets of the sizes at which it could link. A heavy set of n shingles differs from any linked one
-in at most (a + b) / 19 shingles, so among one more parts than that, dealt by hash, one part is the
-same in both: its lists are keyed by parts, which a shared passage alone does not make equal. The
-size that divides light from heavy is the one at which the keys cost least.
+Two documents link when 100 x common shingles >= ``percent`` x shingles of either. A light set
+enumerates its subsets of the sizes at which it could link. A heavy set differs from any linked one
+in at most (a + b) x (100 - percent) / (100 + percent) shingles, a nineteenth of a + b at 90 and a
+ninth at 80. A set dealt by hash into parts of which more than that are filled has one that is the
+same in both: its lists are keyed by parts, which a shared passage alone seldom makes equal. The size
+that divides light from heavy is the one at which the keys cost least.
 
 Keys give candidate groups, not pairs: lists are reduced to stars within a task and within a key
 range, and stars to groups. Within a group each distinct set scans the inverted lists of the sets
@@ -22,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import chunks, joined_bytes, lower_ascii, utf8
+from lodestone.llm.common import CHUNK_BYTES, chunks, joined_bytes, lower_ascii, utf8
 from lodestone.llm.components import connected_components
 from lodestone.operators.skew import salted_join
 from lodestone.session import cut_lineage
 
 SHINGLE = 3
+# Common shingles of two linked sets, in hundredths of the shingles of either.
+PERCENT = 90
 # Shingles of one verifying task; larger groups are split into pairs of blocks.
 BLOCK_SHINGLES = 1_500_000
 # A list entry is sorted and its set verified; a subset is sorted.
@@ -46,11 +49,11 @@ def _mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct 3-word shingles of all texts, sorted within each, and how many each text has.
+def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles (of ``shingle`` words) of all texts, sorted within each, and how many each text has.
 
-    Words are runs of bytes other than space and 9 to 13, with A-Z lowered; a text of one or two
-    words has the whole sequence as its shingle.
+    Words are runs of bytes other than space and 9 to 13, with A-Z lowered; a text of fewer words
+    than a shingle has the whole sequence as its shingle.
     """
     data, _, ends = joined_bytes(texts, b" ")
     data = lower_ascii(data)
@@ -66,11 +69,11 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         word = _mix((sums[stops] - sums[starts]) * undo[starts])
         owner = np.searchsorted(ends, starts, side="right")
         count = np.bincount(owner, minlength=len(texts))
-        size = np.minimum(count, SHINGLE)[owner]
+        size = np.minimum(count, shingle)[owner]
         left = np.cumsum(count)[owner] - np.arange(len(owner))
         first = np.flatnonzero(left >= size)
         held = _mix(word[first] + size[first].astype(np.uint64))
-        for step in range(1, SHINGLE):
+        for step in range(1, shingle):
             more = size[first] > step
             held[more] = _mix(held[more] + word[first[more] + step])
     owner = owner[first]
@@ -81,50 +84,71 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return held[fresh], np.bincount(owner[fresh], minlength=len(texts))
 
 
-def size_classes(largest: int) -> np.ndarray:
+def least_linked(percent: int) -> int:
+    """The smallest set that can link with another than its equal."""
+    return -(-percent // (100 - percent))
+
+
+def least_common(n: int, percent: int) -> int:
+    """Shingles that a set of ``n`` has in common with any linked one, at least; also the smallest size of one."""
+    return -(-percent * n // 100)
+
+
+def size_classes(largest: int, percent: int = PERCENT) -> np.ndarray:
     """First sizes of classes such that linked sets lie in the same or in neighbouring classes."""
     firsts = [1]
     while firsts[-1] <= largest:
-        firsts.append(10 * firsts[-1] // 9 + 1)
-    return np.array([*firsts, 10 * firsts[-1] // 9 + 1], dtype=np.int64)
+        firsts.append(100 * firsts[-1] // percent + 1)
+    return np.array([*firsts, 100 * firsts[-1] // percent + 1], dtype=np.int64)
 
 
-def parts_of(firsts: np.ndarray, cls: np.ndarray) -> np.ndarray:
+def parts_of(firsts: np.ndarray, cls: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """One more than the shingles in which linked sets up to the class's largest size can differ."""
-    return 2 * (firsts[cls + 1] - 1) // 19 + 1
+    return 2 * (firsts[cls + 1] - 1) * (100 - percent) // (100 + percent) + 1
+
+
+def seats_of(firsts: np.ndarray, cls: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Parts that the sets of a class and of the one before are dealt into, so that mostly ``parts_of`` of them are filled."""
+    need, smallest = parts_of(firsts, cls, percent), firsts[np.maximum(cls - 1, 0)]
+    seats = need
+    for _ in range(20):
+        empty = seats * np.exp(-smallest / seats)
+        seats = np.maximum(seats, need + (empty + 3 * np.sqrt(empty)).astype(np.int64))
+    return np.minimum(seats, need + smallest)
 
 
-def light_keys(n: int) -> int:
-    return sum(comb(n, out) for out in range(n - -(-9 * n // 10) + 1)) if n >= 9 else 0
+def light_keys(n: int, percent: int = PERCENT) -> int:
+    return sum(comb(n, out) for out in range(n - least_common(n, percent) + 1)) if n >= least_linked(percent) else 0
 
 
-def choose_boundary(sizes: dict[int, int]) -> int:
+def choose_boundary(sizes: dict[int, int], percent: int = PERCENT) -> int:
     """The largest light size at which all keys together cost least; ``sizes`` counts the sets of each size up to ``MOST_LIGHT``."""
-    firsts = size_classes(MOST_LIGHT + 2)
-    heavy = {n: 2 * int(parts_of(firsts, np.searchsorted(firsts, n, side="right") - 1)) * LIST_COST for n in sizes}
-    cost = {x: sum(m * (light_keys(n) if n <= x else heavy[n]) for n, m in sizes.items()) for x in range(8, MOST_LIGHT + 1)}
+    firsts = size_classes(MOST_LIGHT + 2, percent)
+    heavy = {n: 2 * int(seats_of(firsts, np.searchsorted(firsts, n, side="right") - 1, percent)) * LIST_COST for n in sizes}
+    cost = {
+        x: sum(m * (light_keys(n, percent) if n <= x else heavy[n]) for n, m in sizes.items()) for x in range(least_linked(percent) - 1, MOST_LIGHT + 1)
+    }
     return min(cost, key=lambda x: (cost[x], x))
 
 
-def set_keys(tokens: np.ndarray, counts: np.ndarray, light: int) -> tuple[np.ndarray, np.ndarray]:
+def set_keys(tokens: np.ndarray, counts: np.ndarray, light: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all sets and the set each belongs to. Linked sets that differ have one key in common at least."""
     first = np.cumsum(counts) - counts
     keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     with np.errstate(over="ignore"):
-        for i in np.flatnonzero((counts <= light) & (counts >= 9)):
+        for i in np.flatnonzero((counts <= light) & (counts >= least_linked(percent))):
             own = _mix(tokens[first[i] : first[i] + counts[i]])
             whole, n = own.sum(dtype=np.uint64), int(counts[i])
-            for out in range(n - -(-9 * n // 10) + 1):
+            for out in range(n - least_common(n, percent) + 1):
                 # The sum of a subset is the whole less what is left out.
                 gone = np.array([own[list(some)].sum(dtype=np.uint64) for some in combinations(range(n), out)], dtype=np.uint64)
                 keys.append(_mix((whole - gone) ^ np.uint64(n - out)))
                 owners.append(np.full(len(gone), i))
-        firsts = size_classes(int(counts.max(initial=1)))
-        heavy = np.flatnonzero(counts >= max(9, -(-9 * (light + 1) // 10)))
+        firsts = size_classes(int(counts.max(initial=1)), percent)
+        heavy = np.flatnonzero(counts >= max(least_linked(percent), least_common(light + 1, percent)))
         for above in (0, 1):
             cls = np.searchsorted(firsts, counts[heavy], side="right") - 1 + above
-            parts = parts_of(firsts, cls)
-            pending, seats = heavy, parts
+            pending, need, seats = heavy, parts_of(firsts, cls, percent), seats_of(firsts, cls, percent)
             for number in range(ROUNDS):
                 # The part of a shingle, and sums of mixed shingles per part in two exact halves.
                 flat = np.repeat(first[pending] - np.insert(np.cumsum(counts[pending])[:-1], 0, 0), counts[pending]) + np.arange(counts[pending].sum())
@@ -138,12 +162,14 @@ def set_keys(tokens: np.ndarray, counts: np.ndarray, light: int) -> tuple[np.nda
                 nth = np.arange(total) - np.repeat(begin, seats)
                 label = (np.repeat(seats, seats) * ROUNDS + number).astype(np.uint64) * _MIX[1] + nth.astype(np.uint64)
                 key = _mix(_mix(low + high * _BASE) ^ _mix(label))
-                # An empty part says nothing; a set that has one is dealt again, the last time with empty parts.
-                kept = filled if number < ROUNDS - 1 else np.ones(total, dtype=bool)
+                # An empty part says nothing; a set with too few filled ones is dealt again, the last time with empty parts.
+                kept = filled
+                if number == ROUNDS - 1:
+                    kept = filled | np.repeat(np.add.reduceat(filled, begin, dtype=np.int64) < need, seats) if total else filled
                 keys.append(key[kept])
                 owners.append(np.repeat(pending, seats)[kept])
-                again = np.add.reduceat(~filled, begin) > 0 if total else np.zeros(0, bool)
-                pending, seats = pending[again], seats[again]
+                again = np.add.reduceat(filled, begin, dtype=np.int64) < need if total else np.zeros(0, bool)
+                pending, need, seats = pending[again], need[again], seats[again]
                 if not len(pending):
                     break
     return np.concatenate(keys), np.concatenate(owners)
@@ -168,7 +194,7 @@ def stars(groups: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return ids[moved], ids[label[moved]]
 
 
-def verified(tokens: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int]]:
+def verified(tokens: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[int, int]]:
     """Links enough to join all linked sets of a group: each set reached scans the lists of those not reached yet."""
     sets = len(counts)
     first = np.cumsum(counts) - counts
@@ -189,7 +215,7 @@ def verified(tokens: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int]
             sizes = begin[own + 1] - begin[own]
             at = np.repeat(begin[own] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
             common = np.bincount(members[at], minlength=sets)
-            near = np.flatnonzero(waiting & (common > 0) & (100 * common >= 90 * (counts[mine] + counts - common)))
+            near = np.flatnonzero(waiting & (common > 0) & (100 * common >= percent * (counts[mine] + counts - common)))
             waiting[near] = False
             frontier.extend(near.tolist())
             yield from ((seed, int(other)) for other in near)
@@ -208,11 +234,11 @@ def _unplaned(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
 
 
-def candidate_edges(texts: DataFrame, light: int, rows: int) -> DataFrame:
+def candidate_edges(texts: DataFrame, light: int, rows: int, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Edges (a, b) that join all documents with a common key; ``texts`` has doc_id and data (binary), ``rows`` of them."""
     # A document is named once in each range that holds one of its keys, so ranges are few; at 20,000
-    # documents one holds some two million entries.
-    ranges = int(min(65_536, max(8, rows // 20_000)))
+    # documents one holds some two million entries at 90, and parts are more at a lower percentage.
+    ranges = int(min(65_536, max(8, rows * (100 - percent) ** 2 // 2_000_000)))
 
     def dealt_out(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((node, key))
@@ -236,7 +262,7 @@ def candidate_edges(texts: DataFrame, light: int, rows: int) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in chunks(batches, "data", 1_000_000):
-            key, owner = set_keys(*shingle_sets(batch.column("data").to_pylist()), light)
+            key, owner = set_keys(*shingle_sets(batch.column("data").to_pylist(), shingle), light, percent)
             held.append((key, batch.column("doc_id").to_numpy()[owner]))
             if sum(len(part) for part, _ in held) > DEALT_ENTRIES:
                 yield dealt_out(*map(np.concatenate, zip(*held, strict=True)))
@@ -268,8 +294,8 @@ def candidate_edges(texts: DataFrame, light: int, rows: int) -> DataFrame:
     return dealt.groupBy("r").applyInArrow(meet, "a long, b long")
 
 
-def link_documents(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``documents`` (doc_id, text).
+def link_documents(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``documents`` (doc_id, text), linked at ``percent`` (1 to 99).
 
     Texts without a word, and null texts, have no shingles and link with nothing; component_id is
     the smallest doc_id that links reach. Rows of one doc_id are one document's and count as linked.
@@ -278,7 +304,7 @@ def link_documents(documents: DataFrame) -> DataFrame:
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "data"):
-            tokens, counts = shingle_sets(batch.column("data").to_pylist())
+            tokens, counts = shingle_sets(batch.column("data").to_pylist(), shingle)
             ends = np.cumsum(counts)
             with np.errstate(over="ignore"):
                 marks = []
@@ -290,8 +316,8 @@ def link_documents(documents: DataFrame) -> DataFrame:
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("data"))
     sizes = cut_lineage(texts.mapInArrow(describe, "doc_id long, n_shingles long, mark long, check long"))
     few = dict(sizes.where(f"n_shingles BETWEEN 1 AND {MOST_LIGHT}").groupBy("n_shingles").count().collect())
-    light = choose_boundary(few)
-    groups = connected_components(candidate_edges(texts.where("doc_id IS NOT NULL"), light, sizes.count()))
+    light = choose_boundary(few, percent)
+    groups = connected_components(candidate_edges(texts.where("doc_id IS NOT NULL"), light, sizes.count(), shingle, percent))
 
     # Equal sets are one: their smallest document stands for them.
     same = ["mark", "check", "n_shingles"]
@@ -317,8 +343,12 @@ def link_documents(documents: DataFrame) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def decided(held: list[tuple[int, bytes]]) -> list[tuple[int, int]]:
-            tokens, counts = shingle_sets([data for _, data in held])
-            return [(held[i][0], held[j][0]) for i, j in verified(tokens, counts)]
+            # Some texts at a time: the hashes of a byte take many times its room.
+            sizes = np.cumsum([len(data) for _, data in held]) // CHUNK_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(held)]
+            sets = [shingle_sets([data for _, data in held[start:end]], shingle) for start, end in zip(cuts, cuts[1:], strict=False)]
+            tokens, counts = map(np.concatenate, zip(*sets, strict=True))
+            return [(held[i][0], held[j][0]) for i, j in verified(tokens, counts, percent)]
 
         held, task, found = [], None, []
         for batch in batches:
