@@ -645,7 +645,8 @@ def admission_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("str_01_admission_stream", ADMISSION_SQL)
 def admission_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows.run_append(state.admission_stream(squeezed(request_rows(event_stream(spark, sf_dir))).select("client", "request_id", "ts")))
+    rows = squeezed(request_rows(event_stream(spark, sf_dir))).select("client", "request_id", "ts")
+    return flows.run_in_order(rows, "client", state.admission_stream, state.admission_again)
 
 
 @query("str_01_global_limit", GLOBAL_SQL)
@@ -663,7 +664,8 @@ def repeats_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("str_02_repeats_stream", REPEATS_SQL)
 def repeats_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = squeezed(request_rows(event_stream(spark, sf_dir))).withColumn("repeat_key", F.concat_ws("/", "client", "event_type"))
-    return flows.run_append(state.repeat_stream(rows.select("repeat_key", "request_id", "ts"))).select("request_id", "served")
+    rows = rows.select("repeat_key", "request_id", "ts")
+    return flows.run_in_order(rows, "repeat_key", state.repeat_stream, state.repeat_again).select("request_id", "served")
 
 
 @query("str_03_session_gaps", "SELECT event_id AS request_id, CAST(sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS session_number FROM (SELECT *, CASE WHEN coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) >= 1800000000, true) THEN 1 ELSE 0 END AS b FROM events)")
@@ -681,7 +683,7 @@ def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("str_04_session_exchanges", EXCHANGES_SQL)
 def session_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = request_rows(event_stream(spark, sf_dir)).withColumnRenamed("client", "session_id")
-    return flows.run_append(state.exchange_stream(rows.select("session_id", "request_id", "ts")))
+    return flows.run_in_order(rows.select("session_id", "request_id", "ts"), "session_id", state.exchange_stream, state.exchange_again)
 
 
 @query("str_05_feed_ingest", "SELECT CAST(user_id AS VARCHAR) AS security_id, 'u' || CAST(event_id % 20 AS VARCHAR) AS canonical_url, min(event_id) AS ord, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS provenance FROM events GROUP BY 1, 2")
@@ -707,5 +709,5 @@ def observation_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").cast("timestamp").alias("ts"), F.expr("CASE event_type WHEN 'error' THEN 'no_evidence' WHEN 'view' THEN 'partial' ELSE 'complete' END").alias("evidence_decision"),
         F.col("value").alias("total_latency_ms"), F.expr("event_type = 'error'").alias("fallback_used"),
     )
-    rates = flows.run_upsert(flows.observation_rates(rows, "1 hour"), ["window_start", "evidence_decision"])
+    rates = flows.observation_rates(rows, "1 hour")
     return rates.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "evidence_decision", "requests", "fallbacks", F.round("max_latency_ms", 2).alias("max_latency_ms"))

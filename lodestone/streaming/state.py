@@ -1,8 +1,9 @@
 """Stateful request streams: admission, repeat suppression and session exchanges.
 
 State per key is small (admitted times of five minutes, one timestamp, four exchanges) and expires
-by event time. Each micro-batch sorts the rows of a key before applying them, and the watermark
-bounds how late a row may come.
+by event time. Each micro-batch sorts the rows of a key before applying them. A row that lies before
+one already applied is marked ``late``, one behind the watermark is missing; ``run_in_order`` of the
+flows computes the keys of both anew with the ``_again`` functions.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestone import fixed_values as fixed
 from lodestone.functions import times
+from lodestone.operators import dialogue
+from lodestone.operators.scan import ordered_scan, text_result
 
 STATE = "payload string"
 
@@ -31,11 +34,17 @@ def _rows(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(frames).sort_values(["at", "request_id"], kind="stable") if frames else pd.DataFrame()
 
 
+def _late(rows: pd.DataFrame, last: list[int] | None) -> tuple[list[bool], list[int]]:
+    """Which sorted rows lie before the last one of earlier micro-batches, and the new last one."""
+    places = [[int(at), int(request)] for at, request in zip(rows["at"], rows["request_id"], strict=True)]
+    return [last is not None and place < last for place in places], max(places[-1], last or places[-1])
+
+
 def admission_stream(
     requests: DataFrame, window: int = fixed.ADMISSION_WINDOW_SECONDS, limit: int = fixed.ADMISSION_WINDOW_LIMIT,
     daily: int = fixed.ADMISSION_DAY_LIMIT, zone: str = fixed.LOCAL_ZONE, lateness: str = "1 minute",
 ) -> DataFrame:
-    """STR-01: admitted or refused per request of a stream (``client, request_id, ts``)."""
+    """STR-01: admitted or refused, and late or not, per request of a stream (``client, request_id, ts``)."""
     keyed = requests.withWatermark("ts", lateness).withColumn("at", F.unix_micros("ts")).withColumn("day", times.local_day("ts", zone).cast("string"))
     span = window * 1_000_000
 
@@ -43,8 +52,9 @@ def admission_stream(
         if state.hasTimedOut:
             state.remove()
             return
-        recent, day, count = _load(state, [[], None, 0])
+        recent, day, count, seen = _load(state, [[], None, 0, None])
         rows, found = _rows(pdfs), []
+        late, seen = _late(rows, seen)
         for at, today in zip(rows["at"], rows["day"], strict=True):
             at = int(at)
             if today != day:
@@ -55,18 +65,22 @@ def admission_stream(
                 recent.append(at)
                 count += 1
             found.append("admitted" if good else "refused")
-        state.update((json.dumps([recent, day, count]),))
+        state.update((json.dumps([recent, day, count, seen]),))
         # A day after the last request neither limit can depend on it any more.
         state.setTimeoutTimestamp(max(int(rows["at"].max()) // 1000, state.getCurrentWatermarkMs()) + 86_400_000)
-        yield pd.DataFrame({"client": key[0], "request_id": rows["request_id"].to_numpy(), "decision": found})
+        yield pd.DataFrame({"client": key[0], "request_id": rows["request_id"].to_numpy(), "decision": found, "late": late})
 
     return keyed.groupBy("client").applyInPandasWithState(
-        step, "client string, request_id long, decision string", STATE, "append", GroupStateTimeout.EventTimeTimeout
+        step, "client string, request_id long, decision string, late boolean", STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
+def admission_again(rows: DataFrame) -> DataFrame:
+    return dialogue.admission(rows.select("client", "request_id", "ts")).select("client", "request_id", "decision")
+
+
 def repeat_stream(requests: DataFrame, ttl: int = fixed.REPEAT_TTL_SECONDS, lateness: str = "1 minute") -> DataFrame:
-    """STR-02: computed or repeated per request of a stream (``repeat_key, request_id, ts``), measured from the first."""
+    """STR-02: computed or repeated, and late or not, per request of a stream (``repeat_key, request_id, ts``), measured from the first."""
     keyed = requests.withWatermark("ts", lateness).withColumn("at", F.unix_micros("ts"))
     span = ttl * 1_000_000
 
@@ -74,23 +88,29 @@ def repeat_stream(requests: DataFrame, ttl: int = fixed.REPEAT_TTL_SECONDS, late
         if state.hasTimedOut:
             state.remove()
             return
-        first = _load(state, None)
+        first, seen = _load(state, [None, None])
         rows, found = _rows(pdfs), []
+        late, seen = _late(rows, seen)
         for at in rows["at"]:
             fresh = first is None or int(at) - first >= span
             first = int(at) if fresh else first
             found.append("computed" if fresh else "repeated")
-        state.update((json.dumps(first),))
+        state.update((json.dumps([first, seen]),))
         state.setTimeoutTimestamp(max(first // 1000 + ttl * 1000, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame({"repeat_key": key[0], "request_id": rows["request_id"].to_numpy(), "served": found})
+        yield pd.DataFrame({"repeat_key": key[0], "request_id": rows["request_id"].to_numpy(), "served": found, "late": late})
 
     return keyed.groupBy("repeat_key").applyInPandasWithState(
-        step, "repeat_key string, request_id long, served string", STATE, "append", GroupStateTimeout.EventTimeTimeout
+        step, "repeat_key string, request_id long, served string, late boolean", STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
+def repeat_again(rows: DataFrame) -> DataFrame:
+    held = rows.select(F.col("repeat_key").alias("__key"), "request_id", "ts")
+    return dialogue.suppress_repeats(held, ["__key"]).select(F.col("__key").alias("repeat_key"), "request_id", "served")
+
+
 def exchange_stream(exchanges: DataFrame, keep: int = fixed.KEPT_EXCHANGES, gap: int = fixed.SESSION_GAP_SECONDS, lateness: str = "1 minute") -> DataFrame:
-    """STR-04: revision and kept exchanges after each exchange (``session_id, request_id, ts``); idle sessions start over."""
+    """STR-04: revision and kept exchanges after each exchange (``session_id, request_id, ts``), late or not; idle sessions start over."""
     keyed = exchanges.withWatermark("ts", lateness).withColumn("at", F.unix_micros("ts"))
     span = gap * 1_000_000
 
@@ -98,19 +118,39 @@ def exchange_stream(exchanges: DataFrame, keep: int = fixed.KEPT_EXCHANGES, gap:
         if state.hasTimedOut:
             state.remove()
             return
-        last, revision, kept = _load(state, [None, 0, []])
+        last, revision, kept, seen = _load(state, [None, 0, [], None])
         rows, found = _rows(pdfs), []
+        late, seen = _late(rows, seen)
         for at, request in zip(rows["at"], rows["request_id"], strict=True):
             if last is not None and int(at) - last >= span:
                 revision, kept = 0, []
             revision, kept, last = revision + 1, [*kept, int(request)][-keep:], int(at)
             found.append((int(request), revision, ",".join(map(str, kept))))
-        state.update((json.dumps([last, revision, kept]),))
+        state.update((json.dumps([last, revision, kept, seen]),))
         state.setTimeoutTimestamp(max(last // 1000 + gap * 1000, state.getCurrentWatermarkMs()) + 1)
         frame = pd.DataFrame(found, columns=["request_id", "revision", "kept"])
         frame.insert(0, "session_id", key[0])
+        frame["late"] = late
         yield frame
 
     return keyed.groupBy("session_id").applyInPandasWithState(
-        step, "session_id string, request_id long, revision int, kept string", STATE, "append", GroupStateTimeout.EventTimeTimeout
+        step, "session_id string, request_id long, revision int, kept string, late boolean", STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
+
+
+def exchange_again(rows: DataFrame, keep: int = fixed.KEPT_EXCHANGES, gap: int = fixed.SESSION_GAP_SECONDS) -> DataFrame:
+    span = gap * 1_000_000
+
+    def step(run: pd.DataFrame, state: Any) -> tuple[list[dict[str, Any]], Any]:
+        last, revision, kept = state or [None, 0, []]
+        found = []
+        for at, request in zip(run["at"], run["request_id"], strict=True):
+            if last is not None and int(at) - last >= span:
+                revision, kept = 0, []
+            revision, kept, last = revision + 1, [*kept, int(request)][-keep:], int(at)
+            found.append({"revision": str(revision), "kept": ",".join(map(str, kept))})
+        return found, [last, revision, kept]
+
+    held = rows.select("session_id", "request_id", F.unix_micros("ts").alias("at"))
+    scanned = ordered_scan(held, "session_id", ["at", "request_id"], step, text_result("revision", "kept"))
+    return scanned.select("session_id", "request_id", F.col("revision").cast("int").alias("revision"), "kept")
