@@ -6,6 +6,8 @@ the smallest hash of its ``SEED``-byte substrings sends it, so equal windows mee
 windows travel as one segment. Equal segments are first reduced to their smallest document, within a
 group of documents and then over all; the distinct segments of a meeting place are suffix-sorted, and
 previous and next smaller documents in suffix order give each window's longest earlier match.
+Windows of a seed with very many segments go on by their own hash, each as a segment, so that no seed
+stands in one task.
 
 Documents lie in groups that are dealt once; what comes back to a group is a list of segments, not
 documents. All steps are one plan over shuffles, so a lost executor costs recomputing its part only.
@@ -26,6 +28,8 @@ SEED = 20
 WINDOW = LENGTH - SEED + 1
 GROUP_BYTES = 6_000_000
 MOST_GROUPS = 32_768
+# Segments of one seed that a task compares; the windows of a seed with more are dealt by their own hash.
+HOT_SEGMENTS = 40_000
 CHUNK_BYTES = 1_000_000
 LAST = 2**63 - 1
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
@@ -41,7 +45,9 @@ def _mix(values: np.ndarray) -> np.ndarray:
 class Segments:
     """All segments of some texts: ``seed`` and ``name`` hashes, ``text`` index, ``start`` byte and number of ``windows``."""
 
-    def __init__(self, texts: list[bytes]) -> None:
+    def __init__(self, texts: list[bytes], hot: np.ndarray | None = None) -> None:
+        """``hot``: seeds whose windows are segments of their own."""
+        self._hot = hot if hot is not None and len(hot) else None
         found = []
         at = 0
         self._powers = [np.ones(1, np.uint64)] * 4
@@ -101,6 +107,12 @@ class Segments:
         inside = starts + LENGTH <= ends[owner]
         starts, stops, owner = starts[inside], stops[inside], owner[inside]
         seeds = least[starts]
+        if self._hot is not None and (split := np.isin(seeds, self._hot)).any():
+            sizes_in = stops[split] - starts[split]
+            single = np.repeat(starts[split] - np.cumsum(sizes_in) + sizes_in, sizes_in) + np.arange(sizes_in.sum())
+            own = _mix(((sums[single + LENGTH] - sums[single]) * down[single]) ^ _MIX[0])
+            starts, stops = np.concatenate([starts[~split], single]), np.concatenate([stops[~split], single + 1])
+            owner, seeds = np.concatenate([owner[~split], np.repeat(owner[split], sizes_in)]), np.concatenate([seeds[~split], own])
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters * up_name)])
         windows = stops - starts
         names = _mix(((sums[stops + LENGTH - 1] - sums[starts]) * down_name[starts]) ^ (windows.astype(np.uint64) * _MIX[1]))
@@ -169,14 +181,47 @@ def previous_factors(windows: np.ndarray, doc: np.ndarray, least: int) -> np.nda
 
 
 def dealt(documents: DataFrame, key: str, text: str, groups: int) -> DataFrame:
-    """__g, __doc (null keys last), __data and all columns in __rest."""
+    """__g, __doc (null keys last), __data and all columns in __rest; rows of one key, or of none, lie in many groups."""
     return documents.select(
-        F.pmod(F.xxhash64(key), F.lit(groups)).cast("int").alias("__g"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("__doc"),
+        F.pmod(F.xxhash64(key, text), F.lit(groups)).cast("int").alias("__g"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("__doc"),
         F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("__data"), F.struct(*documents.columns).alias("__rest"),
     )
 
 
-def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, kept_text: bool = False) -> DataFrame:
+def hot_seeds(documents: DataFrame, text: str, pieces: int, most: int) -> np.ndarray:
+    """All seeds with more than ``most`` segments, and some with more than half of it; at most twice the segments over ``most``.
+
+    The texts are read in no more than ``pieces`` pieces. What a piece has less of than its half share
+    of ``most`` is not told, which leaves out less than half of any seed's segments over ``most``.
+    """
+    least = max(1, most // (2 * pieces))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(texts: list[bytes]) -> pa.RecordBatch:
+            found = Segments(texts)
+            order = np.lexsort((found.name, found.seed))
+            seed, name = found.seed[order], found.name[order]
+            fresh = np.append(True, (seed[1:] != seed[:-1]) | (name[1:] != name[:-1]))[: len(seed)]
+            seed, n = np.unique(seed[fresh], return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(seed[n >= least].view(np.int64)), pa.array(n[n >= least].astype(np.int64))], names=["seed", "n"])
+
+        held, size = [], 0
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                held.append(data)
+                size += len(data)
+                if size >= GROUP_BYTES:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
+
+    told = documents.select(F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("data")).mapInArrow(count, "seed long, n long")
+    found = told.groupBy("seed").agg(F.sum("n").alias("n")).where(F.col("n") > most / 2).select("seed").collect()
+    return np.sort(np.array([row["seed"] for row in found], dtype=np.int64).view(np.uint64))
+
+
+def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, kept_text: bool = False, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """Columns ``keep`` (default: ``key``) of every row with n_bytes, n_removed, n_spans, kept_sha256, and ``kept`` if ``kept_text``.
 
     Each byte covered by a 50-byte string that also starts in a row with a smaller ``key`` is
@@ -185,7 +230,9 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
     under 50 bytes stay whole. ``kept`` is what is left as text, without characters cut in part.
     """
     documents = documents.select(*dict.fromkeys([*(keep or [key]), key, text]))
-    volume, rows = documents.agg(F.sum(F.octet_length(text)), F.count(F.lit(1))).first()
+    sizes = documents.select(F.octet_length(text).alias("__size"), F.spark_partition_id().alias("__part"))
+    volume, last = sizes.agg(F.sum("__size"), F.max("__part")).first()
+    hot = hot_seeds(documents, text, (volume or 0) // GROUP_BYTES + (last or 0) + 1, hot_segments)
     groups = min(MOST_GROUPS, max(8, -(-(volume or 0) // GROUP_BYTES)))
     # The text need not travel twice.
     named = [name for name in (keep or [key]) if name != text]
@@ -194,7 +241,7 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
 
     def local(table: pa.Table) -> tuple[list[bytes], np.ndarray, Segments]:
         texts = table.column("__data").to_pylist()
-        return texts, table.column("__doc").to_numpy(), Segments(texts)
+        return texts, table.column("__doc").to_numpy(), Segments(texts, hot)
 
     def offer(table: pa.Table) -> pa.Table:
         _, docs, found = local(table)
