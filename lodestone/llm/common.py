@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.session import prepare
+from lodestone.session import ensure_checkpoint_dir, prepare
 
 # Rows of an Arrow batch: whole texts travel in it, so few are taken at a time.
 ARROW_ROWS = 500
@@ -27,6 +28,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder inside the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder: computed once, and later passes read only the columns they need."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def utf8(column: str = "text"):
     """Bytes of a text column; null counts as empty."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
@@ -46,6 +60,21 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             yield batch.slice(start)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until ``column`` holds about ``limit`` bytes; a batch with more is cut first."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        for part in chunks(iter([batch]), column, limit):
+            held.append(part)
+            size += pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+            if size >= limit:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def joined_bytes(values: list[bytes], gap: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All values in one byte array with ``gap`` before, between and after them; first and end places of each value."""
     data = np.frombuffer(gap + gap.join(values) + gap, dtype=np.uint8)

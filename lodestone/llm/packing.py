@@ -17,9 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.tokens import WordIds
+from lodestone.llm.common import gathered
+from lodestone.llm.tokens import WordIds, ended_ids
 from lodestone.session import cut_lineage
 
+# Text that is encoded at once in a task.
+ENCODED_BYTES = 4_000_000
+
 Place = tuple[int, int, int, int, int, int]  # length, first rank, pieces per bin, bins, first sequence, offset
 
 
@@ -147,18 +151,20 @@ def token_pieces(documents: DataFrame, path: str, capacity: int = 2048, end_id:
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end = WordIds(path), np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
-            out: list[list[int]] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = ids(text or "") + end
-                for piece, start in enumerate(range(0, len(data) // 4, capacity)):
-                    part = data[4 * start : 4 * (start + capacity)]
-                    for column, value in zip(out, (doc_id, piece, start, len(part) // 4, zlib.crc32(part)), strict=True):
-                        column.append(value)
-            kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        encoder = WordIds.shared(path)
+        for batch in gathered(batches, "text", ENCODED_BYTES):
+            data, bounds = ended_ids(encoder, batch.column("text"), end_id)
+            sizes = np.diff(bounds)
+            pieces = -(-sizes // capacity)
+            owner = np.repeat(np.arange(len(sizes)), pieces)
+            nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = nth * capacity
+            length = np.minimum(sizes[owner] - start, capacity)
+            view, first = memoryview(data).cast("B"), 4 * (bounds[owner] + start)
+            sums = [zlib.crc32(view[a:b]) for a, b in zip(first.tolist(), (first + 4 * length).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(values, kind) for values, kind in zip(out, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"]
+                [batch.column("doc_id").take(pa.array(owner)), pa.array(nth, pa.int32()), pa.array(start), pa.array(length), pa.array(sums, pa.int64())],
+                names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
     kind = documents.schema["doc_id"].dataType.simpleString()

@@ -68,6 +68,8 @@ class ImpactIndex:
         # (s * q - v / s) ** 2 off the highest score that a row can have; s evens out the norms.
         even = ((self.norms.mean() + 1) / (wide @ wide + 1)) ** 0.25
         highest = (even * even * (wide @ wide) + self.norms / (even * even)) / 2
+        # Rounding of sums of ``width`` such squares, and of the comparison with an integer score.
+        slack = 1 + 8 * (width + 2) * np.finfo(np.float64).eps * (2 * highest)
         done, total = np.zeros(width, dtype=np.int64), count * width
         for stop in STOPS:
             segments = order[: int(np.searchsorted(upto, stop * total)) + 1]
@@ -82,8 +84,7 @@ class ImpactIndex:
             done = ends
             likely = np.argpartition(-highest, 4 * k)[: 4 * k]
             least = np.partition(score(likely), -k)[-k]
-            # The slack of 1 covers rounding.
-            possible = np.flatnonzero(highest + 1 >= least)
+            possible = np.flatnonzero(highest + slack >= least)
             if len(possible) <= max(8 * k, count // 16) or stop == STOPS[-1]:
                 return possible, score(possible)
         raise AssertionError("the last stop returns")

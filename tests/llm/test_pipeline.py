@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from lodestone.llm.suffixes import LAST
 from tests.llm.conftest import prose
-from tests.llm.test_operators import expected_components, near_copies
+from tests.llm.test_near_copies import components
+from tests.llm.test_operators import near_copies
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="shared tables are absent")
@@ -41,7 +42,7 @@ def test_jaccard_stage_keeps_one_of_each_group(spark, documents):
     frame, rows = documents
     kept = STAGE["ngram_jaccard"](spark, frame, SF_DIR)
     assert kept.columns == frame.columns
-    first = {key for key, _, component in expected_components([row for row in rows if row[0] is not None]) if key == component}
+    first = {key for key, _, component in components([row for row in rows if row[0] is not None]) if key == component}
     assert Counter(row["doc_id"] for row in kept.collect()) == Counter(key for key, _ in rows if key is None or key in first)
 
 
