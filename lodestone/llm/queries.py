@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.llm.audit import audit_filters
 from lodestone.llm.common import table
 from lodestone.llm.fingerprints import fingerprint_documents
 from lodestone.llm.jaccard import link_documents
@@ -116,3 +117,35 @@ SELECT doc_id, CAST(len(any_value(sh)) AS BIGINT) AS n_shingles, min(node) AS co
 @query("op10_size_aware_jaccard", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+l AS (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INTEGER)) AS good, max(CAST(coalesce(toxic = 1, false) AS INTEGER)) AS toxic FROM labels GROUP BY 1),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 3 * length(text) THEN 'C' ELSE '' END)
+    || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN doc_id > first THEN 'E' ELSE '' END) AS failing
+  FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, failing, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY 1, 2),
+o AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(filter_order, x)),
+s AS (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM o WHERE length(filter_order) = 5),
+r AS (SELECT part, filter_order, step, filter_order[step] AS filter,
+    CAST(sum(n) FILTER (translate(filter_order[1:step], failing, '') = filter_order[1:step]) AS BIGINT) AS kept,
+    CAST(sum(n) FILTER (contains(failing, filter_order[step]) AND translate(filter_order[1:step - 1], failing, '') = filter_order[1:step - 1]) AS BIGINT) AS removed,
+    CAST(sum(n) FILTER (contains(failing, filter_order[step])) AS BIGINT) AS fails,
+    CAST(sum(n) FILTER (failing = filter_order[step]) AS BIGINT) AS unique_fails,
+    CAST(sum(good) FILTER (contains(failing, filter_order[step]) AND translate(filter_order[1:step - 1], failing, '') = filter_order[1:step - 1]) AS BIGINT) AS good_lost,
+    CAST(sum(toxic) FILTER (contains(failing, filter_order[step]) AND translate(filter_order[1:step - 1], failing, '') = filter_order[1:step - 1]) AS BIGINT) AS toxic_lost
+  FROM c, s GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, coalesce(kept, 0) AS kept, coalesce(removed, 0) AS removed, coalesce(fails, 0) - coalesce(removed, 0) AS redundant,
+  coalesce(unique_fails, 0) AS unique_fails, coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, filter), 0) AS BIGINT) AS shapley FROM r
+"""
+
+
+@query("op11_lehmer_filter_audit", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
