@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestone.llm.audit import audit_filters
 from lodestone.llm.common import table
 from lodestone.llm.fingerprints import fingerprint_documents
+from lodestone.llm.huffman import encoded_documents
 from lodestone.llm.jaccard import link_documents
 from lodestone.llm.language import predict_languages
 from lodestone.llm.mixing import mix, quality_domains
@@ -149,3 +150,8 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, coalesce(kept, 0) AS k
 @query("op11_lehmer_filter_audit", OP11_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_huffman_ids")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_documents(table(spark, sf_dir, "documents"), tokenizer_path())
