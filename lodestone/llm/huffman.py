@@ -173,27 +173,35 @@ def decode_file(content: bytes) -> tuple[int, int, list[int | None], np.ndarray,
     return part, number, [None if missing else key for key, missing in zip(keys.tolist(), null.tolist(), strict=True)], sizes, ids
 
 
-def token_ids(documents: DataFrame, path: str, end_id: int = 2) -> DataFrame:
-    """doc_id, n_tokens and ``ids`` (little-endian unsigned 32-bit) of every whole text, ``end_id`` last; a null text is empty."""
+def id_bytes(path: str) -> int:
+    """Bytes that hold any id of the tokenizer at ``path``: 2 or 4."""
+    from tokenizers import Tokenizer
+
+    return 2 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else 4
+
+
+def token_ids(documents: DataFrame, path: str, end_id: int = 2, width: int = 4) -> DataFrame:
+    """doc_id, n_tokens and ``ids`` (little-endian, ``width`` bytes each) of every whole text, ``end_id`` last; a null text is empty."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordIds.shared(path)
         for batch in gathered(batches, "text", ENCODED_BYTES):
             data, bounds = ended_ids(encoder, batch.column("text"), end_id)
-            ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(4 * bounds), pa.py_buffer(data)])
+            stored = pa.py_buffer(data.astype(f"<u{width}"))
+            ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(width * bounds), stored])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds)), ids.cast(pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, n_tokens long, ids binary")
 
 
-def id_counts(tokens: DataFrame) -> dict[int, int]:
+def id_counts(tokens: DataFrame, width: int = 4) -> dict[int, int]:
     """Occurrences of each id over all of ``tokens``; as many numbers as the vocabulary has ids."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(0, np.int64)
         for batch in batches:
             for data in batch.column("ids"):
-                some = np.bincount(np.frombuffer(data.as_buffer(), dtype="<u4"))
+                some = np.bincount(np.frombuffer(data.as_buffer(), dtype=f"<u{width}"))
                 if len(some) > len(held):
                     held, some = some.astype(np.int64), held
                 held[: len(some)] += some
@@ -204,14 +212,14 @@ def id_counts(tokens: DataFrame) -> dict[int, int]:
     return {row[0]: row[1] for row in rows}
 
 
-def write_ids(tokens: DataFrame, folder: str, limit: int = LIMIT, file_tokens: int = FILE_TOKENS) -> Code:
-    """Write ``tokens`` (doc_id, n_tokens, ids) as files in ascending doc_id order, null first; returns the code.
+def write_ids(tokens: DataFrame, folder: str, limit: int = LIMIT, file_tokens: int = FILE_TOKENS, width: int = 4) -> Code:
+    """Write ``tokens`` (doc_id, ids of ``width`` bytes each) as files in ascending doc_id order, null first; returns the code.
 
     Equal ids follow each other by a hash of their tokens, so one doc_id of any number of rows is
     dealt over many files. A file holds about ``file_tokens`` tokens, or one longer document. Spark's
     text writer, whose commit survives lost tasks, puts each file down as one record.
     """
-    counts = id_counts(tokens)
+    counts = id_counts(tokens, width)
     table = np.zeros(max(counts, default=0) + 1, dtype=np.int64)
     for one, n in counts.items():
         table[one] = n
@@ -238,7 +246,7 @@ def write_ids(tokens: DataFrame, folder: str, limit: int = LIMIT, file_tokens: i
 
         for batch in batches:
             for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                ids = np.frombuffer(data.as_py(), dtype="<u4")
+                ids = np.frombuffer(data.as_py(), dtype=f"<u{width}")
                 if held and size + len(ids) > file_tokens:
                     yield flushed()
                     number, doc_ids, held, size = number + 1, [], [], 0
@@ -301,5 +309,6 @@ def encoded_documents(documents: DataFrame, path: str, folder: str | None = None
     """
     spark = documents.sparkSession
     folder = folder or new_folder(spark, "ids")
-    write_ids(written(token_ids(documents, path, end_id), "token-ids"), folder)
+    width = max(id_bytes(path), 2 if end_id < 1 << 16 else 4)
+    write_ids(written(token_ids(documents, path, end_id, width), "token-ids"), folder, width=width)
     return read_ids(spark, folder)
