@@ -11,6 +11,7 @@ from lodestone.llm.huffman import encoded_documents
 from lodestone.llm.jaccard import link_documents
 from lodestone.llm.language import predict_languages
 from lodestone.llm.mixing import mix, quality_domains
+from lodestone.llm.negatives import mine_embeddings
 from lodestone.llm.packing import pack_documents
 from lodestone.llm.quality import predict_quality
 from lodestone.llm.registry import ORACLES, QUERIES, query
@@ -155,3 +156,27 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_huffman_ids")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+    CAST(coalesce(list_sum(list_transform(list_zip(a.vec, c.vec), lambda p: coalesce(p[1] * p[2], 0))), 0) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND (a.vec_id <> c.vec_id OR a.vec <> c.vec OR a.label <> c.label)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
+@query("op12_coordinate_negatives", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_embeddings(table(spark, sf_dir, "embeddings"))
