@@ -248,19 +248,19 @@ def found(streams: DataFrame, k: int, low: int, high: int) -> DataFrame:
         part, wanted = None, []
         for frame in frames:
             for kind, data in zip(frame["kind"], frame["data"], strict=True):
-                arrays = dict(np.load(io.BytesIO(data)))
+                # Narrow as stored; whole sums need room.
+                arrays = {name: values.astype(np.int64) for name, values in np.load(io.BytesIO(data)).items()}
                 if kind == 0:
                     if part is not None:
                         yield results(part, wanted)
                     part, wanted, at = arrays, [], 0
-                    part["vectors"], part["bounds"] = part["vectors"].astype(np.int64), part["bounds"].astype(np.int64)
                     for n in part["held"]:
                         bounds = part["bounds"][at : at + n]
                         # low * bound <= 100 * score <= high * bound, in whole numbers.
                         wanted.append([Best.empty(k, -((-low * int(b)) // 100), (high * int(b)) // 100) for b in bounds] if n else [Best.empty(k)])
                         at += int(n)
                 else:
-                    bucket = Bucket(arrays["vectors"].astype(np.int64), arrays["ids"].astype(np.int64))
+                    bucket = Bucket(arrays["vectors"], arrays["ids"])
                     for anchor, bests in zip(part["vectors"], wanted, strict=True):
                         search(bucket, anchor, bests)
         if part is not None:

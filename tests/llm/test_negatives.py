@@ -81,17 +81,18 @@ def test_empty_and_lonely(mined):
     assert mined(rows) == expected(rows)
 
 
-def test_small_buckets_parts_and_runs(spark, monkeypatch):
+@pytest.mark.parametrize("sizes", [(16, 8, 3), (4096, 2048, 64)])
+def test_sizes_of_buckets_parts_and_runs(spark, monkeypatch, sizes):
     ready(spark)
     chooser = np.random.default_rng(3)
     rows = [(key, int(chooser.integers(3)), [int(x) for x in chooser.integers(-40, 90, 5)]) for key in range(300)]
     frame = spark.createDataFrame(rows, "vec_id long, label int, vec array<bigint>")
-    for name, value in (("BUCKET_ROWS", 16), ("PART_ROWS", 8), ("RUN_BUCKETS", 3)):
+    for name, value in zip(("BUCKET_ROWS", "PART_ROWS", "RUN_BUCKETS"), sizes, strict=True):
         monkeypatch.setattr(negatives, name, value)
-    got = Counter(tuple(row) for row in hard_negatives(frame, negatives.F.col("vec_id") % 5 == 0, 3, 4, 60, 95).collect())
+    got = Counter(tuple(row) for row in hard_negatives(frame, negatives.F.col("vec_id") % 2 == 0, 3, 4, 60, 95).collect())
     score = lambda a, b: sum(x * y for x, y in zip(a[2], b[2], strict=True))
     want = Counter()
-    for anchor in rows[::5]:
+    for anchor in rows[::2]:
         first = lambda some, k: sorted(some, key=lambda row: (-score(anchor, row), row[0]))[:k]
         for positive in first([row for row in rows if row[1] == anchor[1] and row is not anchor], 3):
             top = score(anchor, positive)
