@@ -10,77 +10,76 @@ from pyspark.sql import functions as F
 
 from lodestone import fixed_values as fixed
 from lodestone.functions import times
+from lodestone.operators.planning import OUT_OF_SCOPE
 from lodestone.operators.scan import ordered_scan, text_result
 from lodestone.operators.skew import spread_join, top_rows
 from lodestone.session import cut_lineage
 
 
+def turn_facts(turns: DataFrame) -> DataFrame:
+    """What each turn says by itself, before any earlier turn is looked at.
+
+    ``own_intent`` is the intent that the turn can be planned with alone (null: none), ``fallback``
+    the one that is shown when it cannot be planned, ``shows_period`` whether it then shows its own
+    period, and ``inherits`` whether the intent of the last planned turn may take the place of its own.
+    """
+    yes = lambda name: F.coalesce(F.col(name), F.lit(False))
+    topical = F.col("rule_intent") != OUT_OF_SCOPE
+    named = F.col("security_id").isNotNull()
+    silent = (F.coalesce("folded", F.lit("")) == "") | yes("prohibited")
+    unplannable = silent | yes("multi_security") | yes("unclear_security")
+    summary = F.when(named & yes("has_content") & ~yes("unsupported"), F.lit("multi_source_summary"))
+    fallback = (
+        F.when(F.coalesce("folded", F.lit("")) == "", F.lit(OUT_OF_SCOPE)).when(yes("prohibited"), F.lit("prohibited_advice"))
+        .when(~yes("multi_security") & yes("unclear_security"), F.col("rule_intent")).otherwise(F.lit(OUT_OF_SCOPE))
+    )
+    as_text = lambda name: F.col(name).cast("string").alias(name)
+    return turns.select(
+        as_text("session_id"), "turn", "request_id", "security_id", as_text("period_start"), as_text("period_end"), yes("period_explicit").alias("period_explicit"),
+        as_text("basis_day"), F.when(~unplannable, F.when(topical, F.col("rule_intent")).otherwise(summary)).alias("own_intent"), fallback.alias("fallback"),
+        (~silent & (unplannable | yes("unsupported"))).alias("shows_period"),
+        (~unplannable & ~topical & (yes("follow_up") | (named & yes("switch")))).alias("inherits"),
+    )
+
+
 def follow_up_plans(turns: DataFrame, rows_per_chunk: int = 100_000) -> DataFrame:
     """CMP-24: plan of each turn with security, period and intent inherited from earlier turns.
 
-    ``turns``: session_id, turn and the columns of ``question_features``. The state changes only with
-    turns that need no clarification, and an inherited period is stored again.
+    ``turns``: session_id, turn and the columns of ``question_features``. The walk carries the
+    security, intent and period of the last planned turn; a turn that needs clarification leaves
+    them as they are, an inherited period is stored again, and a term's question keeps the period.
     """
-    needs = {name for name, (_, _, security) in fixed.INTENT_MATRIX.items() if security}
-    sources = {name: rule[0] for name, rule in fixed.INTENT_MATRIX.items()}
-    wanted = ["session_id", "turn", "request_id", "folded", "security_id", "multi_security", "unclear_security", "rule_intent", "period_start",
-              "period_end", "period_explicit", "prohibited", "unsupported", "has_content", "follow_up", "switch", "basis_day"]
-    rows = turns.select(*[
-        F.col(name).cast("string").alias(name) if name in {"period_start", "period_end", "basis_day", "session_id"} else F.col(name) for name in wanted
-    ])
-
-    def plan(row: Any, state: dict[str, Any]) -> dict[str, Any]:
-        def result(intent: str, clarify: bool, security: str | None = None, period: list[str] | None = None) -> dict[str, Any]:
-            start, end = period or (None, None)
-            return {"plan_intent": intent, "plan_security": security, "plan_start": start, "plan_end": end, "plan_clarify": str(clarify).lower()}
-
-        period = [row.period_start, row.period_end] if row.period_start else None
-        if not row.folded:
-            return result("out_of_scope", True)
-        if row.prohibited:
-            return result("prohibited_advice", True)
-        if row.multi_security:
-            return result("out_of_scope", True, period=period)
-        if row.unclear_security:
-            return result(row.rule_intent, True, period=period)
-        intent, security = row.rule_intent, row.security_id
-        previous = state.get("intent")
-        carries = previous in needs and state.get("sources") == sources[previous]
-        if intent == "out_of_scope" and carries and (row.follow_up or (security and row.switch)):
-            intent = previous
-        if intent == "out_of_scope" and row.unsupported:
-            return result("out_of_scope", True, period=period)
-        if intent == "out_of_scope" and security and row.has_content:
-            intent = "multi_source_summary"
-        if intent == "out_of_scope":
-            return result("out_of_scope", True)
-        if security is None and intent in needs:
-            security = state.get("security")
-            if security is None:
-                return result(intent, True, period=period)
-        if period is None and not row.period_explicit and intent in needs:
-            period = state.get("period")
-        if period is None and intent == "price_move":
-            period = [row.basis_day, row.basis_day]
-        return result(intent, False, security, period)
+    about_security = {name for name, (_, _, security) in fixed.INTENT_MATRIX.items() if security}
 
     def step(run: pd.DataFrame, state: Any) -> tuple[list[dict[str, Any]], Any]:
-        state, found = dict(state or {}), []
-        run = run.astype(object).where(run.notna(), None)
-        for row in run.itertuples(index=False):
-            made = plan(row, state)
-            found.append(made)
-            if made["plan_clarify"] == "false":
-                intent = made["plan_intent"]
-                period = [made["plan_start"], made["plan_end"]] if made["plan_start"] else None
-                state = {
-                    "security": made["plan_security"] or state.get("security"), "intent": intent, "sources": sources[intent],
-                    "period": state.get("period") if intent == "financial_term" else period,
-                }
-        return found, state
+        security, intent, start, end = state or [None] * 4
+        found = []
+        for turn in run.astype(object).where(run.notna(), None).itertuples(index=False):
+            taken = intent if turn.inherits and intent in about_security else turn.own_intent
+            scoped = taken in about_security
+            subject = turn.security_id or (security if scoped else None)
+            planned = taken is not None and (subject is not None or not scoped)
+            first, last = turn.period_start, turn.period_end if turn.period_start else None
+            if planned:
+                if scoped and not (first or turn.period_explicit):
+                    first, last = start, end
+                if taken == "price_move" and not first:
+                    first = last = turn.basis_day
+                security, intent = subject or security, taken
+                if taken != "financial_term":
+                    start, end = first, last
+            elif taken is None and not turn.shows_period:
+                first = last = None
+            found.append({
+                "plan_intent": taken or turn.fallback, "plan_security": subject if planned else None, "plan_start": first, "plan_end": last,
+                "plan_clarify": "false" if planned else "true",
+            })
+        return found, [security, intent, start, end]
 
     result = text_result("plan_intent", "plan_security", "plan_start", "plan_end", "plan_clarify")
-    return ordered_scan(rows, "session_id", ["turn"], step, result, rows_per_chunk)
+    facts = turn_facts(turns)
+    planned = ordered_scan(facts, "session_id", ["turn"], step, result, rows_per_chunk)
+    return planned.drop("own_intent", "fallback", "shows_period", "inherits")
 
 
 def admission(

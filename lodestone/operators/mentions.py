@@ -1,16 +1,25 @@
-"""Which securities a text mentions, by substring aliases."""
+"""Which securities a text mentions, by substring aliases.
+
+A dictionary within a checked number of terms becomes one automaton, built once a task, that reads
+each text once where it lies: no text is shuffled and none is read again for another alias. A larger
+dictionary is joined on the first characters of its terms, with ids and character triples only.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, IntegerType
 
 from lodestone.functions.text import ColumnLike, as_column, clean_entities_first, fold
-from lodestone.operators.skew import salted_join
+from lodestone.operators.skew import salted_join, spread_join, within_rows
 
 GRAM = 3
+# Terms of one automaton; more are joined.
+DICTIONARY_TERMS = 200_000
 
 Aliases = DataFrame | Mapping[str, Sequence[str]]
 
@@ -20,38 +29,90 @@ def match_text(text: ColumnLike) -> Column:
     return fold(clean_entities_first(text))
 
 
-def containing(texts: DataFrame, folded: str, terms: DataFrame) -> DataFrame:
-    """Rows of ``texts`` beside each row of ``terms`` whose ``term`` their column ``folded`` contains.
+def automaton_of(terms: Sequence[str]):
+    """One automaton over ``terms``; a match gives the places of all equal terms."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for place, term in enumerate(terms):
+        automaton.add_word(term, (*automaton.get(term, ()), place))
+    automaton.make_automaton()
+    return automaton
+
+
+def term_places(folded: ColumnLike, terms: Sequence[str]) -> Column:
+    """Places in ``terms`` of all terms that the text contains, in ascending order; null and empty texts contain none."""
+
+    def places(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = automaton_of(terms)
+        for batch in batches:
+            yield pd.Series([sorted({place for _, found in automaton.iter(text) for place in found}) if text else [] for text in batch], index=batch.index, dtype=object)
+
+    return F.pandas_udf(places, "array<int>")(as_column(folded)) if terms else F.array().cast("array<int>")
 
-    They meet on the first three characters of a term, which a text offers as its distinct character
-    triples, and are checked afterwards; no pair without a common triple is formed.
+
+def containing(texts: DataFrame, folded: str, terms: DataFrame, keep_text: bool = True) -> DataFrame:
+    """Rows of ``texts`` beside each row of ``terms`` whose ``term`` their column ``folded`` contains; empty terms are in none.
+
+    Without ``keep_text`` the result has no column ``folded``.
+    """
+    sound = terms.where(F.length("term") > 0)
+    kept = [name for name in texts.columns if keep_text or name != folded]
+    if not within_rows(sound, DICTIONARY_TERMS):
+        return containing_by_triples(texts, folded, sound).select(*kept, *terms.columns)
+    rows = sound.collect()  # at most ``DICTIONARY_TERMS``
+    fields = StructType([*terms.schema.fields, StructField("__place", IntegerType())])
+    numbered = texts.sparkSession.createDataFrame([(*row, place) for place, row in enumerate(rows)], fields)
+    found = texts.select(*kept, F.explode(term_places(folded, [row["term"] for row in rows])).alias("__place"))
+    return found.join(F.broadcast(numbered), "__place").drop("__place")
+
+
+def containing_by_triples(texts: DataFrame, folded: str, terms: DataFrame) -> DataFrame:
+    """``containing`` for a dictionary of any size, as a join.
+
+    Texts and terms meet on the first three characters of a term, which a text offers as its distinct
+    character triples. Texts are named by a hash on the way: no text is in a row with a triple. Each
+    text then meets its likely terms once and is checked in full, so equal hashes do no harm.
     """
-    keyed = terms.where(F.length("term") > 0).withColumn("gram", F.substring("term", 1, GRAM))
+    keyed = terms.withColumn("__gram", F.substring("term", 1, GRAM))
     sizes = F.array(*[F.lit(size) for size in range(1, GRAM + 1)])
     grams = F.array_distinct(F.flatten(F.transform(sizes, lambda size: F.transform(
         F.sequence(F.lit(1), F.length(folded)), lambda at: F.substr(F.col(folded), at, size)
     ))))
-    offered = texts.where(F.length(folded) > 0).withColumn("gram", F.explode(grams))
-    wanted = salted_join(offered, keyed.select("gram").distinct(), ["gram"], "left_semi")
-    return salted_join(wanted, keyed, ["gram"]).where(F.contains(F.col(folded), F.col("term"))).drop("gram")
+    named = texts.where(F.length(folded) > 0).withColumn("__text", F.xxhash64(folded))
+    offered = named.select("__text", F.explode(grams).alias("__gram")).distinct()
+    begun = spread_join(offered, keyed.select("__gram").distinct(), ["__gram"], "left_semi")
+    likely = salted_join(begun, keyed, ["__gram"]).drop("__gram")
+    # Many rows of one text are the hot side; its likely terms are few.
+    return salted_join(named, likely, ["__text"]).where(F.contains(F.col(folded), F.col("term"))).drop("__text")
 
 
-def find_mentions(texts: DataFrame, row_id: str, folded: str, aliases: Aliases) -> DataFrame:
-    """JOI-05: distinct (row, security) pairs.
-
-    ``aliases`` as a table has ``security_id`` and a folded ``term`` and is joined. A mapping of
-    securities to terms is configuration: it becomes a literal that is scanned with the text in place.
-    """
+def alias_table(aliases: Aliases) -> list[tuple[str, str]] | None:
+    """(security, term) pairs on the driver, if they are at most ``DICTIONARY_TERMS``; else None."""
     if isinstance(aliases, DataFrame):
+        terms = aliases.where(F.length("term") > 0).select("security_id", "term").distinct()
+        return sorted(tuple(row) for row in terms.collect()) if within_rows(terms, DICTIONARY_TERMS) else None
+    return sorted({(security, term) for security, terms in aliases.items() for term in terms if term})
+
+
+def mentioned(folded: ColumnLike, pairs: Sequence[tuple[str, str]]) -> Column:
+    """Distinct securities, in ascending order, of which the text contains a term. The dictionary travels with the function, not in the plan."""
+
+    def securities(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = automaton_of([term for _, term in pairs])
+        for batch in batches:
+            yield pd.Series([sorted({pairs[place][0] for _, found in automaton.iter(text) for place in found}) if text else [] for text in batch], index=batch.index, dtype=object)
+
+    return F.pandas_udf(securities, "array<string>")(as_column(folded)) if pairs else F.array().cast("array<string>")
+
+
+def find_mentions(texts: DataFrame, row_id: str, folded: str, aliases: Aliases) -> DataFrame:
+    """JOI-05: distinct (row, security) pairs. ``aliases`` is a table of ``security_id`` and folded ``term``, or a mapping of securities to terms."""
+    pairs = alias_table(aliases)
+    if pairs is None:
         terms = aliases.select("security_id", "term").distinct()
-        return containing(texts.select(row_id, folded), folded, terms).select(row_id, "security_id").distinct()
-    pairs = sorted((security, term) for security, terms in aliases.items() for term in terms if term)
-    if not pairs:
-        return texts.select(row_id, F.lit(None).cast("string").alias("security_id")).limit(0)
-    table = F.array(*[F.struct(F.lit(security).alias("security_id"), F.lit(term).alias("term")) for security, term in pairs])
-    hits = F.filter(table, lambda entry: F.contains(F.col(folded), entry["term"]))
-    ids = F.array_distinct(F.transform(hits, lambda entry: entry["security_id"]))
-    return texts.select(row_id, F.explode(ids).alias("security_id"))
+        return containing(texts.select(row_id, folded), folded, terms, keep_text=False).select(row_id, "security_id").distinct()
+    return texts.select(row_id, F.explode(mentioned(folded, pairs)).alias("security_id")).distinct()
 
 
 def attribute(items: DataFrame, row_id: str, aliases: Aliases) -> DataFrame:
@@ -59,16 +120,18 @@ def attribute(items: DataFrame, row_id: str, aliases: Aliases) -> DataFrame:
 
     The asked security must occur; when only other securities stand in the title the item is dropped.
     """
-    texts = items.select(row_id, match_text("title").alias("t"), match_text("description").alias("d"))
-
-    def ids(column: str, name: str) -> DataFrame:
-        found = find_mentions(texts, row_id, column, aliases)
-        return found.groupBy(row_id).agg(F.array_sort(F.collect_set("security_id")).alias(name))
-
-    empty = F.array().cast("array<string>")
-    joined = items.join(ids("t", "title_ids"), row_id, "left").join(ids("d", "description_ids"), row_id, "left").withColumn(
-        "title_ids", F.coalesce("title_ids", empty)
-    ).withColumn("description_ids", F.coalesce("description_ids", empty))
+    pairs = alias_table(aliases)
+    if pairs is not None:
+        # Both texts are read in one pass.
+        joined = items.withColumns({
+            "title_ids": mentioned(match_text("title"), pairs), "description_ids": mentioned(match_text("description"), pairs),
+        })
+    else:
+        texts = items.select(row_id, match_text("title").alias("t"), match_text("description").alias("d"))
+        joined, empty = items, F.array().cast("array<string>")
+        for column, name in (("t", "title_ids"), ("d", "description_ids")):
+            found = find_mentions(texts, row_id, column, aliases).groupBy(row_id).agg(F.array_sort(F.collect_set("security_id")).alias(name))
+            joined = joined.join(found, row_id, "left").withColumn(name, F.coalesce(name, empty))
     in_title = F.array_contains("title_ids", F.col("security_id"))
     in_description = F.array_contains("description_ids", F.col("security_id"))
     primary = F.when(in_title, F.col("title_ids")).otherwise(F.array("security_id"))

@@ -107,7 +107,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(
         F.expr("concat('req:', item_id)").alias("request_id"),
         "item_id",
-        F.expr("array_join(slice(split(text, ' '), 1, 8), ' ')").alias("query"),
+        F.col("text").alias("query"),
         F.expr("CASE WHEN item_id % 5 = 4 THEN 'fr' ELSE 'en' END").alias("security_id"),
         F.expr(
             "CASE item_id % 3 WHEN 0 THEN array('news', 'disclosure', 'research_report')"
@@ -128,7 +128,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REQUESTS_SQL = """
 req AS (
-  SELECT 'req:' || item_id AS request_id, item_id, array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ') AS query,
+  SELECT 'req:' || item_id AS request_id, item_id, text AS query,
     CASE WHEN item_id % 5 = 4 THEN 'fr' ELSE 'en' END AS security_id,
     CASE item_id % 3 WHEN 0 THEN ['news', 'disclosure', 'research_report'] WHEN 1 THEN ['news']
       ELSE ['news', 'disclosure', 'research_report', 'glossary'] END AS source_types,

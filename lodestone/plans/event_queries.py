@@ -258,14 +258,15 @@ def missing_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- claims and citations -------------------------------------------------------------------
 
 CLAIMS_SQL = f"""claims AS (SELECT doc_id, 'c' || doc_id AS claim_id, 'ans' || (doc_id // 4) AS answer_id, (['summary', 'facts', 'positive_factors', 'risk_factors'])[1 + doc_id % 4] AS section,
-  CASE doc_id % 3 WHEN 0 THEN substr({COLLAPSED.format('text')}, 1, 40) WHEN 1 THEN substr({COLLAPSED.format('text')}, 1, 30) || ' zzz qqq www' ELSE 'nothing alike xyzzy' END AS text,
+  CASE doc_id % 3 WHEN 0 THEN {b.snippet_sql()} WHEN 1 THEN {b.snippet_sql()} || ' zzz qqq www' ELSE 'nothing alike xyzzy' END AS text,
   CASE WHEN doc_id % 13 = 5 THEN ['evidence:none'] WHEN doc_id % 5 = 2 THEN ['evidence:doc:' || doc_id, 'evidence:doc:' || (doc_id - 1)] ELSE ['evidence:doc:' || doc_id] END AS evidence_ids FROM documents)"""
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A claim per document: a quote, a quote with added words, or something unrelated."""
-    flat = F.trim(F.regexp_replace("text", r"[\t-\r\x1c-\x20]+", " "))
-    body = F.when(F.expr("doc_id % 3 = 0"), F.substring(flat, 1, 40)).when(F.expr("doc_id % 3 = 1"), F.concat(F.substring(flat, 1, 30), F.lit(" zzz qqq www"))).otherwise(F.lit("nothing alike xyzzy"))
+    # A whole snippet, as retrieval gives it.
+    flat = F.substring(F.trim(F.regexp_replace("text", r"[\t-\r\x1c-\x20]+", " ")), 1, 500)
+    body = F.when(F.expr("doc_id % 3 = 0"), flat).when(F.expr("doc_id % 3 = 1"), F.concat(flat, F.lit(" zzz qqq www"))).otherwise(F.lit("nothing alike xyzzy"))
     own, before = F.expr("concat('evidence:doc:', doc_id)"), F.expr("concat('evidence:doc:', doc_id - 1)")
     ids = F.when(F.expr("doc_id % 13 = 5"), F.array(F.lit("evidence:none"))).when(F.expr("doc_id % 5 = 2"), F.array(own, before)).otherwise(F.array(own))
     return b.table(spark, sf_dir, "documents").select(

@@ -116,11 +116,11 @@ def news_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "agg_04_shared_titles",
-    f"SELECT l AS security_id, count(*) FILTER (hosts > 1) AS shared_titles FROM (SELECT lang AS l, substr(lower(text), 1, 12) AS t, count(DISTINCT source) AS hosts FROM documents GROUP BY 1, 2) GROUP BY 1",
+    f"SELECT l AS security_id, count(*) FILTER (hosts > 1) AS shared_titles FROM (SELECT lang AS l, split_part(lower(text), chr(10), 1) AS t, count(DISTINCT source) AS hosts FROM documents GROUP BY 1, 2) GROUP BY 1",
 )
 def shared_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = b.table(spark, sf_dir, "documents").select(
-        F.col("lang").alias("security_id"), F.substring(F.lower("text"), 1, 12).alias("title"), F.col("source").alias("publisher_host")
+        F.col("lang").alias("security_id"), F.expr("split_part(lower(text), '\n', 1)").alias("title"), F.col("source").alias("publisher_host")
     )
     return coverage.shared_titles(docs)
 
@@ -182,7 +182,7 @@ TERMS_SQL = "(SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{t}')" for s, ts in
 
 @query("joi_05_mentions", f"SELECT DISTINCT page_id, security_id FROM pages, {TERMS_SQL} v WHERE contains({FOLDED_PAGE_SQL.format(PAGE_TITLE_SQL)}, v.term)")
 def find_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = feed(spark, sf_dir).where("ord % 10 = 0").select("page_id", mentions.match_text("title").alias("t"))
+    texts = feed(spark, sf_dir).select("page_id", mentions.match_text("title").alias("t"))
     return mentions.find_mentions(texts, "page_id", "t", ALIASES)
 
 
@@ -190,12 +190,12 @@ def find_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     "joi_06_attribution",
     f"""WITH t AS (SELECT DISTINCT page_id, v.security_id FROM pages, {TERMS_SQL} v WHERE contains({FOLDED_PAGE_SQL.format(PAGE_TITLE_SQL)}, v.term)),
 d AS (SELECT DISTINCT page_id, v.security_id FROM pages, {TERMS_SQL} v WHERE contains({FOLDED_PAGE_SQL.format('html')}, v.term)),
-s AS (SELECT page_id, {PAGE_LANG_SQL} AS security_id, coalesce((SELECT list(t.security_id) FROM t WHERE t.page_id = p.page_id), []) AS ti, coalesce((SELECT list(d.security_id) FROM d WHERE d.page_id = p.page_id), []) AS di FROM pages p),
+s AS (SELECT page_id, {PAGE_LANG_SQL} AS security_id, coalesce((SELECT list(t.security_id) FROM t WHERE t.page_id = p.page_id), []) AS ti, coalesce((SELECT list(d.security_id) FROM d WHERE d.page_id = p.page_id), []) AS di FROM (SELECT * FROM pages UNION ALL SELECT * FROM pages WHERE page_id % 3 = 0) p),
 k AS (SELECT *, CASE WHEN list_contains(ti, security_id) THEN ti ELSE [security_id] END AS pr FROM s WHERE list_contains(ti, security_id) OR (len(ti) = 0 AND list_contains(di, security_id)))
 SELECT page_id, array_to_string(list_sort(pr), ',') AS primary_ids, array_to_string(list_sort(list_filter(di, lambda x: NOT list_contains(pr, x))), ',') AS mentioned_ids FROM k""",
 )
 def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mentions.attribute(feed(spark, sf_dir).where("ord % 10 = 0"), "page_id", ALIASES)
+    rows = mentions.attribute(feed(spark, sf_dir), "page_id", ALIASES)
     return rows.select(
         "page_id", F.array_join(F.array_sort("primary_security_ids"), ",").alias("primary_ids"), F.array_join(F.array_sort("mentioned_security_ids"), ",").alias("mentioned_ids")
     )

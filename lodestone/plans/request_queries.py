@@ -60,7 +60,7 @@ def question_securities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.extract_securities(questions(spark, sf_dir), lookup, hints=["acct"])
 
 
-PLAN_SQL = f"""WITH q AS (SELECT doc_id, trim(regexp_replace(array_to_string(list_slice(string_split(text, ' '), 1, 12), ' '), '{b.BLANK_SQL}', ' ', 'g')) AS t FROM documents),
+PLAN_SQL = f"""WITH q AS (SELECT doc_id, trim(regexp_replace(text, '{b.BLANK_SQL}', ' ', 'g')) AS t FROM documents),
 f AS (SELECT doc_id, replace(lower(t), 'ß', 'ss') AS q, {intent_sql("replace(lower(t), 'ß', 'ss')")} AS rule FROM q),
 p AS (SELECT *, doc_id % 3 <> 0 AS has_security, contains(q, 'erthand') AS prohibited FROM f),
 i AS (SELECT *, CASE WHEN prohibited THEN 'prohibited_advice' WHEN rule = 'out_of_scope' AND NOT contains(q, 'ingthe') AND has_security AND regexp_matches(q, '[a-z]') THEN 'multi_source_summary' ELSE rule END AS intent FROM p),
@@ -69,10 +69,9 @@ c AS (SELECT *, prohibited OR intent = 'out_of_scope' OR (intent <> 'financial_t
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First words of each document as a question about a language, for two documents in three."""
-    words = F.array_join(F.slice(F.split("text", " "), 1, 12), " ")
+    """Each document as a question about a language, for two documents in three."""
     docs = b.table(spark, sf_dir, "documents")
-    asked = docs.select(F.col("doc_id").alias("request_id"), words.alias("question"), F.lit("2024-02-15").cast("date").alias("basis_day"))
+    asked = docs.select(F.col("doc_id").alias("request_id"), F.col("text").alias("question"), F.lit("2024-02-15").cast("date").alias("basis_day"))
     named = docs.select(
         F.col("doc_id").alias("request_id"), F.when(F.expr("doc_id % 3 <> 0"), F.concat(F.lit("L:"), "lang")).alias("security_id"),
         F.lit(False).alias("multi_security"), F.lit(False).alias("unclear_security"),
@@ -94,7 +93,7 @@ def request_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def follow_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns of all conversations; every third names a security, every fifth only follows up."""
     turns = b.table(spark, sf_dir, "conversations").where("role = 'user'")
-    question = F.when(F.expr("turn % 5 = 4"), F.lit("xfollow 12")).otherwise(F.array_join(F.slice(F.split("text", " "), 1, 8), " "))
+    question = F.when(F.expr("turn % 5 = 4"), F.lit("xfollow 12")).otherwise(F.col("text"))
     key = F.expr("conv_id * 100000 + turn")
     asked = turns.select(key.alias("request_id"), question.alias("question"), F.lit("2024-02-15").cast("date").alias("basis_day"))
     named = turns.select(
@@ -217,7 +216,7 @@ def memory_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("top_06_answer_limit", "SELECT doc_id, CAST(CASE WHEN doc_id % 6 = 0 AND contains(text, 'er') THEN CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 3 END WHEN doc_id % 6 = 0 THEN 2 WHEN doc_id % 6 = 1 THEN 3 WHEN doc_id % 6 IN (2, 3) THEN 4 WHEN doc_id % 6 = 4 THEN 5 ELSE 6 END AS INTEGER) AS answer_limit FROM documents")
 def answer_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = b.table(spark, sf_dir, "documents").select(
-        "doc_id", F.expr("concat(substring(text, 1, 20), CASE WHEN doc_id % 6 IN (0, 1) THEN ' 핵심만' ELSE '' END)").alias("question"), F.lit("recent_issue").alias("intent"),
+        "doc_id", F.expr("concat(text, CASE WHEN doc_id % 6 IN (0, 1) THEN ' 핵심만' ELSE '' END)").alias("question"), F.lit("recent_issue").alias("intent"),
         F.expr("element_at(array('disclosure', 'risk', 'recent_events', 'performance', 'outlook', 'general'), cast(1 + doc_id % 6 as int))").alias("focus"),
     )
     return rows.select("doc_id", selection.answer_limit("question", "intent", "focus").alias("answer_limit"))
@@ -247,13 +246,13 @@ def inventory_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as reports: each line is a page."""
     return b.table(spark, sf_dir, "documents").select(
-        F.col("lang").alias("security_id"), F.col("source").alias("publisher"), F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 40).alias("title"),
+        F.col("lang").alias("security_id"), F.col("source").alias("publisher"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
         F.expr("date_add(DATE '2024-01-01', cast(doc_id % 365 as int))").alias("published_date"), F.expr("concat('https://r.example.com/', doc_id)").alias("source_url"),
         F.sha2("text", 256).alias("content_hash"), F.expr("CASE WHEN doc_id % 9 = 4 THEN array('', ' ') WHEN doc_id % 9 = 5 THEN array_append(split(text, '\n'), '') ELSE split(text, '\n') END").alias("page_texts"), "doc_id",
     )
 
 
-REPORT_SQL = "rep AS (SELECT doc_id, lang AS security_id, source AS publisher, CASE WHEN doc_id % 9 = 4 THEN ['', ' '] WHEN doc_id % 9 = 5 THEN list_append(string_split(text, chr(10)), '') ELSE string_split(text, chr(10)) END AS pages, DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) AS published_date, substr(split_part(text, chr(10), 1), 1, 40) AS title, sha256(text) AS content_hash FROM documents)"
+REPORT_SQL = "rep AS (SELECT doc_id, lang AS security_id, source AS publisher, CASE WHEN doc_id % 9 = 4 THEN ['', ' '] WHEN doc_id % 9 = 5 THEN list_append(string_split(text, chr(10)), '') ELSE string_split(text, chr(10)) END AS pages, DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) AS published_date, split_part(text, chr(10), 1) AS title, sha256(text) AS content_hash FROM documents)"
 REPORT_ITEMS_SQL = REPORT_SQL + ", ri AS (SELECT *, len(list_filter(pages, lambda p: trim(p) <> '')) AS filled, CASE WHEN len(list_filter(pages, lambda p: trim(p) <> '')) = 0 THEN 'image_only_visual_review_required' WHEN len(list_filter(pages, lambda p: trim(p) <> '')) = len(pages) THEN 'text_extracted' ELSE 'partial_text_extracted' END AS extraction_status, CASE WHEN published_date <= DATE '2024-09-30' THEN 'selected' ELSE 'excluded_after_cutoff' END AS selection_status FROM rep)"
 
 
@@ -368,11 +367,11 @@ def facts_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.facts_document(rows).select("document_id", F.md5("text").alias("body"), "fact_count", "is_correction", "is_withdrawn")
 
 
-@query("prj_08_curated_news", "SELECT 'news:en:' || sha256('en|' || doc_id) AS document_id, CASE WHEN hour(at_ + INTERVAL 9 HOUR) < 9 THEN 'pre_market' ELSE 'intraday' END AS time_band, 'Acme: ' || trim(substr(replace(text, chr(10), ' '), 1, 50)) AS text FROM (SELECT *, TIMESTAMP '2024-01-01' + to_minutes(CAST((doc_id * 37) % 525600 AS INTEGER)) AS at_ FROM documents)")
+@query("prj_08_curated_news", "SELECT 'news:en:' || sha256('en|' || doc_id) AS document_id, CASE WHEN hour(at_ + INTERVAL 9 HOUR) < 9 THEN 'pre_market' ELSE 'intraday' END AS time_band, 'Acme: ' || trim(replace(text, chr(10), ' ')) AS text FROM (SELECT *, TIMESTAMP '2024-01-01' + to_minutes(CAST((doc_id * 37) % 525600 AS INTEGER)) AS at_ FROM documents)")
 def curated_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = b.table(spark, sf_dir, "documents").select(
         F.lit("en").alias("security_id"), F.col("doc_id").cast("string").alias("document_id"), F.lit("t").alias("title"), F.expr("timestampadd(MINUTE, (doc_id * 37) % 525600, TIMESTAMP '2024-01-01 00:00:00')").alias("published_at"),
-        F.lit(None).cast("string").alias("source_url"), F.lit("Acme").alias("security_name"), F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 50).alias("summary"), F.lit(1).alias("sequence"),
+        F.lit(None).cast("string").alias("source_url"), F.lit("Acme").alias("security_name"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("summary"), F.lit(1).alias("sequence"),
     )
     return reports.curated_news(rows).select("document_id", "time_band", "text")
 

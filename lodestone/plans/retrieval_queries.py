@@ -290,10 +290,10 @@ EVENT_TERMS_SQL = "list_filter(list_transform(regexp_extract_all({0}, '[A-Za-z][
 @query(
     "flt_15_query_event_relevance",
     b.ctes(b.EVIDENCE_SQL) + f"""
-SELECT evidence_id, list_has_any({EVENT_TERMS_SQL.format("right(snippet, 100)")}, {EVENT_TERMS_SQL.format('title')}) AS relevant FROM ev""",
+SELECT evidence_id, list_has_any({EVENT_TERMS_SQL.format("snippet")}, {EVENT_TERMS_SQL.format('title')}) AS relevant FROM ev""",
 )
 def query_event_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    relevant = filters.relevant_to_event(F.right("snippet", F.lit(100)), "title", ["the", "and", "that"])
+    relevant = filters.relevant_to_event("snippet", "title", ["the", "and", "that"])
     return b.evidence(spark, sf_dir).select("evidence_id", relevant.alias("relevant"))
 
 

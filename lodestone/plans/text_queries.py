@@ -195,7 +195,7 @@ def prohibited_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     "txt_14_unsafe_answer",
     """SELECT doc_id, regexp_matches(t, '(buy|sell|hold).{0,16}(now|should|recommend)') AS direct_action, regexp_matches(t, 'target\\s*price.{0,24}\\d') AS target_price,
   regexp_matches(t, '(stop[- ]?loss|take[- ]?profit).{0,24}\\d') AS exit_timing, regexp_matches(t, 'guaranteed?\\s+return') AS guarantee
-FROM (SELECT doc_id, replace(lower(substr(text, 1, 60)), chr(10), ' ') || CASE doc_id % 5 WHEN 0 THEN ' you should buy it now' WHEN 1 THEN ' target price of 900'
+FROM (SELECT doc_id, replace(lower(text), chr(10), ' ') || CASE doc_id % 5 WHEN 0 THEN ' you should buy it now' WHEN 1 THEN ' target price of 900'
   WHEN 2 THEN ' set a stop-loss at 12' WHEN 3 THEN ' a guaranteed return' ELSE '' END AS t FROM documents)""",
 )
 def unsafe_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +204,7 @@ def unsafe_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     drafts = b.table(spark, sf_dir, "documents").select(
         "doc_id",
         F.concat(
-            F.substring("text", 1, 60),
+            "text",
             F.expr("CASE doc_id % 5 WHEN 0 THEN ' you should buy it now' WHEN 1 THEN ' target price of 900' WHEN 2 THEN ' set a stop-loss at 12' WHEN 3 THEN ' a guaranteed return' ELSE '' END"),
         ).alias("draft"),
     )
