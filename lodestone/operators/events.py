@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone import fixed_values as fixed
@@ -15,7 +15,7 @@ from lodestone.functions.text import ColumnLike, as_column, title_terms, word_ar
 from lodestone.operators.market import asof_join
 from lodestone.operators.mentions import containing
 from lodestone.operators.scan import ordered_scan, text_result
-from lodestone.operators.skew import hinted_join, is_small, keep_first, top_rows
+from lodestone.operators.skew import hinted_join, is_small, keep_first, salted_join, top_rows
 from lodestone.session import cut_lineage
 
 
@@ -136,15 +136,19 @@ def select_events(requests: DataFrame, clusters: DataFrame, members: DataFrame)
     by_time = latest.where(F.col("event_id").isNotNull()).select(*keys, "event_id").withColumn("overlap", F.lit(0).cast("bigint"))
 
     pairs = by_term.unionByName(by_time)
-    cutoffs = pairs.select("event_id", "as_of").distinct()
-    at_cutoff = members.select("event_id", "published_at").join(cutoffs, "event_id").where(F.col("published_at") <= F.col("as_of")).groupBy(
-        "event_id", "as_of"
-    ).agg(F.count(F.lit(1)).alias("eligible"), F.max("published_at").alias("latest"))
-    scored = pairs.join(at_cutoff.where(F.col("eligible") >= 2), ["event_id", "as_of"])
+    # Articles up to each time of an event, looked up at the cutoffs: as many rows out as pairs in.
+    counted = members.groupBy("event_id", "published_at").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("event_id").orderBy("published_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = counted.select("event_id", "published_at", F.sum("n").over(upto).alias("eligible"), F.col("published_at").alias("latest"))
+    at_cutoff = asof_join(pairs, running, ["event_id"], "as_of", "published_at", ["eligible", "latest"], 86_400)
+    scored = at_cutoff.where(F.col("eligible") >= 2)
     best = keep_first(scored, ["request_id"], [F.col("overlap").desc(), F.col("latest").desc(), F.col("event_id")])
     return best.select("request_id", "security_id", "as_of", "event_id", "eligible", "overlap", "latest")
 
 
+PROBED_POSTINGS = 64
+
+
 def topic_links(
     focus: DataFrame, backgrounds: DataFrame, kind: str, limit: int | None, generic: Sequence[str] | None = None, small: bool | None = None,
 ) -> DataFrame:
@@ -152,28 +156,57 @@ def topic_links(
 
     ``focus``: request_id, security_id, as_of, term (one row each). ``backgrounds``: source_id, security_id,
     topics, published_at, publisher, link_basis. ``kind`` is ``report`` or ``disclosure``. Without a ``limit`` every link comes, unranked.
+
+    Only specific terms are joined on, rarest first. With a ``limit``, the backgrounds of each request's
+    rarest terms are scored first, which gives a score that its last place has at least. A background
+    that reaches it shares so many specific terms that one of them is among all but the most frequent
+    few; the lists of those few are never read. Scores are counted on the topics of what is left.
     """
-    generic = fixed.GENERIC_LINK_TOPICS if generic is None else generic
-    rows = backgrounds.select(
-        "security_id", "source_id", "published_at", "publisher", "link_basis", F.explode(F.array_distinct("topics")).alias("term")
-    )
+    generic = list(fixed.GENERIC_LINK_TOPICS if generic is None else generic)
     small = is_small(focus) if small is None else small
-    hits = hinted_join(rows, focus.distinct(), ["security_id", "term"], small).where(F.col("published_at") <= F.col("as_of"))
-    counted = hits.groupBy("request_id", "source_id", "published_at", "publisher", "link_basis").agg(
-        F.count_if(~F.col("term").isin(list(generic))).alias("specific"), F.count(F.lit(1)).alias("shared")
-    ).where(F.col("specific") > 0)
-    if kind == "report":
-        score = F.col("specific") * 100 + F.col("shared")
-        order = [F.col("score").desc(), F.col("published_at").desc(), F.col("publisher").desc(), F.col("source_id")]
-    else:
-        score = F.col("specific") * 100 + F.col("shared") * 10 + (F.col("link_basis") == "official_list_metadata").cast("int")
-        order = [F.col("score").desc(), F.col("published_at").desc(), F.col("source_id")]
-    scored = counted.withColumn("score", score)
-    if limit is None:
-        return scored.select("request_id", "source_id", "score")
-    return top_rows(scored, ["request_id"], order, limit, "link_rank").select(
-        "request_id", "source_id", "score", "link_rank"
+    asked = focus.distinct().groupBy("request_id", "security_id", "as_of").agg(F.collect_set("term").alias("terms"))
+    asked = cut_lineage(asked.withColumn("specific", F.filter("terms", lambda term: ~term.isin(generic))))
+    row = ["source_id", "published_at", "publisher", "link_basis"]
+    held = backgrounds.select("security_id", *row, F.array_distinct("topics").alias("topics")).withColumn("__row", F.xxhash64("security_id", *row, "topics"))
+    wanted = asked.select("request_id", "security_id", "as_of", F.explode("specific").alias("term"))
+    postings = hinted_join(
+        held.select("security_id", "published_at", "__row", "source_id", F.explode("topics").alias("term")), wanted.select("security_id", "term").distinct(),
+        ["security_id", "term"], small, "left_semi",
     )
+    postings = cut_lineage(postings)
+
+    weight, basis = (1, F.lit(0)) if kind == "report" else (10, (F.col("link_basis") == "official_list_metadata").cast("int"))
+    order = [F.col("score").desc(), F.col("published_at").desc(), *([F.col("publisher").desc()] if kind == "report" else []), F.col("source_id")]
+
+    def scored(terms: DataFrame) -> DataFrame:
+        """Backgrounds that share one of ``terms`` (request_id, security_id, as_of, term), with their scores over all topics."""
+        met = hinted_join(postings, terms, ["security_id", "term"], small).where(F.col("published_at") <= F.col("as_of"))
+        pairs = met.select("request_id", "source_id", "__row").distinct()
+        # A background of many requests is the hot side; it stands in the right table once.
+        full = salted_join(pairs, held, ["source_id", "__row"])
+        judged = hinted_join(full, asked.select("request_id", "terms", "specific"), ["request_id"], small)
+        count = lambda name: F.size(F.array_intersect("topics", name)).cast("bigint")
+        score = count("specific") * 100 + count("terms") * weight + basis
+        return judged.select("request_id", *row, score.alias("score")).distinct()
+
+    if limit is None:
+        return scored(wanted).select("request_id", "source_id", "score")
+    lists = postings.groupBy("security_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    rarest = Window.partitionBy("request_id").orderBy("df", "term")  # the terms of one question
+    ordered = hinted_join(wanted, lists, ["security_id", "term"], small).withColumns({
+        "place": F.row_number().over(rarest), "before": F.coalesce(F.sum("df").over(rarest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+    })
+    ordered = cut_lineage(ordered)
+    columns = ["request_id", "security_id", "as_of", "term"]
+    probed = scored(ordered.where(F.col("before") < PROBED_POSTINGS).select(*columns))
+    last = top_rows(probed, ["request_id"], order, limit, "__place").where(F.col("__place") == limit).select("request_id", F.col("score").alias("__least"))
+    sizes = ordered.groupBy("request_id").agg(F.count(F.lit(1)).alias("__specific"))
+    spare = asked.select("request_id", (F.size("terms") - F.size("specific")).alias("__generic"))
+    # The most that m shared specific terms can score: m x 100 + (m + generic terms) x weight + 1.
+    needed = F.greatest(F.lit(1), F.ceil((F.col("__least") - 1 - F.col("__generic") * weight) / (100 + weight)))
+    reach = sizes.join(spare, "request_id").join(last, "request_id", "left").select("request_id", (F.col("__specific") - F.coalesce(needed, F.lit(1)) + 1).alias("__reach"))
+    left = hinted_join(ordered, reach, ["request_id"], small).where(F.col("place") <= F.col("__reach"))
+    return top_rows(scored(left.select(*columns)), ["request_id"], order, limit, "link_rank").select("request_id", "source_id", "score", "link_rank")
 
 
 def with_no_link(requests: DataFrame, links: DataFrame) -> DataFrame:

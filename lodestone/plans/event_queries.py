@@ -79,7 +79,7 @@ def lineage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EVENT_CTES = GROUPED_SQL + """, ct AS (SELECT security_id, group_id, list(term) AS event_terms FROM (SELECT security_id, group_id, term, count(*) AS n FROM (SELECT security_id, group_id, unnest(terms) AS term FROM grouped) GROUP BY ALL) WHERE n >= 2 GROUP BY 1, 2),
 cl AS (SELECT security_id || '/' || group_id AS event_id, security_id, event_terms FROM ct), mem AS (SELECT security_id || '/' || group_id AS event_id, security_id, doc_id, published_at FROM grouped JOIN ct USING (security_id, group_id)),
-rq AS (SELECT item_id AS request_id, 'en' AS security_id, TIMESTAMP '2024-01-03' + to_days(CAST(item_id % 12 AS INTEGER)) AS as_of, list_distinct(list_slice(string_split(lower(text), ' '), 1, 4 + item_id % 8)) AS query_terms, item_id % 3 = 0 AS has_marker FROM benchmark),
+rq AS (SELECT item_id AS request_id, 'en' AS security_id, TIMESTAMP '2024-01-03' + to_days(CAST(item_id % 12 AS INTEGER)) AS as_of, list_distinct(string_split(lower(text), ' ')) AS query_terms, item_id % 3 = 0 AS has_marker FROM benchmark),
 flags AS (SELECT request_id, EXISTS (SELECT 1 FROM cl WHERE list_has_any(cl.event_terms, rq.query_terms)) AS known, EXISTS (SELECT 1 FROM cl WHERE cl.security_id = rq.security_id AND list_has_any(cl.event_terms, rq.query_terms)) AS own FROM rq),
 act AS (SELECT rq.*, own FROM rq JOIN flags USING (request_id) WHERE (own OR NOT known) AND (own OR has_marker)),
 sc AS (SELECT a.request_id, a.security_id, a.as_of, c.event_id, a.own, len(list_intersect(c.event_terms, a.query_terms)) AS overlap, count(*) AS eligible, max(m.published_at) AS latest FROM act a JOIN cl c ON c.security_id = a.security_id JOIN mem m ON m.event_id = c.event_id AND m.published_at <= a.as_of GROUP BY ALL HAVING count(*) >= 2),
@@ -94,7 +94,7 @@ def _event_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     members = grouped.join(clusters.select("event_id"), "event_id", "left_semi")
     asked = b.table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("request_id"), F.lit("en").alias("security_id"), F.expr("timestampadd(DAY, item_id % 12, TIMESTAMP '2024-01-03 00:00:00')").alias("as_of"),
-        F.expr("array_distinct(slice(split(lower(text), ' '), 1, cast(4 + item_id % 8 as int)))").alias("query_terms"), F.expr("item_id % 3 = 0").alias("has_marker"),
+        F.expr("array_distinct(split(lower(text), ' '))").alias("query_terms"), F.expr("item_id % 3 = 0").alias("has_marker"),
     )
     return asked, clusters, members
 
@@ -104,8 +104,8 @@ def event_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select_events(*_event_inputs(spark, sf_dir)).select("request_id", "event_id", "eligible", "overlap")
 
 
-BACK_SQL = "back AS (SELECT doc_id, 'doc:' || doc_id AS source_id, lang AS security_id, list_distinct(list_slice(string_split(lower(text), ' '), 3, 10)) AS topics, TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id % 300 AS INTEGER)) AS published_at, source AS publisher, CASE WHEN doc_id % 2 = 0 THEN 'official_list_metadata' ELSE 'verified_body_fact' END AS link_basis FROM documents)"
-FOCUS_SQL = "focus AS (SELECT item_id AS request_id, 'en' AS security_id, TIMESTAMP '2024-01-10' AS as_of, unnest(list_distinct(list_slice(string_split(lower(text), ' '), 1, 6))) AS term FROM benchmark)"
+BACK_SQL = "back AS (SELECT doc_id, 'doc:' || doc_id AS source_id, lang AS security_id, list_distinct(string_split(lower(text), ' ')) AS topics, TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id % 300 AS INTEGER)) AS published_at, source AS publisher, CASE WHEN doc_id % 2 = 0 THEN 'official_list_metadata' ELSE 'verified_body_fact' END AS link_basis FROM documents)"
+FOCUS_SQL = "focus AS (SELECT item_id AS request_id, 'en' AS security_id, TIMESTAMP '2024-01-10' AS as_of, unnest(list_distinct(string_split(lower(text), ' '))) AS term FROM benchmark)"
 
 
 def link_sql(kind: str, limit: int, extra: str = "") -> str:
@@ -120,7 +120,7 @@ def link_sql(kind: str, limit: int, extra: str = "") -> str:
 
 def _backgrounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.table(spark, sf_dir, "documents").select(
-        F.expr("concat('doc:', doc_id)").alias("source_id"), F.col("lang").alias("security_id"), F.expr("array_distinct(slice(split(lower(text), ' '), 3, 8))").alias("topics"),
+        F.expr("concat('doc:', doc_id)").alias("source_id"), F.col("lang").alias("security_id"), F.expr("array_distinct(split(lower(text), ' '))").alias("topics"),
         F.expr("timestampadd(HOUR, doc_id % 300, TIMESTAMP '2024-01-01 00:00:00')").alias("published_at"), F.col("source").alias("publisher"),
         F.expr("CASE WHEN doc_id % 2 = 0 THEN 'official_list_metadata' ELSE 'verified_body_fact' END").alias("link_basis"), "doc_id",
     )
@@ -128,7 +128,7 @@ def _backgrounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _focus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("request_id"), F.lit("en").alias("security_id"), F.lit("2024-01-10 00:00:00").cast("timestamp").alias("as_of"), F.explode(F.expr("array_distinct(slice(split(lower(text), ' '), 1, 6))")).alias("term")
+        F.col("item_id").alias("request_id"), F.lit("en").alias("security_id"), F.lit("2024-01-10 00:00:00").cast("timestamp").alias("as_of"), F.explode(F.expr("array_distinct(split(lower(text), ' '))")).alias("term")
     )
 
 
