@@ -15,7 +15,7 @@ from lodestone.functions.text import ColumnLike, as_column, title_terms, word_ar
 from lodestone.operators.market import asof_join
 from lodestone.operators.mentions import containing
 from lodestone.operators.scan import ordered_scan, text_result
-from lodestone.operators.skew import hinted_join, is_small, keep_first, salted_join, top_rows
+from lodestone.operators.skew import hinted_join, is_small, keep_first, top_rows
 from lodestone.session import cut_lineage
 
 
@@ -182,8 +182,8 @@ def topic_links(
         """Backgrounds that share one of ``terms`` (request_id, security_id, as_of, term), with their scores over all topics."""
         met = hinted_join(postings, terms, ["security_id", "term"], small).where(F.col("published_at") <= F.col("as_of"))
         pairs = met.select("request_id", "source_id", "__row").distinct()
-        # A background of many requests is the hot side; it stands in the right table once.
-        full = salted_join(pairs, held, ["source_id", "__row"])
+        # A background of many requests makes its pairs the hot side, one row of topics the other: skewed parts are split.
+        full = pairs.join(held, ["source_id", "__row"])
         judged = hinted_join(full, asked.select("request_id", "terms", "specific"), ["request_id"], small)
         count = lambda name: F.size(F.array_intersect("topics", name)).cast("bigint")
         score = count("specific") * 100 + count("terms") * weight + basis
@@ -240,6 +240,9 @@ def compare_evidence(
     claims: DataFrame | None = None, generic: Sequence[str] | None = None,
 ) -> DataFrame:
     """CMP-16: one comparison per request with an event: article counts, links, claims and status."""
+    # Titles and terms are worked out once, whatever reads them below.
+    clusters = cut_lineage(clusters.select("event_id", "security_id", "event_terms"))
+    members = cut_lineage(members.select("event_id", "security_id", "news_id", "published_at"))
     # One row per request: kept, because every part below starts from it.
     selected = cut_lineage(select_events(requests, clusters, members))
     event_terms = selected.join(clusters.select("event_id", "event_terms"), "event_id").select(

@@ -11,6 +11,7 @@ from lodestone.operators.skew import top_rows
 from lodestone.plans import bindings as b
 from lodestone.plans.registry import query
 from lodestone.plans.text_queries import COLLAPSED, DEMO_PHRASES, DEMO_STOP, title_terms_sql
+from lodestone.session import cut_lineage
 
 LEXICON = {"phrases": DEMO_PHRASES, "stop_words": DEMO_STOP, "distinctive": ["of-the", "tion", "is", "of"]}
 TITLE_SQL = "split_part(text, chr(10), 1)"
@@ -88,7 +89,10 @@ sel AS (SELECT * FROM sc WHERE NOT own OR overlap > 0 QUALIFY row_number() OVER
 
 
 def _event_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    grouped = _grouped(spark, sf_dir).withColumn("event_id", F.concat_ws("/", "security_id", "group_id"))
+    # One pass over the titles for terms and members alike.
+    grouped = cut_lineage(_grouped(spark, sf_dir).withColumn("event_id", F.concat_ws("/", "security_id", "group_id")).select(
+        "event_id", "security_id", "news_id", "published_at", F.array_distinct("terms").alias("terms")
+    ))
     counts = grouped.select("event_id", "security_id", F.explode("terms").alias("term")).groupBy("event_id", "security_id", "term").agg(F.count(F.lit(1)).alias("n"))
     clusters = counts.where("n >= 2").groupBy("event_id", "security_id").agg(F.collect_list("term").alias("event_terms"))
     members = grouped.join(clusters.select("event_id"), "event_id", "left_semi")
