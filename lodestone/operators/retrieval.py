@@ -200,6 +200,13 @@ def bm25_retrieve(
         scores, tokens, statistics = bm25_by_token(evidence, documents, asked, k1, b, small)
     else:
         scores, tokens, statistics = bm25_scores(evidence, candidates, asked, k1, b, small)
+    return ranked_hits(asked, evidence, scores, tokens, statistics, floor, max_k, small)
+
+
+def ranked_hits(
+    asked: DataFrame, evidence: DataFrame, scores: DataFrame, tokens: DataFrame, statistics: DataFrame, floor: float, max_k: int, small: bool,
+) -> tuple[DataFrame, DataFrame]:
+    """The best ``effective_k`` scores of each request, first hits of its sources in front, and its diagnostics."""
     eligible = scores.where(F.col("score") >= floor)
     order = [F.col("score").desc(), F.col("evidence_id")]
     pool = leading_rows(eligible, order, max_k)

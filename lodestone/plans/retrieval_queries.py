@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import filters, retrieval, selection
+from lodestone.operators import filters, fresh_retrieval, retrieval, selection
 from lodestone.operators.skew import keep_first, top_rows
 from lodestone.plans import bindings as b
 from lodestone.plans.registry import query
@@ -50,6 +50,41 @@ def retrieve_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("request_id", "position", "evidence_id", F.round("score", 3).alias("score"))
 
 
+# Freshness of one (request, evidence) pair: corrections and withdrawals by the rules of ``fresh_documents``.
+FRESH_FILTER_SQL = b.FILTER_SQL.strip().replace("cand AS (", "cand0 AS (", 1) + """,
+flag AS (SELECT c.*, r.basis_at, r.start_day IS NOT NULL OR r.end_day IS NOT NULL AS ranged, c.source_type = 'glossary' AS free,
+  c.doc_id % 116 = 1 AS withdrawn, CASE WHEN c.doc_id % 12 = 5 AND c.doc_id >= 4 THEN 'doc:' || (c.doc_id - 4) END AS replaces,
+  datediff('day', CAST(effective_at + INTERVAL 9 HOUR AS DATE), CAST(r.basis_at + INTERVAL 9 HOUR AS DATE)) AS age FROM cand0 c JOIN req r USING (request_id)),
+live AS (SELECT * FROM flag WHERE free OR coalesce(effective_at <= basis_at, false)),
+edge AS (SELECT DISTINCT request_id, replaces AS document_id FROM live WHERE source_type = 'disclosure' AND NOT withdrawn AND replaces IS NOT NULL),
+vis AS (SELECT * FROM live WHERE NOT (source_type = 'disclosure' AND withdrawn) AND (request_id, document_id) NOT IN (SELECT (request_id, document_id) FROM edge)),
+win AS (SELECT r.request_id, CASE WHEN count(DISTINCT v.document_id) < 5 THEN 365 ELSE 180 END AS max_age FROM req r
+  LEFT JOIN vis v ON v.request_id = r.request_id AND v.source_type = 'disclosure' AND v.age BETWEEN 0 AND 180 GROUP BY 1),
+cand AS (SELECT v.* FROM vis v JOIN win USING (request_id) WHERE ranged OR free OR age BETWEEN 0 AND CASE source_type WHEN 'news' THEN 30 WHEN 'disclosure' THEN max_age ELSE 180 END)
+"""
+FRESH_CTES = b.ctes(b.EVIDENCE_SQL, b.REQUESTS_SQL, FRESH_FILTER_SQL + BM25_SQL[len(b.FILTER_SQL.strip()):])
+
+
+def fresh_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with corrections of the document four places before, and withdrawals."""
+    return b.documents(spark, sf_dir).select(
+        "*", F.expr("doc_id % 12 = 5").alias("is_correction"), F.expr("doc_id % 116 = 1").alias("is_withdrawn"), F.lit(False).alias("has_subsequent_correction"),
+        F.expr("CASE WHEN doc_id % 12 = 5 AND doc_id >= 4 THEN concat('doc:', doc_id - 4) END").alias("correction_of"),
+    )
+
+
+@query("cmp_01_fresh_evidence", FRESH_CTES + "SELECT request_id, CAST(position AS INTEGER) AS position, evidence_id, round(score, 3) AS score FROM hits")
+def fresh_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits, _ = fresh_retrieval.fresh_retrieve(b.evidence(spark, sf_dir), b.requests(spark, sf_dir), fresh_documents(spark, sf_dir))
+    return hits.select("request_id", "position", "evidence_id", F.round("score", 3).alias("score"))
+
+
+@query("cmp_01_fresh_counts", FRESH_CTES + "SELECT r.request_id, CAST(coalesce(s.total, 0) AS BIGINT) AS fresh, CAST(coalesce(h.n, 0) AS BIGINT) AS returned FROM req r LEFT JOIN stats s USING (request_id) LEFT JOIN (SELECT request_id, count(*) AS n FROM hits GROUP BY 1) h USING (request_id)")
+def fresh_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, diagnostics = fresh_retrieval.fresh_retrieve(b.evidence(spark, sf_dir), b.requests(spark, sf_dir), fresh_documents(spark, sf_dir))
+    return diagnostics.select("request_id", F.col("filtered_count").alias("fresh"), F.col("returned_count").alias("returned"))
+
+
 @query(
     "cmp_01_retrieval_diagnostics",
     RETRIEVAL_CTES + """
