@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lodestone import fixed_values as fixed
 from lodestone.functions.text import ColumnLike, as_column, contains_any, fold
 from lodestone.operators.skew import hinted_join, is_small, keep_first, top_rows
+from lodestone.session import cut_lineage
 
 LAST = 1_000_000
 
@@ -104,6 +105,23 @@ LOCATOR_FIELDS = [
 ]
 
 
+LOCATED = (
+    "document_id", "source_type", "title", "source_url", "published_at", "subject_security_ids", "mentioned_security_ids", "scope", "snippet",
+)
+
+
+def content_digest(columns: list[str]) -> Column:
+    """Digest of all fields of an evidence but its id and score, locator fields among them where ``columns`` has these."""
+    locator = [name for name in LOCATOR_FIELDS if name in columns]
+    return F.sha2(F.to_json(F.struct(*LOCATED, *locator), {"ignoreNullFields": "false"}), 256)
+
+
+def conflicting_evidence(rows: DataFrame) -> DataFrame:
+    """request_id and evidence_id of evidence that comes with different contents in one request (WIN-08 within CMP-04)."""
+    named = rows.withColumn("__content", content_digest(rows.columns)).groupBy("request_id", "evidence_id")
+    return named.agg(F.min("__content").alias("low"), F.max("__content").alias("high")).where("low <> high").select("request_id", "evidence_id")
+
+
 def budget_context(
     rows: DataFrame, requests: DataFrame, max_rows: int = fixed.BUDGET_MAX_ROWS, per_source: int = fixed.BUDGET_PER_SOURCE,
     max_chars: int = fixed.BUDGET_MAX_CHARS, max_tokens: int = fixed.BUDGET_MAX_TOKENS, reserved: int = 0,
@@ -111,21 +129,16 @@ def budget_context(
     """CMP-04: content dedup, diversify, per-source cap, total cap, budget prefix; plus the drop counts.
 
     ``rows`` carries ``request_id``, ``position`` and the evidence fields. Rows are copies when all
-    fields but id and score agree, locator fields among them where ``rows`` has these.
+    fields but id and score agree, locator fields among them where ``rows`` has these. A request in
+    which one id has two contents fails closed: nothing is selected for it and it has no diagnostics
+    row; ``conflicting_evidence`` names the ids.
     """
-    locator = [name for name in LOCATOR_FIELDS if name in rows.columns]
-    content = F.sha2(
-        F.to_json(
-            F.struct(
-                "document_id", "source_type", "title", "source_url", "published_at", "subject_security_ids",
-                "mentioned_security_ids", "scope", "snippet", *locator,
-            ),
-            {"ignoreNullFields": "false"},
-        ),
-        256,
-    )
+    # A request's hits are few and are read several times below.
+    rows = cut_lineage(rows)
+    broken = conflicting_evidence(rows).select("request_id").distinct()
+    rows = rows.join(broken, "request_id", "left_anti").withColumn("__content", content_digest(rows.columns))
     order = [F.col("position"), F.col("evidence_id")]
-    unique = keep_first(rows.withColumn("__content", content), ["request_id", "__content"], order).drop("__content")
+    unique = keep_first(rows, ["request_id", "__content"], order).drop("__content")
     # Inside one source the priority order is the input order, so the source cap needs no reordering.
     capped = cap_per_source(unique, order, per_source)
     required = requests.select("request_id", F.coalesce("required_sources", F.array().cast("array<string>")).alias("__required"))
