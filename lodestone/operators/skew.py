@@ -2,9 +2,8 @@
 
 * ``keep_first`` / ``top_rows``: per-group limits that Spark cuts on the map side
   (``WindowGroupLimit``), so a hot key never reaches one task whole.
-* ``bounded_broadcast``: broadcast only after the row bound was checked.
+* ``spread_join``: broadcast only after the row bound was checked, else the salted join.
 * ``salted_join``: equi-join whose hot left keys are spread over salts.
-* ``count_per``: map-side combined counts joined back instead of whole-partition windows.
 """
 
 from __future__ import annotations
@@ -51,11 +50,6 @@ def hinted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], small: b
     return left.join(F.broadcast(right), list(keys), how) if small else salted_join(left, right, keys, how)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a checked row bound; beyond it the planner shuffles as usual."""
-    return F.broadcast(df) if within_rows(df, max_rows) else df
-
-
 def salted_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = DEFAULT_SALTS
 ) -> DataFrame:
@@ -84,7 +78,3 @@ def spread_join(
     if within_rows(right, max_rows):
         return left.join(F.broadcast(right), list(keys), how)
     return salted_join(left, right, keys, how, salts)
-
-
-def count_per(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
