@@ -4,7 +4,9 @@ Two documents link when 100 x common shingles >= ``percent`` x shingles of eithe
 enumerates its subsets of the sizes at which it could link. A heavy set differs from any linked one
 in at most (a + b) x (100 - percent) / (100 + percent) shingles, a nineteenth of a + b at 90 and a
 ninth at 80. A set dealt by hash into parts of which more than that are filled has one that is the
-same in both: its lists are keyed by parts, which a shared passage alone seldom makes equal. The size
+same in both: its lists are keyed by parts, which a shared passage alone seldom makes equal. At lower
+percentages parts hold few shingles and passages do make them equal; with ``rare`` the lists are keyed by
+the rarest shingles instead, of which linked sets share one whatever passages they hold. The size
 that divides light from heavy is the one at which the keys cost least.
 
 Keys give candidate groups, not pairs: lists are reduced to stars within a task and within a key
@@ -39,6 +41,9 @@ MOST_LIGHT = 40
 # Key entries of a task that are dealt out together.
 DEALT_ENTRIES = 1_000_000
 ROUNDS = 3
+# Counters of shingles, by hash: 16 MB at any size of the corpus. They only order shingles, so that collisions lose no link.
+COUNTERS = 1 << 22
+COUNTER_SLICES = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -131,8 +136,58 @@ def choose_boundary(sizes: dict[int, int], percent: int = PERCENT) -> int:
     return min(cost, key=lambda x: (cost[x], x))
 
 
-def set_keys(tokens: np.ndarray, counts: np.ndarray, light: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all sets and the set each belongs to. Linked sets that differ have one key in common at least."""
+def shingle_counts(texts: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
+    """How many documents hold shingles of each counter (the low bits of the hash), over all ``texts`` (data)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(COUNTERS, np.uint32)
+        for batch in chunks(batches, "data"):
+            tokens, _ = shingle_sets(batch.column("data").to_pylist(), shingle)
+            np.add.at(seen, (tokens & np.uint64(COUNTERS - 1)).astype(np.int64), np.uint32(1))
+        # Small counts: planes of bytes, mostly zeros above the first, travel compressed.
+        parts = [pa.compress(part.view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True) for part in np.split(seen, COUNTER_SLICES)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(COUNTER_SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = COUNTERS // COUNTER_SLICES
+        total = np.zeros(width, np.int64)
+        for batch in batches:
+            for part in batch.column("counts"):
+                data = pa.decompress(part.as_py(), 4 * width, "zstd", asbytes=True)
+                total += np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+        data = np.minimum(total, 2**32 - 1).astype("<u4").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([data], pa.binary())], names=["slice", "counts"])
+
+    summed = texts.mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary")
+    # One row a slice: 16 MB.
+    found = np.zeros(COUNTERS, np.uint32)
+    for row in summed.collect():
+        np.split(found, COUNTER_SLICES)[row["slice"]][:] = np.frombuffer(row["counts"], "<u4")
+    return found
+
+
+def rare_keys(tokens: np.ndarray, counts: np.ndarray, sets: np.ndarray, rarity: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest shingles of ``sets`` by ``rarity`` and hash, as many as make linked sets share one, for either class of sizes."""
+    counts, first = counts[sets], (np.cumsum(counts) - counts)[sets]
+    begin = np.cumsum(counts) - counts
+    nth = np.arange(counts.sum()) - np.repeat(begin, counts)
+    own, place = tokens[nth + np.repeat(first, counts)], np.repeat(np.arange(len(sets)), counts)
+    # Tokens ascend within a set and the sort is stable, so that all sets order them alike.
+    order = np.argsort((place << 32) | rarity[(own & np.uint64(len(rarity) - 1)).astype(np.int64)], kind="stable")
+    few = order[nth < np.repeat(counts - -(-percent * counts // 100) + 1, counts)]
+    cls = np.searchsorted(size_classes(int(counts.max(initial=1)), percent), counts, side="right") - 1
+    with np.errstate(over="ignore"):
+        keys = [_mix(own[few] ^ _mix((cls[place[few]] + above + 1).astype(np.uint64))) for above in (0, 1)]
+    return np.concatenate(keys), np.tile(sets[place[few]], 2)
+
+
+def set_keys(
+    tokens: np.ndarray, counts: np.ndarray, light: int, percent: int = PERCENT, rarity: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all sets and the set each belongs to. Linked sets that differ have one key in common at least.
+
+    Heavy sets are keyed by their rarest shingles where ``rarity`` counts them, else by parts.
+    """
     first = np.cumsum(counts) - counts
     keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     with np.errstate(over="ignore"):
@@ -146,7 +201,11 @@ def set_keys(tokens: np.ndarray, counts: np.ndarray, light: int, percent: int =
                 owners.append(np.full(len(gone), i))
         firsts = size_classes(int(counts.max(initial=1)), percent)
         heavy = np.flatnonzero(counts >= max(least_linked(percent), least_common(light + 1, percent)))
-        for above in (0, 1):
+        if rarity is not None:
+            key, owner = rare_keys(tokens, counts, heavy, rarity, percent)
+            keys.append(key)
+            owners.append(owner)
+        for above in (0, 1) if rarity is None else ():
             cls = np.searchsorted(firsts, counts[heavy], side="right") - 1 + above
             pending, need, seats = heavy, parts_of(firsts, cls, percent), seats_of(firsts, cls, percent)
             for number in range(ROUNDS):
@@ -234,7 +293,9 @@ def _unplaned(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
 
 
-def candidate_edges(texts: DataFrame, light: int, rows: int, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def candidate_edges(
+    texts: DataFrame, light: int, rows: int, shingle: int = SHINGLE, percent: int = PERCENT, rarity: np.ndarray | None = None
+) -> DataFrame:
     """Edges (a, b) that join all documents with a common key; ``texts`` has doc_id and data (binary), ``rows`` of them."""
     # A document is named once in each range that holds one of its keys, so ranges are few; at 20,000
     # documents one holds some two million entries at 90, and parts are more at a lower percentage.
@@ -262,7 +323,7 @@ def candidate_edges(texts: DataFrame, light: int, rows: int, shingle: int = SHIN
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in chunks(batches, "data", 1_000_000):
-            key, owner = set_keys(*shingle_sets(batch.column("data").to_pylist(), shingle), light, percent)
+            key, owner = set_keys(*shingle_sets(batch.column("data").to_pylist(), shingle), light, percent, rarity)
             held.append((key, batch.column("doc_id").to_numpy()[owner]))
             if sum(len(part) for part, _ in held) > DEALT_ENTRIES:
                 yield dealt_out(*map(np.concatenate, zip(*held, strict=True)))
@@ -294,9 +355,12 @@ def candidate_edges(texts: DataFrame, light: int, rows: int, shingle: int = SHIN
     return dealt.groupBy("r").applyInArrow(meet, "a long, b long")
 
 
-def link_documents(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def link_documents(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, rare: bool = False) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``documents`` (doc_id, text), linked at ``percent`` (1 to 99).
 
+    ``rare`` keys the lists of heavy sets by their rarest shingles, at the price of counting all
+    shingles first; the result is the same.
+
     Texts without a word, and null texts, have no shingles and link with nothing; component_id is
     the smallest doc_id that links reach. Rows of one doc_id are one document's and count as linked.
     A null doc_id takes part in no link and has a null component. Other columns are not read.
@@ -317,7 +381,8 @@ def link_documents(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     sizes = cut_lineage(texts.mapInArrow(describe, "doc_id long, n_shingles long, mark long, check long"))
     few = dict(sizes.where(f"n_shingles BETWEEN 1 AND {MOST_LIGHT}").groupBy("n_shingles").count().collect())
     light = choose_boundary(few, percent)
-    groups = connected_components(candidate_edges(texts.where("doc_id IS NOT NULL"), light, sizes.count(), shingle, percent))
+    rarity = shingle_counts(texts, shingle) if rare else None
+    groups = connected_components(candidate_edges(texts.where("doc_id IS NOT NULL"), light, sizes.count(), shingle, percent, rarity))
 
     # Equal sets are one: their smallest document stands for them.
     same = ["mark", "check", "n_shingles"]

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lodestone.llm.jaccard import link_documents, set_keys
+from lodestone.llm.jaccard import candidate_edges, link_documents, set_keys, shingle_counts
 from tests.llm.conftest import prose
 from tests.llm.test_operators import near_copies
 
@@ -46,8 +46,26 @@ def spread_changes(words: int, changes: int, first: int) -> list[tuple[int, str]
 def test_components_at_five_words_match_brute_force(make_documents, odd_texts, seed):
     rows = [(key, text) for key, text in dict(odd_texts).items() if key is not None] + [(100 + key, text) for key, text in near_copies(seed)]
     rows += spread_changes(460, 10, 400) + [(500 + i, prose(900 + seed, 70) + " " + prose(i, i)) for i in range(1, 24)]
-    got = {tuple(row) for row in link_documents(make_documents(rows), shingle=5, percent=80).select("doc_id", "n_shingles", "component_id").collect()}
-    assert got == components(rows)
+    for rare in (False, True):
+        linked = link_documents(make_documents(rows), shingle=5, percent=80, rare=rare)
+        assert {tuple(row) for row in linked.select("doc_id", "n_shingles", "component_id").collect()} == components(rows)
+
+
+def test_shared_passages_alone_bring_no_candidates(spark, make_documents):
+    """Rare shingles are own words; the passage that all hold is in no list."""
+    passage = prose(77, 120)
+    rows = [(i, f"{passage} {' '.join(f'w{i}x{j}' for j in range(160))}") for i in range(40)]
+    rows += [(100 + i, text.replace(f"w{i}x3", "changed")) for i, text in rows[:5]]
+    texts = make_documents(rows).selectExpr("CAST(doc_id AS long) AS doc_id", "encode(text, 'UTF-8') AS data")
+    counts = shingle_counts(texts, 5)
+    assert counts.sum() == sum(size for _, size, _ in components(rows))
+    edges = {tuple(sorted(row)) for row in candidate_edges(texts, 12, len(rows), 5, 80, counts).collect()}
+    assert edges == {(i, 100 + i) for i in range(5)}
+
+
+def test_counts_of_nothing(make_documents):
+    assert not shingle_counts(make_documents([]).selectExpr("encode(text, 'UTF-8') AS data"), 5).any()
+    assert link_documents(make_documents([]), shingle=5, percent=80, rare=True).count() == 0
 
 
 def test_stage_takes_five_words_and_four_fifths(spark, make_documents, odd_texts):
@@ -71,8 +89,9 @@ def test_linked_sets_have_a_common_key(percent):
             one, two = np.sort(np.append(common, tokens[size : size + left])), np.sort(np.append(common, tokens[size + left : size + apart]))
             if 100 * len(common) < percent * (len(common) + apart) or not apart:
                 continue
-            for light in (8, 12):
-                keys, owner = set_keys(np.concatenate([one, two]), np.array([len(one), len(two)]), light, percent)
+            rarity = np.random.default_rng(size).integers(0, 9, 64).astype(np.uint32)
+            for light, counted in ((8, None), (12, None), (8, rarity), (12, rarity)):
+                keys, owner = set_keys(np.concatenate([one, two]), np.array([len(one), len(two)]), light, percent, counted)
                 assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist()), (size, left, light)
 
 
