@@ -29,7 +29,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies (five words, 0.8); rows without an id stay."""
-    copies = link_documents(docs, shingle=5, percent=80).where("component_id <> doc_id").select("doc_id").distinct()
+    copies = link_documents(docs, shingle=5, percent=80, rare=True).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 
