@@ -22,6 +22,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -403,15 +404,25 @@ def link_documents(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     )
     home = cut_lineage(seats)
     tasks = int(min(100_000, max(8, home.count() // 2_000)))
-    rows = texts.join(home, "doc_id").select("task", "grp", "doc_id", "data")
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Texts travel twice, to their documents' tasks and on to their groups'; both times as zstd frames.
+        packer = zstandard.ZstdCompressor()
+        for batch in batches:
+            packed = pa.array([packer.compress(data) for data in batch.column("data").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), packed], names=["doc_id", "data"])
+
+    packed = texts.where("doc_id IS NOT NULL").mapInArrow(squeeze, "doc_id long, data binary")
+    rows = packed.join(home, "doc_id").select("task", "grp", "doc_id", "data")
     rows = rows.repartition(tasks, "task").sortWithinPartitions("task", "grp", "doc_id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def decided(held: list[tuple[int, bytes]]) -> list[tuple[int, int]]:
             # Some texts at a time: the hashes of a byte take many times its room.
-            sizes = np.cumsum([len(data) for _, data in held]) // CHUNK_BYTES
+            sizes = np.cumsum([zstandard.frame_content_size(data) for _, data in held]) // CHUNK_BYTES
             cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(held)]
-            sets = [shingle_sets([data for _, data in held[start:end]], shingle) for start, end in zip(cuts, cuts[1:], strict=False)]
+            unpack = zstandard.ZstdDecompressor().decompress
+            sets = [shingle_sets([unpack(data) for _, data in held[start:end]], shingle) for start, end in zip(cuts, cuts[1:], strict=False)]
             tokens, counts = map(np.concatenate, zip(*sets, strict=True))
             return [(held[i][0], held[j][0]) for i, j in verified(tokens, counts, percent)]
 
