@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from lodestone import fixed_values as fixed
@@ -48,11 +48,18 @@ def table_checksum(df: DataFrame, volatile: Sequence[str] = (), row_hash: Column
     identifies the multiset of rows. Sums combine on the map side, so nothing is sorted or collected.
     """
     hashed = fingerprint([name for name in df.columns if name not in set(volatile)]) if row_hash is None else row_hash
-    rows = df.select(hashed.alias("row_hash"))
+    return hash_sums(df.select(hashed.alias("row_hash")).groupBy()).select("row_count", digest_of_sums().alias("checksum"))
+
+
+def hash_sums(grouped: GroupedData) -> DataFrame:
+    """Row count and the exact sums of the eight 32-bit words of ``row_hash``, per group."""
     words = [
         F.sum(F.conv(F.substring("row_hash", 1 + 8 * index, 8), 16, 10).cast("decimal(20,0)")).alias(f"w{index}")
         for index in range(8)
     ]
-    sums = rows.agg(F.count(F.lit(1)).alias("row_count"), *words)
-    joined = F.concat_ws("|", *[F.coalesce(F.col(f"w{index}"), F.lit(0)).cast("decimal(30,0)").cast("string") for index in range(8)])
-    return sums.select("row_count", F.sha2(joined, 256).alias("checksum"))
+    return grouped.agg(F.count(F.lit(1)).alias("row_count"), *words)
+
+
+def digest_of_sums() -> Column:
+    """The digest of the sums that ``hash_sums`` gives."""
+    return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(f"w{index}"), F.lit(0)).cast("decimal(30,0)").cast("string") for index in range(8)]), 256)

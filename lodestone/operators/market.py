@@ -165,19 +165,27 @@ def grid_gaps(snapshots: DataFrame, checkpoints: int, security: str = "security_
     return counts.where((F.col("cells") != checkpoints) | (F.col("distinct_cells") != checkpoints) | (F.col("without_price") > 0))
 
 
-def neighbours_within(rows: DataFrame, key: str, ts: str, seconds: int = fixed.EVENT_GAP_SECONDS, bucket_seconds: int | None = None) -> DataFrame:
+def neighbours_within(rows: DataFrame, key: str, ts: str, seconds: int = fixed.EVENT_GAP_SECONDS, bucket_seconds: int = 3600) -> DataFrame:
     """JOI-11: per row, how many other rows of its key lie at most ``seconds`` away, both ends included.
 
-    Time buckets of the gap's length are shared with both neighbours, so the range window of a row
-    only needs its own bucket and a hot key spreads over its buckets; no pair is formed.
+    Rank arithmetic: the rows of a key up to ``t + gap`` less those before ``t - gap``. Rows are counted per
+    time first; running counts go over time buckets with one carry row each, so a hot key spreads
+    over its buckets, whole rows are moved once and no pair or range window is formed. Rows without a key
+    or a time have no neighbours and are left out.
     """
-    width = bucket_seconds or seconds
-    at = F.unix_micros(F.col(ts))
-    place = F.floor(at / F.lit(width * 1_000_000))
-    base = rows.withColumn("__at", at).withColumn("__home", place)
-    reach = -(-seconds // width)
-    spread = base.withColumn("__bucket", F.explode(F.sequence(F.col("__home") - reach, F.col("__home") + reach)))
-    spec = Window.partitionBy(key, "__bucket").orderBy("__at").rangeBetween(-seconds * 1_000_000, seconds * 1_000_000)
-    return spread.withColumn("neighbours", F.count(F.lit(1)).over(spec) - 1).where(F.col("__bucket") == F.col("__home")).drop(
-        "__at", "__home", "__bucket"
-    )
+    gap = seconds * 1_000_000
+    base = rows.withColumn("__at", F.unix_micros(F.col(ts))).where(F.col("__at").isNotNull() & F.col(key).isNotNull())
+    times_of = base.groupBy(F.col(key).alias("__key"), F.col("__at").alias("__time")).agg(F.count(F.lit(1)).alias("__n"))
+    # sign 0 counts the rows themselves; at equal times it comes before the looks at the two ends.
+    mark = lambda sign, at, n: F.struct(F.lit(sign).alias("sign"), at.alias("at"), n.alias("n"))
+    none = F.lit(0).cast("bigint")
+    marks = times_of.select("__key", "__time", F.inline(F.array(
+        mark(0, F.col("__time"), F.col("__n")), mark(1, F.col("__time") + gap, none), mark(-1, F.col("__time") - gap - 1, none)
+    ))).withColumn("bucket", F.floor(F.col("at") / F.lit(bucket_seconds * 1_000_000)))
+    inside = Window.partitionBy("__key", "bucket").orderBy("at", F.abs("sign")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy("__key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = marks.groupBy("__key", "bucket").agg(F.sum("n").alias("held")).select("__key", "bucket", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("carry"))
+    looks = marks.withColumn("upto", F.sum("n").over(inside)).where("sign <> 0").join(carry, ["__key", "bucket"])
+    counted = looks.groupBy("__key", "__time").agg((F.sum(F.col("sign") * (F.col("upto") + F.col("carry"))) - 1).alias("neighbours"))
+    same = (F.col(key) == F.col("__key")) & (F.col("__at") == F.col("__time"))
+    return base.join(counted, same).drop("__at", "__key", "__time")

@@ -547,23 +547,49 @@ def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select(F.col("ticker").cast("int").alias("k"), F.replace("publisher", F.lit(" "), F.lit("_")).alias("publisher"), F.col("published_date").cast("string").alias("published_date"), "content_hash")
 
 
-@query("snk_01_inventory_files", "SELECT o_orderstatus, count(*) AS n, true AS sorted FROM orders GROUP BY 1")
-def inventory_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes the orders by status and reads back whether each file is in order."""
-    from pyspark.sql import Window
+INVENTORY_ROWS = 5_000
+INVENTORY_SQL = f"""WITH lines AS (SELECT o_orderstatus, o_orderdate, o_orderkey, '{{"order_date":"' || strftime(o_orderdate, '%Y-%m-%d') || '","order_id":' || o_orderkey || ',"status":"' || o_orderstatus || '"}}' AS line FROM orders),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) - 1 AS place FROM lines)
+SELECT o_orderstatus AS status, CAST(place // {INVENTORY_ROWS} AS INTEGER) AS part, sha256(string_agg(line || chr(10), '' ORDER BY place)) AS sha256 FROM placed GROUP BY 1, 2"""
+
 
+@query("snk_01_inventory_files", INVENTORY_SQL)
+def inventory_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the orders by status as sorted JSON lines and hashes the bytes of each file."""
     path = f"{flows.work_dir(spark)}/inventory"
-    sinks.write_inventory(b.table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderdate", "o_orderkey"), path, "o_orderstatus", ["o_orderdate", "o_orderkey"], "parquet")
-    rows = spark.read.parquet(path).withColumn("file", F.col("_metadata.file_path")).withColumn("row_at", F.monotonically_increasing_id())
-    spec = Window.partitionBy("file").orderBy("row_at")
-    ordered = F.coalesce(F.struct("o_orderdate", "o_orderkey") >= F.lag(F.struct("o_orderdate", "o_orderkey")).over(spec), F.lit(True))
-    return rows.withColumn("ok", ordered).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.bool_and("ok").alias("sorted"))
+    items = b.table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("order_date"), F.col("o_orderkey").alias("order_id"))
+    sinks.write_inventory(items, path, "status", ["order_date", "order_id"], INVENTORY_ROWS)
+    return sinks.inventory_hashes(spark, path, "status")
 
 
 @query("snk_02_snapshot_bundle", "SELECT 'nations' AS table_name, (SELECT count(*) FROM nation) AS row_count UNION ALL SELECT 'orders', (SELECT count(*) FROM orders)")
 def snapshot_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {"nations": b.table(spark, sf_dir, "nation"), "orders": b.table(spark, sf_dir, "orders")}
-    return sinks.write_snapshot(tables, f"{flows.work_dir(spark)}/snapshot").select("table_name", "row_count")
+    return sinks.write_snapshot(tables, f"{flows.work_dir(spark)}/snapshot", parts=32).where("level = 'table'").select("table_name", "row_count")
+
+
+BUNDLE_SQL = """WITH d AS (SELECT CASE doc_id % 3 WHEN 0 THEN 'news' WHEN 1 THEN 'disclosure' ELSE 'research_report' END AS source_type, lang AS security_id, doc_id FROM documents),
+  c AS (SELECT count(*) AS n FROM (SELECT 1 FROM d GROUP BY ROLLUP (source_type, security_id))), e AS (SELECT 'documents' AS table_name, count(*) AS row_count FROM d UNION ALL SELECT 'coverage', n FROM c UNION ALL SELECT 'permissions', 3)
+SELECT table_name, row_count, CAST(0 AS BIGINT) AS altered FROM e"""
+
+
+@query("snk_02_service_bundle", BUNDLE_SQL)
+def service_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the bundle of all documents and reads it back: rows by table, and parts whose rows do not give the manifest's hash."""
+    docs = b.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("doc:"), "doc_id").alias("document_id"), F.expr("CASE doc_id % 3 WHEN 0 THEN 'news' WHEN 1 THEN 'disclosure' ELSE 'research_report' END").alias("source_type"),
+        F.col("lang").alias("security_id"), F.expr("if(doc_id % 2 = 0, 'pre_market', 'intraday')").alias("band"), F.expr("doc_id % 5").alias("fact_count"), F.col("source").alias("report_id"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") % 86400).alias("published_at"), "text",
+    )
+    register = spark.createDataFrame(
+        [("news", "approved", True, True), ("disclosure", "approved", True, True), ("research_report", "approved", True, False)],
+        "source_type string, usage_review_status string, corpus_ingest_allowed boolean, external_llm_processing_allowed boolean",
+    )
+    path = f"{flows.work_dir(spark)}/bundle"
+    manifest = sinks.write_bundle(docs, register, path, "2024-01-02 00:00:00", parts=32)
+    altered = sinks.altered_parts(spark, path, {"documents": docs.schema, "coverage": coverage.snapshot_coverage(docs).schema, "permissions": register.schema})
+    counts = altered.groupBy("table_name").agg(F.count(F.lit(1)).alias("altered"))
+    return manifest.where("level = 'table'").join(counts, "table_name", "left").select("table_name", "row_count", F.coalesce("altered", F.lit(0)).alias("altered"))
 
 
 @query("snk_03_observation_records", "SELECT '{\"event_type\":\"' || event_type || '\",\"request_id\":' || event_id || '}' AS value FROM events")
@@ -694,12 +720,14 @@ def feed_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.feed_batches(rows).select("security_id", "canonical_url", "ord", F.array_join("provenance", ",").alias("provenance"))
 
 
-@query("str_06_late_and_future_rows", "SELECT event_id AS request_id, CASE WHEN event_id % 13 = 0 THEN 'missing_published_at' WHEN ts > TIMESTAMP '2024-01-20' THEN 'future_published_at' END AS time_flag FROM events")
+@query("str_06_late_and_future_rows", "SELECT event_id AS request_id, CASE WHEN event_id % 13 = 0 THEN 'missing_published_at' WHEN ts > TIMESTAMP '2024-01-20' THEN 'future_published_at' END AS time_flag, CASE WHEN event_id % 13 = 0 OR ts > TIMESTAMP '2024-01-20' THEN 'quarantined' ELSE 'accepted' END AS went FROM events")
 def late_and_future_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = request_rows(event_stream(spark, sf_dir)).select(
         "request_id", F.when(F.expr("request_id % 13 <> 0"), F.col("ts")).alias("published_at"), F.lit("2024-01-20 00:00:00").cast("timestamp").alias("basis_at")
     )
-    return flows.run_append(flows.flag_times(rows)).select("request_id", "time_flag")
+    accepted, quarantined = flows.run_split(flows.flag_times(rows), "time_flag")
+    went = lambda df, name: df.select("request_id", "time_flag", F.lit(name).alias("went"))
+    return went(accepted, "accepted").unionByName(went(quarantined, "quarantined"))
 
 
 @query("str_07_observation_rates", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS window_start, CASE event_type WHEN 'error' THEN 'no_evidence' WHEN 'view' THEN 'partial' ELSE 'complete' END AS evidence_decision, count(*) AS requests, count(*) FILTER (event_type = 'error') AS fallbacks, round(max(value), 2) AS max_latency_ms FROM events GROUP BY 1, 2")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestone import fixed_values as fixed
 from lodestone.operators.skew import keep_first
@@ -29,6 +30,29 @@ def run_append(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def run_split(stream: DataFrame, reason: str) -> tuple[DataFrame, DataFrame]:
+    """STR-06: drain a stream into two tables: rows without a ``reason`` are accepted, the others quarantined.
+
+    Both are written from one pass over a micro-batch, in folders by ``reason``; an epoch that runs again
+    overwrites its own folder, so a row is in exactly one table and counts once.
+    """
+    spark, folder = stream.sparkSession, work_dir(stream.sparkSession)
+    side = F.when(F.col(reason).isNull(), F.lit("accepted")).otherwise(F.lit("quarantined"))
+
+    written = set()
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        written.add(epoch)
+        batch.withColumn("__side", side).write.mode("overwrite").partitionBy("__side").parquet(f"{folder}/out/epoch={epoch}")
+
+    query = stream.writeStream.option("checkpointLocation", f"{folder}/log").foreachBatch(write).trigger(availableNow=True).start()
+    query.awaitTermination()
+    schema = StructType(stream.schema.fields).add("epoch", "long").add("__side", "string")
+    rows = spark.read.schema(schema).parquet(f"{folder}/out") if written else spark.createDataFrame([], schema)
+    table = lambda name: rows.where(F.col("__side") == name).drop("epoch", "__side")
+    return table("accepted"), table("quarantined")
+
+
 def run_in_order(stream: DataFrame, key: str, flow: Callable[[DataFrame], DataFrame], again: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Drain a stateful flow over the rows of ``stream``; keys with late rows are computed ``again`` from a side table of all rows.
 
