@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import CHUNK_BYTES, chunks, joined_bytes, lower_ascii, utf8
 from lodestone.llm.components import connected_components
+from lodestone.llm.sieve import caught, sieve, slot
 from lodestone.operators.skew import salted_join
 from lodestone.session import cut_lineage
 
@@ -406,13 +407,15 @@ def link_documents(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     tasks = int(min(100_000, max(8, home.count() // 2_000)))
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Texts travel twice, to their documents' tasks and on to their groups'; both times as zstd frames.
+        # Texts of candidate groups travel twice, to their documents' tasks and on to their groups'; both times as zstd frames.
         packer = zstandard.ZstdCompressor()
         for batch in batches:
+            batch = batch.filter(pa.array(caught(wanted, batch.column("slot").to_numpy())))
             packed = pa.array([packer.compress(data) for data in batch.column("data").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), packed], names=["doc_id", "data"])
 
-    packed = texts.where("doc_id IS NOT NULL").mapInArrow(squeeze, "doc_id long, data binary")
+    wanted = sieve(home, "doc_id")
+    packed = texts.where("doc_id IS NOT NULL").withColumn("slot", slot("doc_id")).mapInArrow(squeeze, "doc_id long, data binary")
     rows = packed.join(home, "doc_id").select("task", "grp", "doc_id", "data")
     rows = rows.repartition(tasks, "task").sortWithinPartitions("task", "grp", "doc_id")
 
