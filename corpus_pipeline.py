@@ -13,6 +13,7 @@ from lodestone.llm.language import identify
 from lodestone.llm.mixing import mixed_documents, quality_domains
 from lodestone.llm.packing import pack_documents
 from lodestone.llm.queries import tokenizer_path
+from lodestone.llm.sieve import without_ids
 from lodestone.llm.suffixes import remove_repeats
 from lodestone.session import ensure_checkpoint_dir
 
@@ -29,8 +30,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies (five words, 0.8); rows without an id stay."""
-    copies = link_documents(docs, shingle=5, percent=80, rare=True).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    copies = link_documents(docs, shingle=5, percent=80, rare=True).where("component_id <> doc_id").select("doc_id")
+    return without_ids(docs, copies)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
