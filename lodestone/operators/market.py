@@ -165,7 +165,7 @@ def grid_gaps(snapshots: DataFrame, checkpoints: int, security: str = "security_
     return counts.where((F.col("cells") != checkpoints) | (F.col("distinct_cells") != checkpoints) | (F.col("without_price") > 0))
 
 
-def neighbours_within(rows: DataFrame, key: str, ts: str, seconds: int = fixed.EVENT_GAP_SECONDS, bucket_seconds: int = 3600) -> DataFrame:
+def neighbours_within(rows: DataFrame, key: str, ts: str, seconds: int = fixed.EVENT_GAP_SECONDS, bucket_seconds: int = fixed.EVENT_GAP_SECONDS) -> DataFrame:
     """JOI-11: per row, how many other rows of its key lie at most ``seconds`` away, both ends included.
 
     Rank arithmetic: the rows of a key up to ``t + gap`` less those before ``t - gap``. Rows are counted per
