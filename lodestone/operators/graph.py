@@ -7,7 +7,6 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.skew import spread_join
 from lodestone.session import cut_lineage
 
 
@@ -22,11 +21,11 @@ def chain_roots(edges: DataFrame, scope: str) -> tuple[DataFrame, DataFrame]:
     rounds = math.ceil(math.log2(max(state.count(), 1) + 1)) + 1
     moving = state.limit(0)
     for _ in range(rounds):
+        # One row per node. The sizes Spark guesses for it come from the compressed files, so it is never left to broadcast it.
         hops = state.select(scope, F.col("node").alias("top"), F.col("top").alias("next_top"))
-        jumped = spread_join(state, hops, [scope, "top"], "left")
-        state = cut_lineage(jumped.select(scope, "node", F.coalesce("next_top", "top").alias("top")))
-        nodes = state.select(scope, F.col("node").alias("top"))
-        moving = spread_join(state, nodes, [scope, "top"], "left_semi")
+        jumped = cut_lineage(state.join(hops.hint("merge"), [scope, "top"], "left"))
+        moving = jumped.where(F.col("next_top").isNotNull())
+        state = jumped.select(scope, "node", F.coalesce("next_top", "top").alias("top"))
         if moving.isEmpty():
             return state.withColumnRenamed("top", "root"), moving.select(scope, "node")
     resolved = state.join(moving.select(scope, "node"), [scope, "node"], "left_anti")

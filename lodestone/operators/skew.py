@@ -56,14 +56,15 @@ def salted_join(
     """Equi-join on ``keys`` with hot left keys split over ``salts`` tasks.
 
     The right side is repeated once per salt, so it should hold few rows per key
-    (one, when it is an aggregate or a lookup).
+    (one, when it is an aggregate or a lookup). The copies are shuffled whatever size Spark guesses
+    for them: guesses come from compressed files and know nothing of the copies.
     """
     if how not in {"inner", "left", "left_semi", "left_anti"}:
         raise ValueError(f"salting does not preserve a {how} join")
     # Salting by the row content keeps retries of a lost task on the same salt.
     salted = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
     copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*keys, "__salt"], how).drop("__salt")
+    return salted.join(copies.hint("merge"), [*keys, "__salt"], how).drop("__salt")
 
 
 def spread_join(

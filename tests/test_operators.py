@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from lodestone import fixed_values as fixed
 from lodestone.functions import text, times, urls
-from lodestone.operators import citations, claims, evaluation, evidence, filters, freshness, market, mentions, planning, resolve, retrieval, selection
+from lodestone.operators import citations, claims, evaluation, evidence, filters, freshness, graph, market, mentions, planning, resolve, retrieval, selection
 from lodestone.operators.skew import keep_first, salted_join
+from lodestone.session import cut_lineage
 
 
 def one(spark, column, value):
@@ -209,6 +210,18 @@ def test_salted_join_and_keep_first(spark):
     assert keep_first(left, ["k"], [F.col("n").desc()]).where("k = 'hot'").first()["n"] == 99
 
 
+def test_copies_and_hops_are_not_broadcast(spark, tmp_path, monkeypatch):
+    spark.range(1000).selectExpr("'s' AS scope", "id + 1 AS node", "id AS parent").write.parquet(str(tmp_path / "edges"))
+    edges = spark.read.parquet(str(tmp_path / "edges"))
+    plan = lambda df: df._jdf.queryExecution().toString()
+    assert "Broadcast" not in plan(salted_join(edges, edges.select("node", F.lit(1).alias("v")), ["node"]))
+    plans = []
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: plans.append(plan(df)) or cut_lineage(df))
+    roots, stuck = graph.chain_roots(edges, "scope")
+    assert roots.where("root = 0").count() == 1000 and stuck.isEmpty()
+    assert len(plans) > 5 and not any("Broadcast" in one for one in plans)
+
+
 def test_fixed_tables_are_consistent():
     assert set(fixed.FOCUS_LIMITS) <= set(fixed.FOCUS_QUERY_TERMS)
     assert set(fixed.LIMITING_WARNINGS) <= set(fixed.WARNING_ORDER)
