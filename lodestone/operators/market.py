@@ -102,7 +102,8 @@ def price_changes(closes: DataFrame, security: str = "security_id") -> DataFrame
 
 
 def percent_change(price: str, previous: str) -> Column:
-    return F.bround(((F.col(price) - F.col(previous)) * 100).cast("decimal(30,12)") / F.col(previous), 6)
+    """Percent against the previous price; null when that is zero."""
+    return F.bround(F.try_divide(((F.col(price) - F.col(previous)) * 100).cast("decimal(30,12)"), F.col(previous)), 6)
 
 
 def direction(change: Column) -> Column:

@@ -59,7 +59,7 @@ def market_reason(rows: Mapping[str, str] | None = None) -> Column:
         F.when(F.col("currency") != "KRW", F.lit("currency"))
         .when((price <= 0) | (previous <= 0), F.lit("not_positive"))
         .when(F.abs(change - (price - previous)) > tolerance, F.lit("change"))
-        .when(F.abs(percent - change / previous * 100) > tolerance, F.lit("change_percent"))
+        .when(F.abs(percent - F.try_divide(change, previous) * 100) > tolerance, F.lit("change_percent"))
         .when(local_day != F.col("trading_date"), F.lit("trading_date"))
         .when(F.col("volume") < 0, F.lit("volume"))
     )

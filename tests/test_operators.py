@@ -12,6 +12,7 @@ from lodestone import fixed_values as fixed
 from lodestone.functions import text, times, urls
 from lodestone.operators import citations, claims, evaluation, evidence, filters, freshness, graph, market, mentions, planning, resolve, retrieval, selection
 from lodestone.operators.skew import keep_first, salted_join
+from lodestone.plans import all_queries
 from lodestone.session import cut_lineage
 
 
@@ -226,3 +227,11 @@ def test_fixed_tables_are_consistent():
     assert set(fixed.FOCUS_LIMITS) <= set(fixed.FOCUS_QUERY_TERMS)
     assert set(fixed.LIMITING_WARNINGS) <= set(fixed.WARNING_ORDER)
     assert set(fixed.EVENT_DISTINCTIVE) <= set(fixed.EVENT_PHRASES.values())
+
+
+def test_price_change_from_zero(spark, tmp_path):
+    rows = [(1, dt.datetime(2024, 1, day), 7, "view", value, None) for day, value in ((1, 0.0), (2, 5.0), (3, 5.0), (4, 0.0), (5, 0.0))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["day"]: (r["direction"], r["percent"]) for r in all_queries()["win_12_price_change"].build(spark, str(tmp_path)).collect()}
+    assert got["2024-01-02"] == ("up", math.inf) and got["2024-01-03"] == ("flat", 0.0) and got["2024-01-04"] == ("down", -100.0)
+    assert got["2024-01-05"][0] == "flat" and math.isnan(got["2024-01-05"][1])
