@@ -30,9 +30,9 @@ def coverage(df: DataFrame, key: str, dimensions: Sequence[str], measures: Seque
     return grouped.select(key, dimension.alias("dimension"), value.alias("value"), "n", *extra)
 
 
-def shared_titles(items: DataFrame, key: str = "security_id") -> DataFrame:
-    """AGG-04: titles carried by more than one publisher, per key."""
-    title = collapse(fold_case("title"))
+def shared_titles(items: DataFrame, key: str = "security_id", title_key: Column | None = None) -> DataFrame:
+    """AGG-04: titles carried by more than one publisher, per key; titles are equal when their ``title_key`` is (case and blanks aside by default)."""
+    title = collapse(fold_case("title")) if title_key is None else title_key
     groups = items.groupBy(key, title.alias("title_key")).agg(
         F.min("publisher_host").alias("low"), F.max("publisher_host").alias("high")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone import fixed_values as fixed
 from lodestone.functions import text, times, urls
-from lodestone.operators import citations, claims, evaluation, evidence, filters, freshness, graph, market, mentions, planning, resolve, retrieval, selection
+from lodestone.operators import citations, claims, coverage, evaluation, evidence, filters, freshness, graph, market, mentions, planning, resolve, retrieval, selection
 from lodestone.operators.skew import keep_first, salted_join
 from lodestone.plans import all_queries
 from lodestone.session import cut_lineage
@@ -235,3 +235,11 @@ def test_price_change_from_zero(spark, tmp_path):
     got = {r["day"]: (r["direction"], r["percent"]) for r in all_queries()["win_12_price_change"].build(spark, str(tmp_path)).collect()}
     assert got["2024-01-02"] == ("up", math.inf) and got["2024-01-03"] == ("flat", 0.0) and got["2024-01-04"] == ("down", -100.0)
     assert got["2024-01-05"][0] == "flat" and math.isnan(got["2024-01-05"][1])
+
+
+def test_shared_titles_differ_by_blanks(spark, tmp_path):
+    rows = [("en", "A  b\nx", "s1"), ("en", "a b\ny", "s2"), ("en", "Straße\n", "s1"), ("en", "strasse\n", "s2"), ("en", "SAME\n", "s1"), ("en", "same\n", "s2"), ("de", None, "s1")]
+    spark.createDataFrame(rows, "lang string, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {tuple(r) for r in all_queries()["agg_04_shared_titles"].build(spark, str(tmp_path)).collect()} == {("en", 1), ("de", 0)}
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet")).selectExpr("lang AS security_id", "split_part(text, '\n', 1) AS title", "source AS publisher_host")
+    assert {tuple(r) for r in coverage.shared_titles(docs).collect()} == {("en", 3), ("de", 0)}
