@@ -243,3 +243,10 @@ def test_shared_titles_differ_by_blanks(spark, tmp_path):
     assert {tuple(r) for r in all_queries()["agg_04_shared_titles"].build(spark, str(tmp_path)).collect()} == {("en", 1), ("de", 0)}
     docs = spark.read.parquet(str(tmp_path / "documents.parquet")).selectExpr("lang AS security_id", "split_part(text, '\n', 1) AS title", "source AS publisher_host")
     assert {tuple(r) for r in coverage.shared_titles(docs).collect()} == {("en", 3), ("de", 0)}
+
+
+def test_gate_percentage_is_rounded_once(spark, tmp_path):
+    spark.range(377).selectExpr("id AS doc_id", "'es' AS lang", "'src' AS source").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(377).selectExpr("id AS doc_id", "cast(id < 321 as int) AS quality", "0 AS toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = all_queries()["agg_23_gate_by_label"].build(spark, str(tmp_path)).collect()
+    assert {(r["label"], r["passed"], r["total"], r["percentage"]) for r in rows} == {("es", 321, 377, 85.1), ("src", 321, 377, 85.1)}
