@@ -6,7 +6,7 @@ per request, so a popular filter does not multiply the evidence by its number of
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -170,9 +170,12 @@ def keep_requested(evidence: DataFrame, questions: DataFrame, markers: dict[str,
     )
 
 
-def focus_match(snippet: ColumnLike, focus: ColumnLike, calm: Sequence[str] | None = None, risky: Sequence[str] | None = None) -> Column:
-    """FLT-14: under the risk focus a snippet must speak of risk and not play it down."""
-    folded = fold(snippet)
+def focus_match(
+    snippet: ColumnLike, focus: ColumnLike, calm: Sequence[str] | None = None, risky: Sequence[str] | None = None,
+    folding: Callable[[ColumnLike], Column] = fold,
+) -> Column:
+    """FLT-14: under the risk focus a snippet must speak of risk and not play it down; words are sought in the snippet after ``folding``."""
+    folded = folding(snippet)
     calm = fixed.CALM_RISK_PHRASES if calm is None else calm
     risky = fixed.RISK_WORDS if risky is None else risky
     return (as_column(focus) != "risk") | (~contains_any(folded, calm) & contains_any(folded, risky))
