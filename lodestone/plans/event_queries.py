@@ -244,7 +244,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("document_id"), F.expr("l_linenumber * 10000000000 + l_partkey * 10000 + l_suppkey").alias("fact_index"), F.element_at(categories, F.expr("cast(1 + l_partkey % 4 as int)")).alias("category"),
         F.concat(F.lit("claim "), F.col("l_returnflag")).alias("claim"), F.expr("CASE WHEN l_suppkey % 5 <> 0 THEN 'verified_against_source' ELSE 'pending' END").alias("verification_status"),
-        F.expr("CASE WHEN l_quantity > 10 THEN cast(l_quantity as int) END").alias("page"), F.array(F.lit("II"), F.col("l_linestatus")).alias("section_path"), "l_suppkey",
+        F.expr("CASE WHEN l_quantity > 10 THEN cast(l_quantity as int) END").alias("page"), F.array(F.lit("II"), F.col("l_linestatus")).alias("section_path"), "l_partkey", "l_suppkey",
     )
 
 

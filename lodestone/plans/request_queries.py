@@ -225,11 +225,9 @@ def answer_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("top_06_priority_order", "SELECT l_orderkey, l_partkey, l_suppkey, CAST(rn AS INTEGER) AS answer_rank FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY (CASE l_partkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 4 WHEN 2 THEN 9 ELSE 7 END), l_linenumber::BIGINT * 10000000000 + l_partkey * 10000 + l_suppkey) AS rn FROM lineitem) WHERE rn <= 4")
 def priority_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = facts(spark, sf_dir).select(
-        F.col("document_id").alias("request_id"), "category", F.col("fact_index").alias("position"), F.col("claim").alias("snippet"), F.lit("disclosure").alias("answer_focus"), F.lit("disclosure_summary").alias("intent"), F.lit(4).alias("answer_limit")
-    )
-    return selection.prioritize(rows).select(
-        F.col("request_id").alias("l_orderkey"), F.expr("(position % 10000000000) div 10000").alias("l_partkey"), F.expr("position % 10000").alias("l_suppkey"), "answer_rank"
+        F.col("document_id").alias("request_id"), "category", F.col("fact_index").alias("position"), F.col("claim").alias("snippet"), F.lit("disclosure").alias("answer_focus"), F.lit("disclosure_summary").alias("intent"), F.lit(4).alias("answer_limit"), "l_partkey", "l_suppkey"
     )
+    return selection.prioritize(rows).select(F.col("request_id").alias("l_orderkey"), "l_partkey", "l_suppkey", "answer_rank")
 
 
 @query("top_07_inventory_order", "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_custkey, o_orderdate, o_orderkey) AS BIGINT) AS place FROM orders")

@@ -250,3 +250,20 @@ def test_gate_percentage_is_rounded_once(spark, tmp_path):
     spark.range(377).selectExpr("id AS doc_id", "cast(id < 321 as int) AS quality", "0 AS toxic").write.parquet(str(tmp_path / "labels.parquet"))
     rows = all_queries()["agg_23_gate_by_label"].build(spark, str(tmp_path)).collect()
     assert {(r["label"], r["passed"], r["total"], r["percentage"]) for r in rows} == {("es", 321, 377, 85.1), ("src", 321, 377, 85.1)}
+
+
+def test_risk_focus_keeps_the_blank_a_cut_leaves(spark, tmp_path):
+    rows = [(0, "x" * 491 + " tion ti and more"), (2, "tion"), (4, "plain"), (1, "plain")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert rows[0][1][:500].endswith("tion ti ")
+    got = {r["evidence_id"] for r in all_queries()["flt_14_risk_focus"].build(spark, str(tmp_path)).collect()}
+    assert got == {"evidence:doc:1", "evidence:doc:2"}
+
+
+def test_priority_order_keeps_large_keys(spark, tmp_path):
+    rows = [(1, 1_199_999, 59_999, 1), (1, 1_200_000, 10_000, 2)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int")
+    lines.selectExpr("*", "20.0D AS l_quantity", "'R' AS l_returnflag", "'O' AS l_linestatus").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = all_queries()["top_06_priority_order"].build(spark, str(tmp_path)).collect()
+    assert {(r["l_partkey"], r["l_suppkey"], r["answer_rank"]) for r in got} == {(1_200_000, 10_000, 1), (1_199_999, 59_999, 2)}
