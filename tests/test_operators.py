@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import math
 import random
 
@@ -267,3 +268,11 @@ def test_priority_order_keeps_large_keys(spark, tmp_path):
     lines.selectExpr("*", "20.0D AS l_quantity", "'R' AS l_returnflag", "'O' AS l_linestatus").write.parquet(str(tmp_path / "lineitem.parquet"))
     got = all_queries()["top_06_priority_order"].build(spark, str(tmp_path)).collect()
     assert {(r["l_partkey"], r["l_suppkey"], r["answer_rank"]) for r in got} == {(1_200_000, 10_000, 1), (1_199_999, 59_999, 2)}
+
+
+def test_pages_are_cleaned_with_the_stated_entities(spark, tmp_path):
+    html = "<title>the&&amp; &ampx &hearts;</title>&lt;b&gt;"
+    spark.createDataFrame([(1, html)], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = all_queries()["txt_02_html_clean"].build(spark, str(tmp_path)).first()
+    md5 = lambda value: hashlib.md5(value.encode()).hexdigest()
+    assert (got["tags_first"], got["entities_first"]) == (md5("the&& &ampx &hearts;<b>"), md5("the&& &ampx &hearts;"))
