@@ -38,14 +38,19 @@ def _name_offset(folded: Column, names: str) -> Column:
 
 def match_basis(
     rows: DataFrame, title_aliases: Names, description_aliases: Names | None = None, topical: Names | None = None,
-    max_offset: int = fixed.DESCRIPTION_ALIAS_MAX_OFFSET,
+    max_offset: int = fixed.DESCRIPTION_ALIAS_MAX_OFFSET, entities: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """CMP-12: ``match_basis`` of rows with security_id, title and description.
 
     A title alias; else an early description alias with a topical title, where a security allows it.
+    Without description aliases or topics no description is read.
     """
+    title = fold_case(F.col("title"))
+    if not description_aliases or not topical:
+        named = _with_names(rows, __aliases=title_aliases)
+        return named.withColumn("match_basis", F.when(_has_name(title, "__aliases"), F.lit("title_alias"))).drop("__aliases")
     named = _with_names(rows, __aliases=title_aliases, __early=description_aliases, __topics=topical)
-    title, description = fold_case(F.col("title")), fold_case(clean_tags_first("description"))
+    description = fold_case(clean_tags_first("description", entities))
     early = F.coalesce(_name_offset(description, "__early") <= max_offset, F.lit(False)) & _has_name(title, "__topics")
     basis = F.when(_has_name(title, "__aliases"), F.lit("title_alias")).when(early, F.lit("provider_description_alias"))
     return named.withColumn("match_basis", basis).drop("__aliases", "__early", "__topics")
@@ -71,12 +76,13 @@ def merge_duplicates(rows: DataFrame, keys: Sequence[str], order: str) -> DataFr
 def news_inventory(
     raw: DataFrame, title_aliases: Mapping[str, Sequence[str]], start: str, end: str,
     description_aliases: Mapping[str, Sequence[str]] | None = None, topical: Mapping[str, Sequence[str]] | None = None,
+    entities: Mapping[str, str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """CMP-11: inventory items and rejection counts.
+    """CMP-11: inventory items and rejection counts. ``entities`` are decoded, all of HTML 5 by default.
 
     ``raw``: security_id, title, description, pub_date, originallink, link, provenance (array), ord.
     """
-    parsed = raw.withColumn("title", clean_tags_first("title")).withColumn("published_at", times.parse_feed_time("pub_date")).withColumn(
+    parsed = raw.withColumn("title", clean_tags_first("title", entities)).withColumn("published_at", times.parse_feed_time("pub_date")).withColumn(
         "canonical_url", urls.canonical_url("originallink", "link")
     )
     in_window = F.col("published_at").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))
@@ -84,7 +90,7 @@ def news_inventory(
         F.when((F.coalesce("title", F.lit("")) == "") | F.col("published_at").isNull() | F.col("canonical_url").isNull(), F.lit("invalid_metadata"))
         .when(~in_window, F.lit("outside_window")).when(F.col("match_basis").isNull(), F.lit("security_not_established"))
     )
-    judged = match_basis(parsed, title_aliases, description_aliases, topical).withColumn("reason", reason)
+    judged = match_basis(parsed, title_aliases, description_aliases, topical, entities=entities).withColumn("reason", reason)
     sound = judged.where(F.col("reason").isNull()).drop("reason")
     merged = merge_duplicates(sound, ["security_id", "canonical_url"], "ord")
     items = merged.select(

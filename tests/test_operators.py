@@ -276,3 +276,12 @@ def test_pages_are_cleaned_with_the_stated_entities(spark, tmp_path):
     got = all_queries()["txt_02_html_clean"].build(spark, str(tmp_path)).first()
     md5 = lambda value: hashlib.md5(value.encode()).hexdigest()
     assert (got["tags_first"], got["entities_first"]) == (md5("the&& &ampx &hearts;<b>"), md5("the&& &ampx &hearts;"))
+
+
+def test_feed_titles_keep_half_entities(spark, tmp_path):
+    rows = [(n, f"https://www.ex.com/en/{n}", f"<html><title>the {mark}</title></html>") for n, mark in ((20, "&amp"), (22, "&amp;"), (23, "&hearts;"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    items = all_queries()["cmp_11_news_inventory"].build(spark, str(tmp_path))
+    assert {r["title"] for r in items.collect()} == {"the &amp", "the &", "the &hearts;"}
+    # Rejection counts need no description and no Python.
+    assert "Python" not in all_queries()["agg_07_rejection_counts"].build(spark, str(tmp_path))._jdf.queryExecution().toString()
