@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone import fixed_values as fixed
 from lodestone.functions import times
-from lodestone.functions.text import ColumnLike, alternation, as_column, bounded_contains, clean_entities_first, contains_any, fold
+from lodestone.functions.text import ColumnLike, as_column, bounded_contains, clean_entities_first, contains_any, fold
 from lodestone.operators.policy import intent_table
 from lodestone.operators.skew import hinted_join, is_small
 
@@ -106,10 +106,13 @@ def expand_query(query: ColumnLike, focus: ColumnLike, terms: Mapping[str, Seque
     return F.concat_ws(" ", as_column(query), F.try_element_at(table, as_column(focus)))
 
 
-def feed_query(query: ColumnLike, name: ColumnLike, aliases: Sequence[str]) -> Column:
-    """TXT-21: the cleaned query, led by the security name unless an alias occurs in it."""
-    cleaned = clean_entities_first(query)
-    known = fold(cleaned).rlike(alternation(aliases)) if aliases else F.lit(False)
+def feed_query(query: ColumnLike, name: ColumnLike, aliases: Sequence[str], cleaned: ColumnLike | None = None) -> Column:
+    """TXT-21: the cleaned query, led by the security name unless an alias occurs in it.
+
+    ``cleaned`` may name a column that holds the cleaned query, which is then worked out once.
+    """
+    cleaned = clean_entities_first(query) if cleaned is None else as_column(cleaned)
+    known = contains_any(fold(cleaned), aliases)
     return F.when(as_column(query).isNull(), as_column(name)).when(known, cleaned).otherwise(F.concat_ws(" ", as_column(name), cleaned))
 
 
