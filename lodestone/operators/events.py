@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Mapping, Sequence
 from typing import Any
 
@@ -45,33 +46,130 @@ def greedy_groups(
     phrases = dict(fixed.EVENT_PHRASES if phrases is None else phrases)
     distinctive = list(fixed.EVENT_DISTINCTIVE if distinctive is None else distinctive)
     marks, names = frozenset(distinctive), frozenset(phrases.values())
-    termed = titles.withColumn("terms", title_terms("title", phrases, stop_words))
+    # Kept, so that the condition below does not work the terms out again for each time it names them.
+    termed = cut_lineage(titles.withColumn("terms", title_terms("title", phrases, stop_words)))
     able = termed.where(same_event("terms", "terms", F.lit(0), phrases, distinctive, max_gap)).withColumn(
         "at", F.unix_micros("published_at")
     )
     gap = max_gap * 1_000_000
 
-    def matches(left: frozenset[str], right: frozenset[str]) -> bool:
-        shared = left & right
-        strong = len(shared & marks)
-        return strong >= 2 or (strong == 1 and len(shared) >= 3 and len(shared & names) >= 2)
-
     def step(run: pd.DataFrame, state: Any) -> tuple[list[dict[str, Any]], Any]:
-        groups = [(g["id"], g["at"], {frozenset(m) for m in g["members"]}) for g in (state or [])]
+        groups = OpenGroups(marks, names, state)
         found = []
         for news_id, at, terms in zip(run["news_id"], run["at"], run["terms"], strict=True):
-            at, words = int(at), frozenset(terms)
-            groups = [g for g in groups if at - g[1] <= gap]
-            home = next((g for g in groups if words in g[2] or all(matches(words, m) for m in g[2])), None)
-            if home is None:
-                home = (news_id, at, set())
-                groups.append(home)
-            home[2].add(words)
-            found.append({"group_id": home[0]})
-        kept = [{"id": i, "at": t, "members": sorted(sorted(m) for m in members)} for i, t, members in groups]
-        return found, kept
-
-    return ordered_scan(able, "security_id", ["at", "news_id"], step, text_result("group_id"), rows_per_chunk).drop("at")
+            groups.close_before(int(at) - gap)
+            found.append({"group_id": groups.put(news_id, int(at), frozenset(terms))})
+        return found, groups.state()
+
+    return ordered_scan(able, "security_id", ["at", "news_id"], step, text_result("group_id"), rows_per_chunk, ["terms"]).drop("at")
+
+
+class OpenGroups:
+    """The open groups of one security: finds the first whose every member matches a title without looking at all members.
+
+    Whether two titles match depends on their marks and names (their kind), except where they share one
+    mark and one other name, both names: then some third term must be shared. So a group holds the kinds
+    of its members, and the other terms only of kinds that can come to need them. Groups of the same kinds
+    stand in one list, whose first is the one to take where no terms are needed; where they are, the
+    groups are found by the terms of the title.
+    """
+
+    def __init__(self, marks: frozenset[str], names: frozenset[str], state: list[dict[str, Any]] | None) -> None:
+        self.marks, self.names, self.keys = marks, names, marks | names
+        self.related: dict[tuple[frozenset[str], frozenset[str]], int] = {}
+        self.verdicts: dict[tuple[frozenset[str], frozenset[frozenset[str]]], int] = {}
+        self.groups: dict[int, tuple[str, int, dict[frozenset[str], tuple[set[frozenset[str]], dict[str, int]]]]] = {}
+        self.alike: dict[frozenset[frozenset[str]], list[int]] = {}
+        self.holding: dict[str, set[int]] = {}
+        self.opened = 0
+        for group in state or []:
+            number = self._open(group["id"], group["at"])
+            for kind, others in group["members"]:
+                for other in others:
+                    self._add(number, frozenset(kind), frozenset(other))
+
+    def relation(self, left: frozenset[str], right: frozenset[str]) -> int:
+        """0: titles of these kinds never match, 1: if they share another term, 2: always."""
+        if (left, right) not in self.related:
+            shared = left & right
+            strong, named = len(shared & self.marks), len(shared & self.names)
+            loose = strong == 1 and named >= 2
+            self.related[left, right] = 2 if strong >= 2 or (loose and len(shared) >= 3) else int(loose)
+        return self.related[left, right]
+
+    def _open(self, name: str, at: int) -> int:
+        number, self.opened = self.opened, self.opened + 1
+        self.groups[number] = (name, at, {})
+        self.alike.setdefault(frozenset(), []).append(number)
+        return number
+
+    def _move(self, number: int, old: frozenset[frozenset[str]], new: frozenset[frozenset[str]] | None) -> None:
+        numbers = self.alike[old]
+        del numbers[bisect_left(numbers, number)]
+        if not numbers:
+            del self.alike[old]
+        if new is not None:
+            insort(self.alike.setdefault(new, []), number)
+
+    def _add(self, number: int, kind: frozenset[str], others: frozenset[str]) -> None:
+        members = self.groups[number][2]
+        if kind not in members:
+            old = frozenset(members)
+            members[kind] = (set(), {})
+            self._move(number, old, old | {kind})
+        # The terms of a kind without a mark that is a name and a name that is no mark are never asked for.
+        if not (kind & self.marks & self.names and kind & (self.names - self.marks)):
+            others = frozenset()
+        sets, counts = members[kind]
+        if others not in sets:
+            sets.add(others)
+            for term in others:
+                counts[term] = counts.get(term, 0) + 1
+                self.holding.setdefault(term, set()).add(number)
+
+    def close_before(self, earliest: int) -> None:
+        while self.groups and self.groups[number := next(iter(self.groups))][1] < earliest:
+            members = self.groups.pop(number)[2]
+            self._move(number, frozenset(members), None)
+            for _, counts in members.values():
+                for term in counts:
+                    if number in self.holding.get(term, ()):
+                        self.holding[term].discard(number)
+                        if not self.holding[term]:
+                            del self.holding[term]
+
+    def _shares(self, number: int, kind: frozenset[str], others: frozenset[str]) -> bool:
+        for member, (sets, counts) in self.groups[number][2].items():
+            if self.relation(kind, member) == 1:
+                found = [n for term in others if (n := counts.get(term))]
+                if sum(found) < len(sets) or (max(found) < len(sets) and any(others.isdisjoint(held) for held in sets)):
+                    return False
+        return True
+
+    def put(self, news_id: str, at: int, terms: frozenset[str]) -> str:
+        """The group that the title joins, or opens."""
+        kind, others = terms & self.keys, terms - self.keys
+        home, asks = None, set()
+        for kinds, numbers in self.alike.items():
+            if (verdict := self.verdicts.get((kind, kinds))) is None:
+                verdict = self.verdicts[kind, kinds] = min((self.relation(kind, member) for member in kinds), default=0)
+            if verdict == 2 and (home is None or numbers[0] < home):
+                home = numbers[0]
+            elif verdict == 1:
+                asks.add(kinds)
+        if asks:
+            near = {number for term in others for number in self.holding.get(term, ()) if home is None or number < home}
+            home = next((n for n in sorted(near) if frozenset(self.groups[n][2]) in asks and self._shares(n, kind, others)), home)
+        if home is None:
+            home = self._open(news_id, at)
+        self._add(home, kind, others)
+        return self.groups[home][0]
+
+    def state(self) -> list[dict[str, Any]]:
+        return [
+            {"id": name, "at": at, "members": sorted([sorted(kind), sorted(sorted(one) for one in sets)] for kind, (sets, _) in members.items())}
+            for name, at, members in self.groups.values()
+        ]
 
 
 def title_label(members: DataFrame) -> DataFrame:

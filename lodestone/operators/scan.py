@@ -16,7 +16,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from lodestone.session import cut_lineage
 
@@ -48,16 +48,22 @@ def _play(rows: pd.DataFrame, key: str, order: list[str], step: Step, incoming:
 
 
 def ordered_scan(
-    df: DataFrame, key: str, order: list[str], step: Step, result: StructType, rows_per_chunk: int = 100_000
+    df: DataFrame, key: str, order: list[str], step: Step, result: StructType, rows_per_chunk: int = 100_000, reads: list[str] | None = None
 ) -> DataFrame:
-    """Run ``step`` along every key in order; returns the rows with the ``result`` columns added."""
+    """Run ``step`` along every key in order; returns the rows with the ``result`` columns added.
+
+    ``reads`` names the columns that ``step`` looks at beside the key and the order (all, if None).
+    Only these go through Python; the results are joined back by the row's place in the checkpoint.
+    """
     session = df.sparkSession
     # Computed once; counting and range sampling read the checkpoint.
     held = cut_lineage(df)
     chunks = max(1, -(-held.count() // rows_per_chunk))
     placed = cut_lineage(
-        held.repartitionByRange(chunks, key, *order).withColumn("chunk", F.spark_partition_id())
+        held.repartitionByRange(chunks, key, *order).withColumns({"chunk": F.spark_partition_id(), "__place": F.monotonically_increasing_id()})
     )
+    seen = df.columns if reads is None else list(dict.fromkeys([key, *order, *reads]))
+    narrow = placed.select("chunk", "__place", *seen)
 
     def run_states(frame: pd.DataFrame, assumed: pd.DataFrame) -> pd.DataFrame:
         if frame.empty:
@@ -69,7 +75,7 @@ def ordered_scan(
                             columns=["chunk", "first_key", "last_key", "incoming", "outgoing"])
 
     nothing = session.createDataFrame([], "chunk int, incoming string")
-    states = cut_lineage(placed.groupBy("chunk").cogroup(nothing.groupBy("chunk")).applyInPandas(run_states, STATE_SCHEMA))
+    states = cut_lineage(narrow.groupBy("chunk").cogroup(nothing.groupBy("chunk")).applyInPandas(run_states, STATE_SCHEMA))
     for _ in range(chunks):
         handed = states.select((F.col("chunk") + 1).alias("chunk"), F.col("last_key").alias("first_key"), F.col("outgoing").alias("handed"))
         linked = states.join(handed, ["chunk", "first_key"], "left")
@@ -77,26 +83,25 @@ def ordered_scan(
         todo = cut_lineage(wrong.select("chunk", F.col("handed").alias("incoming")))
         if todo.isEmpty():
             break
-        again = placed.join(todo.select("chunk"), "chunk", "left_semi").groupBy("chunk").cogroup(todo.groupBy("chunk")).applyInPandas(
+        again = narrow.join(todo.select("chunk"), "chunk", "left_semi").groupBy("chunk").cogroup(todo.groupBy("chunk")).applyInPandas(
             run_states, STATE_SCHEMA
         )
         states = cut_lineage(states.join(todo.select("chunk"), "chunk", "left_anti").unionByName(again))
 
-    columns = [c for c in df.columns]
-    schema = StructType([*df.schema.fields, *result.fields])
     names = [field.name for field in result.fields]
+    schema = StructType([StructField("__place", LongType()), *result.fields])
 
     def run_rows(frame: pd.DataFrame, assumed: pd.DataFrame) -> pd.DataFrame:
         if frame.empty:
-            return pd.DataFrame(columns=[*columns, *names])
+            return pd.DataFrame(columns=["__place", *names])
         incoming = assumed["incoming"].iloc[0] if len(assumed) else None
+        frame = frame.sort_values([key, *order], kind="stable").reset_index(drop=True)
         found, _, _, _ = _play(frame, key, order, step, incoming)
-        frame = frame.sort_values([key, *order], kind="stable").reset_index(drop=True)[columns]
-        for name in names:
-            frame[name] = pd.Series([row[name] for row in found], dtype=object)
-        return frame
+        columns = {name: pd.Series([row[name] for row in found], dtype=object) for name in names}
+        return pd.DataFrame({"__place": frame["__place"], **columns})
 
-    return placed.groupBy("chunk").cogroup(states.select("chunk", "incoming").groupBy("chunk")).applyInPandas(run_rows, schema)
+    found = narrow.groupBy("chunk").cogroup(states.select("chunk", "incoming").groupBy("chunk")).applyInPandas(run_rows, schema)
+    return placed.join(found, "__place").select(*df.columns, *names)
 
 
 def text_result(*names: str) -> StructType:
