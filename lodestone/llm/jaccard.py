@@ -43,6 +43,8 @@ MOST_LIGHT = 40
 # Key entries of a task that are dealt out together.
 DEALT_ENTRIES = 1_000_000
 ROUNDS = 3
+# Key ranges whose edges are reduced together, level by level; a document is in as many edges at most as ranges are left, this many.
+MERGED_RANGES = 8
 # Counters of shingles, by hash: 16 MB at any size of the corpus. They only order shingles, so that collisions lose no link.
 COUNTERS = 1 << 22
 COUNTER_SLICES = 64
@@ -301,7 +303,7 @@ def candidate_edges(
     """Edges (a, b) that join all documents with a common key; ``texts`` has doc_id and data (binary), ``rows`` of them."""
     # A document is named once in each range that holds one of its keys, so ranges are few; at 20,000
     # documents one holds some two million entries at 90, and parts are more at a lower percentage.
-    ranges = int(min(65_536, max(8, rows * (100 - percent) ** 2 // 2_000_000)))
+    ranges = dealt_ranges = int(min(65_536, max(8, rows * (100 - percent) ** 2 // 2_000_000)))
 
     def dealt_out(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((node, key))
@@ -311,10 +313,10 @@ def candidate_edges(
         # Of a key's entries here only the smallest is sent to the others'; the rest hang on it.
         a, b = stars(np.cumsum(fresh), node)
         key, node = key[fresh], node[fresh]
-        bucket = (key >> np.uint64(33)) % np.uint64(ranges)
+        bucket = (key >> np.uint64(33)) % np.uint64(dealt_ranges)
         order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(ranges + 1, dtype=np.uint64))
-        kept = [(r, order[cuts[r] : cuts[r + 1]]) for r in range(ranges) if cuts[r] < cuts[r + 1]]
+        cuts = np.searchsorted(bucket[order], np.arange(dealt_ranges + 1, dtype=np.uint64))
+        kept = [(r, order[cuts[r] : cuts[r + 1]]) for r in range(dealt_ranges) if cuts[r] < cuts[r + 1]]
         ready = [int(bucket[0])] if len(a) else []
         return pa.RecordBatch.from_arrays([
             pa.array([r for r, _ in kept] + ready, pa.int32()),
@@ -351,10 +353,31 @@ def candidate_edges(
         same = key[1:] == key[:-1]
         often = np.flatnonzero(np.append(same, False) | np.insert(same, 0, False)) if len(key) else np.zeros(0, np.int64)
         found = np.concatenate([np.array(stars(key[often], node[often])).reshape(2, -1).astype(np.int64), *ready], axis=1)
-        return pa.table({"a": pa.array(found[0]), "b": pa.array(found[1])})
-
-    dealt = texts.mapInArrow(deal, "r int, keys binary, docs binary")
-    return dealt.groupBy("r").applyInArrow(meet, "a long, b long")
+        return packed(table, found)
+
+    def packed(table: pa.Table, found: np.ndarray) -> pa.Table:
+        return pa.table({"r": pa.array([table.column("r")[0].as_py()], pa.int32()), "edges": pa.array([pa.compress(_planes(found.reshape(-1)), "zstd", asbytes=True)], pa.binary()),
+                         "n": pa.array([found.shape[1]], pa.int64())})
+
+    def merged(table: pa.Table) -> np.ndarray:
+        # A document hangs on another in every range that holds a common key of theirs; of these edges one is kept.
+        parts = [
+            _unplaned(pa.decompress(edges.as_py(), 16 * n.as_py(), "zstd", asbytes=True)).view(np.int64).reshape(2, -1) for edges, n in zip(table.column("edges"), table.column("n"), strict=True)
+        ]
+        ends = np.concatenate(parts, axis=1)
+        return np.array(stars(np.tile(np.arange(ends.shape[1]), 2), ends.reshape(-1))).reshape(2, -1).astype(np.int64)
+
+    def pairs(table: pa.Table) -> pa.Table:
+        a, b = merged(table)
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    edges = texts.mapInArrow(deal, "r int, keys binary, docs binary").groupBy("r").applyInArrow(meet, "r int, edges binary, n long")
+    while True:
+        ranges = -(-ranges // MERGED_RANGES)
+        joined = edges.withColumn("r", F.expr(f"r div {MERGED_RANGES}").cast("int")).groupBy("r")
+        if ranges <= MERGED_RANGES:
+            return joined.applyInArrow(pairs, "a long, b long")
+        edges = joined.applyInArrow(lambda table: packed(table, merged(table)), "r int, edges binary, n long")
 
 
 def link_documents(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, rare: bool = False) -> DataFrame:

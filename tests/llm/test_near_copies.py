@@ -101,3 +101,15 @@ def test_long_texts_are_not_gathered_by_empty_parts():
         keys, owner = set_keys(np.concatenate(sets), np.array([len(one) for one in sets]), 12, percent)
         held = [set(keys[owner == i].tolist()) for i in range(4)]
         assert not any(held[i] & held[j] for i in range(4) for j in range(i))
+
+
+def test_edges_do_not_grow_with_the_ranges(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(400)]
+    base = [words[i] for i in rng.integers(0, 400, 300)]
+    rows = [(n, " ".join([*base, f"end{n}"])) for n in range(40)] + [(100 + n, " ".join(words[i] for i in rng.integers(0, 400, 60))) for n in range(20)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "encode(text, 'UTF-8') AS data").repartition(8)
+    # As many ranges as a million documents have: 200.
+    edges = [tuple(row) for row in candidate_edges(texts, 12, 1_000_000, 5, 80).collect()]
+    assert {max(edge) for edge in edges} >= set(range(1, 40)) and all(max(edge) < 100 for edge in edges)
+    assert len(edges) <= 8 * 40
