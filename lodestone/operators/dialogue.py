@@ -147,16 +147,18 @@ def suppress_repeats(requests: DataFrame, keys: list[str], ttl: int = fixed.REPE
     """STR-02 over a table: requests whose answer a request of the same key within ``ttl`` seconds already gave."""
     rows = requests.withColumn("repeat_key", F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256)).withColumn("at", F.unix_micros("ts"))
     span = ttl * 1_000_000
+    # Two results serve all rows.
+    computed, repeated = {"served": "computed"}, {"served": "repeated"}
 
     def step(run: pd.DataFrame, state: Any) -> tuple[list[dict[str, Any]], Any]:
         found = []
         for at in run["at"]:
             fresh = state is None or int(at) - state >= span
             state = int(at) if fresh else state
-            found.append({"served": "computed" if fresh else "repeated"})
+            found.append(computed if fresh else repeated)
         return found, state
 
-    return ordered_scan(rows, "repeat_key", ["at", "request_id"], step, text_result("served"), rows_per_chunk).drop("at", "repeat_key")
+    return ordered_scan(rows, "repeat_key", ["at", "request_id"], step, text_result("served"), rows_per_chunk, []).drop("at", "repeat_key")
 
 
 def session_gaps(requests: DataFrame, key: str, gap: int = fixed.SESSION_GAP_SECONDS, bucket_seconds: int = 86_400) -> DataFrame:
