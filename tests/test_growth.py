@@ -75,3 +75,13 @@ def test_a_walk_reads_its_own_columns_only(spark):
     rows = scan.ordered_scan(df, "k", ["at"], step, scan.text_result("n"), 10, []).collect()
     assert {(r["k"], r["at"]): r["n"] for r in rows} == {(str(i % 2), i): str(i // 2) for i in range(50)}
     assert all(r["wide"] == "x" * 100 for r in rows)
+
+
+def test_memory_names_are_marked_from_their_letters_on(spark):
+    texts = ["hbm3e", "xhbm4 hbm4", "(hbm4) hbm hbm33hbm4", "회사hbm4e1 hbmx hbm", "9hbm2 -hbm2", "hbmhbm3"]
+    rows = spark.createDataFrame([(t,) for t in texts], "s string").select("s", text.retrieval_tokens_of(F.col("s")).alias("got"))
+    plain = spark.createDataFrame([(re.sub("(?<![a-z0-9])(hbm[0-9][a-z0-9]*)", r"\1 hbm", t), t) for t in texts], "m string, s string")
+    want = {r["s"]: r["want"] for r in plain.select("s", F.regexp_extract_all("m", F.lit(text.fixed.RETRIEVAL_TOKEN), F.lit(0)).alias("want")).collect()}
+    assert {r["s"]: r["got"] for r in rows.collect()} == want
+    # No lookbehind at every character.
+    assert "(?<![a-z0-9])(hbm" not in rows._jdf.queryExecution().optimizedPlan().toString()
