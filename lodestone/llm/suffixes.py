@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ GROUP_BYTES = 6_000_000
 MOST_GROUPS = 32_768
 # Segments of one seed that a task compares; the windows of a seed with more are dealt by their own hash.
 HOT_SEGMENTS = 40_000
+# Windows that are sorted and compared at once; only windows of one seed can be equal, so seeds are taken together up to this.
+COMPARED_WINDOWS = 200_000
 CHUNK_BYTES = 1_000_000
 LAST = 2**63 - 1
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
@@ -59,6 +62,8 @@ class Segments:
                     end += 1
                 found.append(self._chunk(texts[at:end], at))
                 at = end
+        # The tables of powers take 32 bytes for each byte of a chunk; nothing after this needs them.
+        del self._powers
         parts = list(zip(*found, strict=True)) if found else [[]] * 5
         kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int64)
         self.seed, self.name, self.text, self.start, self.windows = (
@@ -180,6 +185,26 @@ def previous_factors(windows: np.ndarray, doc: np.ndarray, least: int) -> np.nda
     return result
 
 
+def seed_blocks(seeds: np.ndarray, sizes: np.ndarray, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of sorted ``seeds``, each of whole seeds, with about ``most`` windows or those of one seed; ``sizes`` counts the windows of each entry."""
+    edges = np.append(np.flatnonzero(np.append(True, seeds[1:] != seeds[:-1])), len(seeds))
+    held = np.append(0, np.cumsum(sizes))
+    begin = 0
+    for edge, after in zip(edges[1:], [*edges[2:], None], strict=True):
+        if after is None or held[after] - held[begin] > (COMPARED_WINDOWS if most is None else most):
+            yield begin, int(edge)
+            begin = int(edge)
+
+
+def repeated(cut: list[bytes], size: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For each of the ``size`` windows of every piece of ``cut``: whether a smaller document has it as well."""
+    data = np.frombuffer(b"".join(cut), np.uint8)
+    begins = np.cumsum(size + LENGTH - 1) - (size + LENGTH - 1)
+    starts = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begins, size)
+    windows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[starts]
+    return previous_factors(windows, np.repeat(docs, size), LENGTH) >= LENGTH
+
+
 def dealt(documents: DataFrame, key: str, text: str, groups: int) -> DataFrame:
     """__g, __doc (null keys last), __data and all columns in __rest; rows of one key, or of none, lie in many groups."""
     return documents.select(
@@ -305,15 +330,14 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
         })
 
     def compare(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table.column("seed")))
         cut = table.column("data").to_pylist()
         size = np.array([len(data) - LENGTH + 1 for data in cut])
-        data = np.frombuffer(b"".join(cut), np.uint8)
-        begins = np.cumsum(size + LENGTH - 1) - (size + LENGTH - 1)
         first = np.cumsum(size) - size
-        starts = np.arange(size.sum()) - np.repeat(first, size) + np.repeat(begins, size)
-        docs = table.column("doc").to_numpy()
-        windows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[starts]
-        flagged = (previous_factors(windows, np.repeat(docs, size), LENGTH) >= LENGTH).astype(np.uint8)
+        docs, own = table.column("doc").to_numpy(), table.column("seed").to_numpy()
+        flagged = np.zeros(int(size.sum()), np.uint8)
+        for begin, end in seed_blocks(own, size):
+            flagged[first[begin] : first[end - 1] + size[end - 1]] = repeated(cut[begin:end], size[begin:end], docs[begin:end])
         hit = np.flatnonzero(np.add.reduceat(flagged, first, dtype=np.int64))
         g = table.column("g").to_numpy()
         names, seeds = (table.column(column).to_numpy().view(np.uint64) for column in ("name", "seed"))
@@ -366,8 +390,7 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
         removed = np.cumsum(change, dtype=np.int32, out=change)[:total] > 0
         edges = np.flatnonzero(removed[1:] > removed[:-1]) + 1 if total else np.zeros(0, np.int64)
         edges = np.append(0, edges) if total and removed[0] else edges
-        lost = np.cumsum(removed, dtype=np.int64)
-        n_removed = lost[bases + sizes] - lost[bases] + removed[bases]
+        n_removed = np.array([np.count_nonzero(removed[base : base + size]) for base, size in zip(bases, sizes, strict=True)], dtype=np.int64)
         n_spans = np.searchsorted(edges, bases + sizes) - np.searchsorted(edges, bases)
         left = [
             np.frombuffer(data, np.uint8)[~removed[base : base + len(data)]].tobytes() if n else data

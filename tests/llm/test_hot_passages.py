@@ -42,3 +42,20 @@ def test_no_seed_keeps_many_segments():
 def test_rows_without_id_lie_in_many_groups(make_documents):
     frame = make_documents([(None, prose(i, 20)) for i in range(60)])
     assert suffixes.dealt(frame, "doc_id", "text", 8).select("__g").distinct().count() > 4
+
+
+def test_windows_are_compared_seed_by_seed():
+    seeds, sizes = np.array([1, 1, 2, 3, 3, 3, 9]), np.array([5, 5, 4, 30, 30, 30, 1])
+    blocks = list(suffixes.seed_blocks(seeds, sizes, 20))
+    # Whole seeds, at most 20 windows together unless one seed alone has more.
+    assert blocks == [(0, 3), (3, 6), (6, 7)]
+    text = bytes(range(65, 91)) * 3
+    pieces, docs = [text[:60], text[:55], text[1:60]], np.array([7, 3, 5])
+    size = np.array([len(piece) - 49 for piece in pieces])
+    windows = [(piece[i : i + 50], doc) for piece, doc in zip(pieces, docs, strict=True) for i in range(len(piece) - 49)]
+    expected = [any(other == window and less < doc for other, less in windows) for window, doc in windows]
+    assert suffixes.repeated(pieces, size, docs).tolist() == expected and any(expected) and not all(expected)
+
+
+def test_powers_do_not_outlive_the_cut():
+    assert "_powers" not in vars(suffixes.Segments([b"x" * 200]))
