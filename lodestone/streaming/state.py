@@ -1,7 +1,8 @@
 """Stateful request streams: admission, repeat suppression and session exchanges.
 
 State per key is small (admitted times of five minutes, one timestamp, four exchanges) and expires
-by event time. Each micro-batch sorts the rows of a key before applying them. A row that lies before
+by event time. Keys are dealt to buckets, and a bucket's rows and states pass Python in one call, not key
+by key. Each micro-batch sorts the rows of a key before applying them. A row that lies before
 one already applied is marked ``late``, one behind the watermark is missing; ``run_in_order`` of the
 flows computes the keys of both anew with the ``_again`` functions.
 """
@@ -9,7 +10,7 @@ flows computes the keys of both anew with the ``_again`` functions.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -23,21 +24,50 @@ from lodestone.operators import dialogue
 from lodestone.operators.scan import ordered_scan, text_result
 
 STATE = "payload string"
+# Calls into Python of a micro-batch. Keys are dealt to these by hash, so that a call serves many small keys; a key stays in one.
+BUCKETS = 2_048
 
+# What a row of a key gives: the key's payload (null: none yet) and the row's values -> the new payload, the results, and the time in ms after which the payload tells nothing.
+RowStep = Callable[..., tuple[Any, tuple, int]]
 
-def _load(state: GroupState, default: Any) -> Any:
-    return json.loads(state.get[0]) if state.exists else default
 
+def _by_key(rows: DataFrame, key: str, reads: list[str], result: str, step: RowStep) -> DataFrame:
+    """``step`` over the rows of every key in the order of ``at`` and ``request_id``, with the columns ``reads``: key, request_id, ``result`` and late.
 
-def _rows(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    frames = list(pdfs)
-    return pd.concat(frames).sort_values(["at", "request_id"], kind="stable") if frames else pd.DataFrame()
+    The state of a bucket holds the payloads of its keys; those that tell nothing any more are left out.
+    """
 
-
-def _late(rows: pd.DataFrame, last: list[int] | None) -> tuple[list[bool], list[int]]:
-    """Which sorted rows lie before the last one of earlier micro-batches, and the new last one."""
-    places = [[int(at), int(request)] for at, request in zip(rows["at"], rows["request_id"], strict=True)]
-    return [last is not None and place < last for place in places], max(places[-1], last or places[-1])
+    def run(bucket: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = {name: entry for name, *entry in json.loads(state.get[0])} if state.exists else {}
+        frames = list(pdfs)
+        if not frames:
+            return
+        columns = {name: [value for frame in frames for value in frame[name].tolist()] for name in dict.fromkeys([key, "at", "request_id", *reads])}
+        order = sorted(range(len(columns["at"])), key=lambda i: (columns["at"][i], columns["request_id"][i]))
+        before = {name: held[name][1] for name in set(columns[key]) if name in held}
+        found, late = [], []
+        for i in order:
+            name, place = columns[key][i], [int(columns["at"][i]), int(columns["request_id"][i])]
+            end, last, payload = held.get(name, (0, None, None))
+            payload, shown, over = step(payload, *[columns[column][i] for column in reads])
+            held[name] = (max(end, over), place if last is None else max(last, place), payload)
+            found.append(shown)
+            # Before a row of an earlier micro-batch.
+            late.append(name in before and place < before[name])
+        now = state.getCurrentWatermarkMs()
+        state.update((json.dumps([(name, *entry) for name, entry in held.items() if entry[0] > now], separators=(",", ":")),))
+        state.setTimeoutTimestamp(max(now, *(entry[0] for entry in held.values())) + 1)
+        shown = dict(zip(results, zip(*found, strict=True), strict=True))
+        yield pd.DataFrame({key: [columns[key][i] for i in order], "request_id": [columns["request_id"][i] for i in order], **shown, "late": late})
+
+    results = [field.split()[0] for field in result.split(", ")]
+    dealt = rows.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+    return dealt.groupBy("__bucket").applyInPandasWithState(
+        run, f"{key} string, request_id long, {result}, late boolean", STATE, "append", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 def admission_stream(
@@ -48,31 +78,19 @@ def admission_stream(
     keyed = requests.withWatermark("ts", lateness).withColumn("at", F.unix_micros("ts")).withColumn("day", times.local_day("ts", zone).cast("string"))
     span = window * 1_000_000
 
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        recent, day, count, seen = _load(state, [[], None, 0, None])
-        rows, found = _rows(pdfs), []
-        late, seen = _late(rows, seen)
-        for at, today in zip(rows["at"], rows["day"], strict=True):
-            at = int(at)
-            if today != day:
-                day, count = today, 0
-            recent = [t for t in recent if t > at - span]
-            good = len(recent) < limit and count < daily
-            if good:
-                recent.append(at)
-                count += 1
-            found.append("admitted" if good else "refused")
-        state.update((json.dumps([recent, day, count, seen]),))
+    def step(payload: Any, at: int, today: str) -> tuple[Any, tuple, int]:
+        recent, day, count = payload or ([], None, 0)
+        at = int(at)
+        if today != day:
+            day, count = today, 0
+        recent = [t for t in recent if t > at - span]
+        good = len(recent) < limit and count < daily
+        if good:
+            recent, count = [*recent, at], count + 1
         # A day after the last request neither limit can depend on it any more.
-        state.setTimeoutTimestamp(max(int(rows["at"].max()) // 1000, state.getCurrentWatermarkMs()) + 86_400_000)
-        yield pd.DataFrame({"client": key[0], "request_id": rows["request_id"].to_numpy(), "decision": found, "late": late})
+        return (recent, day, count), ("admitted" if good else "refused",), at // 1000 + 86_400_000
 
-    return keyed.groupBy("client").applyInPandasWithState(
-        step, "client string, request_id long, decision string, late boolean", STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    return _by_key(keyed, "client", ["at", "day"], "decision string", step)
 
 
 def admission_again(rows: DataFrame) -> DataFrame:
@@ -84,24 +102,12 @@ def repeat_stream(requests: DataFrame, ttl: int = fixed.REPEAT_TTL_SECONDS, late
     keyed = requests.withWatermark("ts", lateness).withColumn("at", F.unix_micros("ts"))
     span = ttl * 1_000_000
 
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        first, seen = _load(state, [None, None])
-        rows, found = _rows(pdfs), []
-        late, seen = _late(rows, seen)
-        for at in rows["at"]:
-            fresh = first is None or int(at) - first >= span
-            first = int(at) if fresh else first
-            found.append("computed" if fresh else "repeated")
-        state.update((json.dumps([first, seen]),))
-        state.setTimeoutTimestamp(max(first // 1000 + ttl * 1000, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame({"repeat_key": key[0], "request_id": rows["request_id"].to_numpy(), "served": found, "late": late})
-
-    return keyed.groupBy("repeat_key").applyInPandasWithState(
-        step, "repeat_key string, request_id long, served string, late boolean", STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    def step(first: Any, at: int) -> tuple[Any, tuple, int]:
+        fresh = first is None or int(at) - first >= span
+        first = int(at) if fresh else first
+        return first, ("computed" if fresh else "repeated",), first // 1000 + ttl * 1000
+
+    return _by_key(keyed, "repeat_key", ["at"], "served string", step)
 
 
 def repeat_again(rows: DataFrame) -> DataFrame:
@@ -114,28 +120,14 @@ def exchange_stream(exchanges: DataFrame, keep: int = fixed.KEPT_EXCHANGES, gap:
     keyed = exchanges.withWatermark("ts", lateness).withColumn("at", F.unix_micros("ts"))
     span = gap * 1_000_000
 
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, revision, kept, seen = _load(state, [None, 0, [], None])
-        rows, found = _rows(pdfs), []
-        late, seen = _late(rows, seen)
-        for at, request in zip(rows["at"], rows["request_id"], strict=True):
-            if last is not None and int(at) - last >= span:
-                revision, kept = 0, []
-            revision, kept, last = revision + 1, [*kept, int(request)][-keep:], int(at)
-            found.append((int(request), revision, ",".join(map(str, kept))))
-        state.update((json.dumps([last, revision, kept, seen]),))
-        state.setTimeoutTimestamp(max(last // 1000 + gap * 1000, state.getCurrentWatermarkMs()) + 1)
-        frame = pd.DataFrame(found, columns=["request_id", "revision", "kept"])
-        frame.insert(0, "session_id", key[0])
-        frame["late"] = late
-        yield frame
-
-    return keyed.groupBy("session_id").applyInPandasWithState(
-        step, "session_id string, request_id long, revision int, kept string, late boolean", STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    def step(payload: Any, at: int, request: int) -> tuple[Any, tuple, int]:
+        last, revision, kept = payload or (None, 0, [])
+        if last is not None and int(at) - last >= span:
+            revision, kept = 0, []
+        revision, kept, last = revision + 1, [*kept, int(request)][-keep:], int(at)
+        return (last, revision, kept), (revision, ",".join(map(str, kept))), last // 1000 + gap * 1000
+
+    return _by_key(keyed, "session_id", ["at", "request_id"], "revision int, kept string", step)
 
 
 def exchange_again(rows: DataFrame, keep: int = fixed.KEPT_EXCHANGES, gap: int = fixed.SESSION_GAP_SECONDS) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.plans import request_queries as plans
+from lodestone.streaming import state
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="shared tables are absent")
@@ -55,3 +56,17 @@ def test_rates(spark, shuffled):
         F.count(F.lit(1)), F.count_if(F.col("event_type") == "error"), F.round(F.max("value"), 2)
     )
     assert rows(plans.observation_rates(spark, shuffled)) == rows(events.withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm")))
+
+
+def test_keys_share_state_rows(spark, tmp_path, monkeypatch):
+    # A call into Python, and a state row, for each bucket and not for each key.
+    monkeypatch.setattr(state, "BUCKETS", 4)
+    rows_of = [(f"k{i % 300}", i, f"2024-01-01 00:{i // 60 % 60:02d}:{i % 60:02d}") for i in range(1500)]
+    table = spark.createDataFrame(rows_of, "repeat_key string, request_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    table.write.parquet(f"{tmp_path}/rows")
+    stream = spark.readStream.schema(table.schema).parquet(f"{tmp_path}/rows")
+    query = state.repeat_stream(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert all(sum(op["numRowsTotal"] for op in progress["stateOperators"]) <= 4 for progress in query.recentProgress)
+    streamed = spark.read.parquet(f"{tmp_path}/out").select("repeat_key", "request_id", "served")
+    assert rows(streamed) == rows(state.repeat_again(table))
