@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone import fixed_values as fixed
-from lodestone.functions.text import ColumnLike, alternation, as_column, compose, fold, quote, word_array
+from lodestone.functions.text import ColumnLike, alternation, as_column, compose, fold, let, quote, word_array
 from lodestone.operators.mentions import containing
 from lodestone.operators.skew import hinted_join, is_small, spread_join
 
@@ -43,7 +43,9 @@ def resolve(queries: DataFrame, lookup: DataFrame, ambiguous: Sequence[str] = ()
     """
     folded_ambiguous, folded_unsupported = ([word.casefold() for word in words] for words in (ambiguous, unsupported))
     keyed = queries.withColumn("lookup_key", fold(text))
-    found = hinted_join(keyed, best_match(lookup), ["lookup_key"], is_small(lookup), "left")
+    # One row a key: nothing to repeat by salts. Adaptive execution splits a key that many texts ask for.
+    best = best_match(lookup)
+    found = keyed.join(F.broadcast(best) if is_small(lookup) else best.hint("merge"), "lookup_key", "left")
     key = F.col("lookup_key")
     status = (
         F.when(F.col("match").isNotNull(), F.lit("resolved"))
@@ -65,22 +67,26 @@ def strip_punctuation(text: Column) -> Column:
 def candidate_spans(question: ColumnLike, max_width: int = 4, hints: Sequence[str] | None = None) -> Column:
     """Spans of one to four words worth resolving: struct of text, start and end (0-based offsets)."""
     hints = word_array(fixed.CANDIDATE_ENGLISH_HINTS if hints is None else hints)
-    words = F.split(as_column(question), " ")
-    ends = F.transform(words, lambda word, i: F.length(F.array_join(F.slice(words, F.lit(1), i + 1), " ")))
     particle = f"^(.+?)(?:{'|'.join(fixed.CANDIDATE_PARTICLES)})$"
 
     def clean(raw: Column) -> Column:
         bare = strip_punctuation(F.trim(raw))
         return strip_punctuation(F.trim(F.regexp_replace(bare, particle, "$1")))
 
-    def spans(width: Column) -> Column:
-        starts = F.when(F.size(words) >= width, F.sequence(F.lit(1), F.size(words) - width + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda at: F.struct(
-            clean(F.array_join(F.slice(words, at, width), " ")).alias("text"),
-            (F.get(ends, at - 1) - F.length(F.get(words, at - 1))).alias("start"), width.alias("width"),
-        ))
+    def every(words: Column, ends: Column) -> Column:
+        def spans(width: Column) -> Column:
+            starts = F.when(F.size(words) >= width, F.sequence(F.lit(1), F.size(words) - width + 1)).otherwise(F.array().cast("array<int>"))
+            return F.transform(starts, lambda at: F.struct(
+                clean(F.array_join(F.slice(words, at, width), " ")).alias("text"),
+                (F.get(ends, at - 1) - F.length(F.get(words, at - 1))).alias("start"), width.alias("width"),
+            ))
 
-    every = F.flatten(F.transform(F.array(*[F.lit(width) for width in range(max_width, 0, -1)]), spans))
+        return F.flatten(F.transform(F.array(*[F.lit(width) for width in range(max_width, 0, -1)]), spans))
+
+    def ends_of(words: Column) -> Column:
+        # Each word ends its own length after the blank behind the one before; the first entry is dropped.
+        grown = F.aggregate(words, F.array(F.lit(-1)), lambda held, word: F.concat(held, F.array(F.element_at(held, F.lit(-1)) + F.length(word) + 1)))
+        return F.slice(grown, F.lit(2), F.size(words))
 
     def worthwhile(span: Column) -> Column:
         text, parts = span["text"], F.split(span["text"], " ")
@@ -93,7 +99,9 @@ def candidate_spans(question: ColumnLike, max_width: int = 4, hints: Sequence[st
             )
         )
 
-    return F.array_distinct(F.transform(F.filter(every, worthwhile), lambda s: F.struct(
+    # Words and their ends are worked out once a question: an expression inside a lambda is evaluated anew for every span.
+    found = let(F.split(as_column(question), " "), lambda words: let(ends_of(words), lambda ends: F.filter(every(words, ends), worthwhile)))
+    return F.array_distinct(F.transform(found, lambda s: F.struct(
         s["text"].alias("text"), s["start"].alias("start"), (s["start"] + F.length(s["text"])).alias("end")
     )))
 

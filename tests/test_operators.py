@@ -292,3 +292,12 @@ def test_event_relevance_reads_the_whole_body(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["evidence_id"]: r["relevant"] for r in all_queries()["flt_15_query_event_relevance"].build(spark, str(tmp_path)).collect()}
     assert got == {"evidence:doc:0": False, "evidence:doc:1": True, "evidence:doc:2": False}
+
+
+def test_spans_of_a_question_are_worked_out_once(spark):
+    lookup = spark.createDataFrame([("S1", "000123", "name", 2)], "security_id string, lookup_key string, kind string, priority int")
+    asked = spark.createDataFrame([(1, "tell me about (000123) now"), (2, None), (3, ""), (4, " two  blanks "), (5, " ".join(["000123"] * 40))], "request_id long, question string")
+    found = resolve.extract_securities(asked, lookup, hints=["acct"])
+    # The words of a question and the parts of a span are split; the plan does not repeat them for filters, ends or places.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 4
+    assert {r["request_id"]: r["security_id"] for r in found.collect()} == {1: "S1", 2: None, 3: None, 4: None, 5: "S1"}
