@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,10 +50,10 @@ def follow_up_plans(turns: DataFrame, rows_per_chunk: int = 100_000) -> DataFram
     """
     about_security = {name for name, (_, _, security) in fixed.INTENT_MATRIX.items() if security}
 
-    def step(run: pd.DataFrame, state: Any) -> tuple[list[dict[str, Any]], Any]:
+    def step(run: list[Any], state: Any) -> tuple[list[dict[str, Any]], Any]:
         security, intent, start, end = state or [None] * 4
         found = []
-        for turn in run.astype(object).where(run.notna(), None).itertuples(index=False):
+        for turn in run:
             taken = intent if turn.inherits and intent in about_security else turn.own_intent
             scoped = taken in about_security
             subject = turn.security_id or (security if scoped else None)
@@ -78,7 +77,7 @@ def follow_up_plans(turns: DataFrame, rows_per_chunk: int = 100_000) -> DataFram
 
     result = text_result("plan_intent", "plan_security", "plan_start", "plan_end", "plan_clarify")
     facts = turn_facts(turns)
-    planned = ordered_scan(facts, "session_id", ["turn"], step, result, rows_per_chunk)
+    planned = ordered_scan(facts, "session_id", ["turn"], step, result, rows_per_chunk, tuples=True)
     return planned.drop("own_intent", "fallback", "shows_period", "inherits")
 
 
@@ -98,12 +97,12 @@ def admission(
     )
     span = window * 1_000_000
 
-    def step(run: pd.DataFrame, state: Any) -> tuple[list[dict[str, Any]], Any]:
+    def step(run: list[Any], state: Any) -> tuple[list[dict[str, Any]], Any]:
         state = state or {"times": [], "day": None, "count": 0}
         recent, day, count = list(state["times"]), state["day"], state["count"]
         found = []
-        for at, today, closed in zip(run["at"], run["day"], run["closed"] if gated else [False] * len(run), strict=True):
-            at = int(at)
+        for row in run:
+            at, today, closed = int(row.at), row.day, gated and row.closed
             if today != day:
                 day, count = today, 0
             recent = [t for t in recent if t > at - span]
@@ -114,7 +113,7 @@ def admission(
             found.append({"decision": "admitted" if good else "refused"})
         return found, {"times": recent, "day": day, "count": count}
 
-    return ordered_scan(rows, client, ["at", "request_id"], step, text_result("decision"), rows_per_chunk).drop("at")
+    return ordered_scan(rows, client, ["at", "request_id"], step, text_result("decision"), rows_per_chunk, tuples=True).drop("at")
 
 
 def admission_within_global_limit(
@@ -150,15 +149,15 @@ def suppress_repeats(requests: DataFrame, keys: list[str], ttl: int = fixed.REPE
     # Two results serve all rows.
     computed, repeated = {"served": "computed"}, {"served": "repeated"}
 
-    def step(run: pd.DataFrame, state: Any) -> tuple[list[dict[str, Any]], Any]:
+    def step(run: list[Any], state: Any) -> tuple[list[dict[str, Any]], Any]:
         found = []
-        for at in run["at"]:
-            fresh = state is None or int(at) - state >= span
-            state = int(at) if fresh else state
+        for row in run:
+            fresh = state is None or int(row.at) - state >= span
+            state = int(row.at) if fresh else state
             found.append(computed if fresh else repeated)
         return found, state
 
-    return ordered_scan(rows, "repeat_key", ["at", "request_id"], step, text_result("served"), rows_per_chunk, []).drop("at", "repeat_key")
+    return ordered_scan(rows, "repeat_key", ["at", "request_id"], step, text_result("served"), rows_per_chunk, [], tuples=True).drop("at", "repeat_key")
 
 
 def session_gaps(requests: DataFrame, key: str, gap: int = fixed.SESSION_GAP_SECONDS, bucket_seconds: int = 86_400) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 from typing import Any
 
 import pandas as pd
@@ -20,23 +22,31 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from lodestone.session import cut_lineage
 
-# One key's rows in order and its state before them -> one result per row and the state after.
-Step = Callable[[pd.DataFrame, Any], tuple[list[dict[str, Any]], Any]]
+# One key's rows in order (a frame, or a list of named tuples) and its state before them -> one result per row and the state after.
+Step = Callable[[Any, Any], tuple[list[dict[str, Any]], Any]]
 STATE_SCHEMA = "chunk int, first_key string, last_key string, incoming string, outgoing string"
 
 
-def _runs(rows: pd.DataFrame, key: str) -> Iterator[tuple[Any, pd.DataFrame]]:
+def _runs(rows: pd.DataFrame, key: str, tuples: bool) -> Iterator[tuple[Any, Any]]:
+    if tuples:
+        # Converted once a chunk: a frame a key costs milliseconds, whatever it holds.
+        plain = rows.astype(object).where(rows.notna(), None)
+        for value, run in groupby(plain.itertuples(index=False), itemgetter(rows.columns.get_loc(key))):
+            yield value, list(run)
+        return
     changes = (rows[key] != rows[key].shift()).cumsum()
     for _, run in rows.groupby(changes, sort=False):
         yield run[key].iloc[0], run
 
 
-def _play(rows: pd.DataFrame, key: str, order: list[str], step: Step, incoming: str | None) -> tuple[list[dict[str, Any]], str, str, Any]:
+def _play(
+    rows: pd.DataFrame, key: str, order: list[str], step: Step, incoming: str | None, tuples: bool = False
+) -> tuple[list[dict[str, Any]], str, str, Any]:
     rows = rows.sort_values([key, *order], kind="stable").reset_index(drop=True)
     results: list[dict[str, Any]] = []
     state = json.loads(incoming) if incoming else None
     first = last = None
-    for value, run in _runs(rows, key):
+    for value, run in _runs(rows, key, tuples):
         if first is None:
             first = value
         elif value != last:
@@ -48,12 +58,14 @@ def _play(rows: pd.DataFrame, key: str, order: list[str], step: Step, incoming:
 
 
 def ordered_scan(
-    df: DataFrame, key: str, order: list[str], step: Step, result: StructType, rows_per_chunk: int = 100_000, reads: list[str] | None = None
+    df: DataFrame, key: str, order: list[str], step: Step, result: StructType, rows_per_chunk: int = 100_000, reads: list[str] | None = None,
+    tuples: bool = False,
 ) -> DataFrame:
     """Run ``step`` along every key in order; returns the rows with the ``result`` columns added.
 
     ``reads`` names the columns that ``step`` looks at beside the key and the order (all, if None).
     Only these go through Python; the results are joined back by the row's place in the checkpoint.
+    With ``tuples`` a step gets named tuples (None for missing values), which many small keys need; else a frame.
     """
     session = df.sparkSession
     # Computed once; counting and range sampling read the checkpoint.
@@ -69,7 +81,7 @@ def ordered_scan(
         if frame.empty:
             return pd.DataFrame(columns=["chunk", "first_key", "last_key", "incoming", "outgoing"])
         incoming = assumed["incoming"].iloc[0] if len(assumed) else None
-        _, first, last, state = _play(frame, key, order, step, incoming)
+        _, first, last, state = _play(frame, key, order, step, incoming, tuples)
         outgoing = None if state is None else json.dumps(state)
         return pd.DataFrame([[int(frame["chunk"].iloc[0]), first, last, incoming, outgoing]],
                             columns=["chunk", "first_key", "last_key", "incoming", "outgoing"])
@@ -96,7 +108,7 @@ def ordered_scan(
             return pd.DataFrame(columns=["__place", *names])
         incoming = assumed["incoming"].iloc[0] if len(assumed) else None
         frame = frame.sort_values([key, *order], kind="stable").reset_index(drop=True)
-        found, _, _, _ = _play(frame, key, order, step, incoming)
+        found, _, _, _ = _play(frame, key, order, step, incoming, tuples)
         columns = {name: pd.Series([row[name] for row in found], dtype=object) for name in names}
         return pd.DataFrame({"__place": frame["__place"], **columns})
 

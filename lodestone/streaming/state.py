@@ -133,10 +133,11 @@ def exchange_stream(exchanges: DataFrame, keep: int = fixed.KEPT_EXCHANGES, gap:
 def exchange_again(rows: DataFrame, keep: int = fixed.KEPT_EXCHANGES, gap: int = fixed.SESSION_GAP_SECONDS) -> DataFrame:
     span = gap * 1_000_000
 
-    def step(run: pd.DataFrame, state: Any) -> tuple[list[dict[str, Any]], Any]:
+    def step(run: list[Any], state: Any) -> tuple[list[dict[str, Any]], Any]:
         last, revision, kept = state or [None, 0, []]
         found = []
-        for at, request in zip(run["at"], run["request_id"], strict=True):
+        for row in run:
+            at, request = row.at, row.request_id
             if last is not None and int(at) - last >= span:
                 revision, kept = 0, []
             revision, kept, last = revision + 1, [*kept, int(request)][-keep:], int(at)
@@ -144,5 +145,5 @@ def exchange_again(rows: DataFrame, keep: int = fixed.KEPT_EXCHANGES, gap: int =
         return found, [last, revision, kept]
 
     held = rows.select("session_id", "request_id", F.unix_micros("ts").alias("at"))
-    scanned = ordered_scan(held, "session_id", ["at", "request_id"], step, text_result("revision", "kept"))
+    scanned = ordered_scan(held, "session_id", ["at", "request_id"], step, text_result("revision", "kept"), tuples=True)
     return scanned.select("session_id", "request_id", F.col("revision").cast("int").alias("revision"), "kept")

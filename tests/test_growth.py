@@ -77,6 +77,23 @@ def test_a_walk_reads_its_own_columns_only(spark):
     assert all(r["wide"] == "x" * 100 for r in rows)
 
 
+def test_many_small_keys_pass_a_walk_as_rows(spark):
+    import time
+
+    def step(run, state):
+        assert isinstance(run, list), type(run)
+        return [{"n": f"{(state or 0) + i} {row.v}"} for i, row in enumerate(run)], (state or 0) + len(run)
+
+    df = spark.range(40).selectExpr("CASE WHEN id % 3 > 0 THEN id % 3 END AS k", "id AS at", "CASE WHEN id % 2 = 0 THEN cast(id AS string) END AS v")
+    rows = scan.ordered_scan(df, "k", ["at"], step, scan.text_result("n"), 7, tuples=True).collect()
+    assert {r["at"]: r["n"] for r in rows} == {i: f"{i // 3 if i % 3 == 0 else (i - i % 3) // 3} {i if i % 2 == 0 else None}" for i in range(40)}
+    frame = pd.DataFrame({"k": [str(n // 2) for n in range(60_000)], "at": range(60_000), "v": [None, "x"] * 30_000})
+    begun = time.process_time()
+    found, first, last, state = scan._play(frame, "k", ["at"], step, None, tuples=True)
+    # 30,000 keys; a frame for each takes more than ten seconds.
+    assert time.process_time() - begun < 5 and len(found) == 60_000 and (first, state) == ("0", 2)
+
+
 def test_memory_names_are_marked_from_their_letters_on(spark):
     texts = ["hbm3e", "xhbm4 hbm4", "(hbm4) hbm hbm33hbm4", "회사hbm4e1 hbmx hbm", "9hbm2 -hbm2", "hbmhbm3"]
     rows = spark.createDataFrame([(t,) for t in texts], "s string").select("s", text.retrieval_tokens_of(F.col("s")).alias("got"))
