@@ -247,6 +247,35 @@ def select_events(requests: DataFrame, clusters: DataFrame, members: DataFrame)
 PROBED_POSTINGS = 64
 
 
+def _link_weights(kind: str) -> tuple[int, Column]:
+    """What a shared term of any sort scores beside the 100 of a specific one, and what the background itself adds."""
+    return (1, F.lit(0)) if kind == "report" else (10, (F.col("link_basis") == "official_list_metadata").cast("int"))
+
+
+def _all_links(focus: DataFrame, backgrounds: DataFrame, kind: str, generic: Sequence[str], small: bool) -> DataFrame:
+    """JOI-15: every background that shares a specific term with a request, and the score.
+
+    Backgrounds of asked securities cross the network once; their shared terms are found, counted and
+    summed up in the task that holds them, so neither pairs nor topics are shuffled for each link.
+    """
+    weight, basis = _link_weights(kind)
+    terms = focus.select("request_id", "security_id", "as_of", "term", (~F.col("term").isin(generic)).cast("int").alias("__specific")).distinct()
+    latest = terms.groupBy("security_id").agg(F.max("as_of").alias("__latest"))
+    held = hinted_join(backgrounds, latest, ["security_id"], small).where(F.col("published_at") <= F.col("__latest")).select(
+        "security_id", "source_id", "published_at", basis.alias("__basis"), F.xxhash64("published_at", "publisher", "link_basis").alias("__key"), F.array_distinct("topics").alias("topics")
+    )
+    if small:
+        held = held.repartition("source_id")
+    # Rows of one source are told apart by number; equal links of them become one below.
+    held = held.withColumn("__copy", F.monotonically_increasing_id())
+    shared = hinted_join(held.withColumn("term", F.explode("topics")).drop("topics"), terms, ["security_id", "term"], small).where(F.col("published_at") <= F.col("as_of"))
+    counted = shared.groupBy("source_id", "__copy", "__key", "request_id", "as_of").agg(
+        F.sum("__specific").alias("__specific"), F.count(F.lit(1)).alias("__all"), F.max("__basis").alias("__basis")
+    )
+    score = F.col("__specific") * 100 + F.col("__all") * weight + F.col("__basis")
+    return counted.where(F.col("__specific") > 0).select("request_id", "source_id", "__key", score.alias("score")).distinct().drop("__key")
+
+
 def topic_links(
     focus: DataFrame, backgrounds: DataFrame, kind: str, limit: int | None, generic: Sequence[str] | None = None, small: bool | None = None,
 ) -> DataFrame:
@@ -259,9 +288,12 @@ def topic_links(
     rarest terms are scored first, which gives a score that its last place has at least. A background
     that reaches it shares so many specific terms that one of them is among all but the most frequent
     few; the lists of those few are never read. Scores are counted on the topics of what is left.
+    Without one, every shared term is a row that is counted where its background lies (``_all_links``).
     """
     generic = list(fixed.GENERIC_LINK_TOPICS if generic is None else generic)
     small = is_small(focus) if small is None else small
+    if limit is None:
+        return _all_links(focus, backgrounds, kind, generic, small)
     asked = focus.distinct().groupBy("request_id", "security_id", "as_of").agg(F.collect_set("term").alias("terms"))
     asked = cut_lineage(asked.withColumn("specific", F.filter("terms", lambda term: ~term.isin(generic))))
     row = ["source_id", "published_at", "publisher", "link_basis"]
@@ -273,7 +305,7 @@ def topic_links(
     )
     postings = cut_lineage(postings)
 
-    weight, basis = (1, F.lit(0)) if kind == "report" else (10, (F.col("link_basis") == "official_list_metadata").cast("int"))
+    weight, basis = _link_weights(kind)
     order = [F.col("score").desc(), F.col("published_at").desc(), *([F.col("publisher").desc()] if kind == "report" else []), F.col("source_id")]
 
     def scored(terms: DataFrame) -> DataFrame:
@@ -287,8 +319,6 @@ def topic_links(
         score = count("specific") * 100 + count("terms") * weight + basis
         return judged.select("request_id", *row, score.alias("score")).distinct()
 
-    if limit is None:
-        return scored(wanted).select("request_id", "source_id", "score")
     lists = postings.groupBy("security_id", "term").agg(F.count(F.lit(1)).alias("df"))
     rarest = Window.partitionBy("request_id").orderBy("df", "term")  # the terms of one question
     ordered = hinted_join(wanted, lists, ["security_id", "term"], small).withColumns({

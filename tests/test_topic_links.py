@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import re
 
 import pytest
 
@@ -66,3 +67,20 @@ def test_no_focus_or_backgrounds(spark):
     assert events.topic_links(asked.limit(0), backgrounds, "report", 3, GENERIC).count() == 0
     assert events.topic_links(asked, backgrounds.limit(0), "report", 3, GENERIC).count() == 0
     assert events.topic_links(asked.where("term IN ('the', 'of')"), backgrounds, "report", 3, GENERIC).count() == 0
+
+
+def test_all_links_are_counted_where_their_backgrounds_lie(spark):
+    back, focus = tables(2)
+    # The same row twice, and another row of the same source.
+    back += [back[0], (back[1][0], *back[1][1:3], back[1][3] - dt.timedelta(hours=1), *back[1][4:])]
+    backgrounds = spark.createDataFrame(back, "source_id string, security_id string, topics array<string>, published_at timestamp, publisher string, link_basis string")
+    asked = spark.createDataFrame(focus, "request_id int, security_id string, as_of timestamp, term string")
+    links = events.topic_links(asked, backgrounds, "report", None, GENERIC, True)
+    wanted = sorted(row[:3] for row in expected([row for n, row in enumerate(back) if n != len(back) - 2], focus, "report", 10**6))
+    assert sorted({tuple(row) for row in links.collect()}) == sorted(set(wanted))
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    # Backgrounds cross the network once, links never, and no link carries topics.
+    assert len([keys for keys in re.findall(r"hashpartitioning\(([^)]*)\)", plan.split("== Initial Plan ==")[-1]) if "source_id" in keys]) == 1, plan
+    assert "array_intersect" not in plan
+    spread = events.topic_links(asked, backgrounds, "report", None, GENERIC, False)
+    assert sorted(map(tuple, spread.collect())) == sorted(map(tuple, links.collect()))
