@@ -105,15 +105,23 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def dated_text(text: ColumnLike) -> Column:
+    """The text where it can hold a day or month that ``parse_period`` reads, else an empty one."""
+    value = as_column(text)
+    return F.when(~value.rlike(r"\d{4}(?:-\d{2}-\d{2}|\s*년)"), F.lit("")).otherwise(value)
+
+
 def parse_period(
-    text: ColumnLike, basis_day: ColumnLike, today: Sequence[str] | None = None, recent: Sequence[str] | None = None
+    text: ColumnLike, basis_day: ColumnLike, today: Sequence[str] | None = None, recent: Sequence[str] | None = None, dated: ColumnLike | None = None,
 ) -> Column:
     """DAT-04: struct of start, end and ``explicit`` (the text speaks about time, so inherit nothing).
 
     One ISO range, ISO day, Korean day, Korean month or "today" is read; two of them, or a
-    malformed one, give no period but still count as explicit.
+    malformed one, give no period but still count as explicit. ``dated`` may name a column that holds
+    ``dated_text``, which spares long texts without a day all patterns.
     """
-    value, basis = as_column(text), as_column(basis_day)
+    whole, basis = as_column(text), as_column(basis_day)
+    value = whole if dated is None else as_column(dated)
     today = fixed.PHRASES["today"] if today is None else today
     recent = fixed.PHRASES["recent"] if recent is None else recent
     iso = r"(?<!\d)\d{4}-\d{2}-\d{2}(?!\d)"
@@ -126,7 +134,7 @@ def parse_period(
     def any_of(words: Sequence[str]) -> Column:
         found = F.lit(False)
         for word in words:
-            found = found | value.contains(word)
+            found = found | whole.contains(word)
         return found
 
     ranges = _count(value, iso_range)

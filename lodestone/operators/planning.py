@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone import fixed_values as fixed
 from lodestone.functions import times
-from lodestone.functions.text import ColumnLike, as_column, bounded_contains, clean_entities_first, contains_any, fold
+from lodestone.functions.text import ColumnLike, as_column, bounded_contains, clean_entities_first, contains_any, fold, quote
 from lodestone.operators.policy import intent_table
 from lodestone.operators.skew import hinted_join, is_small
 
@@ -116,6 +116,12 @@ def feed_query(query: ColumnLike, name: ColumnLike, aliases: Sequence[str], clea
     return F.when(as_column(query).isNull(), as_column(name)).when(known, cleaned).otherwise(F.concat_ws(" ", as_column(name), cleaned))
 
 
+def consists_of(text: ColumnLike, words: Sequence[str], between: str) -> Column:
+    """The text is one of the words once all characters of the class ``between`` are left out; told at its beginning."""
+    spread = "|".join("".join(f"{quote(char)}{between}*" for char in word) for word in words)
+    return as_column(text).rlike(f"\\A{between}*(?:{spread})\\z")
+
+
 def question_features(
     questions: DataFrame, extraction: DataFrame, securities: DataFrame, lexicon: Lexicon | None = None, content: str = "[가-힣]",
     bounded: Sequence[str] | None = None, today: Sequence[str] | None = None, recent: Sequence[str] | None = None,
@@ -133,9 +139,9 @@ def question_features(
     remainder = F.aggregate(
         F.coalesce("names", F.array().cast("array<string>")), F.col("folded"), lambda text, name: F.replace(text, name, F.lit(" "))
     )
-    period = times.parse_period("folded", "basis_day", words["today"] if today is None else today, words["recent"] if recent is None else recent)
-    speaks_of_period = contains_any("folded", words["same_period"]) & F.col("folded").rlike(r"(?<!\d)\d{4}-\d{2}-\d{2}(?!\d)|(?<!\d)\d{4}\s*년\s*\d+\s*월")
-    rows = joined.withColumn("remainder", remainder).withColumn("period", period)
+    period = times.parse_period("folded", "basis_day", words["today"] if today is None else today, words["recent"] if recent is None else recent, "__dated")
+    speaks_of_period = contains_any("folded", words["same_period"]) & F.col("__dated").rlike(r"(?<!\d)\d{4}-\d{2}-\d{2}(?!\d)|(?<!\d)\d{4}\s*년\s*\d+\s*월")
+    rows = joined.withColumns({"remainder": remainder, "__dated": times.dated_text("folded")}).withColumn("period", period)
     intent = classify_intent("folded", words)
     return rows.select(
         "request_id", "question", "basis_day", "folded", "security_id", "multi_security", "unclear_security", intent.alias("rule_intent"),
@@ -144,7 +150,7 @@ def question_features(
         contains_any("folded", words["unsupported_market"]).alias("unsupported"),
         (F.col("security_id").isNotNull() & F.col("remainder").rlike(content)).alias("has_content"),
         (contains_any("folded", words["follow_up"]) | speaks_of_period).alias("follow_up"),
-        F.regexp_replace("remainder", r"[\s?!.,~]+", "").isin(fixed.SWITCH_REMAINDERS).alias("switch"),
+        consists_of("remainder", fixed.SWITCH_REMAINDERS, r"[\s?!.,~]").alias("switch"),
     )
 
 

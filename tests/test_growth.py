@@ -9,8 +9,9 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import functions as F
 
-from lodestone.functions import text
-from lodestone.operators import events, scan
+from lodestone import fixed_values as fixed
+from lodestone.functions import text, times
+from lodestone.operators import events, planning, scan
 
 ODD = [
     "plain words", " lead  and tail ", "tab\tand\nline\r\nbreak", "one two", "　wide　 ", "Straße ÄÖÜ é", "ﬁne ① ｆｕｌｌ", "한국어 회사", " a   b", "a b c", "x\u0085y",
@@ -102,3 +103,19 @@ def test_memory_names_are_marked_from_their_letters_on(spark):
     assert {r["s"]: r["got"] for r in rows.collect()} == want
     # No lookbehind at every character.
     assert "(?<![a-z0-9])(hbm" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_periods_are_looked_for_in_dated_texts_only(spark):
+    texts = [
+        "2026-07-01", "x 2026-07-01 ~ 2026-07-09 y", "2026-07-09~2026-07-01", "2026년 2월 실적", "2026  년 2월 3일", "2026-07-011", "12026-07-01", "2026년", "2026년 2월 3", "오늘", "오늘 2026-07-01",
+        "최근 오늘", "최근", "2026-7-1", "1년 2월", "", "no day", "2026-02-31", "2026년 13월", "2026-07-01 2026년 2월", None,
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "v string").withColumn("day", F.lit("2026-07-24").cast("date")).withColumn("d", times.dated_text("v"))
+    rows = df.select("v", "d", times.parse_period("v", "day").alias("plain"), times.parse_period("v", "day", dated="d").alias("quick")).collect()
+    assert [r["quick"] for r in rows] == [r["plain"] for r in rows]
+    assert {r["v"] for r in rows if r["d"] == ""} == {"오늘", "최근 오늘", "최근", "2026-7-1", "1년 2월", "", "no day"}
+    ends = ["은", " 는?", "쪽 은요!\n", "~도~", "도 요", "은은", "은 x", "", "?", "쪽", None]
+    found = spark.createDataFrame([(t,) for t in ends], "v string").select(
+        planning.consists_of("v", fixed.SWITCH_REMAINDERS, r"[\s?!.,~]").alias("a"), F.regexp_replace("v", r"[\s?!.,~]+", "").isin(fixed.SWITCH_REMAINDERS).alias("b")
+    ).collect()
+    assert [r["a"] for r in found] == [r["b"] for r in found] == [True] * 5 + [False] * 5 + [None]
