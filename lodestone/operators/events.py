@@ -276,8 +276,21 @@ def _all_links(focus: DataFrame, backgrounds: DataFrame, kind: str, generic: Seq
     return counted.where(F.col("__specific") > 0).select("request_id", "source_id", "__key", score.alias("score")).distinct().drop("__key")
 
 
+LINK_ROW = ["source_id", "published_at", "publisher", "link_basis"]
+
+
+def shared_topics(focus: DataFrame, backgrounds: DataFrame, small: bool) -> DataFrame:
+    """Backgrounds of asked securities with those topics alone that a request of their security names; the texts are read once."""
+    latest = focus.groupBy("security_id").agg(F.max("as_of").alias("__latest"))
+    asked = hinted_join(backgrounds, latest, ["security_id"], small).where(F.col("published_at") <= F.col("__latest"))
+    held = asked.select("security_id", *LINK_ROW, F.xxhash64("security_id", *LINK_ROW, "topics").alias("__row"), F.explode("topics").alias("term"))
+    met = hinted_join(held, focus.select("security_id", "term").distinct(), ["security_id", "term"], small, "left_semi")
+    return cut_lineage(met.groupBy("security_id", *LINK_ROW, "__row").agg(F.collect_set("term").alias("topics")))
+
+
 def topic_links(
     focus: DataFrame, backgrounds: DataFrame, kind: str, limit: int | None, generic: Sequence[str] | None = None, small: bool | None = None,
+    held: DataFrame | None = None,
 ) -> DataFrame:
     """JOI-15 / TOP-03 / TOP-04: best backgrounds per request by shared topics.
 
@@ -287,7 +300,8 @@ def topic_links(
     Only specific terms are joined on, rarest first. With a ``limit``, the backgrounds of each request's
     rarest terms are scored first, which gives a score that its last place has at least. A background
     that reaches it shares so many specific terms that one of them is among all but the most frequent
-    few; the lists of those few are never read. Scores are counted on the topics of what is left.
+    few; the lists of those few are never read. Scores are counted on the asked topics of what is left
+    (``held``: the ``shared_topics`` of both tables, where they are known).
     Without one, every shared term is a row that is counted where its background lies (``_all_links``).
     """
     generic = list(fixed.GENERIC_LINK_TOPICS if generic is None else generic)
@@ -296,14 +310,9 @@ def topic_links(
         return _all_links(focus, backgrounds, kind, generic, small)
     asked = focus.distinct().groupBy("request_id", "security_id", "as_of").agg(F.collect_set("term").alias("terms"))
     asked = cut_lineage(asked.withColumn("specific", F.filter("terms", lambda term: ~term.isin(generic))))
-    row = ["source_id", "published_at", "publisher", "link_basis"]
-    held = backgrounds.select("security_id", *row, F.array_distinct("topics").alias("topics")).withColumn("__row", F.xxhash64("security_id", *row, "topics"))
+    held = shared_topics(focus, backgrounds, small) if held is None else held
     wanted = asked.select("request_id", "security_id", "as_of", F.explode("specific").alias("term"))
-    postings = hinted_join(
-        held.select("security_id", "published_at", "__row", "source_id", F.explode("topics").alias("term")), wanted.select("security_id", "term").distinct(),
-        ["security_id", "term"], small, "left_semi",
-    )
-    postings = cut_lineage(postings)
+    postings = held.select("security_id", "published_at", "__row", "source_id", F.explode("topics").alias("term"))
 
     weight, basis = _link_weights(kind)
     order = [F.col("score").desc(), F.col("published_at").desc(), *([F.col("publisher").desc()] if kind == "report" else []), F.col("source_id")]
@@ -317,7 +326,7 @@ def topic_links(
         judged = hinted_join(full, asked.select("request_id", "terms", "specific"), ["request_id"], small)
         count = lambda name: F.size(F.array_intersect("topics", name)).cast("bigint")
         score = count("specific") * 100 + count("terms") * weight + basis
-        return judged.select("request_id", *row, score.alias("score")).distinct()
+        return judged.select("request_id", *LINK_ROW, score.alias("score")).distinct()
 
     lists = postings.groupBy("security_id", "term").agg(F.count(F.lit(1)).alias("df"))
     rarest = Window.partitionBy("request_id").orderBy("df", "term")  # the terms of one question
@@ -379,10 +388,12 @@ def compare_evidence(
     asked = selected.select("request_id").join(requests, "request_id").select(
         "request_id", "security_id", "as_of", F.explode("query_terms").alias("term")
     )
-    focus = event_terms.unionByName(asked).distinct()
+    # The focus is worked out once; one table of both kinds is read once.
+    focus = cut_lineage(event_terms.unionByName(asked).distinct())
     small = is_small(focus)
-    reports = topic_links(focus, perspectives, "report", fixed.PERSPECTIVE_LIMIT, generic, small)
-    filings = topic_links(focus, backgrounds, "disclosure", fixed.DISCLOSURE_LINK_LIMIT, generic, small)
+    held = shared_topics(focus, perspectives, small)
+    reports = topic_links(focus, perspectives, "report", fixed.PERSPECTIVE_LIMIT, generic, small, held)
+    filings = topic_links(focus, backgrounds, "disclosure", fixed.DISCLOSURE_LINK_LIMIT, generic, small, held if backgrounds is perspectives else None)
     counts = [
         reports.groupBy("request_id").agg(F.count(F.lit(1)).alias("perspectives")),
         filings.groupBy("request_id").agg(F.count(F.lit(1)).alias("disclosure_links")),

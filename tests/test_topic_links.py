@@ -84,3 +84,18 @@ def test_all_links_are_counted_where_their_backgrounds_lie(spark):
     assert "array_intersect" not in plan
     spread = events.topic_links(asked, backgrounds, "report", None, GENERIC, False)
     assert sorted(map(tuple, spread.collect())) == sorted(map(tuple, links.collect()))
+
+
+def test_backgrounds_keep_asked_topics_only(spark):
+    back, focus = tables(3)
+    back.append(back[0])
+    backgrounds = spark.createDataFrame(back, "source_id string, security_id string, topics array<string>, published_at timestamp, publisher string, link_basis string")
+    asked = spark.createDataFrame([row for row in focus if row[1] == "A" and row[0] % 5 == 0], "request_id int, security_id string, as_of timestamp, term string")
+    named, latest = {row[3] for row in asked.collect()}, max(row[2] for row in asked.collect())
+    want = {(row[0], tuple(sorted(named & set(row[2])))) for row in back if row[1] == "A" and row[3] <= latest and named & set(row[2])}
+    got = events.shared_topics(asked, backgrounds, True)
+    assert sorted((row["source_id"], tuple(sorted(row["topics"]))) for row in got.collect()) == sorted(want)
+    assert sorted(map(tuple, events.shared_topics(asked, backgrounds, False).select("source_id", "__row").collect())) == sorted(map(tuple, got.select("source_id", "__row").collect()))
+    for kind in ("report", "disclosure"):
+        links = events.topic_links(asked, backgrounds, kind, 3, GENERIC, True, got)
+        assert {tuple(row) for row in links.collect()} == expected(back[:-1], [tuple(row) for row in asked.collect()], kind, 3)
