@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone import fixed_values as fixed
 from lodestone.functions import text, times
-from lodestone.operators import events, planning, scan
+from lodestone.operators import claims, events, planning, scan
 
 ODD = [
     "plain words", " lead  and tail ", "tab\tand\nline\r\nbreak", "one two", "　wide　 ", "Straße ÄÖÜ é", "ﬁne ① ｆｕｌｌ", "한국어 회사", " a   b", "a b c", "x\u0085y",
@@ -119,3 +119,23 @@ def test_periods_are_looked_for_in_dated_texts_only(spark):
         planning.consists_of("v", fixed.SWITCH_REMAINDERS, r"[\s?!.,~]").alias("a"), F.regexp_replace("v", r"[\s?!.,~]+", "").isin(fixed.SWITCH_REMAINDERS).alias("b")
     ).collect()
     assert [r["a"] for r in found] == [r["b"] for r in found] == [True] * 5 + [False] * 5 + [None]
+
+
+def test_unsafe_words_are_searched_before_their_patterns(spark):
+    texts = [
+        "you should hold it now", "buy", "stop-loss at 12", "take profit 5", "목표 가격 제시", "target  price of 9", "a guaranteed return", "확정 수익", "매수를 권장", "사세요", "plain", "반드시 상승", "손절 시점", None,
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    rows = df.select(claims.unsafe_flags("v").alias("quick"), claims.unsafe_flags("v", fixed.UNSAFE_ANSWER_PATTERNS).alias("plain"))
+    assert all(r["quick"] == r["plain"] for r in rows.collect())
+    assert "Contains(v" in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_suffixes_are_looked_for_from_hangul_letters_on(spark):
+    texts = ["매출은 abc", "x매출은", "매출은증가", "가매출은 9", "은", "매출에게서", "plain", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    suffixes = fixed.GROUNDING_PARTICLES
+    plain = F.regexp_replace("v", f"(?<![가-힣])([가-힣]{{2,}}?)(?:{text.alternation(suffixes)})(?![가-힣])", "$1")
+    rows = df.select(text.strip_suffix_once(F.col("v"), suffixes).alias("got"), plain.alias("want"))
+    assert all(r["got"] == r["want"] for r in rows.collect())
+    assert "(?=[가-힣])(?<!" in rows._jdf.queryExecution().optimizedPlan().toString()
