@@ -10,7 +10,9 @@ the rarest shingles instead, of which linked sets share one whatever passages th
 that divides light from heavy is the one at which the keys cost least.
 
 Keys give candidate groups, not pairs: lists are reduced to stars within a task and within a key
-range, and stars to groups. Within a group each distinct set scans the inverted lists of the sets
+range, and stars to groups. In a large corpus single keys that meet by chance, or for a passage, chain
+many documents to one group. Of groups too large for a task the documents are keyed once more, by the
+shingles that fewest documents of the group hold, until that divides them no further. Within a group each distinct set scans the inverted lists of the sets
 not reached yet, so every link between different texts is decided exactly and no pair is sent.
 """
 
@@ -22,11 +24,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import CHUNK_BYTES, chunks, joined_bytes, lower_ascii, utf8
+from lodestone.llm.common import CHUNK_BYTES, chunks, joined_bytes, lower_ascii, utf8, written
 from lodestone.llm.components import connected_components
 from lodestone.llm.sieve import caught, sieve, slot
 from lodestone.operators.skew import salted_join
@@ -39,6 +42,8 @@ PERCENT = 90
 BLOCK_SHINGLES = 1_500_000
 # A list entry is sorted and its set verified; a subset is sorted.
 LIST_COST = 4
+# Groups are keyed again while a round leaves at most this share of the shingles that splitting them would send once more.
+WORTH_ROUND = 0.75
 MOST_LIGHT = 40
 # Key entries of a task that are dealt out together.
 DEALT_ENTRIES = 1_000_000
@@ -170,15 +175,20 @@ def shingle_counts(texts: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
     return found
 
 
-def rare_keys(tokens: np.ndarray, counts: np.ndarray, sets: np.ndarray, rarity: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The rarest shingles of ``sets`` by ``rarity`` and hash, as many as make linked sets share one, for either class of sizes."""
+def rare_keys(tokens: np.ndarray, counts: np.ndarray, sets: np.ndarray, ranks: np.ndarray, percent: int, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest shingles of ``sets`` by ``ranks`` (of all tokens) and hash, as many as make linked sets share one, for either class of sizes.
+
+    Of these, those with a rank under ``least`` are left out.
+    """
     counts, first = counts[sets], (np.cumsum(counts) - counts)[sets]
     begin = np.cumsum(counts) - counts
     nth = np.arange(counts.sum()) - np.repeat(begin, counts)
-    own, place = tokens[nth + np.repeat(first, counts)], np.repeat(np.arange(len(sets)), counts)
-    # Tokens ascend within a set and the sort is stable, so that all sets order them alike.
-    order = np.argsort((place << 32) | rarity[(own & np.uint64(len(rarity) - 1)).astype(np.int64)], kind="stable")
+    at, place = nth + np.repeat(first, counts), np.repeat(np.arange(len(sets)), counts)
+    own = tokens[at]
+    # Tokens stand in one hash's order within a set and the sort is stable, so that all sets (of a group) order them alike.
+    order = np.argsort((place << 32) | ranks[at], kind="stable")
     few = order[nth < np.repeat(counts - -(-percent * counts // 100) + 1, counts)]
+    few = few[ranks[at[few]] >= least]
     cls = np.searchsorted(size_classes(int(counts.max(initial=1)), percent), counts, side="right") - 1
     with np.errstate(over="ignore"):
         keys = [_mix(own[few] ^ _mix((cls[place[few]] + above + 1).astype(np.uint64))) for above in (0, 1)]
@@ -186,12 +196,14 @@ def rare_keys(tokens: np.ndarray, counts: np.ndarray, sets: np.ndarray, rarity:
 
 
 def set_keys(
-    tokens: np.ndarray, counts: np.ndarray, light: int, percent: int = PERCENT, rarity: np.ndarray | None = None
+    tokens: np.ndarray, counts: np.ndarray, light: int, percent: int = PERCENT, rarity: np.ndarray | None = None, holders: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all sets and the set each belongs to. Linked sets that differ have one key in common at least.
 
-    Heavy sets are keyed by their rarest shingles where ``rarity`` counts them, else by parts.
+    Heavy sets are keyed by their rarest shingles where ``rarity`` counts them, or ``holders`` tells for each
+    of ``tokens`` how many sets hold it at most (one set alone: no key), else by parts.
     """
+    ranks = holders if rarity is None else rarity[(tokens & np.uint64(len(rarity) - 1)).astype(np.int64)]
     first = np.cumsum(counts) - counts
     keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     with np.errstate(over="ignore"):
@@ -205,11 +217,11 @@ def set_keys(
                 owners.append(np.full(len(gone), i))
         firsts = size_classes(int(counts.max(initial=1)), percent)
         heavy = np.flatnonzero(counts >= max(least_linked(percent), least_common(light + 1, percent)))
-        if rarity is not None:
-            key, owner = rare_keys(tokens, counts, heavy, rarity, percent)
+        if ranks is not None:
+            key, owner = rare_keys(tokens, counts, heavy, ranks, percent, 0 if holders is None else 2)
             keys.append(key)
             owners.append(owner)
-        for above in (0, 1) if rarity is None else ():
+        for above in (0, 1) if ranks is None else ():
             cls = np.searchsorted(firsts, counts[heavy], side="right") - 1 + above
             pending, need, seats = heavy, parts_of(firsts, cls, percent), seats_of(firsts, cls, percent)
             for number in range(ROUNDS):
@@ -301,28 +313,7 @@ def candidate_edges(
     texts: DataFrame, light: int, rows: int, shingle: int = SHINGLE, percent: int = PERCENT, rarity: np.ndarray | None = None
 ) -> DataFrame:
     """Edges (a, b) that join all documents with a common key; ``texts`` has doc_id and data (binary), ``rows`` of them."""
-    # A document is named once in each range that holds one of its keys, so ranges are few; at 20,000
-    # documents one holds some two million entries at 90, and parts are more at a lower percentage.
-    ranges = dealt_ranges = int(min(65_536, max(8, rows * (100 - percent) ** 2 // 2_000_000)))
-
-    def dealt_out(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((node, key))
-        key, node = key[order], node[order]
-        fresh = np.ones(len(key), dtype=bool)
-        fresh[1:] = key[1:] != key[:-1]
-        # Of a key's entries here only the smallest is sent to the others'; the rest hang on it.
-        a, b = stars(np.cumsum(fresh), node)
-        key, node = key[fresh], node[fresh]
-        bucket = (key >> np.uint64(33)) % np.uint64(dealt_ranges)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(dealt_ranges + 1, dtype=np.uint64))
-        kept = [(r, order[cuts[r] : cuts[r + 1]]) for r in range(dealt_ranges) if cuts[r] < cuts[r + 1]]
-        ready = [int(bucket[0])] if len(a) else []
-        return pa.RecordBatch.from_arrays([
-            pa.array([r for r, _ in kept] + ready, pa.int32()),
-            pa.array([_planes(key[at]) for _, at in kept] + [None] * len(ready), pa.binary()),
-            pa.array([_planes(node[at]) for _, at in kept] + [_planes(np.concatenate([a, b]))] * len(ready), pa.binary()),
-        ], names=["r", "keys", "docs"])
+    ranges = key_ranges(rows, percent)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -330,10 +321,46 @@ def candidate_edges(
             key, owner = set_keys(*shingle_sets(batch.column("data").to_pylist(), shingle), light, percent, rarity)
             held.append((key, batch.column("doc_id").to_numpy()[owner]))
             if sum(len(part) for part, _ in held) > DEALT_ENTRIES:
-                yield dealt_out(*map(np.concatenate, zip(*held, strict=True)))
+                yield dealt_out(*map(np.concatenate, zip(*held, strict=True)), ranges)
                 held = []
         if held:
-            yield dealt_out(*map(np.concatenate, zip(*held, strict=True)))
+            yield dealt_out(*map(np.concatenate, zip(*held, strict=True)), ranges)
+
+    return met_edges(texts.mapInArrow(deal, DEALT), ranges)
+
+
+def key_ranges(rows: int, percent: int) -> int:
+    # A document is named once in each range that holds one of its keys, so ranges are few; at 20,000
+    # documents one holds some two million entries at 90, and parts are more at a lower percentage.
+    return int(min(65_536, max(8, rows * (100 - percent) ** 2 // 2_000_000)))
+
+
+DEALT = "r int, keys binary, docs binary"
+
+
+def dealt_out(key: np.ndarray, node: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """Entries of keys by range (of ``ranges``), and without keys the edges that stars of equal ones give here already."""
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    fresh = np.ones(len(key), dtype=bool)
+    fresh[1:] = key[1:] != key[:-1]
+    # Of a key's entries here only the smallest is sent to the others'; the rest hang on it.
+    a, b = stars(np.cumsum(fresh), node)
+    key, node = key[fresh], node[fresh]
+    bucket = (key >> np.uint64(33)) % np.uint64(ranges)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(ranges + 1, dtype=np.uint64))
+    kept = [(r, order[cuts[r] : cuts[r + 1]]) for r in range(ranges) if cuts[r] < cuts[r + 1]]
+    ready = [int(bucket[0])] if len(a) else []
+    return pa.RecordBatch.from_arrays([
+        pa.array([r for r, _ in kept] + ready, pa.int32()),
+        pa.array([_planes(key[at]) for _, at in kept] + [None] * len(ready), pa.binary()),
+        pa.array([_planes(node[at]) for _, at in kept] + [_planes(np.concatenate([a, b]))] * len(ready), pa.binary()),
+    ], names=["r", "keys", "docs"])
+
+
+def met_edges(dealt: DataFrame, ranges: int) -> DataFrame:
+    """Edges (a, b) that join all documents with a common key, from what ``dealt_out`` deals."""
 
     def meet(table: pa.Table) -> pa.Table:
         columns, ready, size = (table.column("keys"), table.column("docs")), [], 0
@@ -371,7 +398,7 @@ def candidate_edges(
         a, b = merged(table)
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
-    edges = texts.mapInArrow(deal, "r int, keys binary, docs binary").groupBy("r").applyInArrow(meet, "r int, edges binary, n long")
+    edges = dealt.groupBy("r").applyInArrow(meet, "r int, edges binary, n long")
     while True:
         ranges = -(-ranges // MERGED_RANGES)
         joined = edges.withColumn("r", F.expr(f"r div {MERGED_RANGES}").cast("int")).groupBy("r")
@@ -380,6 +407,106 @@ def candidate_edges(
         edges = joined.applyInArrow(lambda table: packed(table, merged(table)), "r int, edges binary, n long")
 
 
+def packed_texts(texts: DataFrame, home: DataFrame) -> DataFrame:
+    """``home`` with the texts of its doc_id in ``texts`` (doc_id, data) as zstd frames; other texts cross no shuffle."""
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor()
+        for batch in batches:
+            batch = batch.filter(pa.array(caught(wanted, batch.column("slot").to_numpy())))
+            packed = pa.array([packer.compress(data) for data in batch.column("data").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), packed], names=["doc_id", "data"])
+
+    wanted = sieve(home, "doc_id")
+    packed = texts.where("doc_id IS NOT NULL").withColumn("slot", slot("doc_id")).mapInArrow(squeeze, "doc_id long, data binary")
+    return packed.join(home, "doc_id")
+
+
+def frame_cuts(frames: list[bytes]) -> list[int]:
+    """Where to cut zstd frames into runs of about ``CHUNK_BYTES`` of text."""
+    sizes = np.cumsum([zstandard.frame_content_size(data) for data in frames]) // CHUNK_BYTES
+    return [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(frames)] if frames else [0]
+
+
+def large_groups(grouped: DataFrame) -> DataFrame:
+    """Rows of groups with more shingles than one task verifies, and the blocks (``nb``) that they would be split into."""
+    volume = grouped.groupBy("grp").agg(F.sum("n_shingles").alias("volume")).where(F.col("volume") > BLOCK_SHINGLES)
+    # No more rows than all shingles hold blocks.
+    return grouped.join(F.broadcast(volume.select("grp", F.ceil(F.col("volume") / F.lit(BLOCK_SHINGLES)).alias("nb"))), "grp")
+
+
+def refined(grouped: DataFrame, texts: DataFrame, light: int, shingle: int, percent: int) -> DataFrame:
+    """``grouped`` (rep, n_shingles, grp) with its large groups divided, as far as keys can; linked documents stay together.
+
+    Their documents get candidates once more, by the shingles that fewest documents of the same group hold.
+    Here every shingle is counted by itself, for which the counters of the whole corpus are too few.
+    """
+    held, before = None, None
+    while True:
+        large = cut_lineage(large_groups(grouped))
+        rows, volume, again = large.agg(F.count(F.lit(1)), F.sum("n_shingles"), F.sum(F.col("n_shingles") * (F.col("nb") - 1))).first()
+        if not rows or before is not None and again > WORTH_ROUND * before:
+            return grouped
+        before = again
+        chunk = F.pmod(F.xxhash64("rep"), F.lit(-(-volume // BLOCK_SHINGLES))).cast("int").alias("chunk")
+        home = large.select(F.col("rep").alias("doc_id"), "grp", chunk)
+        found = packed_texts(texts, home) if held is None else held.select("doc_id", "data").join(home, "doc_id")
+        held = written(found.select("chunk", "grp", "doc_id", "data"), "large-groups")
+        finer = connected_components(group_edges(held, rows, volume, light, shingle, percent))
+        divided = large.join(finer.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n_shingles", F.coalesce("root", "rep").alias("grp"))
+        grouped = cut_lineage(grouped.join(large.select("rep"), "rep", "left_anti").unionByName(divided))
+
+
+def group_edges(texts: DataFrame, rows: int, volume: int, light: int, shingle: int, percent: int) -> DataFrame:
+    """Edges (a, b) that join all documents of one group with a common key; ``texts`` has chunk, grp, doc_id and data (zstd frames).
+
+    The shingles of a chunk go to ranges of hashes, where their holders are counted, and only the numbers come back.
+    Forty bits of a hash travel: a chance meeting makes a shingle less rare for all its holders, and loses no link.
+    """
+    ranges, counted = key_ranges(rows, percent), int(max(8, -(-volume // BLOCK_SHINGLES)))
+
+    def sets(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        table = table.take(pc.sort_indices(table.column("doc_id")))
+        frames, groups = table.column("data").to_pylist(), table.column("grp").to_numpy().astype(np.uint64)
+        cuts, unpack = frame_cuts(frames), zstandard.ZstdDecompressor().decompress
+        parts = [shingle_sets([unpack(data) for data in frames[start:end]], shingle) for start, end in zip(cuts, cuts[1:], strict=False)]
+        tokens, counts = map(np.concatenate, zip((np.zeros(0, np.uint64), np.zeros(0, np.int64)), *parts, strict=True))
+        # Equal shingles of different groups differ; those of one group keep their order.
+        with np.errstate(over="ignore"):
+            return table, _mix(tokens ^ np.repeat(_mix(groups + _BASE), counts)), counts
+
+    def by_range(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(tokens)
+        bounds = (np.arange(1, counted, dtype=np.uint64) * np.uint64(2**64 // counted)).astype(np.uint64)
+        return order, np.concatenate([[0], np.searchsorted(tokens[order], bounds), [len(tokens)]])
+
+    def offer(table: pa.Table) -> pa.Table:
+        table, tokens, _ = sets(table)
+        order, cuts = by_range(tokens)
+        kept = [r for r in range(counted) if cuts[r] < cuts[r + 1]]
+        steps = [np.diff(tokens[order[cuts[r] : cuts[r + 1]]] >> np.uint64(24), prepend=np.uint64(0)) for r in kept]
+        return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()] * len(kept), pa.int32()), "r": pa.array(kept, pa.int32()), "tokens": pa.array([_planes(part) for part in steps], pa.binary())})
+
+    def count(table: pa.Table) -> pa.Table:
+        parts = [np.cumsum(_unplaned(data), dtype=np.uint64) for data in table.column("tokens").to_pylist()]
+        _, place, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        numbers = np.split(n[place].astype(np.uint64), np.cumsum([len(part) for part in parts])[:-1])
+        return pa.table({"chunk": table.column("chunk"), "r": table.column("r"), "holders": pa.array([pa.compress(_planes(part), "zstd", asbytes=True) for part in numbers], pa.binary()), "n": pa.array([len(part) for part in parts], pa.int64())})
+
+    def deal(table: pa.Table, answers: pa.Table) -> pa.Table:
+        table, tokens, counts = sets(table)
+        answers = answers.take(pc.sort_indices(answers.column("r")))
+        holders = np.empty(len(tokens), np.int64)
+        told = [_unplaned(pa.decompress(data.as_py(), 8 * n.as_py(), "zstd", asbytes=True)) for data, n in zip(answers.column("holders"), answers.column("n"), strict=True)]
+        holders[by_range(tokens)[0]] = np.concatenate([np.zeros(0, np.uint64), *told]).astype(np.int64)
+        key, owner = set_keys(tokens, counts, light, percent, holders=holders)
+        return pa.Table.from_batches([dealt_out(key, table.column("doc_id").to_numpy()[owner], ranges)])
+
+    chunked = texts.groupBy("chunk")
+    answers = chunked.applyInArrow(offer, "chunk int, r int, tokens binary").groupBy("r").applyInArrow(count, "chunk int, r int, holders binary, n long")
+    return met_edges(chunked.cogroup(answers.groupBy("chunk")).applyInArrow(deal, DEALT), ranges)
+
+
 def link_documents(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, rare: bool = False) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``documents`` (doc_id, text), linked at ``percent`` (1 to 99).
 
@@ -418,6 +545,8 @@ def link_documents(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     distinct = stood.where("doc_id = rep").select("rep", "n_shingles")
     grouped = distinct.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n_shingles", F.coalesce("root", "rep").alias("grp"))
     grouped = cut_lineage(grouped)
+    if rare:
+        grouped = refined(grouped, texts, light, shingle, percent)
     volume = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("volume")).where("m > 1")
     blocks = F.ceil(F.col("volume") / F.lit(BLOCK_SHINGLES)).cast("int")
     placed = grouped.join(volume.select("grp", blocks.alias("nb")), "grp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
@@ -429,24 +558,14 @@ def link_documents(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     home = cut_lineage(seats)
     tasks = int(min(100_000, max(8, home.count() // 2_000)))
 
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Texts of candidate groups travel twice, to their documents' tasks and on to their groups'; both times as zstd frames.
-        packer = zstandard.ZstdCompressor()
-        for batch in batches:
-            batch = batch.filter(pa.array(caught(wanted, batch.column("slot").to_numpy())))
-            packed = pa.array([packer.compress(data) for data in batch.column("data").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), packed], names=["doc_id", "data"])
-
-    wanted = sieve(home, "doc_id")
-    packed = texts.where("doc_id IS NOT NULL").withColumn("slot", slot("doc_id")).mapInArrow(squeeze, "doc_id long, data binary")
-    rows = packed.join(home, "doc_id").select("task", "grp", "doc_id", "data")
+    # Texts of candidate groups travel twice, to their documents' tasks and on to their groups'; both times as zstd frames.
+    rows = packed_texts(texts, home).select("task", "grp", "doc_id", "data")
     rows = rows.repartition(tasks, "task").sortWithinPartitions("task", "grp", "doc_id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def decided(held: list[tuple[int, bytes]]) -> list[tuple[int, int]]:
             # Some texts at a time: the hashes of a byte take many times its room.
-            sizes = np.cumsum([zstandard.frame_content_size(data) for _, data in held]) // CHUNK_BYTES
-            cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(held)]
+            cuts = frame_cuts([data for _, data in held])
             unpack = zstandard.ZstdDecompressor().decompress
             sets = [shingle_sets([unpack(data) for _, data in held[start:end]], shingle) for start, end in zip(cuts, cuts[1:], strict=False)]
             tokens, counts = map(np.concatenate, zip(*sets, strict=True))
