@@ -96,9 +96,11 @@ def fresh_bm25(
     flags = documents.select("document_id", F.coalesce("is_withdrawn", F.lit(False)).alias("gone"), F.when(F.col("is_correction"), F.col("correction_of")).alias("replaces"))
     linked = link_documents(evidence.drop("title", "snippet"), documents)
     shown = F.filter(F.array("document_type", "report_type", "content_level"), lambda v: v.isNotNull() & (F.trim(v) != ""))
-    sound = reachable(linked).where(scope_match("security_id", "document_primary", F.lit(True))).join(flags, "document_id").where(
+    sound = cut_lineage(reachable(linked).where(scope_match("security_id", "document_primary", F.lit(True))).join(flags, "document_id").where(
         "NOT (source_type = 'disclosure' AND gone)"
-    ).select("evidence_id", "document_id", "security_id", F.array_sort(F.array_distinct(shown)).alias("shown"), "effective_at", F.when(F.col("source_type") == "disclosure", F.col("replaces")).alias("replaces"))
+    ).select("evidence_id", "document_id", "security_id", F.array_sort(F.array_distinct(shown)).alias("shown"), "effective_at", F.when(F.col("source_type") == "disclosure", F.col("replaces")).alias("replaces")))
+    targets = sound.where("replaces IS NOT NULL").select(F.col("replaces").alias("document_id"), F.lit(True).alias("has_correction")).distinct()
+    sound = sound.join(targets, "document_id", "left")
     marker = asked.select(F.lit(MARKER).alias("token")).distinct()
     rows = cut_lineage(postings(evidence, tokens.select("token").union(marker).distinct(), small).join(sound, "evidence_id"))
     pieces = rows.where(F.col("token") == MARKER).drop("token", "tf")
@@ -130,8 +132,11 @@ def fresh_bm25(
         "filter_set", "total", (F.col("lengths") / F.col("total")).alias("mean_length")
     ))
     asked_tokens = tokens.select("filter_set", "token").distinct().join(asks, "filter_set")
-    shared = hinted_join(rows.where(F.col("token") != MARKER), asked_tokens, ["security_id", "source_type", "token"], small).where(_wanted() & _inside())
-    shared = cut_lineage(shared.join(F.broadcast(replaced) if small else replaced, ["filter_set", "document_id"], "left_anti").select("filter_set", "token", "evidence_id", "source_type", "length", "tf").distinct())
+    met = hinted_join(rows.where(F.col("token") != MARKER), asked_tokens, ["security_id", "source_type", "token"], small).where(_wanted() & _inside())
+    # ``replaced`` grows with the documents, however few the requests are, so it is not broadcast; only documents with a correction can be in it.
+    left = met.where(F.col("has_correction")).join(replaced.hint("merge"), ["filter_set", "document_id"], "left_anti")
+    fields = ["filter_set", "token", "evidence_id", "source_type", "length", "tf"]
+    shared = cut_lineage(met.where(F.col("has_correction").isNull()).select(*fields).unionByName(left.select(*fields)).distinct())
     pair = ["filter_set", "token"]
     statistics = cut_lineage(
         shared.groupBy(*pair).agg(F.count(F.lit(1)).alias("df")).join(totals, "filter_set")
